@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from candleflow.functions.scalar import full_window, ratio
 from candleflow.plans.series import BAR, KEY, linear_recurrence, over_chunks, running_sum
+from candleflow.session import materialize
 
 # Fixed parameter values of the reference's indicator set.
 TARGET_HORIZON = 10          # label looks 10 rows ahead
@@ -270,7 +271,9 @@ def recursive_indicators(staged: DataFrame, ema_windows=EMA_WINDOWS) -> DataFram
     terms["_trs"] = wilder_sum_term("true_range", n, n)
     terms["_pdms"] = wilder_sum_term("_pdm", n, n)
     terms["_mdms"] = wilder_sum_term("_mdm", n, n)
-    out = linear_recurrence(staged, terms)
+    # written between passes: the second pass (and its carry branch) must
+    # not replay the first one
+    out = materialize(linear_recurrence(staged, terms), "recurrence")
 
     for k in ema_windows:
         out = out.withColumn(f"ema_{k}", _null_before(f"_ema{k}", k - 1))
@@ -371,6 +374,10 @@ def psar(bars: DataFrame) -> DataFrame:
     Parallel over symbols; the bar count of a series is bounded by its
     calendar, not by the trade volume behind it.
     """
-    sar = (bars.select(KEY, BAR, "high", "low", "close")
-           .groupBy(KEY).applyInPandas(_psar_group, PSAR_SCHEMA))
-    return bars.join(sar, [KEY, BAR], "inner")
+    return bars.join(psar_values(bars), [KEY, BAR], "inner")
+
+
+def psar_values(bars: DataFrame) -> DataFrame:
+    """``(symbol, bar_no, psar)`` -- join it to any frame keyed by bar."""
+    return (bars.select(KEY, BAR, "high", "low", "close")
+            .groupBy(KEY).applyInPandas(_psar_group, PSAR_SCHEMA))

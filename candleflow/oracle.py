@@ -156,3 +156,78 @@ SQL["dmi"] = rounded(with_rec("SELECT symbol, ts, dmi_pos, dmi_neg FROM recind")
                      r4=["dmi_pos", "dmi_neg"])
 SQL["adx"] = rounded(with_rec("SELECT symbol, ts, adx FROM recind"), r4=["adx"])
 SQL["psar"] = f"WITH RECURSIVE {DAILY_BARS},{PSAR}\nSELECT symbol, ts, psar FROM psar"
+
+# ------------------------------------------------------------------ panel / features
+
+from candleflow.plans.sqltext import BOUNDED, SURVIVING, feature_sql, side_panel_sql  # noqa: E402
+
+SIDE = ["AO", "NF", "NO", "RF", "RO"]
+SIDE_COLS = [f"{s}_close" for s in SIDE]
+
+SQL["close_panel"] = with_bars("SELECT a.ts, a.close AS AF_close, panel.* EXCLUDE (ts) "
+                               "FROM (SELECT ts, close FROM bars WHERE symbol = 'AF') a "
+                               "LEFT JOIN panel USING (ts)", side_panel_sql(SIDE))
+
+LONG = """
+lp AS (
+  SELECT g.symbol, g.ts, s.close, row_number() OVER (PARTITION BY g.symbol ORDER BY g.ts) - 1 AS pos
+  FROM (SELECT a.ts, v.symbol FROM (SELECT ts FROM bars WHERE symbol = 'AF') a
+        CROSS JOIN (VALUES ('AO'), ('NF'), ('NO'), ('RF'), ('RO')) v(symbol)) g
+  LEFT JOIN bars s USING (symbol, ts)
+)"""
+
+SQL["ffill"] = with_bars("""
+SELECT symbol, ts, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY pos
+       ROWS UNBOUNDED PRECEDING) AS close FROM lp""", LONG)
+
+SQL["bfill"] = with_bars("""
+SELECT symbol, ts, first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY pos
+       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM lp""", LONG)
+
+SQL["interpolate_linear"] = rounded(with_bars("""
+SELECT symbol, ts,
+       CASE WHEN close IS NOT NULL THEN close
+            WHEN pv IS NULL THEN NULL
+            WHEN nv IS NULL THEN pv
+            ELSE pv + (nv - pv) * ((pos - pp) / (np - pp)) END AS close
+FROM (SELECT symbol, ts, close, pos,
+        last_value(close IGNORE NULLS) OVER wf AS pv,
+        last_value(CASE WHEN close IS NOT NULL THEN CAST(pos AS DOUBLE) END IGNORE NULLS) OVER wf AS pp,
+        first_value(close IGNORE NULLS) OVER wb AS nv,
+        first_value(CASE WHEN close IS NOT NULL THEN CAST(pos AS DOUBLE) END IGNORE NULLS) OVER wb AS np
+      FROM lp
+      WINDOW wf AS (PARTITION BY symbol ORDER BY pos ROWS UNBOUNDED PRECEDING),
+             wb AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) t""",
+    LONG))
+
+FEAT = "RECURSIVE " + DAILY_BARS + "," + REC_INPUTS + "," + PSAR + "," + BOUNDED + "," + SURVIVING
+
+SQL["align_panel"] = f"WITH {FEAT}, {side_panel_sql(SIDE)}\n" \
+    f"SELECT symbol, ts, {', '.join(SIDE_COLS)} FROM surv LEFT JOIN panel USING (ts)"
+
+STAT = ["close", "volume"] + __import__("candleflow.plans.sqltext", fromlist=["x"]).INDICATOR_COLS
+
+SQL["stationary"] = rounded(f"""WITH {FEAT},
+pv AS (SELECT surv.*, close AS lvl, lag(close) OVER w AS p_close, lag(volume) OVER w AS p_volume,
+              lag(obv) OVER w AS p_obv FROM surv WINDOW w AS (PARTITION BY symbol ORDER BY sbar)),
+st AS (
+  SELECT symbol, ts, {pct_change('close', 'p_close')} AS close, {pct_change('volume', 'p_volume')} AS volume,
+         {ratio('ema_10 - lvl', 'lvl')} AS ema_10, {ratio('ema_20 - lvl', 'lvl')} AS ema_20,
+         {ratio('psar - lvl', 'lvl')} AS psar, {ratio('macd', 'lvl')} AS macd,
+         {ratio('macd_signal', 'lvl')} AS macd_signal, {ratio('obv - p_obv', 'lvl')} AS obv,
+         {', '.join(c for c in STAT if c not in ('close', 'volume', 'ema_10', 'ema_20', 'psar', 'macd', 'macd_signal', 'obv'))}
+  FROM pv)
+SELECT symbol, ts, {', '.join(STAT)} FROM st WHERE {' AND '.join(f'{c} IS NOT NULL' for c in STAT)}""",
+    r6=STAT)
+
+FEATURE_SQL = f"WITH {FEAT}, {feature_sql(SIDE)}\nSELECT * FROM feat"
+
+SQL["feature_table"] = rounded(FEATURE_SQL, r6=STAT + SIDE_COLS)
+
+_FEATURE_NAMES = sorted(["symbol", "ts"] + STAT + SIDE_COLS + ["target"])
+_JSON = "[" + ", ".join(f'"{c}"' for c in _FEATURE_NAMES) + "]"
+
+SQL["manifest_hash"] = f"""WITH {FEAT}, {feature_sql(SIDE)}
+SELECT '{_JSON}' AS columns_json, {len(_FEATURE_NAMES)} AS n_columns, count(*) AS row_count,
+       substr(sha256('{_JSON}'), 1, 16) AS column_hash
+FROM feat"""

@@ -117,15 +117,19 @@ def running_sum(df: DataFrame, value: str | Column, out: str, key: str = KEY,
             .drop("_v", "_in", "_off", CHUNK))
 
 
-def carry_last(df: DataFrame, value: str, out: str, key: str = KEY,
+def carry_last(df: DataFrame, value, out=None, key: str = KEY,
                chunk_bars: int = DEFAULT_CHUNK_BARS) -> DataFrame:
-    """Forward fill: last non-null ``value`` at or before each bar."""
+    """Forward fill: last non-null value at or before each bar.
+
+    ``value``/``out`` may be lists: all columns share one chunk table, one
+    join and one window pass.
+    """
     return _carry(df, value, out, key, chunk_bars, forward=True)
 
 
-def carry_next(df: DataFrame, value: str, out: str, key: str = KEY,
+def carry_next(df: DataFrame, value, out=None, key: str = KEY,
                chunk_bars: int = DEFAULT_CHUNK_BARS) -> DataFrame:
-    """Back fill: first non-null ``value`` at or after each bar.
+    """Back fill: first non-null value at or after each bar.
 
     Uses a reversed order with an unbounded-preceding frame; a frame ending
     at unboundedFollowing would be quadratic.
@@ -134,24 +138,29 @@ def carry_next(df: DataFrame, value: str, out: str, key: str = KEY,
 
 
 def _carry(df, value, out, key, chunk_bars, forward):
+    values = [value] if isinstance(value, str) else list(value)
+    outs = values if out is None else ([out] if isinstance(out, str) else list(out))
     staged = _with_chunk(df, chunk_bars)
     order = F.col(BAR) if forward else F.col(BAR).desc()
     w_in = Window.partitionBy(key, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     pick = F.max_by if forward else F.min_by
-    per_chunk = (staged.filter(F.col(value).isNotNull())
-                 .groupBy(key, CHUNK).agg(pick(F.col(value), F.col(BAR)).alias("_edge")))
+    # per chunk: the edge (last / first) non-null value of every column
+    per_chunk = staged.groupBy(key, CHUNK).agg(*[
+        pick(F.col(v), F.when(F.col(v).isNotNull(), F.col(BAR))).alias(f"_edge{i}")
+        for i, v in enumerate(values)])
     c_order = F.col(CHUNK) if forward else F.col(CHUNK).desc()
-    # every chunk (also those without a non-null value) gets the carry from
-    # the chunks before it; this table has one row per (symbol, chunk)
-    chunks = staged.select(key, CHUNK).distinct()
-    full = (chunks.join(per_chunk, [key, CHUNK], "left")
-            .select(key, CHUNK, F.last("_edge", ignorenulls=True).over(
-                Window.partitionBy(key).orderBy(c_order)
-                .rowsBetween(Window.unboundedPreceding, -1)).alias("_prev")))
-    return (staged.withColumn("_in", F.last(F.col(value), ignorenulls=True).over(w_in))
-            .join(full, [key, CHUNK], "inner")
-            .withColumn(out, F.coalesce(F.col("_in"), F.col("_prev")))
-            .drop("_in", "_prev", CHUNK))
+    w_c = Window.partitionBy(key).orderBy(c_order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select(key, CHUNK, *[
+        F.last(f"_edge{i}", ignorenulls=True).over(w_c).alias(f"_prev{i}")
+        for i in range(len(values))])
+    inner = staged
+    for i, v in enumerate(values):
+        inner = inner.withColumn(f"_in{i}", F.last(F.col(v), ignorenulls=True).over(w_in))
+    joined = inner.join(carry, [key, CHUNK], "inner")
+    for i, o in enumerate(outs):
+        joined = joined.withColumn(o, F.coalesce(F.col(f"_in{i}"), F.col(f"_prev{i}")))
+    return joined.drop(CHUNK, *[f"_in{i}" for i in range(len(values))],
+                       *[f"_prev{i}" for i in range(len(values))])
 
 
 def block_size(q: float) -> int:

@@ -191,3 +191,118 @@ psar AS (
          CASE WHEN b.bar_no <= 1 THEN b.close ELSE ps.sar END AS psar
   FROM b LEFT JOIN ps USING (symbol, bar_no)
 )"""
+
+
+def _frame(k: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _full(col: str, k: int, expr: str) -> str:
+    return f"CASE WHEN count({col}) OVER {_frame(k)} = {k} THEN {expr} END"
+
+
+# Every bounded-window indicator plus OBV and the label, from ``b``.
+BOUNDED = """
+r0 AS (
+  SELECT b.*, lag(close) OVER w AS pc, lag(close, 10) OVER w AS pc10, lead(close, 10) OVER w AS fc
+  FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)
+),
+r1 AS (
+  SELECT r0.*, """ + pct_change("close", "pc") + """ AS ret,
+         (high + low + close) / 3.0 AS tp,
+         (CASE WHEN high = low THEN 0.0
+               ELSE ((close - low) - (high - close)) / (high - low) END) * volume AS mfv,
+         CASE WHEN close < pc THEN -volume ELSE volume END AS obv_flow
+  FROM r0
+),
+bnd AS (
+  SELECT symbol, ts, bar_no, close, volume, tp,
+         """ + ", ".join(f"lag(ret, {k}) OVER w AS ret_lag{k}" for k in (1, 2, 3, 5, 10, 20)) + """,
+         """ + ", ".join(_full("ret", k, f"stddev_samp(ret) OVER {_frame(k)}") + f" AS vol_roll{k}"
+                         for k in (5, 10, 20, 60)) + """,
+         """ + ratio("open - pc", "pc") + """ AS gap_ret,
+         """ + ratio("high - low", "close") + """ AS intraday_range,
+         """ + ratio("close - pc10", "pc10") + """ * 100 AS roc,
+         """ + _full("close", 14, ratio(f"close - min(low) OVER {_frame(14)}",
+                                        f"max(high) OVER {_frame(14)} - min(low) OVER {_frame(14)}") + " * 100") + """ AS stoch_k,
+         """ + _full("volume", 10, f"sum(mfv) OVER {_frame(10)} / sum(volume) OVER {_frame(10)}") + """ AS adosc,
+         count(close) OVER """ + _frame(20) + """ AS bb_n,
+         avg(close) OVER """ + _frame(20) + """ AS bb_mid,
+         stddev_pop(close) OVER """ + _frame(20) + """ AS bb_sd,
+         list(tp) OVER """ + _frame(14) + """ AS tpw,
+         sum(obv_flow) OVER (PARTITION BY symbol ORDER BY bar_no ROWS UNBOUNDED PRECEDING) AS obv,
+         CAST(CASE WHEN (fc - close) / close > 0.03 THEN 1
+                   WHEN (fc - close) / close < -0.03 THEN 0 END AS INTEGER) AS target
+  FROM r1 WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)
+),
+bnd2 AS (
+  SELECT * EXCLUDE (tp, tpw, tpm, bb_n, bb_mid, bb_sd, bb_hi, bb_lo),
+         CASE WHEN bb_n = 20 THEN """ + ratio("close - bb_lo", "bb_hi - bb_lo") + """ END AS bb_pband,
+         CASE WHEN bb_n = 20 THEN """ + ratio("bb_hi - bb_lo", "bb_mid") + """ * 100 END AS bb_width,
+         CASE WHEN len(tpw) = 14 THEN """ + ratio(
+    "tp - tpm", "list_sum(list_transform(tpw, lambda v: abs(v - tpm))) / len(tpw) * 0.015") + """ END AS cci
+  FROM (SELECT *, list_sum(tpw) / len(tpw) AS tpm,
+               bb_mid + 2.0 * bb_sd AS bb_hi, bb_mid - 2.0 * bb_sd AS bb_lo FROM bnd) t
+),
+allind AS (
+  SELECT bnd2.*, recind.ema_10, recind.ema_20, recind.macd, recind.macd_signal, recind.rsi,
+         recind.atr_norm, recind.dmi_pos, recind.dmi_neg, recind.adx, psar.psar
+  FROM bnd2 JOIN recind USING (symbol, bar_no) JOIN psar USING (symbol, bar_no)
+)"""
+
+INDICATOR_COLS = ["ema_10", "ema_20", "psar", "rsi", "roc", "obv", "macd", "macd_signal", "cci",
+                  "adosc", "stoch_k", "dmi_pos", "dmi_neg", "adx", "bb_pband", "bb_width",
+                  "atr_norm", "ret_lag1", "ret_lag2", "ret_lag3", "ret_lag5", "ret_lag10",
+                  "ret_lag20", "vol_roll5", "vol_roll10", "vol_roll20", "vol_roll60", "gap_ret",
+                  "intraday_range"]
+
+SURVIVING = """
+surv AS (
+  SELECT symbol, ts, close, volume, target, """ + ", ".join(INDICATOR_COLS) + """,
+         row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS sbar
+  FROM allind WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in INDICATOR_COLS) + """
+)"""
+
+
+def side_panel_sql(side: list[str]) -> str:
+    cols = ", ".join(f"max(CASE WHEN symbol = '{s}' THEN close END) AS {s}_close" for s in side)
+    lst = ", ".join(f"'{s}'" for s in side)
+    return f"""
+panel AS (SELECT ts, {cols} FROM bars WHERE symbol IN ({lst}) GROUP BY ts)"""
+
+
+def feature_sql(side: list[str]) -> str:
+    """CTE chain ending in ``feat`` (features + side closes + target)."""
+    sc = [f"{s}_close" for s in side]
+    ff = ", ".join(
+        f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY sbar ROWS UNBOUNDED PRECEDING) AS {c}"
+        for c in sc)
+    lags = ", ".join(f"lag({c}) OVER w AS p_{c}" for c in ["close", "volume", "obv"] + sc)
+    side_pct = ", ".join(pct_change(c, f"p_{c}") + f" AS {c}" for c in sc)
+    keep = ["close", "volume"] + INDICATOR_COLS + sc
+    rel = ", ".join(ratio(f"{c} - lvl", "lvl") + f" AS {c}" for c in ("ema_10", "ema_20", "psar"))
+    norm = ", ".join(ratio(c, "lvl") + f" AS {c}" for c in ("macd", "macd_signal"))
+    return side_panel_sql(side) + """,
+al AS (
+  SELECT surv.* EXCLUDE (""" + ", ".join(sc) + """), """ + ff + """
+  FROM (SELECT * FROM surv LEFT JOIN panel USING (ts)) surv
+),
+pv AS (
+  SELECT al.*, close AS lvl, """ + lags + """
+  FROM al WINDOW w AS (PARTITION BY symbol ORDER BY sbar)
+),
+st AS (
+  SELECT symbol, ts, target,
+         """ + pct_change("close", "p_close") + """ AS close,
+         """ + pct_change("volume", "p_volume") + """ AS volume,
+         """ + rel + """, """ + norm + """,
+         """ + ratio("obv - p_obv", "lvl") + """ AS obv,
+         """ + side_pct + """,
+         """ + ", ".join(c for c in INDICATOR_COLS if c not in
+                         ("ema_10", "ema_20", "psar", "macd", "macd_signal", "obv")) + """
+  FROM pv
+),
+feat AS (
+  SELECT symbol, ts, """ + ", ".join(keep) + """, target FROM st
+  WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in keep) + """
+)"""

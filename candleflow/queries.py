@@ -225,3 +225,101 @@ def adx(spark, sf):
 @query("psar")
 def psar(spark, sf):
     return I.psar(S.indexed_bars(spark, sf)).select("symbol", "ts", "psar")
+
+
+# ------------------------------------------------------------------ panel / features
+
+from candleflow.operators import features as FT  # noqa: E402
+from candleflow.operators import fill as FL  # noqa: E402
+from candleflow.plans.series import with_bar_no  # noqa: E402
+from candleflow.session import materialize  # noqa: E402
+
+ANCHOR = FT.ANCHOR
+SIDE = ["AO", "NF", "NO", "RF", "RO"]      # the five non-anchor series
+SIDE_COLS = [FT.side_name(s) for s in SIDE]
+
+
+@query("close_panel")
+def close_panel(spark, sf):
+    """Anchor calendar with every series' close as a column."""
+    return FT.close_panel(S.daily_bars(spark, sf), ANCHOR, SIDE)
+
+
+def _long_panel(spark, sf):
+    return with_bar_no(FT.long_panel(S.daily_bars(spark, sf), ANCHOR, SIDE))
+
+
+@query("ffill")
+def ffill(spark, sf):
+    """G1: side closes on the anchor calendar, forward filled."""
+    return FL.ffill(_long_panel(spark, sf), ["close"]).select("symbol", "ts", "close")
+
+
+@query("bfill")
+def bfill(spark, sf):
+    """Side closes on the anchor calendar, back filled."""
+    return FL.bfill(_long_panel(spark, sf), ["close"]).select("symbol", "ts", "close")
+
+
+@query("interpolate_linear")
+def interpolate_linear(spark, sf):
+    """G3 (linear): positional interpolation of interior gaps."""
+    out = FL.interpolate_linear(_long_panel(spark, sf), "close")
+    return out.select("symbol", "ts", "close")
+
+
+@query("interpolate_cubic")
+def interpolate_cubic(spark, sf):
+    """G3 (cubic): spline over the time axis, interior gaps only."""
+    return FL.interpolate_cubic(_long_panel(spark, sf), "close").select("symbol", "ts", "close")
+
+
+def _surviving(spark, sf):
+    return materialize(FT.surviving_indicators(S.indexed_bars(spark, sf)), "surviving")
+
+
+@query("align_panel")
+def align_panel(spark, sf):
+    """Side closes aligned to each series' post-warm-up calendar."""
+    bars = S.daily_bars(spark, sf)
+    return FT.align_panel(_surviving(spark, sf), bars, SIDE).select("symbol", "ts", *SIDE_COLS)
+
+
+STAT_COLS = FT.FEATURE_COLS
+
+
+@query("stationary")
+def stationary(spark, sf):
+    """W16-W20 + P12 + P4 per series (no side panel)."""
+    st = FT.stationary(_surviving(spark, sf))
+    out = st.select("symbol", "ts", *STAT_COLS).dropna()
+    return _round(out, r6=STAT_COLS)
+
+
+def feature_frame(spark, sf):
+    bars = S.indexed_bars(spark, sf)
+    aligned = FT.align_panel(_surviving(spark, sf), bars, SIDE)
+    aligned = FL.ffill(aligned, SIDE_COLS)
+    st = FT.stationary(aligned, SIDE_COLS)
+    cols = ["symbol", "ts"] + FT.FEATURE_COLS + SIDE_COLS
+    return st.select(*cols, "target").dropna(subset=cols)
+
+
+@query("feature_table")
+def feature_table(spark, sf):
+    """The full feature table (features, side closes, label)."""
+    return _round(feature_frame(spark, sf), r6=FT.FEATURE_COLS + SIDE_COLS)
+
+
+@query("manifest_hash")
+def manifest_hash(spark, sf):
+    """manifest of the feature table (sorted names, rows, hash)."""
+    return FT.manifest(feature_frame(spark, sf))
+
+
+@query("manifest_diff")
+def manifest_diff(spark, sf):
+    """J7/ML14: columns the scoring frame lacks / adds vs the feature table."""
+    expected = feature_frame(spark, sf)
+    actual = FT.stationary(_surviving(spark, sf)).select("symbol", "ts", *STAT_COLS)
+    return FT.manifest_diff(expected, actual)

@@ -71,3 +71,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder, read it back.
+
+    Used where a derived table feeds several branches of one plan (two-level
+    scans join a table with an aggregate of itself): the expensive lineage
+    (trade scan + bar aggregation) runs once, branches re-read a small
+    columnar table with pruning, and a lost executor re-reads files instead
+    of replaying the lineage.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candleflow.plans.series import with_bar_no
+from candleflow.session import materialize
 
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType(), False),
@@ -84,10 +85,17 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ohlcv(trades, F.date_trunc("hour", F.col("ts")))
 
 
-def indexed_bars(spark: SparkSession, sf_dir: str, hourly: bool = False) -> DataFrame:
-    """Bars plus the per-series position ``bar_no`` (input of ordered ops)."""
+def indexed_bars(spark: SparkSession, sf_dir: str, hourly: bool = False,
+                 persist: bool = True) -> DataFrame:
+    """Bars plus the per-series position ``bar_no`` (input of ordered ops).
+
+    With ``persist`` the indexed bar table is written once to the shared
+    checkpoint folder, so the trade scan and bar aggregation run once no
+    matter how many branches (carries, joins) the ordered plan has.
+    """
     bars = hourly_bars(spark, sf_dir) if hourly else daily_bars(spark, sf_dir)
-    return with_bar_no(bars)
+    indexed = with_bar_no(bars)
+    return materialize(indexed, "bars") if persist else indexed
 
 
 def recent(df: DataFrame, months: int, ref_ts=None, ts: str = "ts") -> DataFrame:
