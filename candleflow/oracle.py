@@ -231,3 +231,51 @@ SQL["manifest_hash"] = f"""WITH {FEAT}, {feature_sql(SIDE)}
 SELECT '{_JSON}' AS columns_json, {len(_FEATURE_NAMES)} AS n_columns, count(*) AS row_count,
        substr(sha256('{_JSON}'), 1, 16) AS column_hash
 FROM feat"""
+
+# ------------------------------------------------------------------ market structure
+
+from candleflow.plans.sqltext import SIGNALS, swings_sql  # noqa: E402
+
+SQL["atr_days"] = rounded(with_rec(f"""
+SELECT symbol, ts, atr_ratio, close >= open AS is_up, atr_ratio >= 2.0 AS double_atr,
+       atr_ratio >= 1.0 AND atr_ratio < 2.0 AS single_atr
+FROM (SELECT recind.symbol, recind.ts, b.open, b.close, {ratio('b.high - b.low', 'recind.atr')} AS atr_ratio
+      FROM recind JOIN b USING (symbol, bar_no)) t"""), r6=["atr_ratio"])
+
+SQL["atr_double_days"] = rounded(with_rec(f"""
+SELECT symbol, ts, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction, close, atr_ratio
+FROM (SELECT recind.symbol, recind.ts, b.open, b.close, {ratio('b.high - b.low', 'recind.atr')} AS atr_ratio
+      FROM recind JOIN b USING (symbol, bar_no)) t WHERE atr_ratio >= 2.0"""), r6=["atr_ratio"])
+
+SW = swings_sql()
+
+SQL["swing_points"] = with_bars("SELECT symbol, ts, price, swing_type FROM raw", SW)
+SQL["swings_clean"] = with_bars("SELECT symbol, ts, price, swing_type FROM cl", SW)
+SQL["swing_labels"] = with_bars("SELECT symbol, ts, swing_type, price, label FROM sw", SW)
+SQL["swing_sequences"] = with_bars("SELECT symbol, ts, swing_type, label, seq_count, seq_dir FROM sw", SW)
+SQL["swing_trend"] = with_bars("SELECT symbol, ts, swing_type, label, trend FROM sw", SW)
+SQL["zigzag_segments"] = with_bars("""
+SELECT symbol, prev_ts AS from_ts, prev_price AS from_price, ts AS to_ts, price AS to_price, trend
+FROM sw WHERE prev_ts IS NOT NULL""", SW)
+SQL["prevailing_trend"] = with_bars("SELECT symbol, ts, swing_type, label, state_before FROM sw", SW)
+SQL["structure_signals"] = with_bars("SELECT * FROM signals", SW + "," + SIGNALS)
+SQL["choch_signals"] = with_bars("SELECT * FROM signals WHERE type = 'choch'", SW + "," + SIGNALS)
+SQL["seq3_signals"] = with_bars("SELECT symbol, ts, price, label, seq_dir FROM sw WHERE seq_count = 3", SW)
+
+WEEKLY = """
+wbars AS (
+  SELECT l_returnflag || l_linestatus AS symbol,
+         CAST(date_trunc('week', CAST(l_shipdate AS DATE)) AS DATE) AS ts,
+         first(l_extendedprice / l_quantity ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber, l_partkey, l_suppkey) AS open,
+         max(l_extendedprice / l_quantity) AS high,
+         min(l_extendedprice / l_quantity) AS low,
+         last(l_extendedprice / l_quantity ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber, l_partkey, l_suppkey) AS close
+  FROM lineitem GROUP BY 1, 2
+),
+wb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM wbars)"""
+
+SQL["multi_tf_structure"] = with_bars(f"""
+SELECT '1d' AS timeframe, symbol, ts, swing_type, price, label, trend FROM sw
+UNION ALL
+SELECT '1w' AS timeframe, symbol, ts, swing_type, price, label, trend FROM w_sw""",
+    SW + "," + WEEKLY + "," + swings_sql("wb", 3, "w_"))

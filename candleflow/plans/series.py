@@ -49,10 +49,11 @@ def _epoch_seconds(ts: str) -> Column:
 
 
 def with_bar_no(df: DataFrame, key: str = KEY, ts: str = TS, out: str = BAR,
-                bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """0-based position of each row in its series, ordered by ``ts``.
+                bucket_seconds: int = DEFAULT_BUCKET_SECONDS, tiebreak=()) -> DataFrame:
+    """0-based position of each row in its series, ordered by ``ts`` (then
+    ``tiebreak`` columns).
 
-    ``(key, ts)`` must be unique.  No task ever sees more than one
+    ``(key, ts, *tiebreak)`` must be unique.  No task ever sees more than one
     (symbol, bucket) group; the bucket count table is tiny and is joined
     back (AQE turns it into a broadcast when its runtime size allows).
     """
@@ -64,7 +65,7 @@ def with_bar_no(df: DataFrame, key: str = KEY, ts: str = TS, out: str = BAR,
         F.coalesce(F.sum("_n").over(
             Window.partitionBy(key).orderBy("_bkt")
             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    in_bucket = Window.partitionBy(key, "_bkt").orderBy(ts)
+    in_bucket = Window.partitionBy(key, "_bkt").orderBy(ts, *tiebreak)
     return (staged.join(offsets, [key, "_bkt"], "inner")
             .withColumn(out, (F.row_number().over(in_bucket) - 1 + F.col("_off")).cast("long"))
             .drop("_bkt", "_off"))

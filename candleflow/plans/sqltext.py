@@ -306,3 +306,105 @@ feat AS (
   SELECT symbol, ts, """ + ", ".join(keep) + """, target FROM st
   WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in keep) + """
 )"""
+
+
+def swings_sql(src: str = "b", order: int = 5, prefix: str = "") -> str:
+    """CTE chain ending in ``{prefix}sw``: cleaned, labelled swings."""
+    p = prefix
+    return f"""
+{p}sp AS (
+  SELECT symbol, ts, bar_no, high, low,
+         (lag(high, {order}) OVER w IS NOT NULL AND lead(high, {order}) OVER w IS NOT NULL) AS full_,
+         max(high) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN {order} PRECEDING AND 1 PRECEDING) AS hb,
+         max(high) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 1 FOLLOWING AND {order} FOLLOWING) AS ha,
+         min(low) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN {order} PRECEDING AND 1 PRECEDING) AS lb,
+         min(low) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 1 FOLLOWING AND {order} FOLLOWING) AS la
+  FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)
+),
+{p}raw AS (
+  SELECT symbol, ts, high AS price, 'high' AS swing_type, 0 AS tord FROM {p}sp WHERE full_ AND high > hb AND high > ha
+  UNION ALL
+  SELECT symbol, ts, low AS price, 'low' AS swing_type, 1 AS tord FROM {p}sp WHERE full_ AND low < lb AND low < la
+),
+{p}ri AS (
+  SELECT *, lag(swing_type) OVER (PARTITION BY symbol ORDER BY ts, tord) AS prev_t,
+         row_number() OVER (PARTITION BY symbol ORDER BY ts, tord) AS i
+  FROM {p}raw
+),
+{p}rr AS (
+  SELECT *, sum(CASE WHEN prev_t IS NULL OR prev_t <> swing_type THEN 1 ELSE 0 END)
+            OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+  FROM {p}ri
+),
+{p}cl AS (
+  SELECT symbol, ts, price, swing_type, tord FROM (
+    SELECT *, row_number() OVER (PARTITION BY symbol, run
+              ORDER BY CASE WHEN swing_type = 'high' THEN -price ELSE price END, i) AS rk
+    FROM {p}rr) t WHERE rk = 1
+),
+{p}sq AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, tord) - 1 AS k FROM {p}cl),
+{p}lb AS (
+  SELECT sq.*, lag(price, 2) OVER w AS level, lag(ts, 2) OVER w AS level_date,
+         lag(ts) OVER w AS prev_ts, lag(price) OVER w AS prev_price,
+         CASE WHEN lag(price, 2) OVER w IS NULL THEN (CASE WHEN swing_type = 'high' THEN 'H' ELSE 'L' END)
+              WHEN swing_type = 'high' THEN (CASE WHEN price > lag(price, 2) OVER w THEN 'HH' ELSE 'LH' END)
+              ELSE (CASE WHEN price > lag(price, 2) OVER w THEN 'HL' ELSE 'LL' END) END AS label
+  FROM {p}sq sq WINDOW w AS (PARTITION BY symbol ORDER BY k)
+),
+{p}lb2 AS (
+  SELECT lb.*, lag(label) OVER (PARTITION BY symbol ORDER BY k) AS prev_label FROM {p}lb lb
+),
+{p}lb3 AS (
+  SELECT lb2.*,
+         CASE WHEN label IN ('HH', 'HL') THEN 'long' WHEN label IN ('LH', 'LL') THEN 'short' END AS seq_dir,
+         CASE WHEN prev_label IN ('HH', 'HL') THEN 'long' WHEN prev_label IN ('LH', 'LL') THEN 'short' END AS prev_dir,
+         CASE WHEN label IN ('HH', 'HL') AND prev_label IN ('HH', 'HL') THEN 'up'
+              WHEN label IN ('LH', 'LL') AND prev_label IN ('LH', 'LL') THEN 'down' END AS trend_sig,
+         CASE WHEN k = 2 AND label IN ('HH', 'HL') THEN 'up'
+              WHEN k = 2 AND label IN ('LH', 'LL') THEN 'down'
+              WHEN k <> 2 AND label = 'HH' THEN 'up'
+              WHEN k <> 2 AND label = 'LL' THEN 'down' END AS state_sig
+  FROM {p}lb2 lb2
+),
+{p}lb4 AS (
+  SELECT lb3.*,
+         CASE WHEN seq_dir IS NOT NULL AND (prev_dir IS NULL OR prev_dir <> seq_dir) THEN k END AS run_start
+  FROM {p}lb3 lb3
+),
+{p}lb5 AS (
+  SELECT lb4.*,
+         last_value(run_start IGNORE NULLS) OVER w AS run_from,
+         coalesce(last_value(trend_sig IGNORE NULLS) OVER w, 'neutral') AS trend,
+         last_value(state_sig IGNORE NULLS) OVER w AS state_after
+  FROM {p}lb4 lb4 WINDOW w AS (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING)
+),
+{p}sw AS (
+  SELECT symbol, ts, price, swing_type, label, level, level_date, prev_ts, prev_price, k, trend, seq_dir,
+         CAST(CASE WHEN seq_dir IS NULL THEN 0 ELSE k - run_from + 1 END AS INTEGER) AS seq_count,
+         lag(state_after) OVER (PARTITION BY symbol ORDER BY k) AS state_before
+  FROM {p}lb5
+)"""
+
+
+SIGNALS = """
+sig AS (
+  SELECT symbol, k, ts AS swing_ts, price AS swing_price, level, level_date, prev_ts,
+         CASE WHEN state_before = 'up' AND label = 'HH' THEN 'bos'
+              WHEN state_before = 'up' AND label = 'LL' THEN 'choch'
+              WHEN state_before = 'down' AND label = 'LL' THEN 'bos'
+              WHEN state_before = 'down' AND label = 'HH' THEN 'choch' END AS type,
+         CASE WHEN label = 'HH' THEN 'long' WHEN label = 'LL' THEN 'short' END AS direction
+  FROM sw WHERE k >= 3
+),
+sig2 AS (SELECT * FROM sig WHERE type IS NOT NULL),
+brk AS (
+  SELECT s.symbol, s.k, arg_min(b.ts, b.ts) AS bts, arg_min(b.close, b.ts) AS bclose
+  FROM sig2 s JOIN b ON b.symbol = s.symbol AND b.ts >= s.prev_ts AND b.ts <= s.swing_ts
+   AND ((s.direction = 'long' AND b.close > s.level) OR (s.direction = 'short' AND b.close < s.level))
+  GROUP BY s.symbol, s.k
+),
+signals AS (
+  SELECT s.symbol, coalesce(brk.bts, s.swing_ts) AS ts, coalesce(brk.bclose, s.swing_price) AS price,
+         s.level, s.level_date, s.type, s.direction
+  FROM sig2 s LEFT JOIN brk USING (symbol, k)
+)"""

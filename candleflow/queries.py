@@ -323,3 +323,103 @@ def manifest_diff(spark, sf):
     expected = feature_frame(spark, sf)
     actual = FT.stationary(_surviving(spark, sf)).select("symbol", "ts", *STAT_COLS)
     return FT.manifest_diff(expected, actual)
+
+
+# ------------------------------------------------------------------ market structure
+
+from candleflow.operators import structure as M  # noqa: E402
+
+
+@query("atr_days")
+def atr_days(spark, sf):
+    """M1: range / ATR14 classification per bar."""
+    out = M.atr_days(recursive(spark, sf))
+    return _round(out.select("symbol", "ts", "atr_ratio", "is_up", "double_atr", "single_atr"),
+                  r6=["atr_ratio"])
+
+
+@query("atr_double_days")
+def atr_double_days(spark, sf):
+    """M2: days with range >= 2 ATR, split up/down, with their close."""
+    out = M.atr_days(recursive(spark, sf)).filter(F.col("double_atr"))
+    return _round(out.select("symbol", "ts", F.when(F.col("is_up"), "up").otherwise("down")
+                             .alias("direction"), "close", "atr_ratio"), r6=["atr_ratio"])
+
+
+@query("swing_points")
+def swing_points(spark, sf):
+    return M.swing_points(S.indexed_bars(spark, sf))
+
+
+@query("swings_clean")
+def swings_clean(spark, sf):
+    return M.clean_swings(M.swing_points(S.indexed_bars(spark, sf))) \
+        .select("symbol", "ts", "price", "swing_type")
+
+
+def _swings(spark, sf):
+    return M.labelled_swings(S.indexed_bars(spark, sf))
+
+
+@query("swing_labels")
+def swing_labels(spark, sf):
+    return _swings(spark, sf).select("symbol", "ts", "swing_type", "price", "label")
+
+
+@query("swing_sequences")
+def swing_sequences(spark, sf):
+    return _swings(spark, sf).select("symbol", "ts", "swing_type", "label", "seq_count", "seq_dir")
+
+
+@query("swing_trend")
+def swing_trend(spark, sf):
+    return _swings(spark, sf).select("symbol", "ts", "swing_type", "label", "trend")
+
+
+@query("zigzag_segments")
+def zigzag_segments(spark, sf):
+    """M8: consecutive swing pairs with the trend of the later swing."""
+    sw = _swings(spark, sf).filter(F.col("prev_ts").isNotNull())
+    return sw.select("symbol", F.col("prev_ts").alias("from_ts"), F.col("prev_price").alias("from_price"),
+                     F.col("ts").alias("to_ts"), F.col("price").alias("to_price"), "trend")
+
+
+@query("prevailing_trend")
+def prevailing_trend(spark, sf):
+    """M9: prevailing state before each swing."""
+    return _swings(spark, sf).select("symbol", "ts", "swing_type", "label", "state_before")
+
+
+def _signals(spark, sf):
+    bars = S.indexed_bars(spark, sf)
+    return M.structure_signals(bars, M.labelled_swings(bars))
+
+
+@query("structure_signals")
+def structure_signals(spark, sf):
+    """BOS / CHoCH with broken level and break bar."""
+    return _signals(spark, sf)
+
+
+@query("choch_signals")
+def choch_signals(spark, sf):
+    """Change-of-character signals only."""
+    return _signals(spark, sf).filter(F.col("type") == "choch")
+
+
+@query("seq3_signals")
+def seq3_signals(spark, sf):
+    """Third consecutive swing of one direction."""
+    return _swings(spark, sf).filter(F.col("seq_count") == 3) \
+        .select("symbol", "ts", "price", "label", "seq_dir")
+
+
+@query("multi_tf_structure")
+def multi_tf_structure(spark, sf):
+    """Swings on daily (order 5) and weekly (order 3) bars."""
+    daily = M.labelled_swings(S.indexed_bars(spark, sf)).withColumn("timeframe", F.lit("1d"))
+    trades = S.trades_from_lineitem(S.read_table(spark, sf, "lineitem"))
+    weekly = with_bar_no(S.ohlcv(trades, F.date_trunc("week", F.col("ts")).cast("date")))
+    wk = M.labelled_swings(weekly, order=3).withColumn("timeframe", F.lit("1w"))
+    cols = ["timeframe", "symbol", "ts", "swing_type", "price", "label", "trend"]
+    return daily.select(*cols).unionByName(wk.select(*cols))
