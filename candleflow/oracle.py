@@ -279,3 +279,99 @@ SELECT '1d' AS timeframe, symbol, ts, swing_type, price, label, trend FROM sw
 UNION ALL
 SELECT '1w' AS timeframe, symbol, ts, swing_type, price, label, trend FROM w_sw""",
     SW + "," + WEEKLY + "," + swings_sql("wb", 3, "w_"))
+
+# ------------------------------------------------------------------ predictions / outcomes
+
+PREDS = """
+sm AS (SELECT b.*, CASE WHEN count(close) OVER f20 = 20 THEN avg(close) OVER f20 END AS sma20
+       FROM b WINDOW f20 AS (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+preds AS (
+  SELECT symbol, ts, CAST(close > sma20 AS INTEGER) AS prediction,
+         least(greatest(0.5 + abs(close / sma20 - 1), 0.5), 1.0) AS confidence,
+         10 AS horizon_days,
+         CASE WHEN bar_no % 3 <> 0 THEN close END AS entry_price
+  FROM sm WHERE sma20 IS NOT NULL
+),
+outc AS (
+  SELECT p.symbol, p.ts AS date, CASE WHEN prediction = 1 THEN 'UP' ELSE 'DOWN' END AS direction,
+         p.confidence, coalesce(p.entry_price, ab.close) AS entry_price,
+         CASE WHEN x.close IS NOT NULL AND coalesce(p.entry_price, ab.close) IS NOT NULL THEN x.close END AS exit_price,
+         CASE WHEN x.close IS NOT NULL THEN (x.close - coalesce(p.entry_price, ab.close)) / coalesce(p.entry_price, ab.close) END AS return_pct,
+         CASE WHEN x.close IS NOT NULL THEN x.close - coalesce(p.entry_price, ab.close) END AS pnl,
+         CASE WHEN x.close IS NOT NULL THEN (p.prediction = 1) = (x.close > coalesce(p.entry_price, ab.close)) END AS correct,
+         CASE WHEN x.close IS NOT NULL AND coalesce(p.entry_price, ab.close) IS NOT NULL THEN 'closed' ELSE 'open' END AS status
+  FROM (SELECT *, CAST(ts + INTERVAL 10 DAY AS DATE) AS probe FROM preds) p
+  LEFT JOIN bars ab ON ab.symbol = p.symbol AND ab.ts = p.ts
+  ASOF LEFT JOIN bars x ON x.symbol = p.symbol AND x.ts >= p.probe
+)"""
+
+PRED_COLS = "symbol, ts, prediction, round(confidence, 6) AS confidence, horizon_days, entry_price"
+
+SQL["predictions"] = with_bars(f"SELECT {PRED_COLS} FROM preds", PREDS)
+SQL["prediction_outcomes"] = rounded(with_bars("SELECT * FROM outc", PREDS), r6=["confidence"])
+SQL["pnl_summary"] = rounded(with_bars("""
+SELECT symbol, sum(pnl) AS total_pnl, avg(CAST(correct AS DOUBLE)) AS accuracy, avg(return_pct) AS avg_return,
+       count(*) AS n_closed
+FROM outc WHERE status = 'closed' GROUP BY symbol""", PREDS), r6=["total_pnl", "accuracy", "avg_return"])
+
+
+def _money(x: str, signed: bool = False) -> str:
+    cents = f"CAST(floor(abs({x}) * 100 + 0.5) AS BIGINT)"
+    sign = f"CASE WHEN {x} < 0 THEN '-' ELSE '{'+' if signed else ''}' END"
+    return (f"('$' || {sign} || format('{{:,}}', CAST(floor({cents} / 100) AS BIGINT)) || '.' || "
+            f"lpad(CAST({cents} % 100 AS VARCHAR), 2, '0'))")
+
+
+def _pct(x: str) -> str:
+    bp = f"CAST(floor(abs({x}) * 10000 + 0.5) AS BIGINT)"
+    return (f"((CASE WHEN {x} < 0 THEN '-' ELSE '+' END) || CAST({bp} // 100 AS VARCHAR) || '.' || "
+            f"lpad(CAST({bp} % 100 AS VARCHAR), 2, '0') || '%')")
+
+
+LABEL = ("CASE WHEN confidence >= 0.70 THEN 'Strong' WHEN confidence >= 0.60 THEN 'Moderate' "
+         "ELSE 'Weak' END")
+
+SQL["results_table"] = with_bars(f"""
+SELECT symbol, strftime(date, '%Y-%m-%d') AS date, direction,
+       CAST(CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% ' || {LABEL} AS confidence,
+       CASE WHEN entry_price IS NULL THEN '-' ELSE {_money('entry_price')} END AS entry,
+       CASE WHEN exit_price IS NULL THEN 'pending' ELSE {_money('exit_price')} END AS exit,
+       CASE WHEN return_pct IS NULL THEN '-' ELSE {_pct('return_pct')} END AS return_pct,
+       CASE WHEN pnl IS NULL THEN '-' ELSE {_money('pnl', True)} END AS pnl,
+       CASE WHEN status = 'open' THEN 'open' WHEN correct THEN 'right' ELSE 'wrong' END AS result
+FROM outc ORDER BY date DESC, symbol""", PREDS)
+
+SQL["confidence_label"] = with_bars(
+    f"SELECT symbol, ts, round(confidence, 6) AS confidence, {LABEL} AS label FROM preds", PREDS)
+SQL["position_size"] = with_bars(
+    "SELECT symbol, ts, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.70 THEN 1.0 "
+    "WHEN confidence >= 0.60 THEN 0.5 ELSE 0.0 END AS position FROM preds", PREDS)
+SQL["prediction_markers"] = with_bars("""
+SELECT p.symbol, p.ts, CASE WHEN prediction = 1 THEN 'up' ELSE 'down' END AS marker, bars.close
+FROM preds p JOIN bars USING (symbol, ts)""", PREDS)
+SQL["visible_predictions"] = with_bars(f"""
+SELECT p.symbol, p.ts, p.prediction, round(p.confidence, 6) AS confidence
+FROM preds p JOIN (SELECT symbol, min(ts) AS first_ts FROM bars
+                   WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 6 MONTH GROUP BY symbol) f
+  ON f.symbol = p.symbol AND p.ts >= f.first_ts""", PREDS)
+
+NEW_BATCH = """
+sm10 AS (SELECT b.*, CASE WHEN count(close) OVER f10 = 10 THEN avg(close) OVER f10 END AS sma10,
+                max(bar_no) OVER (PARTITION BY symbol) AS last_bar
+         FROM b WINDOW f10 AS (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+newp AS (
+  SELECT symbol, ts, CAST(close > sma10 AS INTEGER) AS prediction,
+         least(greatest(0.5 + abs(close / sma10 - 1), 0.5), 1.0) AS confidence,
+         10 AS horizon_days, CASE WHEN bar_no % 3 <> 0 THEN close END AS entry_price
+  FROM sm10 WHERE sma10 IS NOT NULL AND bar_no > last_bar - 30
+),
+merged AS (
+  SELECT symbol, ts, arg_max(prediction, arrival) AS prediction, arg_max(confidence, arrival) AS confidence,
+         arg_max(horizon_days, arrival) AS horizon_days,
+         arg_max(struct_pack(e := entry_price), arrival).e AS entry_price
+  FROM (SELECT *, 1 AS arrival FROM preds UNION ALL SELECT *, 2 AS arrival FROM newp) u
+  GROUP BY symbol, ts
+)"""
+
+SQL["dedupe_last"] = with_bars(f"SELECT {PRED_COLS} FROM merged", PREDS + "," + NEW_BATCH)
+SQL["upsert_predictions"] = SQL["dedupe_last"]

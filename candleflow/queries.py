@@ -423,3 +423,112 @@ def multi_tf_structure(spark, sf):
     wk = M.labelled_swings(weekly, order=3).withColumn("timeframe", F.lit("1w"))
     cols = ["timeframe", "symbol", "ts", "swing_type", "price", "label", "trend"]
     return daily.select(*cols).unionByName(wk.select(*cols))
+
+
+# ------------------------------------------------------------------ predictions / outcomes
+
+from candleflow.functions.scalar import confidence_label as _conf_label  # noqa: E402
+from candleflow.functions.scalar import position_size as _position  # noqa: E402
+from candleflow.operators import outcomes as O  # noqa: E402
+from candleflow.sources.store import TableStore  # noqa: E402
+
+
+def _predictions(spark, sf):
+    bars = S.indexed_bars(spark, sf)
+    return O.predictions_from_bars(I.with_windows(bars, [I.sma_cols], I.SMA_OVERLAY))
+
+
+PRED_COLS = ["symbol", "ts", "prediction", "confidence", "horizon_days", "entry_price"]
+
+
+@query("predictions")
+def predictions(spark, sf):
+    """Prediction table derived from bars (input of the outcome queries)."""
+    return _round(_predictions(spark, sf).select(*PRED_COLS), r6=["confidence"])
+
+
+def _outcomes(spark, sf):
+    return O.prediction_outcomes(_predictions(spark, sf), S.daily_bars(spark, sf))
+
+
+@query("prediction_outcomes")
+def prediction_outcomes(spark, sf):
+    """Forward as-of exit bar 10 calendar days later, P&L, status."""
+    return _round(_outcomes(spark, sf), r6=["confidence"])
+
+
+@query("pnl_summary")
+def pnl_summary(spark, sf):
+    """A1 + P8: summary over closed outcomes."""
+    return _round(O.pnl_summary(_outcomes(spark, sf)), r6=["total_pnl", "accuracy", "avg_return"])
+
+
+@query("results_table")
+def results_table(spark, sf):
+    """Formatted result table, newest first."""
+    return O.results_table(_outcomes(spark, sf))
+
+
+@query("confidence_label")
+def confidence_label(spark, sf):
+    """P10: Strong / Moderate / Weak."""
+    p = _predictions(spark, sf)
+    return _round(p.select("symbol", "ts", "confidence", _conf_label("confidence").alias("label")),
+                  r6=["confidence"])
+
+
+@query("position_size")
+def position_size(spark, sf):
+    """Full / half / flat position from confidence."""
+    p = _predictions(spark, sf)
+    return _round(p.select("symbol", "ts", "confidence", _position("confidence").alias("position")),
+                  r6=["confidence"])
+
+
+@query("prediction_markers")
+def prediction_markers(spark, sf):
+    """Predictions on dates that exist in the bars, with the bar close."""
+    p = _predictions(spark, sf)
+    bars = S.daily_bars(spark, sf).select("symbol", "ts", "close")
+    return (p.join(bars, ["symbol", "ts"], "inner")
+            .select("symbol", "ts", F.when(F.col("prediction") == 1, "up").otherwise("down")
+                    .alias("marker"), "close"))
+
+
+@query("visible_predictions")
+def visible_predictions(spark, sf):
+    """Predictions not older than the first bar of the last 6 months."""
+    recent = S.recent(S.daily_bars(spark, sf), 6)
+    first = recent.groupBy("symbol").agg(F.min("ts").alias("_first"))
+    p = _predictions(spark, sf).join(first, "symbol").filter(F.col("ts") >= F.col("_first"))
+    return _round(p.select("symbol", "ts", "prediction", "confidence"), r6=["confidence"])
+
+
+def _new_batch(spark, sf):
+    """A second prediction run over the newest 30 bars (SMA-10 rule)."""
+    bars = S.indexed_bars(spark, sf)
+    ind = I.with_windows(bars, [lambda d, w: I.sma_cols(d, w, 10, "sma20")], 10)
+    sizes = bars.groupBy("symbol").agg(F.max("bar_no").alias("_last"))
+    ind = ind.join(sizes, "symbol").filter(F.col("bar_no") > F.col("_last") - 30).drop("_last")
+    return O.predictions_from_bars(ind)
+
+
+@query("dedupe_last")
+def dedupe_last(spark, sf):
+    """U1+U2: old and new predictions, last arrival per (symbol, ts) wins."""
+    old = _predictions(spark, sf).withColumn("arrival", F.lit(1))
+    new = _new_batch(spark, sf).withColumn("arrival", F.lit(2))
+    out = O.dedupe_last(old.unionByName(new), ["symbol", "ts"], "arrival")
+    return _round(out.select(*PRED_COLS), r6=["confidence"])
+
+
+@query("upsert_predictions")
+def upsert_predictions(spark, sf):
+    """U3 + P9: upsert into a versioned store (timestamps normalised to day)."""
+    import uuid
+    store = TableStore(spark, f"{__import__('candleflow').checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.save("predictions", _predictions(spark, sf))
+    new = _new_batch(spark, sf).withColumn(
+        "ts", F.date_trunc("day", F.col("ts").cast("timestamp") + F.expr("INTERVAL 15 HOURS")).cast("date"))
+    out = store.upsert("predictions", new, ["symbol", "ts"])
+    return _round(out.select(*PRED_COLS), r6=["confidence"])
