@@ -375,3 +375,199 @@ merged AS (
 
 SQL["dedupe_last"] = with_bars(f"SELECT {PRED_COLS} FROM merged", PREDS + "," + NEW_BATCH)
 SQL["upsert_predictions"] = SQL["dedupe_last"]
+
+# ------------------------------------------------------------------ profiling
+
+from itertools import combinations  # noqa: E402
+
+from candleflow.operators.profile import feature_groups  # noqa: E402
+
+PROFILE = STAT + SIDE_COLS
+DESCRIBE = ["rsi", "roc", "macd", "cci", "adx", "dmi_pos", "dmi_neg", "stoch_k", "obv", "adosc"]
+
+
+def with_feat(body: str, extra: str = "") -> str:
+    return f"WITH {FEAT}, {feature_sql(SIDE)}{(',' + extra) if extra else ''}\n{body}"
+
+
+def unpivot(cols, src="feat") -> str:
+    return f"(UNPIVOT (SELECT {', '.join(cols)} FROM {src}) ON {', '.join(cols)} INTO NAME feature VALUE value)"
+
+
+SQL["target_counts"] = with_feat("SELECT target, count(*) AS n FROM feat GROUP BY target")
+
+SQL["dead_zone_stats"] = rounded(with_bars(f"""
+SELECT symbol, count(*) AS n_rows, count_if(target IS NULL) AS n_dead,
+       100.0 * count_if(target IS NULL) / count(*) AS pct_dead
+FROM (SELECT symbol, CASE WHEN (lead(close, 10) OVER w - close) / close > 0.03 THEN 1
+                          WHEN (lead(close, 10) OVER w - close) / close < -0.03 THEN 0 END AS target
+      FROM b {W}) t GROUP BY symbol"""), r6=["pct_dead"])
+
+_PANEL_COLS = ["AF_close"] + SIDE_COLS
+SQL["data_quality"] = with_bars(f"""
+SELECT count(*) AS n_rows, sum({' + '.join(f'CAST({c} IS NULL AS BIGINT)' for c in ['ts'] + _PANEL_COLS)}) AS null_total,
+       count(*) - count(DISTINCT ts) AS dup_keys, min(ts) AS min_ts, max(ts) AS max_ts,
+       6 AS n_double_cols, 1 AS n_other_cols
+FROM (SELECT a.ts, a.close AS AF_close, panel.* EXCLUDE (ts)
+      FROM (SELECT ts, close FROM bars WHERE symbol = 'AF') a LEFT JOIN panel USING (ts)) p""",
+    side_panel_sql(SIDE))
+
+SQL["describe_indicators"] = rounded(with_feat(f"""
+SELECT feature, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+       quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
+       quantile_cont(value, 0.75) AS p75, max(value) AS max
+FROM {unpivot(DESCRIBE)} u WHERE value IS NOT NULL GROUP BY feature"""),
+    r2=["mean", "std", "min", "p25", "p50", "p75", "max"])
+
+_GROUPS = ", ".join(f"('{g}', '{c}')" for g, cs in feature_groups(PROFILE).items() for c in cs)
+SQL["feature_ranges"] = rounded(with_feat(f"""
+SELECT g.grp, s.feature, s.min, s.max, s.mean, s.std, s.max - s.min AS range
+FROM (SELECT feature, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_samp(value) AS std
+      FROM {unpivot(PROFILE)} u GROUP BY feature) s
+JOIN (VALUES {_GROUPS}) g(grp, feature) USING (feature)"""), r2=["min", "max", "mean", "std", "range"])
+
+SQL["range_extremes"] = rounded(with_feat(f"""
+SELECT kind, CAST(rk AS INTEGER) AS rank, feature, range, ratio FROM (
+  SELECT 'largest' AS kind, hi AS rk, * FROM rg WHERE hi <= 5
+  UNION ALL
+  SELECT 'smallest' AS kind, lo AS rk, * FROM rg WHERE lo <= 5) t""", f"""
+rg0 AS (SELECT feature, max(value) - min(value) AS range FROM {unpivot(PROFILE)} u GROUP BY feature),
+rg AS (SELECT *, max(range) OVER () / min(range) OVER () AS ratio,
+             row_number() OVER (ORDER BY range DESC, feature) AS hi,
+             row_number() OVER (ORDER BY range ASC, feature) AS lo FROM rg0)"""), r6=["range"], r2=["ratio"])
+
+SQL["target_corr"] = rounded(with_feat(f"""
+SELECT feature, corr(value, t) AS corr FROM (
+  UNPIVOT (SELECT {', '.join(PROFILE)}, CAST(target AS DOUBLE) AS t FROM feat)
+  ON {', '.join(PROFILE)} INTO NAME feature VALUE value) u
+WHERE value IS NOT NULL AND t IS NOT NULL GROUP BY feature"""), r6=["corr"])
+
+_PAIRS = list(combinations(PROFILE, 2))
+CORR_CTE = f"""
+cw AS (SELECT {', '.join(f'abs(corr({a}, {b})) AS "{a}|{b}"' for a, b in _PAIRS)} FROM feat),
+cp AS (SELECT split_part(name, '|', 1) AS feature_a, split_part(name, '|', 2) AS feature_b, corr
+       FROM (UNPIVOT cw ON COLUMNS(*) INTO NAME name VALUE corr) u WHERE corr > 0.9)"""
+SQL["corr_pairs"] = rounded(with_feat("SELECT * FROM cp", CORR_CTE), r3=["corr"])
+SQL["corr_drop"] = with_feat("SELECT DISTINCT feature_b AS feature FROM cp", CORR_CTE)
+
+SQL["price_bounds"] = with_bars("""
+SELECT symbol, min(low) * 0.97 AS candle_floor, min(close) * 0.98 AS line_lo, max(close) * 1.02 AS line_hi
+FROM bars WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 6 MONTH GROUP BY symbol""")
+
+# ------------------------------------------------------------------ dataset / metrics
+
+LAB = """
+lab AS (SELECT * FROM feat WHERE target IS NOT NULL
+        AND ts >= (SELECT max(ts) FROM feat WHERE target IS NOT NULL) - INTERVAL 144 MONTH),
+spl AS (
+  SELECT *, CASE WHEN pos >= n - ceil(n * 0.2) THEN 'test'
+                 WHEN pos >= n - ceil(n * 0.2) - 10 THEN 'embargo' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos,
+               count(*) OVER (PARTITION BY symbol) AS n FROM lab) t
+),
+tr AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS tpos,
+         count(*) OVER (PARTITION BY symbol) AS m
+  FROM spl WHERE split = 'train'
+),
+wt AS (
+  SELECT *, w / avg(w) OVER (PARTITION BY symbol) AS weight FROM (
+    SELECT *, exp(-m / greatest(floor(m * 0.33), 1.0)
+                  + tpos * CASE WHEN m > 1 THEN (m / greatest(floor(m * 0.33), 1.0)) / (m - 1) ELSE 0 END) AS w
+    FROM tr) t
+)"""
+
+SQL["labelled_rows"] = with_feat("SELECT symbol, ts, target FROM feat WHERE target IS NOT NULL")
+SQL["training_window"] = with_feat("SELECT symbol, ts, target FROM lab", LAB)
+SQL["chrono_split"] = with_feat("SELECT symbol, ts, split FROM spl", LAB)
+SQL["class_balance"] = rounded(with_feat("""
+SELECT split, CAST(sum(target) AS BIGINT) AS n_up, CAST(sum(1 - target) AS BIGINT) AS n_down,
+       100.0 * avg(target) AS pct_up
+FROM spl WHERE split <> 'embargo' GROUP BY split""", LAB), r6=["pct_up"])
+SQL["sample_weights"] = rounded(with_feat("SELECT symbol, ts, weight FROM wt", LAB), r6=["weight"])
+SQL["class_weights"] = rounded(with_feat("""
+SELECT symbol, ts, target, cw AS class_weight, weight * cw AS weight FROM (
+  SELECT *, count(*) OVER (PARTITION BY symbol) / (2.0 * count(*) OVER (PARTITION BY symbol, target)) AS cw
+  FROM wt) t""", LAB), r6=["class_weight", "weight"])
+
+
+def _fold_sql(k: str, gap: str) -> str:
+    return f"""
+SELECT symbol, fold, role, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS max_ts_ FROM (
+  SELECT symbol, ts, fold,
+         CASE WHEN tpos >= m - ({k} - fold) * floor(m / ({k} + 1))
+                   AND tpos < m - ({k} - fold) * floor(m / ({k} + 1)) + floor(m / ({k} + 1)) THEN 'test'
+              WHEN tpos < m - ({k} - fold) * floor(m / ({k} + 1)) - {gap} THEN 'train' END AS role
+  FROM (SELECT *, {k} AS kk FROM tr) t, range(0, 5) r(fold) WHERE fold < {k}) x
+WHERE role IS NOT NULL GROUP BY symbol, fold, role"""
+
+
+SQL["walk_forward_folds"] = with_feat(_fold_sql("5", "10").replace("max_ts_", "last_ts"), LAB)
+SQL["calibration_folds"] = with_feat(
+    _fold_sql("(CASE WHEN m >= 40 THEN 3 ELSE 2 END)",
+              "least(10, greatest(0, floor(m / ((CASE WHEN m >= 40 THEN 3 ELSE 2 END) + 1)) - 1))")
+    .replace("max_ts_", "last_ts"), LAB)
+
+SCORED = PREDS + """,
+tl AS (SELECT symbol, ts, CASE WHEN (lead(close, 10) OVER w - close) / close > 0.03 THEN 1
+                               WHEN (lead(close, 10) OVER w - close) / close < -0.03 THEN 0 END AS target
+       FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
+sc AS (SELECT tl.symbol, tl.ts, tl.target, p.prediction, p.confidence,
+              CASE WHEN p.prediction = 1 THEN p.confidence ELSE 1 - p.confidence END AS score
+       FROM tl JOIN preds p USING (symbol, ts) WHERE tl.target IS NOT NULL)"""
+
+
+def _metrics(src: str, by: str) -> str:
+    return f"""
+SELECT {by},
+  CASE WHEN count(*) = 0 THEN 0.0 ELSE (tp + tn) / (tp + fp + fn + tn) END AS accuracy,
+  CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+  CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+  CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
+  CAST(tp + fp + fn + tn AS BIGINT) AS n
+FROM (SELECT {by},
+        CAST(sum(CASE WHEN target = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+        CAST(sum(CASE WHEN target = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+        CAST(sum(CASE WHEN target = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+        CAST(sum(CASE WHEN target = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn
+      FROM {src} GROUP BY {by}) c GROUP BY {by}, tp, fp, fn, tn"""
+
+
+SQL["binary_metrics"] = rounded(with_bars(_metrics("sc", "symbol"), SCORED),
+                                r6=["accuracy", "precision", "recall", "f1"])
+SQL["roc_auc"] = rounded(with_bars("""
+SELECT symbol, CASE WHEN P = 0 OR N = 0 THEN 0.5 ELSE (sr - P * (P + 1) / 2.0) / (P * N) END AS roc_auc
+FROM (SELECT symbol, sum(CASE WHEN target = 1 THEN ar ELSE 0 END) AS sr,
+             CAST(sum(target) AS DOUBLE) AS P, CAST(sum(1 - target) AS DOUBLE) AS N
+      FROM (SELECT symbol, target,
+                   (2 * rank() OVER (PARTITION BY symbol ORDER BY score)
+                    + count(*) OVER (PARTITION BY symbol, score) - 1) / 2.0 AS ar
+            FROM sc) r GROUP BY symbol) t""", SCORED), r6=["roc_auc"])
+SQL["class_report"] = rounded(with_bars("""
+SELECT c AS class,
+  CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+  CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+  CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
+  CAST(tp + fn AS BIGINT) AS support
+FROM (SELECT c,
+        CAST(sum(CASE WHEN target = c AND prediction = c THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+        CAST(sum(CASE WHEN target <> c AND prediction = c THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+        CAST(sum(CASE WHEN target = c AND prediction <> c THEN 1 ELSE 0 END) AS DOUBLE) AS fn
+      FROM sc, (VALUES (0), (1)) v(c) GROUP BY c) t""", SCORED), r6=["precision", "recall", "f1"])
+SQL["mean_confidence"] = rounded(with_bars(
+    "SELECT symbol, avg(greatest(score, 1 - score)) AS mean_confidence FROM sc GROUP BY symbol", SCORED),
+    r6=["mean_confidence"])
+
+FOLD_TEST = """
+wf AS (
+  SELECT symbol, ts, target, fold FROM (
+    SELECT tr.*, fold,
+           tpos >= m - (5 - fold) * floor(m / 6) AND tpos < m - (5 - fold) * floor(m / 6) + floor(m / 6) AS is_test
+    FROM tr, range(0, 5) r(fold)) x WHERE is_test
+),
+wfp AS (SELECT wf.*, p.prediction FROM wf JOIN preds p USING (symbol, ts)),
+fm AS (""" + _metrics("wfp", "symbol, fold") + """)"""
+
+SQL["cv_summary"] = rounded(f"WITH {FEAT}, {feature_sql(SIDE)}, {LAB}, " + PREDS + "," + FOLD_TEST + """
+SELECT symbol, avg(precision) AS precision, avg(recall) AS recall, avg(accuracy) AS accuracy
+FROM fm GROUP BY symbol""", r6=["precision", "recall", "accuracy"])

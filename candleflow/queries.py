@@ -532,3 +532,210 @@ def upsert_predictions(spark, sf):
         "ts", F.date_trunc("day", F.col("ts").cast("timestamp") + F.expr("INTERVAL 15 HOURS")).cast("date"))
     out = store.upsert("predictions", new, ["symbol", "ts"])
     return _round(out.select(*PRED_COLS), r6=["confidence"])
+
+
+# ------------------------------------------------------------------ profiling
+
+from candleflow.operators import dataset as D  # noqa: E402
+from candleflow.operators import profile as P  # noqa: E402
+
+PROFILE_COLS = FT.FEATURE_COLS + SIDE_COLS
+DESCRIBE_COLS = ["rsi", "roc", "macd", "cci", "adx", "dmi_pos", "dmi_neg", "stoch_k", "obv", "adosc"]
+
+
+def _features(spark, sf):
+    return materialize(feature_frame(spark, sf), "features")
+
+
+@query("target_counts")
+def target_counts(spark, sf):
+    """A2: rows per label value (NULL = dead zone / unresolved tail)."""
+    return _features(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dead_zone_stats")
+def dead_zone_stats(spark, sf):
+    """A4: count and share of bars without a label, per series."""
+    t = target_label(spark, sf)
+    return _round(t.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("target").isNull()).alias("n_dead"),
+        (100.0 * F.count_if(F.col("target").isNull()) / F.count(F.lit(1))).alias("pct_dead")),
+        r6=["pct_dead"])
+
+
+@query("data_quality")
+def data_quality(spark, sf):
+    """A5: nulls, duplicate keys, time range, column types of the close panel."""
+    panel = close_panel(spark, sf)
+    cols = panel.columns
+    n_double = sum(1 for f in panel.schema.fields if f.dataType.typeName() == "double")
+    nulls = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0))
+    return panel.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(nulls).alias("null_total"),
+                     (F.count(F.lit(1)) - F.countDistinct("ts")).alias("dup_keys"),
+                     F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts")) \
+        .withColumn("n_double_cols", F.lit(n_double)) \
+        .withColumn("n_other_cols", F.lit(len(cols) - n_double))
+
+
+@query("describe_indicators")
+def describe_indicators(spark, sf):
+    """describe() of the oscillator columns, rounded to 2 decimals."""
+    d = P.describe(_features(spark, sf), DESCRIBE_COLS)
+    return _round(d, r2=["mean", "std", "min", "p25", "p50", "p75", "max"])
+
+
+@query("feature_ranges")
+def feature_ranges(spark, sf):
+    """Grouped range profile."""
+    return _round(P.feature_ranges(_features(spark, sf), PROFILE_COLS),
+                  r2=["min", "max", "mean", "std", "range"])
+
+
+@query("range_extremes")
+def range_extremes(spark, sf):
+    """Largest / smallest feature ranges and their ratio."""
+    return _round(P.range_extremes(_features(spark, sf), PROFILE_COLS), r6=["range"], r2=["ratio"])
+
+
+@query("target_corr")
+def target_corr(spark, sf):
+    """Correlation of every feature with the label."""
+    return _round(P.target_corr(_features(spark, sf), PROFILE_COLS), r6=["corr"])
+
+
+@query("corr_pairs")
+def corr_pairs(spark, sf):
+    """A10: feature pairs with |corr| > 0.9."""
+    return _round(P.corr_pairs(_features(spark, sf), PROFILE_COLS), r3=["corr"])
+
+
+@query("corr_drop")
+def corr_drop(spark, sf):
+    """Later column of each highly correlated pair."""
+    return P.corr_drop(P.corr_pairs(_features(spark, sf), PROFILE_COLS))
+
+
+@query("price_bounds")
+def price_bounds(spark, sf):
+    """Chart y-ranges over the last 6 months."""
+    r = S.recent(S.daily_bars(spark, sf), 6)
+    return r.groupBy("symbol").agg((F.min("low") * 0.97).alias("candle_floor"),
+                                   (F.min("close") * 0.98).alias("line_lo"),
+                                   (F.max("close") * 1.02).alias("line_hi"))
+
+
+# ------------------------------------------------------------------ dataset / metrics
+
+def _labelled(spark, sf):
+    return D.training_window(D.labelled_rows(_features(spark, sf)))
+
+
+@query("labelled_rows")
+def labelled_rows(spark, sf):
+    """P5: feature rows with a label (key columns + label)."""
+    return D.labelled_rows(_features(spark, sf)).select("symbol", "ts", "target")
+
+
+@query("training_window")
+def training_window(spark, sf):
+    """Labelled rows of the last 12 years before the newest row."""
+    return _labelled(spark, sf).select("symbol", "ts", "target")
+
+
+@query("chrono_split")
+def chrono_split(spark, sf):
+    """ML1/ML2: chronological split with a 10-row embargo."""
+    return D.chrono_split(_labelled(spark, sf)).select("symbol", "ts", "split")
+
+
+def _train(spark, sf):
+    return D.chrono_split(_labelled(spark, sf)).filter(F.col("split") == "train").drop("split")
+
+
+@query("class_balance")
+def class_balance(spark, sf):
+    """A3: up/down counts and share for train and test."""
+    s = D.chrono_split(_labelled(spark, sf)).filter(F.col("split") != "embargo")
+    return _round(s.groupBy("split").agg(
+        F.sum("target").cast("long").alias("n_up"),
+        F.sum(1 - F.col("target")).cast("long").alias("n_down"),
+        (100.0 * F.avg("target")).alias("pct_up")), r6=["pct_up"])
+
+
+@query("sample_weights")
+def sample_weights(spark, sf):
+    """ML3: exponential-decay weights over each series' train rows."""
+    return _round(D.sample_weights(_train(spark, sf)).select("symbol", "ts", "weight"), r6=["weight"])
+
+
+@query("class_weights")
+def class_weights(spark, sf):
+    """ML4: balanced class weight times decay weight."""
+    w = D.class_weights(D.sample_weights(_train(spark, sf)))
+    return _round(w.select("symbol", "ts", "target", "class_weight", "weight"),
+                  r6=["class_weight", "weight"])
+
+
+@query("walk_forward_folds")
+def walk_forward_folds(spark, sf):
+    """ML5: 5 expanding folds with a 10-row gap (per series, summarised)."""
+    return D.fold_summary(D.walk_forward_folds(_train(spark, sf)))
+
+
+@query("calibration_folds")
+def calibration_folds(spark, sf):
+    """ML6: calibration folds (K and gap from the series length)."""
+    return D.fold_summary(D.calibration_folds(_train(spark, sf)))
+
+
+def _scored(spark, sf):
+    """Label vs the SMA-rule prediction on the same bar (+ P(up) score)."""
+    t = target_label(spark, sf).filter(F.col("target").isNotNull()).select("symbol", "ts", "target")
+    p = _predictions(spark, sf).select("symbol", "ts", "prediction", "confidence")
+    j = t.join(p, ["symbol", "ts"], "inner")
+    return j.withColumn("score", F.when(F.col("prediction") == 1, F.col("confidence"))
+                        .otherwise(1 - F.col("confidence")))
+
+
+@query("binary_metrics")
+def binary_metrics(spark, sf):
+    """Accuracy / precision / recall / F1 per series."""
+    return _round(D.binary_metrics(_scored(spark, sf)), r6=["accuracy", "precision", "recall", "f1"])
+
+
+@query("roc_auc")
+def roc_auc(spark, sf):
+    """Exact ROC-AUC (average ranks on ties) per series."""
+    return _round(D.roc_auc(_scored(spark, sf)), r6=["roc_auc"])
+
+
+@query("class_report")
+def class_report(spark, sf):
+    """Per-class precision / recall / F1 / support."""
+    return _round(D.class_report(_scored(spark, sf)), r6=["precision", "recall", "f1"])
+
+
+@query("mean_confidence")
+def mean_confidence(spark, sf):
+    """Mean of the row-max class probability."""
+    s = _scored(spark, sf)
+    return _round(s.groupBy("symbol").agg(F.avg(F.greatest("score", 1 - F.col("score")))
+                                          .alias("mean_confidence")), r6=["mean_confidence"])
+
+
+def _fold_metrics(spark, sf):
+    folds = D.walk_forward_folds(_train(spark, sf)).filter(F.col("role") == "test")
+    p = _predictions(spark, sf).select("symbol", "ts", "prediction")
+    j = folds.select("symbol", "ts", "fold", "target").join(p, ["symbol", "ts"], "inner")
+    return D.binary_metrics(j, by=("symbol", "fold"))
+
+
+@query("cv_summary")
+def cv_summary(spark, sf):
+    """Mean fold precision / recall / accuracy per series."""
+    m = _fold_metrics(spark, sf)
+    return _round(m.groupBy("symbol").agg(F.avg("precision").alias("precision"),
+                                          F.avg("recall").alias("recall"),
+                                          F.avg("accuracy").alias("accuracy")),
+                  r6=["precision", "recall", "accuracy"])
