@@ -95,23 +95,21 @@ def stationary(ind: DataFrame, side_cols: list[str] = (), rate_cols: list[str] =
     diff_cols = ["close", "volume", "obv"] + list(side_cols)
 
     def prev(d, w):
-        for c in diff_cols:
-            d = d.withColumn(f"_p_{c}", F.lag(c, 1).over(w))
-        return d
+        return d.withColumns({f"_p_{c}": F.lag(c, 1).over(w) for c in diff_cols})
     ind = over_chunks(ind.withColumn("_level", F.col("close")), prev, 1)
     C = F.col("_level")
+    new = {}
     for c in ("ema_10", "ema_20", "psar"):
-        ind = ind.withColumn(c, ratio(F.col(c) - C, C))
+        new[c] = ratio(F.col(c) - C, C)
     for c in ("macd", "macd_signal"):
-        ind = ind.withColumn(c, ratio(F.col(c), C))
+        new[c] = ratio(F.col(c), C)
     for c in side_cols:
-        if c in rate_cols:
-            ind = ind.withColumn(c, F.col(c) - F.col(f"_p_{c}"))
-        else:
-            ind = ind.withColumn(c, I.pct_change(F.col(c), F.col(f"_p_{c}")))
-    ind = ind.withColumn("close", I.pct_change(F.col("close"), F.col("_p_close")))
-    ind = ind.withColumn("volume", I.pct_change(F.col("volume"), F.col("_p_volume")))
-    ind = ind.withColumn("obv", ratio(F.col("obv") - F.col("_p_obv"), C))
+        new[c] = (F.col(c) - F.col(f"_p_{c}") if c in rate_cols
+                  else I.pct_change(F.col(c), F.col(f"_p_{c}")))
+    new["close"] = I.pct_change(F.col("close"), F.col("_p_close"))
+    new["volume"] = I.pct_change(F.col("volume"), F.col("_p_volume"))
+    new["obv"] = ratio(F.col("obv") - F.col("_p_obv"), C)
+    ind = ind.withColumns(new)
     return ind.drop("_level", *[f"_p_{c}" for c in diff_cols])
 
 

@@ -275,31 +275,30 @@ def recursive_indicators(staged: DataFrame, ema_windows=EMA_WINDOWS) -> DataFram
     # not replay the first one
     out = materialize(linear_recurrence(staged, terms), "recurrence")
 
-    for k in ema_windows:
-        out = out.withColumn(f"ema_{k}", _null_before(f"_ema{k}", k - 1))
-    out = out.withColumn("macd", F.when(F.col(BAR) >= MACD_SLOW - 1,
-                                        F.col("_ema_fast") - F.col("_ema_slow")))
-    rs_ok = F.col(BAR) >= RSI_WINDOW - 1
-    out = out.withColumn("rsi", F.when(rs_ok, F.when(F.col("_ad") == 0, F.lit(100.0)).otherwise(
-        100.0 - 100.0 / (1.0 + F.col("_au") / F.col("_ad")))))
-    out = out.withColumn("atr", _null_before("_atr", ATR_WINDOW - 1))
-    out = out.withColumn("atr_norm", ratio(F.col("atr"), F.col("close")))
-    di_ok = F.col(BAR) >= n
-    pdi = F.when(di_ok, F.when(F.col("_trs") == 0, F.lit(0.0))
-                 .otherwise(100.0 * F.col("_pdms") / F.col("_trs")))
-    mdi = F.when(di_ok, F.when(F.col("_trs") == 0, F.lit(0.0))
-                 .otherwise(100.0 * F.col("_mdms") / F.col("_trs")))
-    out = out.withColumn("_pdi", pdi).withColumn("_mdi", mdi)
+    b = F.col(BAR)
+    new = {f"ema_{k}": _null_before(f"_ema{k}", k - 1) for k in ema_windows}
+    new["macd"] = F.when(b >= MACD_SLOW - 1, F.col("_ema_fast") - F.col("_ema_slow"))
+    new["rsi"] = F.when(b >= RSI_WINDOW - 1, F.when(F.col("_ad") == 0, F.lit(100.0)).otherwise(
+        100.0 - 100.0 / (1.0 + F.col("_au") / F.col("_ad"))))
+    new["atr"] = _null_before("_atr", ATR_WINDOW - 1)
+    di_ok = b >= n
+    new["_pdi"] = F.when(di_ok, F.when(F.col("_trs") == 0, F.lit(0.0))
+                         .otherwise(100.0 * F.col("_pdms") / F.col("_trs")))
+    new["_mdi"] = F.when(di_ok, F.when(F.col("_trs") == 0, F.lit(0.0))
+                         .otherwise(100.0 * F.col("_mdms") / F.col("_trs")))
+    out = out.withColumns(new)
     s = F.col("_pdi") + F.col("_mdi")
-    out = out.withColumn("_dx", F.when(di_ok, F.when(s == 0, F.lit(0.0)).otherwise(
-        100.0 * F.abs(F.col("_pdi") - F.col("_mdi")) / s)))
-    # DI is reported from bar n+1 (the seed bar itself is not emitted)
-    out = (out.withColumn("dmi_pos", F.when(F.col(BAR) > n, F.col("_pdi")))
-              .withColumn("dmi_neg", F.when(F.col(BAR) > n, F.col("_mdi"))))
+    out = out.withColumns({
+        "atr_norm": ratio(F.col("atr"), F.col("close")),
+        "_dx": F.when(di_ok, F.when(s == 0, F.lit(0.0)).otherwise(
+            100.0 * F.abs(F.col("_pdi") - F.col("_mdi")) / s)),
+        # DI is reported from bar n+1 (the seed bar itself is not emitted)
+        "dmi_pos": F.when(b > n, F.col("_pdi")),
+        "dmi_neg": F.when(b > n, F.col("_mdi"))})
 
     # zero-fill warm-up inputs (recurrence terms must be non-null)
-    out = out.withColumn("_dx", F.coalesce("_dx", F.lit(0.0))) \
-             .withColumn("_macd0", F.coalesce("macd", F.lit(0.0)))
+    out = out.withColumns({"_dx": F.coalesce("_dx", F.lit(0.0)),
+                           "_macd0": F.coalesce("macd", F.lit(0.0))})
     second = {
         # signal = EMA9 of MACD seeded at the first MACD bar
         "_macd_sig": ema_term("_macd0", MACD_SIGN, seed_bar=MACD_SLOW - 1),
@@ -307,8 +306,8 @@ def recursive_indicators(staged: DataFrame, ema_windows=EMA_WINDOWS) -> DataFram
         "_adx": wilder_mean_term("_dx", n, 2 * n - 1),
     }
     out = linear_recurrence(out, second)
-    out = (out.withColumn("macd_signal", _null_before("_macd_sig", MACD_SLOW - 1 + MACD_SIGN - 1))
-              .withColumn("adx", _null_before("_adx", 2 * n - 1)))
+    out = out.withColumns({"macd_signal": _null_before("_macd_sig", MACD_SLOW - 1 + MACD_SIGN - 1),
+                           "adx": _null_before("_adx", 2 * n - 1)})
     helpers = [c for c in out.columns if c.startswith("_")]
     return out.drop(*helpers)
 

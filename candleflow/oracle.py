@@ -571,3 +571,69 @@ fm AS (""" + _metrics("wfp", "symbol, fold") + """)"""
 SQL["cv_summary"] = rounded(f"WITH {FEAT}, {feature_sql(SIDE)}, {LAB}, " + PREDS + "," + FOLD_TEST + """
 SELECT symbol, avg(precision) AS precision, avg(recall) AS recall, avg(accuracy) AS accuracy
 FROM fm GROUP BY symbol""", r6=["precision", "recall", "accuracy"])
+
+# ------------------------------------------------------------------ run ledger (rule model)
+
+RULE_RUNS = """
+wfa AS (
+  SELECT symbol, ts, target, fold,
+         CASE WHEN tpos >= m - (5 - fold) * floor(m / 6)
+                   AND tpos < m - (5 - fold) * floor(m / 6) + floor(m / 6) THEN 'test'
+              WHEN tpos < m - (5 - fold) * floor(m / 6) - 10 THEN 'train' END AS role
+  FROM tr, range(0, 5) r(fold)
+),
+wt2 AS (
+  SELECT w.symbol, w.ts, w.fold, w.target, p.prediction,
+         CASE WHEN p.prediction = 1 THEN p.confidence ELSE 1 - p.confidence END AS score
+  FROM wfa w JOIN preds p USING (symbol, ts) WHERE w.role = 'test'
+),
+fmet AS (""" + _metrics("wt2", "symbol, fold") + """),
+fauc AS (
+  SELECT symbol, fold, CASE WHEN P = 0 OR N = 0 THEN 0.5 ELSE (sr - P * (P + 1) / 2.0) / (P * N) END AS roc_auc
+  FROM (SELECT symbol, fold, sum(CASE WHEN target = 1 THEN ar ELSE 0 END) AS sr,
+               CAST(sum(target) AS DOUBLE) AS P, CAST(sum(1 - target) AS DOUBLE) AS N
+        FROM (SELECT symbol, fold, target,
+                     (2 * rank() OVER (PARTITION BY symbol, fold ORDER BY score)
+                      + count(*) OVER (PARTITION BY symbol, fold, score) - 1) / 2.0 AS ar
+              FROM wt2) r GROUP BY symbol, fold) t
+),
+ftr AS (SELECT symbol, fold, max(ts) AS last_ts FROM wfa WHERE role = 'train' GROUP BY symbol, fold),
+runs AS (
+  SELECT 'SmaRule' || m.symbol || 'Classifier' AS model_name, CAST(m.fold + 1 AS INTEGER) AS version,
+         m.accuracy, m.f1, m.precision, m.recall, a.roc_auc,
+         CASE WHEN m.fold = 0 THEN NULL ELSE 1 END AS n_features,
+         epoch_ms(CAST(ftr.last_ts AS TIMESTAMP)) AS trained_ms
+  FROM fmet m JOIN fauc a USING (symbol, fold) JOIN ftr USING (symbol, fold)
+)"""
+
+RUNS_WITH = f"WITH {FEAT}, {feature_sql(SIDE)}, {LAB}, " + PREDS + "," + RULE_RUNS
+_RM = ["accuracy", "f1", "precision", "recall", "roc_auc"]
+
+SQL["model_runs"] = rounded(RUNS_WITH + "\nSELECT * FROM runs", r6=_RM)
+SQL["latest_model"] = rounded(RUNS_WITH + """
+SELECT r.* FROM runs r JOIN (SELECT model_name, max(version) AS v FROM runs GROUP BY model_name) l
+  ON l.model_name = r.model_name AND l.v = r.version""", r6=_RM)
+SQL["promotion_decision"] = rounded(RUNS_WITH + """,
+lat AS (SELECT model_name, max(version) AS new_version FROM runs GROUP BY model_name),
+ch AS (SELECT r.model_name, arg_max(r.version, (r.roc_auc, r.version)) AS cv,
+              arg_max(r.roc_auc, (r.roc_auc, r.version)) AS cauc,
+              arg_max(struct_pack(n := r.n_features), (r.roc_auc, r.version)).n AS cn
+       FROM runs r JOIN lat USING (model_name) WHERE r.version < lat.new_version GROUP BY r.model_name),
+dec AS (
+  SELECT lat.model_name, lat.new_version, ch.cv AS champion_version,
+         (ch.cv IS NULL) OR (ch.cn IS NULL OR ch.cn <> n.n_features) OR (n.roc_auc > ch.cauc) AS promoted
+  FROM lat JOIN runs n ON n.model_name = lat.model_name AND n.version = lat.new_version
+  LEFT JOIN ch ON ch.model_name = lat.model_name
+)
+SELECT r.model_name, r.version, r.roc_auc, r.n_features,
+       CASE WHEN r.version = d.new_version THEN (CASE WHEN d.promoted THEN 'production' ELSE 'candidate' END)
+            WHEN NOT d.promoted AND r.version = d.champion_version THEN 'production'
+            ELSE 'archived' END AS status,
+       d.promoted
+FROM runs r JOIN dec d USING (model_name)""", r6=["roc_auc"])
+SQL["model_card"] = rounded(RUNS_WITH + """
+SELECT r.model_name, regexp_replace(r.model_name, '(Classifier|Regressor)$', '') AS short_name,
+       strftime(epoch_ms(r.trained_ms), '%Y-%m-%d') AS trained, r.version,
+       r.accuracy, r.f1, r.precision, r.recall, r.roc_auc
+FROM runs r JOIN (SELECT model_name, max(version) AS v FROM runs GROUP BY model_name) l
+  ON l.model_name = r.model_name AND l.v = r.version""", r6=_RM)

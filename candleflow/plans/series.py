@@ -195,15 +195,14 @@ def linear_recurrence(df: DataFrame, terms: dict, key: str = KEY) -> DataFrame:
     staged = (df.withColumn("_blk", F.floor(F.col(BAR) / F.lit(B)))
               .withColumn("_j", F.col(BAR) - F.col("_blk") * F.lit(B)))
     w_blk = Window.partitionBy(key, "_blk").orderBy(BAR)
-    for i, name in enumerate(names):
-        c = terms[name][1]
-        staged = staged.withColumn(f"_c{i}", c(w_blk) if callable(c) else c)
+    staged = staged.withColumns({
+        f"_c{i}": (terms[name][1](w_blk) if callable(terms[name][1]) else terms[name][1])
+        for i, name in enumerate(names)})
     cum = w_blk.rowsBetween(Window.unboundedPreceding, 0)
-    for i, q in enumerate(qs):
-        staged = staged.withColumn(
-            f"_loc{i}",
-            F.pow(F.lit(q), F.col("_j")) *
-            F.sum(F.col(f"_c{i}") * F.pow(F.lit(q), -F.col("_j"))).over(cum))
+    staged = staged.withColumns({
+        f"_loc{i}": F.pow(F.lit(q), F.col("_j")) *
+        F.sum(F.col(f"_c{i}") * F.pow(F.lit(q), -F.col("_j"))).over(cum)
+        for i, q in enumerate(qs)})
     n = len(names)
     ends = staged.filter(F.col("_j") == F.lit(B - 1)).select(
         key, "_blk", *[F.col(f"_loc{i}").alias(f"_e{i}") for i in range(n)])
@@ -215,9 +214,9 @@ def linear_recurrence(df: DataFrame, terms: dict, key: str = KEY) -> DataFrame:
                           .otherwise(F.col(f"_e{i}") * F.lit(qs[i] ** B))).alias(f"_k{i}")
                     for i in range(n)]))
     out = staged.join(carry, [key, "_blk"], "left")
-    for i, name in enumerate(names):
-        out = out.withColumn(
-            name, F.col(f"_loc{i}") +
-            F.pow(F.lit(qs[i]), F.col("_j") + 1) * F.coalesce(F.col(f"_k{i}"), F.lit(0.0)))
+    out = out.withColumns({
+        name: F.col(f"_loc{i}") +
+        F.pow(F.lit(qs[i]), F.col("_j") + 1) * F.coalesce(F.col(f"_k{i}"), F.lit(0.0))
+        for i, name in enumerate(names)})
     drop = ["_blk", "_j"] + [f"_{p}{i}" for p in ("c", "loc", "k") for i in range(n)]
     return out.drop(*drop)
