@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candleflow.plans.series import (BAR, CHUNK, DEFAULT_CHUNK_BARS, KEY, carry_last,
-                                     carry_next)
+from candleflow.plans.series import BAR, CHUNK, KEY, _cb, carry_last, carry_next
 
 CUBIC_HALO = 128
 
@@ -103,13 +102,14 @@ _CUBIC_SCHEMA = T.StructType([T.StructField(KEY, T.StringType()), T.StructField(
 
 
 def interpolate_cubic(df: DataFrame, col: str, x: str = "ts", key: str = KEY,
-                      chunk_bars: int = DEFAULT_CHUNK_BARS, halo: int = CUBIC_HALO) -> DataFrame:
+                      chunk_bars: int | None = None, halo: int = CUBIC_HALO) -> DataFrame:
     """Cubic-spline interpolation of interior gaps over the time axis ``x``.
 
     Natural boundary conditions; x is the epoch second of ``ts`` (pandas
     interpolates polynomial methods on the index values).  Parallel over
     (symbol, chunk) with a ``halo``-row overlap on each side.
     """
+    chunk_bars = _cb(chunk_bars)
     home = F.floor(F.col(BAR) / F.lit(chunk_bars))
     pos = F.col(BAR) - home * F.lit(chunk_bars)
     copies = F.filter(F.array(home, F.when(pos >= chunk_bars - halo, home + 1),

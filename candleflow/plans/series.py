@@ -38,8 +38,21 @@ BAR = "bar_no"
 CHUNK = "_chunk"
 
 # Bars per chunk for bounded windows.  One task sorts at most this many rows
-# (plus halo); small series stay one chunk per symbol.
+# (plus halo); small series stay one chunk per symbol.  Read at call time
+# (``set_chunk_bars``) so tests can force many chunks on small data.
 DEFAULT_CHUNK_BARS = 1 << 18
+_CHUNK_BARS = [DEFAULT_CHUNK_BARS]
+
+
+def set_chunk_bars(n: int) -> int:
+    """Set the chunk length used when callers pass none; returns the old one."""
+    old = _CHUNK_BARS[0]
+    _CHUNK_BARS[0] = int(n)
+    return old
+
+
+def _cb(chunk_bars):
+    return int(chunk_bars) if chunk_bars else _CHUNK_BARS[0]
 # Coarse time bucket for the bar-number prefix sum (~194 days).
 DEFAULT_BUCKET_SECONDS = 1 << 24
 
@@ -77,13 +90,14 @@ def chunk_window(key: str = KEY) -> Window:
 
 def over_chunks(df: DataFrame, fn: Callable[[DataFrame, Window], DataFrame],
                 lookback: int, lookahead: int = 0, key: str = KEY,
-                chunk_bars: int = DEFAULT_CHUNK_BARS) -> DataFrame:
+                chunk_bars: int | None = None) -> DataFrame:
     """Apply bounded-window logic ``fn(df, w)`` partitioned by (key, chunk).
 
     ``w`` is ``partitionBy(key, _chunk).orderBy(bar_no)``; ``fn`` may use any
     frame or lag/lead that stays within ``lookback`` rows behind and
     ``lookahead`` rows ahead (chained windows add up).  Requires ``bar_no``.
     """
+    chunk_bars = _cb(chunk_bars)
     if lookback >= chunk_bars or lookahead >= chunk_bars:
         raise ValueError("halo must be smaller than the chunk")
     home = F.floor(F.col(BAR) / F.lit(chunk_bars))
@@ -98,12 +112,12 @@ def over_chunks(df: DataFrame, fn: Callable[[DataFrame, Window], DataFrame],
     return out.filter(F.col(CHUNK) == F.col("_home")).drop(CHUNK, "_home")
 
 
-def _with_chunk(df: DataFrame, chunk_bars: int) -> DataFrame:
-    return df.withColumn(CHUNK, F.floor(F.col(BAR) / F.lit(chunk_bars)))
+def _with_chunk(df: DataFrame, chunk_bars) -> DataFrame:
+    return df.withColumn(CHUNK, F.floor(F.col(BAR) / F.lit(_cb(chunk_bars))))
 
 
 def running_sum(df: DataFrame, value: str | Column, out: str, key: str = KEY,
-                chunk_bars: int = DEFAULT_CHUNK_BARS) -> DataFrame:
+                chunk_bars: int | None = None) -> DataFrame:
     """Cumulative sum per series (nulls count as 0), two-level scan."""
     v = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0.0))
     staged = _with_chunk(df, chunk_bars).withColumn("_v", v)
@@ -119,7 +133,7 @@ def running_sum(df: DataFrame, value: str | Column, out: str, key: str = KEY,
 
 
 def carry_last(df: DataFrame, value, out=None, key: str = KEY,
-               chunk_bars: int = DEFAULT_CHUNK_BARS) -> DataFrame:
+               chunk_bars: int | None = None) -> DataFrame:
     """Forward fill: last non-null value at or before each bar.
 
     ``value``/``out`` may be lists: all columns share one chunk table, one
@@ -129,7 +143,7 @@ def carry_last(df: DataFrame, value, out=None, key: str = KEY,
 
 
 def carry_next(df: DataFrame, value, out=None, key: str = KEY,
-               chunk_bars: int = DEFAULT_CHUNK_BARS) -> DataFrame:
+               chunk_bars: int | None = None) -> DataFrame:
     """Back fill: first non-null value at or after each bar.
 
     Uses a reversed order with an unbounded-preceding frame; a frame ending
