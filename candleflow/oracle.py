@@ -637,3 +637,7 @@ SELECT r.model_name, regexp_replace(r.model_name, '(Classifier|Regressor)$', '')
        r.accuracy, r.f1, r.precision, r.recall, r.roc_auc
 FROM runs r JOIN (SELECT model_name, max(version) AS v FROM runs GROUP BY model_name) l
   ON l.model_name = r.model_name AND l.v = r.version""", r6=_RM)
+
+# ------------------------------------------------------------------ streaming
+
+SQL["stream_bars"] = SQL["ohlcv_bars_hourly"]

@@ -959,3 +959,17 @@ def random_search(spark, sf):
     train = _train(spark, sf)
     data = ML.assemble(D.class_weights(D.sample_weights(train)), PROFILE_COLS)
     return ML.random_search(cut_lineage(data), n_trials=QUICK_TRIALS, budget=QUICK_SEARCH)
+
+
+# ------------------------------------------------------------------ streaming
+
+@query("stream_bars")
+def stream_bars(spark, sf):
+    """Section 2.13: watermark + event-time windows + foreachBatch upsert,
+    run with a bounded (available-now) trigger."""
+    import uuid
+
+    from candleflow.streaming.bars_stream import run_bar_stream
+    root = f"{__import__('candleflow').checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = run_bar_stream(spark, sf, TableStore(spark, f"{root}/store"), f"{root}/checkpoint")
+    return out.select(*BAR_COLS)
