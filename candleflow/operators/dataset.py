@@ -28,8 +28,7 @@ def labelled_rows(df: DataFrame, target: str = "target") -> DataFrame:
 def training_window(df: DataFrame, years: int = TRAINING_YEARS, ref_ts=None) -> DataFrame:
     """Rows newer than ``ref - years`` (``ref`` = newest row by default)."""
     if ref_ts is None:
-        ref = df.agg(F.max("ts").alias("_ref"))
-        return df.join(ref, F.col("ts") >= F.add_months(F.col("_ref"), -12 * years)).drop("_ref")
+        ref_ts = df.agg(F.max("ts")).first()[0]
     return df.filter(F.col("ts") >= F.add_months(F.lit(ref_ts).cast("date"), -12 * years))
 
 

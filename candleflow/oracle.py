@@ -641,3 +641,12 @@ FROM runs r JOIN (SELECT model_name, max(version) AS v FROM runs GROUP BY model_
 # ------------------------------------------------------------------ streaming
 
 SQL["stream_bars"] = SQL["ohlcv_bars_hourly"]
+
+# ------------------------------------------------------------------ manifest diff (schema of two queries)
+
+SQL["manifest_diff"] = f"""
+WITH e AS (SELECT column_name AS col FROM (DESCRIBE {SQL["feature_table"]})),
+     a AS (SELECT column_name AS col FROM (DESCRIBE {SQL["stationary"]}))
+SELECT col AS "column", 'missing' AS status FROM (SELECT col FROM e EXCEPT SELECT col FROM a) m
+UNION ALL
+SELECT col AS "column", 'extra' AS status FROM (SELECT col FROM a EXCEPT SELECT col FROM e) x"""

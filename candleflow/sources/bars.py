@@ -101,11 +101,11 @@ def indexed_bars(spark: SparkSession, sf_dir: str, hourly: bool = False,
 def recent(df: DataFrame, months: int, ref_ts=None, ts: str = "ts") -> DataFrame:
     """Rows with ``ts >= ref - months`` (``ref`` defaults to ``max(ts)``).
 
-    The reference time is a parameter so results are deterministic; when it
-    is a literal the filter reaches the parquet scan.
+    The reference time is a parameter so results are deterministic.  When
+    omitted it is fetched as one scalar (a distributed ``max``) and applied
+    as a literal filter -- no join against a one-row table.
     """
     if ref_ts is None:
-        ref = df.agg(F.max(ts).alias("_ref"))
-        return (df.join(ref, F.col(ts) >= F.add_months(F.col("_ref"), -months), "inner")
-                .drop("_ref"))
-    return df.filter(F.col(ts) >= F.add_months(F.lit(ref_ts).cast("date"), -months))
+        ref_ts = df.agg(F.max(ts)).first()[0]
+    cutoff = F.add_months(F.lit(ref_ts).cast("date"), -months)
+    return df.filter(F.col(ts) >= cutoff)
