@@ -11,16 +11,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_BUCKETS = 64
+ROWS_PER_BUCKET = 500_000
+MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+GROUP = 64          # bounds per lookup block (two-level search)
+
+
+def bucket_count(df: DataFrame, key: str) -> int:
+    """Buckets so that one bucket holds ~ROWS_PER_BUCKET rows of the largest
+    key (one scalar from a distributed count)."""
+    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, -(-largest // ROWS_PER_BUCKET))))
+
+
+def _bucket_of(bounds, v):
+    """Number of (sorted) bounds below v: whole blocks of GROUP bounds whose
+    last element is below v, plus the count inside the next block."""
+    n = F.size(bounds)
+    n_blocks = F.ceil(n / F.lit(GROUP)).cast("int")
+    lasts = F.transform(F.sequence(F.lit(1), F.greatest(n_blocks, F.lit(1))),
+                        lambda i: F.element_at(bounds, F.least(i * GROUP, n)))
+    full = F.size(F.filter(lasts, lambda b: b < v))
+    part = F.slice(bounds, full * GROUP + 1, GROUP)
+    return F.when(n == 0, F.lit(0)).otherwise(full * GROUP + F.size(F.filter(part, lambda b: b < v)))
 
 
 def exact_rank(df: DataFrame, key: str, value: str, out: str = "_rank",
-               buckets: int = N_BUCKETS, tiebreak=()) -> DataFrame:
+               buckets: int | None = None, tiebreak=()) -> DataFrame:
+    buckets = buckets or bucket_count(df, key)
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(key).agg(F.percentile_approx(value, probs, 10000).alias("_bounds"))
-    staged = (df.join(bounds, key, "inner")
-              .withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
-              .drop("_bounds"))
+    accuracy = max(10_000, 4 * buckets)
+    bounds = df.groupBy(key).agg(F.percentile_approx(value, probs, accuracy).alias("_bounds"))
+    staged = df.join(bounds, key, "inner").withColumn("_b", _bucket_of(F.col("_bounds"), F.col(value)))
+    staged = staged.drop("_bounds")
     counts = staged.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select(key, "_b", F.coalesce(F.sum("_n").over(
         Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
