@@ -380,3 +380,55 @@ def psar_values(bars: DataFrame) -> DataFrame:
     """``(symbol, bar_no, psar)`` -- join it to any frame keyed by bar."""
     return (bars.select(KEY, BAR, "high", "low", "close")
             .groupBy(KEY).applyInPandas(_psar_group, PSAR_SCHEMA))
+
+
+# ---------------------------------------------------------------- earlier indicator set
+
+LEGACY_WINDOW = 10           # "SMA 10", "WMA 10", "Momentum 10"
+WILLIAMS_WINDOW = 14
+LEGACY_D_WINDOW = 3
+
+
+def legacy_cols(df: DataFrame, w: Window, n: int = LEGACY_WINDOW) -> DataFrame:
+    """SMA n, WMA n (weights 1..n), momentum n, Williams %R 14, intraday
+    %K = 100 (C - L)/(H - L) and its 3-bar mean %D, raw Bollinger bands,
+    money-flow volume for the accumulation/distribution index."""
+    fr = rows(w, n)
+    wsum = sum(F.lag("close", j).over(w) * float(n - j) for j in range(n))
+    wr_fr = rows(w, WILLIAMS_WINDOW)
+    hh, ll = F.max("high").over(wr_fr), F.min("low").over(wr_fr)
+    rng = F.col("high") - F.col("low")
+    d = df.withColumns({
+        "sma_10": full_window("close", fr, n, F.avg("close").over(fr)),
+        "wma_10": full_window("close", fr, n, wsum / float(n * (n + 1) // 2)),
+        "momentum_10": F.col("close") - F.lag("close", n).over(w),
+        "williams_r": full_window("close", wr_fr, WILLIAMS_WINDOW, ratio(hh - F.col("close"), hh - ll) * -100),
+        "k_intraday": ratio(F.col("close") - F.col("low"), rng) * 100,
+        "_mfv": F.coalesce(F.when(rng == 0, F.lit(0.0)).otherwise(F.try_divide(
+            (F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), rng)), F.lit(0.0))
+        * F.col("volume")})
+    dfr = rows(w, LEGACY_D_WINDOW)
+    bfr = rows(w, BB_WINDOW)
+    mid, sd = F.avg("close").over(bfr), F.stddev_pop("close").over(bfr)
+    return d.withColumns({
+        "d_intraday": full_window("k_intraday", dfr, LEGACY_D_WINDOW, F.avg("k_intraday").over(dfr)),
+        "bb_mid": full_window("close", bfr, BB_WINDOW, mid),
+        "bb_up": full_window("close", bfr, BB_WINDOW, mid + BB_DEV * sd),
+        "bb_low": full_window("close", bfr, BB_WINDOW, mid - BB_DEV * sd)})
+
+
+def fair_value_gaps(bars: DataFrame) -> DataFrame:
+    """Three-candle imbalance at the middle bar t.
+
+    bullish: high[t-1] < low[t+1], zone (high[t-1], low[t+1]);
+    bearish: low[t-1] > high[t+1], zone (high[t+1], low[t-1]).
+    """
+    def fn(d, w):
+        return d.withColumns({"_h1": F.lag("high", 1).over(w), "_l1": F.lag("low", 1).over(w),
+                              "_hn": F.lead("high", 1).over(w), "_ln": F.lead("low", 1).over(w)})
+    x = over_chunks(bars.select(KEY, "ts", BAR, "high", "low"), fn, 1, 1)
+    bull = x.filter(F.col("_h1") < F.col("_ln")).select(
+        KEY, "ts", F.lit("bullish").alias("direction"), F.col("_h1").alias("gap_low"), F.col("_ln").alias("gap_high"))
+    bear = x.filter(F.col("_l1") > F.col("_hn")).select(
+        KEY, "ts", F.lit("bearish").alias("direction"), F.col("_hn").alias("gap_low"), F.col("_l1").alias("gap_high"))
+    return bull.unionByName(bear)

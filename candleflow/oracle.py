@@ -650,3 +650,40 @@ WITH e AS (SELECT column_name AS col FROM (DESCRIBE {SQL["feature_table"]})),
 SELECT col AS "column", 'missing' AS status FROM (SELECT col FROM e EXCEPT SELECT col FROM a) m
 UNION ALL
 SELECT col AS "column", 'extra' AS status FROM (SELECT col FROM a EXCEPT SELECT col FROM e) x"""
+
+# ------------------------------------------------------------------ documented extras
+
+_WSUM = " + ".join(f"lag(close, {j}) OVER w * {10 - j}.0" for j in range(10))
+SQL["legacy_indicators"] = rounded(f"WITH {REC}," + f"""
+lx AS (
+  SELECT b.*,
+         CASE WHEN count(close) OVER f10 = 10 THEN avg(close) OVER f10 END AS sma_10,
+         CASE WHEN count(close) OVER f10 = 10 THEN ({_WSUM}) / 55.0 END AS wma_10,
+         close - lag(close, 10) OVER w AS momentum_10,
+         CASE WHEN count(close) OVER f14 = 14 THEN
+              {ratio('max(high) OVER f14 - close', 'max(high) OVER f14 - min(low) OVER f14')} * -100 END AS williams_r,
+         {ratio('close - low', 'high - low')} * 100 AS k_intraday,
+         coalesce(CASE WHEN high = low THEN 0.0 ELSE ((close - low) - (high - close)) / (high - low) END, 0.0) * volume AS mfv,
+         CASE WHEN count(close) OVER f20 = 20 THEN avg(close) OVER f20 END AS bb_mid,
+         CASE WHEN count(close) OVER f20 = 20 THEN avg(close) OVER f20 + 2.0 * stddev_pop(close) OVER f20 END AS bb_up,
+         CASE WHEN count(close) OVER f20 = 20 THEN avg(close) OVER f20 - 2.0 * stddev_pop(close) OVER f20 END AS bb_low
+  FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_no),
+       f10 AS (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),
+       f14 AS (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW),
+       f20 AS (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+)
+SELECT lx.symbol, lx.ts, sma_10, wma_10, momentum_10, williams_r, k_intraday,
+       CASE WHEN count(k_intraday) OVER f3 = 3 THEN avg(k_intraday) OVER f3 END AS d_intraday,
+       recind.macd - recind.macd_signal AS macd_hist,
+       sum(mfv) OVER (PARTITION BY lx.symbol ORDER BY lx.bar_no ROWS UNBOUNDED PRECEDING) AS adi,
+       bb_up, bb_mid, bb_low
+FROM lx JOIN recind USING (symbol, bar_no)
+WINDOW f3 AS (PARTITION BY lx.symbol ORDER BY lx.bar_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+    r6=["sma_10", "wma_10", "d_intraday", "bb_up", "bb_mid", "bb_low", "adi"], r4=["macd_hist"])
+
+SQL["fair_value_gaps"] = with_bars(f"""
+SELECT symbol, ts, 'bullish' AS direction, h1 AS gap_low, ln AS gap_high FROM fv WHERE h1 < ln
+UNION ALL
+SELECT symbol, ts, 'bearish' AS direction, hn AS gap_low, l1 AS gap_high FROM fv WHERE l1 > hn""", f"""
+fv AS (SELECT symbol, ts, lag(high) OVER w AS h1, lag(low) OVER w AS l1,
+              lead(high) OVER w AS hn, lead(low) OVER w AS ln FROM b {W})""")

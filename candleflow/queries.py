@@ -229,7 +229,8 @@ def true_range(spark, sf):
 
 def recursive(spark, sf):
     c = _ctx(spark, sf)
-    return c.memo("recursive", lambda: I.recursive_indicators(I.recursive_inputs(c.bars)))
+    return c.memo("recursive", lambda: materialize(
+        I.recursive_indicators(I.recursive_inputs(c.bars)), "recursive"))
 
 
 @query("ema")
@@ -275,7 +276,7 @@ def psar(spark, sf):
 
 from candleflow.operators import features as FT  # noqa: E402
 from candleflow.operators import fill as FL  # noqa: E402
-from candleflow.plans.series import with_bar_no  # noqa: E402
+from candleflow.plans.series import running_sum, with_bar_no  # noqa: E402
 from candleflow.session import materialize  # noqa: E402
 
 ANCHOR = FT.ANCHOR
@@ -973,3 +974,26 @@ def stream_bars(spark, sf):
     root = f"{__import__('candleflow').checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = run_bar_stream(spark, sf, TableStore(spark, f"{root}/store"), f"{root}/checkpoint")
     return out.select(*BAR_COLS)
+
+
+# ------------------------------------------------------------------ documented extras
+
+LEGACY_COLS = ["sma_10", "wma_10", "momentum_10", "williams_r", "k_intraday", "d_intraday",
+               "macd_hist", "adi", "bb_up", "bb_mid", "bb_low"]
+
+
+@query("legacy_indicators")
+def legacy_indicators(spark, sf):
+    """The reference's earlier indicator set."""
+    rec = recursive(spark, sf).select("symbol", "bar_no", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))
+    x = I.with_windows(_ctx(spark, sf).bars, [I.legacy_cols], max(I.BB_WINDOW, I.WILLIAMS_WINDOW))
+    x = running_sum(x, "_mfv", "adi").drop("_mfv")
+    out = x.join(rec, ["symbol", "bar_no"]).select("symbol", "ts", *LEGACY_COLS)
+    return _round(out, r6=["sma_10", "wma_10", "d_intraday", "bb_up", "bb_mid", "bb_low", "adi"],
+                  r4=["macd_hist"])
+
+
+@query("fair_value_gaps")
+def fair_value_gaps(spark, sf):
+    """Three-candle imbalance zones."""
+    return I.fair_value_gaps(_ctx(spark, sf).bars)
