@@ -141,6 +141,10 @@ def structure_signals(bars: DataFrame, swings: DataFrame) -> DataFrame:
 
     ``swings`` is :func:`labelled_swings` output; ``bars`` carries ``bar_no``.
     """
+    return _signals_with_swing(bars, swings).drop("swing_ts")
+
+
+def _signals_with_swing(bars: DataFrame, swings: DataFrame) -> DataFrame:
     st, lab = F.col("state_before"), F.col("label")
     sig = (swings.filter(F.col(SW) >= 3)
            .withColumn("type", F.when((st == "up") & (lab == "HH"), "bos")
@@ -167,4 +171,37 @@ def structure_signals(bars: DataFrame, swings: DataFrame) -> DataFrame:
     out = sig.join(first, [KEY, SW], "left")
     return out.select(KEY, F.coalesce(F.col("_b.ts"), F.col("swing_ts")).alias("ts"),
                       F.coalesce(F.col("_b.close"), F.col("swing_price")).alias("price"),
-                      "level", "level_date", "type", "direction")
+                      "level", "level_date", "type", "direction", "swing_ts")
+
+
+def structure_features(bars: DataFrame, swings: DataFrame, order: int = SWING_ORDER) -> DataFrame:
+    """D3: market structure as per-bar features, without look-ahead.
+
+    A swing at bar i is confirmed only at bar i + order; from then on its
+    facts are carried forward: distance of the close to the last swing high
+    / low (%, from raw swing points), trend and consecutive bullish/bearish
+    count of the last labelled swing, days since the last CHoCH break.
+    """
+    b = bars.select(KEY, "ts", BAR, "close")
+    at = b.select(KEY, "ts", F.col(BAR).alias("_sb"))
+    raw = swing_points(bars, order).join(at, [KEY, "ts"])
+    known = (F.col("_sb") + order).alias(BAR)
+    hi = raw.filter(F.col("swing_type") == "high").select(KEY, known, F.col("price").alias("_hi_at"))
+    lo = raw.filter(F.col("swing_type") == "low").select(KEY, known, F.col("price").alias("_lo_at"))
+    lab = (swings.join(at, [KEY, "ts"]).groupBy(KEY, known)
+           .agg(F.max_by(F.struct("trend", "seq_count", "seq_dir"), F.col(SW)).alias("_lab")))
+    ch = (_signals_with_swing(bars, swings).filter(F.col("type") == "choch")
+          .join(at.withColumnRenamed("ts", "swing_ts"), [KEY, "swing_ts"])
+          .groupBy(KEY, known).agg(F.max("ts").alias("_choch_at")))
+    ev = (b.join(hi, [KEY, BAR], "left").join(lo, [KEY, BAR], "left")
+          .join(lab, [KEY, BAR], "left").join(ch, [KEY, BAR], "left"))
+    ev = carry_last(ev, ["_hi_at", "_lo_at", "_lab", "_choch_at"])
+    pct = lambda ref: ratio(F.col("close") - F.col(ref), F.col(ref)) * 100
+    return ev.select(
+        KEY, "ts",
+        F.coalesce(F.col("_lab.trend"), F.lit("neutral")).alias("structure_trend"),
+        pct("_hi_at").alias("swing_distance_high"),
+        pct("_lo_at").alias("swing_distance_low"),
+        F.when(F.col("_lab.seq_dir") == "long", F.col("_lab.seq_count")).otherwise(F.lit(0)).alias("consecutive_bullish"),
+        F.when(F.col("_lab.seq_dir") == "short", F.col("_lab.seq_count")).otherwise(F.lit(0)).alias("consecutive_bearish"),
+        F.datediff(F.col("ts"), F.col("_choch_at")).alias("days_since_choch"))

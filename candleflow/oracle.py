@@ -687,3 +687,35 @@ UNION ALL
 SELECT symbol, ts, 'bearish' AS direction, hn AS gap_low, l1 AS gap_high FROM fv WHERE l1 > hn""", f"""
 fv AS (SELECT symbol, ts, lag(high) OVER w AS h1, lag(low) OVER w AS l1,
               lead(high) OVER w AS hn, lead(low) OVER w AS ln FROM b {W})""")
+
+SF_CTE = SW + "," + SIGNALS + f""",
+chs AS (SELECT s.symbol, s.swing_ts, coalesce(brk.bts, s.swing_ts) AS bts
+        FROM sig2 s LEFT JOIN brk USING (symbol, k) WHERE s.type = 'choch'),
+hi AS (SELECT r.symbol, bb.bar_no + 5 AS kb, r.price FROM raw r JOIN b bb USING (symbol, ts) WHERE r.swing_type = 'high'),
+lo AS (SELECT r.symbol, bb.bar_no + 5 AS kb, r.price FROM raw r JOIN b bb USING (symbol, ts) WHERE r.swing_type = 'low'),
+lab AS (SELECT symbol, kb, arg_max(struct_pack(trend := trend, seq_count := seq_count, seq_dir := seq_dir), k) AS lab
+        FROM (SELECT sw.*, bb.bar_no + 5 AS kb FROM sw JOIN b bb USING (symbol, ts)) t GROUP BY symbol, kb),
+ch AS (SELECT c.symbol, bb.bar_no + 5 AS kb, max(c.bts) AS bts
+       FROM chs c JOIN b bb ON bb.symbol = c.symbol AND bb.ts = c.swing_ts GROUP BY 1, 2),
+ev AS (
+  SELECT b.symbol, b.ts, b.bar_no, b.close, hi.price AS hi_at, lo.price AS lo_at, lab.lab, ch.bts AS choch_at
+  FROM b LEFT JOIN hi ON hi.symbol = b.symbol AND hi.kb = b.bar_no
+         LEFT JOIN lo ON lo.symbol = b.symbol AND lo.kb = b.bar_no
+         LEFT JOIN lab ON lab.symbol = b.symbol AND lab.kb = b.bar_no
+         LEFT JOIN ch ON ch.symbol = b.symbol AND ch.kb = b.bar_no
+),
+cf AS (
+  SELECT symbol, ts, close,
+         last_value(hi_at IGNORE NULLS) OVER w AS hi_at, last_value(lo_at IGNORE NULLS) OVER w AS lo_at,
+         last_value(lab IGNORE NULLS) OVER w AS lab, last_value(choch_at IGNORE NULLS) OVER w AS choch_at
+  FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY bar_no ROWS UNBOUNDED PRECEDING)
+)"""
+
+SQL["structure_features"] = rounded(with_bars(f"""
+SELECT symbol, ts, coalesce(lab.trend, 'neutral') AS structure_trend,
+       {ratio('close - hi_at', 'hi_at')} * 100 AS swing_distance_high,
+       {ratio('close - lo_at', 'lo_at')} * 100 AS swing_distance_low,
+       CASE WHEN lab.seq_dir = 'long' THEN lab.seq_count ELSE 0 END AS consecutive_bullish,
+       CASE WHEN lab.seq_dir = 'short' THEN lab.seq_count ELSE 0 END AS consecutive_bearish,
+       CAST(ts - choch_at AS INTEGER) AS days_since_choch
+FROM cf""", SF_CTE), r6=["swing_distance_high", "swing_distance_low"])

@@ -997,3 +997,10 @@ def legacy_indicators(spark, sf):
 def fair_value_gaps(spark, sf):
     """Three-candle imbalance zones."""
     return I.fair_value_gaps(_ctx(spark, sf).bars)
+
+
+@query("structure_features")
+def structure_features(spark, sf):
+    """D3: structure facts per bar, each known only after confirmation."""
+    out = M.structure_features(_ctx(spark, sf).bars, _swings(spark, sf))
+    return _round(out, r6=["swing_distance_high", "swing_distance_low"])
