@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candleflow.functions.scalar import ratio
@@ -28,7 +28,6 @@ from candleflow.plans.series import BAR, KEY, carry_last, over_chunks, running_s
 from candleflow.session import materialize
 
 ANCHOR = "AF"                      # anchor series of the driver data
-WARMUP_COLS = ["vol_roll60"]       # longest warm-up (60 returns)
 
 INDICATOR_COLS = ["ema_10", "ema_20", "psar", "rsi", "roc", "obv", "macd", "macd_signal", "cci",
                   "adosc", "stoch_k", "dmi_pos", "dmi_neg", "adx", "bb_pband", "bb_width",
@@ -131,28 +130,22 @@ def align_panel(surviving: DataFrame, bars: DataFrame, side_symbols: list[str])
     return surviving.join(side_panel(bars, list(side_symbols)), "ts", "left")
 
 
-def feature_table(bars: DataFrame, side_symbols: list[str] | None = None,
-                  rate_symbols: list[str] = ()) -> DataFrame:
+def feature_table(bars: DataFrame, side_symbols: list[str], rate_symbols: list[str] = (),
+                  surviving: DataFrame | None = None) -> DataFrame:
     """``(symbol, ts, features..., side closes..., target)``.
 
-    ``bars`` carries ``bar_no``.  Side series default to every symbol but the
-    anchor; their closes are joined on ``ts`` to every target series.
+    ``bars`` carries ``bar_no``; the closes of ``side_symbols`` are joined on
+    ``ts`` to every series and forward filled over its surviving rows.
     """
-    if side_symbols is None:
-        side_symbols = [s for s in _symbols(bars) if s != ANCHOR]
+    if surviving is None:
+        surviving = materialize(surviving_indicators(bars), "surviving")
     side_cols = [side_name(s) for s in side_symbols]
-    aligned = align_panel(surviving_indicators(bars), bars, side_symbols)
-    aligned = carry_last(aligned, side_cols)
+    aligned = carry_last(align_panel(surviving, bars, side_symbols), side_cols)
     st = stationary(aligned, side_cols, [side_name(s) for s in rate_symbols])
     cols = ["symbol", "ts"] + FEATURE_COLS + side_cols
     return st.select(*cols, "target").dropna(subset=cols)
 
 
-def _symbols(bars: DataFrame) -> list[str]:
-    """Distinct symbols (a tiny aggregate; used to name pivot columns)."""
-    return sorted(r[0] for r in bars.select(KEY).distinct().collect())
-
-
 # ------------------------------------------------------------------ manifest
 
 def manifest(df: DataFrame) -> DataFrame:
@@ -184,9 +177,5 @@ def manifest_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
             .unionByName(a.join(e, "column", "left_anti").withColumn("status", F.lit("extra"))))
 
 
-def bar_window() -> Window:
-    return Window.partitionBy(KEY).orderBy(BAR)
-
-
 __all__ = ["close_panel", "long_panel", "side_panel", "indicator_frame", "stationary",
-           "feature_table", "manifest", "manifest_diff", "with_bar_no"]
+           "feature_table", "manifest", "manifest_diff", "surviving_indicators", "align_panel"]

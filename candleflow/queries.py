@@ -343,12 +343,7 @@ def stationary(spark, sf):
 
 
 def feature_frame(spark, sf):
-    bars = _ctx(spark, sf).bars
-    aligned = FT.align_panel(_surviving(spark, sf), bars, SIDE)
-    aligned = FL.ffill(aligned, SIDE_COLS)
-    st = FT.stationary(aligned, SIDE_COLS)
-    cols = ["symbol", "ts"] + FT.FEATURE_COLS + SIDE_COLS
-    return st.select(*cols, "target").dropna(subset=cols)
+    return FT.feature_table(_ctx(spark, sf).bars, SIDE, surviving=_surviving(spark, sf))
 
 
 @query("feature_table")

@@ -11,21 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from candleflow.plans.series import with_bar_no
 from candleflow.session import materialize
 
-BAR_SCHEMA = T.StructType([
-    T.StructField("symbol", T.StringType(), False),
-    T.StructField("ts", T.DateType(), False),
-    T.StructField("open", T.DoubleType(), True),
-    T.StructField("high", T.DoubleType(), True),
-    T.StructField("low", T.DoubleType(), True),
-    T.StructField("close", T.DoubleType(), True),
-    T.StructField("volume", T.DoubleType(), True),
-])
-
 LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                  "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -54,7 +43,7 @@ def trades_from_events(events: DataFrame) -> DataFrame:
     """``(symbol, ts, price, qty, seq)`` from the event stream table."""
     return events.select(
         F.col("event_type").alias("symbol"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts"),
         F.col("value").cast("double").alias("price"),
         F.lit(1.0).alias("qty"),
         F.struct(F.col("ts"), F.col("event_id")).alias("seq"))
@@ -82,7 +71,8 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly OHLCV bars from ``events`` (5 series)."""
     trades = trades_from_events(read_table(spark, sf_dir, "events"))
-    return ohlcv(trades, F.date_trunc("hour", F.col("ts")))
+    # window() keeps TIMESTAMP_NTZ: bar starts do not depend on the session time zone
+    return ohlcv(trades, F.window("ts", "1 hour").getField("start"))
 
 
 def indexed_bars(spark: SparkSession, sf_dir: str, hourly: bool = False,

@@ -36,6 +36,8 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
 def stream_bar_aggregate(events: DataFrame, width: str = BAR_WIDTH,
                          watermark: str = WATERMARK) -> DataFrame:
     """Event-time OHLCV bars with a watermark (streaming or batch input)."""
+    # watermarks need session-local timestamps; the window start is cast
+    # back to TIMESTAMP_NTZ below (an exact round trip in one session)
     ev = (events.select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"),
                         F.col("event_type").alias("symbol"), F.col("value").cast("double").alias("price"))
           .withWatermark("ts", watermark)
@@ -45,7 +47,7 @@ def stream_bar_aggregate(events: DataFrame, width: str = BAR_WIDTH,
             .agg(F.min_by("price", seq).alias("open"), F.max("price").alias("high"),
                  F.min("price").alias("low"), F.max_by("price", seq).alias("close"),
                  F.count(F.lit(1)).cast("double").alias("volume"))
-            .select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume"))
+            .select("symbol", F.col("w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume"))
 
 
 def run_bar_stream(spark: SparkSession, sf_dir: str, store: TableStore, checkpoint: str,
