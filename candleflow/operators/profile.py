@@ -2,8 +2,8 @@
 range extremes, correlations (with the label and pairwise), pruning lists.
 
 Wide -> long with ``unpivot`` so every statistic is one grouped aggregation
-over ``(feature, value)`` with map-side partial aggregation; pairwise
-correlations are one ``agg`` of p(p-1)/2 ``corr`` columns.
+over ``(feature, value)`` with map-side partial aggregation; the pairwise
+correlation matrix is one tree-aggregated Gramian (``Correlation.corr``).
 """
 
 from __future__ import annotations
@@ -89,14 +89,21 @@ def target_corr(df: DataFrame, cols: list[str], target: str = "target") -> DataF
 
 
 def corr_pairs(df: DataFrame, cols: list[str], threshold: float = CORR_THRESHOLD) -> DataFrame:
-    """A10: |corr| of every ordered pair (i < j) above ``threshold``."""
-    pairs = list(combinations(range(len(cols)), 2))
-    aggs = [F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    wide = df.agg(*aggs)
-    stacked = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                 F.abs(F.col(f"c{i}_{j}")).alias("corr")) for i, j in pairs])).alias("p")).select("p.*")
-    return stacked.filter(F.col("corr") > threshold)
+    """A10: |Pearson corr| of every ordered pair (i < j) above ``threshold``.
+
+    One distributed pass (``Correlation.corr``: a tree-aggregated Gramian);
+    only the p x p matrix -- p = number of feature columns -- reaches the
+    driver.  Rows with a NULL feature are skipped (the feature table has
+    none after its final ``dropna``).
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip") \
+        .transform(df.select(*cols)).select("_v")
+    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+    rows = [(cols[i], cols[j], float(abs(m[i, j])))
+            for i, j in combinations(range(len(cols)), 2) if abs(m[i, j]) > threshold]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
 def corr_drop(pairs: DataFrame) -> DataFrame:
