@@ -229,8 +229,7 @@ def true_range(spark, sf):
 
 def recursive(spark, sf):
     c = _ctx(spark, sf)
-    return c.memo("recursive", lambda: materialize(
-        I.recursive_indicators(I.recursive_inputs(c.bars)), "recursive"))
+    return c.memo("recursive", lambda: I.recursive_indicators(I.recursive_inputs(c.bars)))
 
 
 @query("ema")
@@ -400,7 +399,7 @@ def swings_clean(spark, sf):
 
 def _swings(spark, sf):
     c = _ctx(spark, sf)
-    return c.memo("swings", lambda: M.labelled_swings(c.bars))
+    return c.memo("swings", lambda: materialize(M.labelled_swings(c.bars), "labelled_swings"))
 
 
 @query("swing_labels")
