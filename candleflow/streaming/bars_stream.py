@@ -40,8 +40,9 @@ def stream_bar_aggregate(events: DataFrame, width: str = BAR_WIDTH,
     # back to TIMESTAMP_NTZ below (an exact round trip in one session)
     ev = (events.select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"),
                         F.col("event_type").alias("symbol"), F.col("value").cast("double").alias("price"))
-          .withWatermark("ts", watermark)
-          .dropDuplicatesWithinWatermark(["event_id"]))
+          .withWatermark("ts", watermark))
+    # streaming: state for duplicates is kept only within the watermark
+    ev = ev.dropDuplicatesWithinWatermark(["event_id"]) if ev.isStreaming else ev.dropDuplicates(["event_id"])
     seq = F.struct(F.col("ts"), F.col("event_id"))
     return (ev.groupBy(F.col("symbol"), F.window("ts", width).alias("w"))
             .agg(F.min_by("price", seq).alias("open"), F.max("price").alias("high"),
