@@ -146,6 +146,20 @@ def feature_table(bars: DataFrame, side_symbols: list[str], rate_symbols: list[s
     return st.select(*cols, "target").dropna(subset=cols)
 
 
+def interaction_features(feats: DataFrame, partner: str) -> DataFrame:
+    """Explicit interactions on the feature table.
+
+    ``rsi_x_volume`` = RSI x volume change; ``return_ratio`` = own return /
+    the ``partner`` side series' return; ``atr_vol_ratio`` = ATR_norm /
+    20-bar realised volatility (divisions by the ``ratio`` null model).
+    """
+    return feats.select(
+        KEY, "ts",
+        (F.col("rsi") * F.col("volume")).alias("rsi_x_volume"),
+        ratio(F.col("close"), F.col(side_name(partner))).alias("return_ratio"),
+        ratio(F.col("atr_norm"), F.col("vol_roll20")).alias("atr_vol_ratio"))
+
+
 # ------------------------------------------------------------------ manifest
 
 def manifest(df: DataFrame) -> DataFrame:

@@ -719,3 +719,8 @@ SELECT symbol, ts, coalesce(lab.trend, 'neutral') AS structure_trend,
        CASE WHEN lab.seq_dir = 'short' THEN lab.seq_count ELSE 0 END AS consecutive_bearish,
        CAST(ts - choch_at AS INTEGER) AS days_since_choch
 FROM cf""", SF_CTE), r6=["swing_distance_high", "swing_distance_low"])
+
+SQL["interaction_features"] = rounded(with_feat(f"""
+SELECT symbol, ts, rsi * volume AS rsi_x_volume, {ratio('close', 'AO_close')} AS return_ratio,
+       {ratio('atr_norm', 'vol_roll20')} AS atr_vol_ratio
+FROM feat"""), r6=["rsi_x_volume", "return_ratio", "atr_vol_ratio"])

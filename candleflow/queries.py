@@ -998,3 +998,10 @@ def structure_features(spark, sf):
     """D3: structure facts per bar, each known only after confirmation."""
     out = M.structure_features(_ctx(spark, sf).bars, _swings(spark, sf))
     return _round(out, r6=["swing_distance_high", "swing_distance_low"])
+
+
+@query("interaction_features")
+def interaction_features(spark, sf):
+    """RSI x volume change, return ratio vs the AO series, ATR / volatility."""
+    out = FT.interaction_features(_features(spark, sf), "AO")
+    return _round(out, r6=["rsi_x_volume", "return_ratio", "atr_vol_ratio"])

@@ -50,6 +50,14 @@ class TableStore:
             raise FileNotFoundError(os.path.join(self.root, name))
         return self.spark.read.parquet(f"{self.root}/{name}/v={versions[-1]}")
 
+    def load_tail(self, name: str, n: int = 30, key: str = "symbol", order: str = "ts") -> DataFrame:
+        """Newest ``n`` rows per series (``load_predictions(days=30)``): a
+        rank-limited window, top-n per task before the shuffle."""
+        from pyspark.sql import Window
+        w = Window.partitionBy(key).orderBy(F.col(order).desc())
+        df = self.load(name)
+        return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
     def upsert(self, name: str, new: DataFrame, keys: list[str]) -> DataFrame:
         """Union with the current version, keep the last row per key,
         write a new version, return it."""

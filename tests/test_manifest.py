@@ -22,3 +22,19 @@ def test_manifest_diff(spark):
     b = spark.createDataFrame([(1, 2)], "y int, z int")
     got = {(r.column, r.status) for r in FT.manifest_diff(a, b).collect()}
     assert got == {("x", "missing"), ("z", "extra")}
+
+
+def test_store_tail_and_versions(spark, tmp_path):
+    import datetime as dt
+
+    from candleflow.sources.store import TableStore
+    store = TableStore(spark, str(tmp_path / "store"))
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i)) for s in ("A", "B") for i in range(50)]
+    df = spark.createDataFrame(rows, "symbol string, ts date, v double")
+    assert store.save("preds", df) == 1
+    tail = store.load_tail("preds", 30)
+    assert tail.count() == 60 and tail.agg({"v": "min"}).first()[0] == 20.0
+    new = spark.createDataFrame([("A", dt.date(2020, 1, 1), -1.0)], "symbol string, ts date, v double")
+    out = store.upsert("preds", new, ["symbol", "ts"])
+    assert out.count() == 100 and store._versions("preds") == [1, 2]
+    assert out.filter("symbol = 'A' AND ts = DATE'2020-01-01'").first()["v"] == -1.0
