@@ -314,16 +314,17 @@ def recursive_indicators(staged: DataFrame, ema_windows=EMA_WINDOWS) -> DataFram
 
 # ---------------------------------------------------------------- parabolic SAR
 
-def _psar_kernel(high: np.ndarray, low: np.ndarray, close: np.ndarray,
-                 step: float = PSAR_STEP, max_step: float = PSAR_MAX_STEP) -> np.ndarray:
-    """Sequential SAR for one series (state: trend, extreme point, af, sar)."""
+def _psar_run(high: np.ndarray, low: np.ndarray, close: np.ndarray,
+              step: float = PSAR_STEP, max_step: float = PSAR_MAX_STEP):
+    """Sequential SAR from the first row; returns (sar, up, ep_hi, ep_lo, af)."""
     n = len(close)
     sar = close.astype("float64").copy()
-    if n < 3:
-        return sar
-    up = True
-    af = step
-    ep_hi, ep_lo = high[0], low[0]
+    up_a = np.ones(n, dtype=bool)
+    ehi = np.full(n, high[0] if n else np.nan, dtype="float64")
+    elo = np.full(n, low[0] if n else np.nan, dtype="float64")
+    afa = np.full(n, step, dtype="float64")
+    up, af = True, step
+    ep_hi, ep_lo = (high[0], low[0]) if n else (np.nan, np.nan)
     for i in range(2, n):
         if up:
             s = sar[i - 1] + af * (ep_hi - sar[i - 1])
@@ -347,8 +348,12 @@ def _psar_kernel(high: np.ndarray, low: np.ndarray, close: np.ndarray,
                     s = high[i - 2]
                 elif high[i - 1] > s:
                     s = high[i - 1]
-        sar[i] = s
-    return sar
+        sar[i], up_a[i], ehi[i], elo[i], afa[i] = s, up, ep_hi, ep_lo, af
+    return sar, up_a, ehi, elo, afa
+
+
+def _psar_kernel(high, low, close, step: float = PSAR_STEP, max_step: float = PSAR_MAX_STEP):
+    return _psar_run(high, low, close, step, max_step)[0]
 
 
 PSAR_SCHEMA = T.StructType([
@@ -357,6 +362,16 @@ PSAR_SCHEMA = T.StructType([
     T.StructField("psar", T.DoubleType()),
 ])
 
+_PSAR_RUN_SCHEMA = T.StructType([
+    T.StructField("symbol", T.StringType()), T.StructField("bar_no", T.LongType()),
+    T.StructField("_run", T.LongType()), T.StructField("_home", T.BooleanType()),
+    T.StructField("psar", T.DoubleType()), T.StructField("_up", T.BooleanType()),
+    T.StructField("_ehi", T.DoubleType()), T.StructField("_elo", T.DoubleType()),
+    T.StructField("_af", T.DoubleType()),
+])
+
+PSAR_HALO = 1024       # warm-up bars replayed before each chunk
+
 
 def _psar_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bar_no")
@@ -365,21 +380,56 @@ def _psar_group(pdf: pd.DataFrame) -> pd.DataFrame:
                          "psar": out})
 
 
-def psar(bars: DataFrame) -> DataFrame:
-    """``psar`` ("SAR"): the one non-linear recursion.
+def _psar_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("bar_no")
+    sar, up, ehi, elo, af = _psar_run(pdf["high"].to_numpy(), pdf["low"].to_numpy(),
+                                      pdf["close"].to_numpy())
+    run = pdf["_chunk"].to_numpy()
+    return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "bar_no": pdf["bar_no"].to_numpy(),
+                         "_run": run, "_home": pdf["_hc"].to_numpy() == run, "psar": sar,
+                         "_up": up, "_ehi": ehi, "_elo": elo, "_af": af})
 
-    The state machine has no associative form, so each series runs as one
-    grouped pandas task (Arrow batches, only 4 narrow columns shipped).
-    Parallel over symbols; the bar count of a series is bounded by its
-    calendar, not by the trade volume behind it.
-    """
+
+def psar(bars: DataFrame) -> DataFrame:
+    """``psar`` ("SAR") joined to the bars."""
     return bars.join(psar_values(bars), [KEY, BAR], "inner")
 
 
-def psar_values(bars: DataFrame) -> DataFrame:
-    """``(symbol, bar_no, psar)`` -- join it to any frame keyed by bar."""
-    return (bars.select(KEY, BAR, "high", "low", "close")
+def psar_values(bars: DataFrame, chunk_bars: int | None = None, halo: int = PSAR_HALO) -> DataFrame:
+    """``(symbol, bar_no, psar)``: the one non-linear recursion, chunk-parallel
+    and exact.
+
+    Every (symbol, chunk) replays the state machine from ``halo`` bars before
+    the chunk.  The machine is deterministic, so when a chunk's state (trend,
+    extreme points, af, sar) at its last warm-up bar equals the previous
+    chunk's state at that bar, everything after coincides with the true
+    sequential run; chunk 0 starts at bar 0, so by induction the result is
+    exact.  A series with any unsynchronised boundary (no reversal pattern
+    shared inside the halo -- rare) is recomputed sequentially as a whole.
+    """
+    from candleflow.plans.series import _cb
+    chunk = _cb(chunk_bars)
+    halo = min(halo, chunk)
+    b = F.col(BAR)
+    home = F.floor(b / F.lit(chunk))
+    pos = b - home * F.lit(chunk)
+    copies = F.filter(F.array(home, F.when(pos >= chunk - halo, home + 1)), lambda v: v.isNotNull())
+    staged = (bars.select(KEY, BAR, "high", "low", "close")
+              .withColumn("_hc", home).withColumn("_chunk", F.explode(copies)))
+    runs = materialize(staged.groupBy(KEY, "_chunk").applyInPandas(_psar_chunk, _PSAR_RUN_SCHEMA),
+                       "psar_runs")
+    state = ["_up", "_ehi", "_elo", "_af", "psar"]
+    # state of run k at its last warm-up bar vs the home state of run k-1 there
+    spec = runs.filter(~F.col("_home") & (F.col(BAR) == F.col("_run") * chunk - 1)) \
+        .select(KEY, BAR, *[F.col(c).alias(f"_s{c}") for c in state])
+    true = runs.filter(F.col("_home")).select(KEY, BAR, *state)
+    diff = spec.join(true, [KEY, BAR], "inner").withColumn(
+        "_bad", ~F.coalesce(F.expr(" AND ".join(f"(_s{c} <=> {c})" for c in state)), F.lit(False)))
+    bad = diff.filter("_bad").select(KEY).distinct()
+    good = runs.filter(F.col("_home")).join(bad, KEY, "left_anti").select(KEY, BAR, "psar")
+    redo = (bars.select(KEY, BAR, "high", "low", "close").join(bad, KEY, "left_semi")
             .groupBy(KEY).applyInPandas(_psar_group, PSAR_SCHEMA))
+    return good.unionByName(redo)
 
 
 # ---------------------------------------------------------------- earlier indicator set
