@@ -8,10 +8,14 @@ partitions, checkpoint directory, ...) always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: application id -> scratch folder of a local session without a setting
+_SCRATCH: dict[str, str] = {}
+
 # Settings applied only when the running session does not already define them.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -48,17 +52,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) do we create a
-    scratch folder; on a cluster the platform provides a shared path.
+    The setting is read from the session.  Only a *local* master that leaves
+    it unset (tests) gets a scratch folder of its own; on a cluster a missing
+    setting is an error, since a machine-local folder is not seen by the
+    other machines.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        sc.getConf().get("spark.checkpoint.dir", None) or _SCRATCH.get(sc.applicationId)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="candleflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
+        if not re.match(r"local(\[[^-]|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = _SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="candleflow-ckpt-")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(configured)
     return configured
 
 

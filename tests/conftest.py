@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,8 +12,6 @@ from candleflow.session import get_session  # noqa: E402
 def spark():
     s = get_session("local[4]", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="candleflow-test-"))
     yield s
     s.stop()
 
