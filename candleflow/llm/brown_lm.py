@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import as_bytes, bounded_batches, id_fold
+from .share import share, shared
 
 FOLDS = 10
 FREQUENT = 1e-6
@@ -105,12 +106,12 @@ class Words:
 def encode(docs: DataFrame, words: Words, id_col: str, text: str, held: Column) -> DataFrame:
     """One row per document: its units, what is known of its frequent words,
     and its other words with their numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    packed = share(docs.sparkSession, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        w = shared.value
+        w = shared(packed)
         get = w.index.get
         logs, own = np.array(w.log_count + [0.0]), np.array(w.unit + [0], np.int32)
         for batch in batches:
@@ -150,10 +151,10 @@ def _neighbours(encoded: DataFrame, classes, n_classes: int):
     import numpy as np
 
     n_units = len(classes)
-    shared = encoded.sparkSession.sparkContext.broadcast(np.asarray(classes, np.int64))
+    packed = share(encoded.sparkSession, np.asarray(classes, np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, width = shared.value, 2 * n_classes
+        cls, width = shared(packed), 2 * n_classes
         total = np.zeros(n_units * width, np.int64)
         for batch in batches:
             column = batch.column(0)
@@ -276,13 +277,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """One row per document: ``id``, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score``, ``score``, ``perplexity`` (per token)."""
     model, encoded, rare = fit_and_encode(docs, id_col, text, folds)
-    tables = docs.sparkSession.sparkContext.broadcast(
+    tables = share(docs.sparkSession, 
         (model.classes, model.log_next, model.log_size))
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        classes, nxt, size = map(np.array, tables.value)
+        classes, nxt, size = map(np.array, shared(tables))
         step = (nxt - size[None, :]).ravel()
         for batch in batches:
             column = batch.column("units")

@@ -179,17 +179,17 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     """The mix itself, with the columns of ``docs``: a document appears once
     for every whole pass, and once more with the words of its ranges."""
     keep = docs.columns
-    rows = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source),
-                             "_size": word_count(F.col(text))})
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source).alias("_source"),
+                       word_count(F.col(text)).alias("_size"))
     src = source_targets(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size")),
                          weights, max_repeats)
     dealt = _with_shards(rows, src, shard_words, seed).where("_size > 0")
 
     def solve(shard: pa.Table) -> pa.Table:
         shard, sizes, passes, ranges = _solve_shard(shard, block, seed, max_repeats)
-        rows = shard.select(keep)
+        rows = pa.table(shard["_row"].combine_chunks().flatten(), names=keep)
         part = [i for i, r in enumerate(ranges) if r]
-        texts = shard[text].take(part).to_pylist()
+        texts = rows[text].take(part).to_pylist()
         texts = [t if ranges[i] == [(0, sizes[i])] else cut_words(t, ranges[i]) for i, t in zip(part, texts)]
         cut_rows = rows.take(part)
         for name, values in ((text, texts), (n_chars, list(map(len, texts)))):

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches
 from .logistic import fit_logistic, sigmoid
+from .share import share, shared
 
 PER_CLASS = 6_000
 DICT_SHARE = 0.6
@@ -124,11 +125,11 @@ def with_quality(docs: DataFrame, model: QualityModel | None, text: str = "text"
     """Adds ``out``: the probability (0 to 1) that the text is good."""
     if model is None:
         return docs.withColumn(out, F.lit(0.5))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    packed = share(docs.sparkSession, model)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+        m = shared(packed)
         scorer = Scorer(m.good, m.bad)
         w = m.weights
         for a in batches:

@@ -2,11 +2,11 @@
 
 Lexicon
     Learned from a bounded sample of labelled documents: words, and stems
-    (word beginnings, for languages that inflect), that toxic documents use
-    and clean ones do not.  Terms are picked greedily until every toxic
-    document holds ``COVER`` of them or no term adds ``min_support`` more, the
-    longest term first among equals, so words that merely stand near an
-    insult are not picked.
+    (word beginnings, for languages that inflect), weighted by the log of how
+    much more often toxic documents use them than clean ones.  Terms are
+    picked greedily by weight times the toxic documents they add, until every
+    one holds ``COVER`` of them or none adds ``support`` more, so words that
+    merely stand near an insult are not picked.
 
 Matching
     The lexicon is a trie.  A word is read by the product of that trie with
@@ -18,10 +18,10 @@ Matching
 
 Context
     The window of ``WINDOW`` words on both sides of a match tells quotation
-    from abuse: between quotation marks, or near a word of reporting.  Counts
-    of exact, misspelled and quoted matches become a probability by a
-    logistic regression with prior weights (abuse speaks for toxicity, a
-    quotation hardly), fitted on the sample.
+    from abuse: between quotation marks, or near a word of reporting.  Summed
+    weights of strong, weak, misspelled and quoted matches, and the length of
+    the text, become a probability by a logistic regression with prior
+    weights, fitted on sample rows that the lexicon was not learned from.
 
 Defined cases: null and empty texts have no match and get the score of a text
 without matches; texts are scored whole; without toxic sample rows every
@@ -42,15 +42,20 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 from .logistic import fit_logistic, sigmoid
+from .share import share, shared
 
 PER_CLASS = 12_000
 COVER = 3
 MIN_LETTERS, MAX_LETTERS = 4, 14
-#: a term is this many times as frequent in toxic as in clean documents
-PURITY = 25.0
+#: a term is this many times as frequent in toxic as in clean documents; a
+#: strong one as many times as the second number
+PURITY, STRONG = 4.0, 20.0
+#: share of the sample that the lexicon is learned from
+LEXICON_SHARE = 0.7
 WINDOW = 8
-#: constant, exact, misspelled and quoted matches (log(1 + count))
-PRIOR = [-5.0, 8.0, 6.0, 1.0]
+#: constant; strong, weak, misspelled and quoted matches (log(1 + weights));
+#: log(1 + words)
+PRIOR = [-4.0, 4.0, 1.0, 1.0, 0.3, -0.2]
 THRESHOLD = 0.5
 #: distinct words a worker remembers as no match
 REMEMBERED = 500_000
@@ -76,14 +81,15 @@ def edits_allowed(term: str) -> int:
 class FuzzyLexicon:
     """Product of the lexicon's trie and Levenshtein automata.
 
-    ``terms`` are (text, is_stem); a stem matches any word it begins.
+    ``terms`` are (text, is_stem, weight); a stem matches any word it begins.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
+    def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[int, bool] | None] = [None]  # edits allowed, is a stem
-        self.reach = [0]  # most edits that a term below allows
-        for text, stem in terms:
+        self.ends: list[list[tuple[bool, float]]] = [[]]
+        self.edits = [0]  # allowed for the term that ends here
+        self.reach = [0]  # most edits that a term from here on allows
+        for text, stem, weight in terms:
             node, k = 0, edits_allowed(text)
             for ch in text:
                 self.reach[node] = max(self.reach[node], k)
@@ -91,18 +97,20 @@ class FuzzyLexicon:
                 if nxt is None:
                     nxt = self.children[node][ch] = len(self.children)
                     self.children.append({})
-                    self.ends.append(None)
+                    self.ends.append([])
+                    self.edits.append(0)
                     self.reach.append(0)
                 node = nxt
             self.reach[node] = max(self.reach[node], k)
-            self.ends[node] = (k, stem or bool(self.ends[node] and self.ends[node][1]))
-        self.start = self._state({(0, 0)}) if terms else None
+            self.edits[node] = k
+            self.ends[node].append((stem, weight))
         self.states: dict[frozenset, list] = {}
+        self.start = self._state({(0, 0)}) if terms else None
 
     def _state(self, pairs: set[tuple[int, int]]):
-        """[transitions, edits of a stem read so far, edits if the word ends
+        """[transitions, best stem read so far, best term if the word ends
         here, pairs], or None for the dead state.  Letters of a term that the
-        word lacks are skipped here."""
+        word lacks are skipped here.  Best: (-edits, weight)."""
         todo, least = list(pairs), {}
         while todo:
             node, e = todo.pop()
@@ -112,9 +120,9 @@ class FuzzyLexicon:
             todo += [(c, e + 1) for c in self.children[node].values()]
         if not least:
             return None
-        ends = [(e, self.ends[n]) for n, e in least.items() if self.ends[n] and e <= self.ends[n][0]]
-        return [{}, min((e for e, t in ends if t[1]), default=None),
-                min((e for e, _ in ends), default=None), least]
+        ends = [(stem, (-e, w)) for n, e in least.items() if e <= self.edits[n] for stem, w in self.ends[n]]
+        return [{}, max((v for stem, v in ends if stem), default=None),
+                max((v for _, v in ends), default=None), least]
 
     def _step(self, state: list, ch: str):
         nxt = set()
@@ -128,26 +136,25 @@ class FuzzyLexicon:
         state[0][ch] = found = self.states[key]
         return found
 
-    def match(self, word: str) -> int | None:
-        """Edits of the nearest term, None if no term is near enough."""
+    def match(self, word: str) -> tuple[int, float] | None:
+        """(-edits, weight) of the nearest, then heaviest term; None if no
+        term is near enough."""
         state, best = self.start, None
         for ch in word:
             if state is None:
                 return best
             nxt = state[0].get(ch, 0)
             state = self._step(state, ch) if nxt == 0 else nxt
-            if state is not None and state[1] is not None and (best is None or state[1] < best):
+            if state is not None and state[1] is not None and (best is None or state[1] > best):
                 best = state[1]
-                if best == 0:
-                    return 0
-        if state is not None and state[2] is not None and (best is None or state[2] < best):
+        if state is not None and state[2] is not None and (best is None or state[2] > best):
             best = state[2]
         return best
 
 
 @dataclass
 class ToxicModel:
-    terms: list[tuple[str, bool]]
+    terms: list[tuple[str, bool, float]]
     innocent: frozenset[str]  # near terms, but used in clean documents
     weights: list[float]
 
@@ -158,7 +165,7 @@ class Reader:
     def __init__(self, terms, innocent) -> None:
         self.lexicon, self.innocent = FuzzyLexicon(terms), innocent
         self.clean: set[str] = set()
-        self.near: dict[str, int] = {}
+        self.near: dict[str, tuple[int, float]] = {}
 
     def words(self, tokens: list[str]) -> set[str]:
         """The distinct tokens that match."""
@@ -170,29 +177,32 @@ class Reader:
                 hits.add(t)
                 continue
             word = bare(t)
-            e = self.lexicon.match(word) if word else None
-            if e is None or e and word in self.innocent:
+            found = self.lexicon.match(word) if word else None
+            if found is None or found[0] and word in self.innocent:
                 if len(self.clean) > REMEMBERED:
                     self.clean.clear()
                 self.clean.add(t)
             else:
-                self.near[t] = e
+                self.near[t] = found
                 hits.add(t)
         return hits
 
     def features(self, text: str | None) -> list[float]:
-        """log(1 + n) of exact, misspelled and quoted matches."""
-        from math import log1p
+        """log(1 + weight) of strong, weak, misspelled and quoted matches, and
+        log(1 + words)."""
+        from math import log, log1p
 
         tokens = (text or "").lower().split()
         hits = self.words(tokens)
-        if not hits:
-            return [0.0, 0.0, 0.0]
-        counts = [0, 0, 0]
-        for i, t in enumerate(tokens):
-            if t in hits:
-                counts[2 if self.quoted(tokens, i) else min(1, self.near[t])] += 1
-        return [log1p(c) for c in counts]
+        sums = [0.0, 0.0, 0.0, 0.0]
+        if hits:
+            strong = log(STRONG)
+            for i, t in enumerate(tokens):
+                if t in hits:
+                    e, weight = self.near[t]
+                    kind = 3 if self.quoted(tokens, i) else 2 if e else 0 if weight >= strong else 1
+                    sums[kind] += weight
+        return [log1p(v) for v in sums] + [log1p(len(tokens))]
 
     @staticmethod
     def quoted(tokens: list[str], i: int) -> bool:
@@ -233,13 +243,16 @@ def _document_counts(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
 
 
 def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int,
-                  cover: int = COVER) -> list[tuple[str, bool]]:
-    support = max(2, n_toxic // 1000)
+                  cover: int = COVER) -> list[tuple[str, bool, float]]:
+    from math import log
+
+    support = max(2, n_toxic // 300)
     common = {(r["term"], r["stem"]): r["n"]
               for r in _document_counts(toxic, None).where(F.col("n") >= support).collect()}
     used = {(r["term"], r["stem"]): r["n"] for r in _document_counts(clean, frozenset(common)).collect()}
-    pure = frozenset(c for c, n in common.items()
-                     if n / n_toxic > PURITY * used.get(c, 0) / max(1, n_clean))
+    weight = {c: log((n + 0.5) / (n_toxic + 1)) - log((used.get(c, 0) + 0.5) / (n_clean + 1))
+              for c, n in common.items()}
+    pure = frozenset(c for c, w in weight.items() if w >= log(PURITY))
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,49 +269,62 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int
     chosen = []
     while where:
         gain = {c: sum(need[i] > 0 for i in docs) for c, docs in where.items()}
-        best = max(gain, key=lambda c: (gain[c], len(c[0]), not c[1], c[0]))
+        best = max(gain, key=lambda c: (gain[c] * weight[c], len(c[0]), not c[1], c[0]))
         if gain[best] < support:
             break
-        chosen.append(best)
+        chosen.append((*best, weight[best]))
         for i in where.pop(best):
             need[i] -= 1
         # what the term now covers adds nothing: neither do its own variants
         where = {c: d for c, d in where.items() if gain[c] >= support
-                 and not (best[1] and c[0].startswith(best[0])) and not (c[1] and best[0].startswith(c[0]))}
+                 and not (best[1] and c[0].startswith(best[0]) and weight[c] < weight[best] + log(STRONG))
+                 and not (c[1] and best[0].startswith(c[0]))}
     return sorted(chosen)
 
 
-def fit_toxic(sample: DataFrame, cover: int = COVER) -> ToxicModel | None:
-    """From ``t``, ``y`` (1: toxic) (see :mod:`.labelled`); None without toxic rows."""
-    bounded_batches(sample.sparkSession)
+def _lexicon_and_innocents(sample: DataFrame, cover: int):
+    """Terms, and the words of clean documents that are misspelled terms;
+    None without toxic rows."""
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(1):
         return None
-    toxic, clean = sample.where("y = 1"), sample.where("y = 0")
-    terms = learn_lexicon(toxic, clean, n[1], n.get(0, 0), cover)
+    clean = sample.where("y = 0")
+    terms = learn_lexicon(sample.where("y = 1"), clean, n[1], n.get(0, 0), cover)
 
     def innocents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, frozenset())
         for batch in batches:
             for t in batch.column("t").to_pylist():
                 reader.words((t or "").lower().split())
-        found = sorted({bare(t) for t, e in reader.near.items() if e})
+        found = sorted({bare(t) for t, (e, _) in reader.near.items() if e})
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["w"])
 
-    innocent = frozenset(r["w"] for r in clean.select("t").mapInArrow(innocents, "w string").distinct().collect())
+    found = clean.select("t").mapInArrow(innocents, "w string").distinct().collect()
+    return terms, frozenset(r["w"] for r in found)
+
+
+def fit_toxic(sample: DataFrame, cover: int = COVER) -> ToxicModel | None:
+    """From ``t``, ``y`` (1: toxic), ``u`` (see :mod:`.labelled`); None without
+    toxic rows.  The regression is fitted on rows that a first lexicon has not
+    seen; the model's lexicon is then learned from all rows."""
+    bounded_batches(sample.sparkSession)
+    found = _lexicon_and_innocents(sample, cover)
+    if found is None:
+        return None
+    first = _lexicon_and_innocents(sample.where(F.col("u") < LEXICON_SHARE), cover)
+    if first is None:
+        return ToxicModel(*found, PRIOR)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms, innocent)
+        reader = Reader(*first)
         for batch in batches:
             rows = [reader.features(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
-    rows = sample.select("t", "y").mapInArrow(measure, "x array<double>, y int") \
-                 .groupBy("x", "y").count().orderBy("x", "y").collect()
-    x = [r["x"] for r in rows for _ in range(r["count"])]
-    y = [r["y"] for r in rows for _ in range(r["count"])]
-    return ToxicModel(terms, innocent, fit_logistic(x, y, prior=PRIOR))
+    rows = sample.where(F.col("u") >= LEXICON_SHARE).select("t", "y") \
+                 .mapInArrow(measure, "x array<double>, y int").orderBy("y", "x").collect()
+    return ToxicModel(*found, fit_logistic([r["x"] for r in rows], [r["y"] for r in rows], prior=PRIOR))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicModel | None, text: str = "text",
@@ -306,11 +332,11 @@ def with_toxicity(docs: DataFrame, model: ToxicModel | None, text: str = "text",
     """Adds ``out``: the probability (0 to 1) that the text is toxic."""
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    packed = share(docs.sparkSession, model)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+        m = shared(packed)
         reader, w = Reader(m.terms, m.innocent), m.weights
         for a in batches:
             yield pa.array([sigmoid(w[0] + sum(p * q for p, q in zip(w[1:], reader.features(t))))
