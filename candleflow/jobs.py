@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,56 +37,75 @@ def build_features(spark: SparkSession, sf_dir: str, store: TableStore,
     return feats
 
 
+def _calibrator(train: DataFrame, params: dict):
+    """Fold-wise calibrated scorer: ``df -> (prediction, confidence)`` rows."""
+    def scored(df: DataFrame) -> DataFrame:
+        out, _ = ML.calibrated_scores(train, df, params)
+        up = F.col("prob_up")
+        return out.withColumn("prediction", (up >= 0.5).cast("int")) \
+                  .withColumn("confidence", F.greatest(up, 1 - up))
+    return scored
+
+
 def train(spark: SparkSession, store: TableStore, model_name: str = "RandomForestClassifier",
-          n_trials: int = ML.N_TRIALS, budget: dict | None = None, force: bool = False) -> dict:
-    """Tune (walk-forward random search), fit, evaluate on the hold-out,
-    append to the run ledger, apply the champion rule, save the model."""
+          n_trials: int = ML.N_TRIALS, space=None, params: dict | None = None, force: bool = False) -> dict:
+    """Tune (walk-forward random search; skipped when ``params`` is given),
+    fit, evaluate the calibrated scores on the hold-out, append to the run
+    ledger, apply the champion rule, save the model and its training rows.
+
+    The training columns are stored with the run: scoring compares with them.
+    """
     feats = store.load("features")
     cols = feature_columns(feats)
     train_df, test_df = ML.training_sets(feats, cols)
     train_df, test_df = cut_lineage(train_df), cut_lineage(test_df)
-    trials = ML.random_search(train_df, n_trials=n_trials, budget=budget)
-    best = trials.orderBy(F.col("cv_roc_auc").desc(), "trial").first()
-    params = json.loads(best["params"])
+    if params is None:
+        trials = ML.random_search(train_df, n_trials=n_trials, space=space)
+        best = trials.orderBy(F.col("cv_roc_auc").desc_nulls_last(), "trial").first()
+        params = json.loads(best["params"])
     model = ML.forest(params).fit(train_df)
-    m = ML.evaluate(ML.score(model, test_df)).first()
+    m = ML.evaluate(_calibrator(train_df, params)(test_df)).first()
     try:
-        prev = store.load("model_runs").drop("status")
+        prev = store.load("model_runs")
         version = (prev.filter(F.col("model_name") == model_name)
                    .agg(F.max("version")).first()[0] or 0) + 1
     except FileNotFoundError:
         prev, version = None, 1
+    now = int(time.time() * 1000)
     run = {"model_name": model_name, "version": version, "accuracy": m["accuracy"], "f1": m["f1"],
            "precision": m["precision"], "recall": m["recall"], "roc_auc": m["roc_auc"],
-           "n_features": len(cols), "trained_ms": int(time.time() * 1000),
-           "params": json.dumps(params, sort_keys=True), "run_id": ML.run_id(model_name, params)}
+           "n_features": len(cols), "trained_ms": now, "params": json.dumps(params, sort_keys=True),
+           "run_id": ML.run_id(model_name, version, now), "column_hash": FT.manifest_hash_py(feats.columns)}
     row = spark.createDataFrame([run])
-    runs = row if prev is None else prev.unionByName(row, allowMissingColumns=True)
-    decided = ML.promotion_decision(runs, force=force)
-    store.save("model_runs", runs.join(decided.select("model_name", "version", "status"),
-                                       ["model_name", "version"]))
-    promoted = decided.filter(F.col("version") == version).first()["promoted"]
+    runs = row if prev is None else prev.drop("promoted").unionByName(row, allowMissingColumns=True)
+    decided = cut_lineage(ML.promotion_decision(runs, force=force))
     path = f"{store.root}/models/{model_name}/v={version}"
     model.write().overwrite().save(path)
-    return {**run, "promoted": bool(promoted), "model_path": path}
+    store.save(f"train_{model_name}_{version}", train_df)
+    store.save("model_runs", decided)
+    mine = decided.filter((F.col("model_name") == model_name) & (F.col("version") == version)).first()
+    return {**run, "promoted": bool(mine["promoted"]), "model_path": path}
 
 
 def predict_latest(spark: SparkSession, store: TableStore, model_name: str = "RandomForestClassifier",
                    horizon_days: int = O.HORIZON_DAYS) -> DataFrame:
-    """Score the newest feature row of every series with the production
-    model and upsert the predictions (entry price = that bar's close)."""
+    """Score the newest feature row of every series with the calibrated
+    production model and upsert the predictions (entry price = that bar's
+    close).  The features must have the columns the model was trained on."""
     feats = store.load("features")
     cols = feature_columns(feats)
-    expected = store.load("feature_manifest").first()["column_hash"]
-    if FT.manifest_hash_py(feats.columns) != expected:
-        raise ValueError("feature drift: column hash differs from the manifest")
     prod = (store.load("model_runs").filter((F.col("model_name") == model_name) &
                                             (F.col("status") == "production")).first())
-    model = RandomForestClassificationModel.load(f"{store.root}/models/{model_name}/v={prod['version']}")
+    if prod is None:
+        raise LookupError(f"no {model_name} in production")
+    if FT.manifest_hash_py(feats.columns) != prod["column_hash"]:
+        raise ValueError("feature drift: the columns differ from those the model was trained on")
     newest = feats.groupBy("symbol").agg(F.max("ts").alias("ts"))
-    rows = ML.assemble(feats.join(newest, ["symbol", "ts"]), cols)
+    rows = feats.join(newest, ["symbol", "ts"]).withColumn("target", F.lit(None).cast("int"))
+    train_df = store.load(f"train_{model_name}_{prod['version']}")
+    scored = _calibrator(train_df, json.loads(prod["params"]))(ML.assemble(rows, cols))
     bars = store.load("bars_daily").select("symbol", "ts", F.col("close").alias("entry_price"))
-    new = (ML.score(model, rows).join(bars, ["symbol", "ts"], "left")
+    new = (scored.join(bars, ["symbol", "ts"], "left")
            .select("symbol", "ts", "prediction", "confidence",
                    F.lit(horizon_days).alias("horizon_days"), "entry_price"))
     return store.upsert("predictions", new, ["symbol", "ts"])

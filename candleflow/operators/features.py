@@ -183,12 +183,13 @@ def manifest_hash_py(columns: list[str]) -> str:
 
 
 def manifest_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Columns missing from ``actual`` and extra in it (two anti joins)."""
-    spark = expected.sparkSession
-    e = spark.createDataFrame([(c,) for c in expected.columns], "column string")
-    a = spark.createDataFrame([(c,) for c in actual.columns], "column string")
-    return (e.join(a, "column", "left_anti").withColumn("status", F.lit("missing"))
-            .unionByName(a.join(e, "column", "left_anti").withColumn("status", F.lit("extra"))))
+    """From two manifests, columns ``missing`` in the second and
+    ``extra`` in it, with the row count of the table that has them."""
+    def columns(m):
+        return m.select(F.explode(F.from_json("columns_json", "array<string>")).alias("column"), "row_count")
+    e, a = columns(expected), columns(actual)
+    return (e.join(a.select("column"), "column", "left_anti").withColumn("status", F.lit("missing"))
+            .unionByName(a.join(e.select("column"), "column", "left_anti").withColumn("status", F.lit("extra"))))
 
 
 __all__ = ["close_panel", "long_panel", "side_panel", "indicator_frame", "stationary",

@@ -2,10 +2,9 @@
 fits, walk-forward random search, fold-wise calibration, scoring, the run
 ledger and the champion rule.
 
-One pooled model is fitted over the whole panel (every series' chronological
-train split); fold and split assignments come from
-:mod:`candleflow.operators.dataset`, so no row ever trains a model that is
-evaluated on an earlier row of its own series.  Driver-side loops run over
+One pooled model is fitted over the whole panel; split and fold dates come
+from :mod:`candleflow.operators.dataset`, so no row ever trains a model that
+is evaluated on an earlier row of any series.  Driver-side loops run over
 *folds and trials* (a handful of Spark jobs), never over rows.
 """
 
@@ -20,6 +19,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +47,8 @@ def assemble(df: DataFrame, feature_cols: list[str]) -> DataFrame:
 def training_sets(features: DataFrame, feature_cols: list[str]):
     """(train, test) with ``features``/``label``/``weight`` columns.
 
-    train = chronological train split minus the embargo, weighted by decay x
-    balanced class weight; test = the newest 20 % of each series.
+    train = the panel's dates before the embargo, weighted by decay x balanced
+    class weight; test = the newest 20 % of the dates.
     """
     lab = D.chrono_split(D.training_window(D.labelled_rows(features)))
     train = D.class_weights(D.sample_weights(lab.filter(F.col("split") == "train").drop("split")))
@@ -97,10 +97,10 @@ def importances(model, feature_cols: list[str]) -> DataFrame:
                               "feature string, importance double")
 
 
-def top_importances(imp: DataFrame, k: int = TOP_K) -> DataFrame:
-    """L4: the k largest importances (TakeOrdered)."""
-    return imp.orderBy(F.col("importance").desc(), "feature").limit(k) \
-        .withColumn("importance", F.round("importance", 6))
+def top_importances(imp: DataFrame, k: int = TOP_K, ascending: bool = False) -> DataFrame:
+    """The k largest (or smallest) importances (TakeOrdered)."""
+    by = F.col("importance").asc() if ascending else F.col("importance").desc()
+    return imp.orderBy(by, "feature").limit(k).withColumn("importance", F.round("importance", 6))
 
 
 # ------------------------------------------------------------------ calibration
@@ -130,20 +130,17 @@ def calibrated_scores(train: DataFrame, test: DataFrame, base_params: dict | Non
     over folds.  Isotonic first, sigmoid if isotonic fails on any fold.
     """
     fitters = fitters or {"isotonic": _isotonic, "sigmoid": _sigmoid}
-    folds = cut_lineage(D.calibration_folds(train.drop("bar_no") if "bar_no" in train.columns else train))
-    n_folds = folds.agg(F.max("fold")).first()[0] + 1
     bases = []
-    for k in range(n_folds):
-        fk = folds.filter(F.col("fold") == k)
-        base = forest(base_params).fit(fk.filter(F.col("role") == "train"))
-        held = score(base, fk.filter(F.col("role") == "test")).select(
+    for role in D.calibration_roles(train):
+        base = forest(base_params).fit(train.filter(role == "train"))
+        held = score(base, train.filter(role == "test")).select(
             F.col("prob_up").alias("raw"), "label", "weight")
         bases.append((base, held))
     last_error = None
     for method in ("isotonic", "sigmoid"):
         try:
             cals = [fitters[method](held) for _, held in bases]
-        except Exception as exc:  # noqa: BLE001 - any fit failure falls back
+        except (ValueError, IllegalArgumentException) as exc:  # the fit itself, not a lost executor
             last_error = exc
             continue
         probs = None
@@ -176,70 +173,104 @@ def sample_params(rng: random.Random) -> dict:
     return p
 
 
+def sample_gbt_params(rng: random.Random) -> dict:
+    """One draw from the boosted-tree search space (seeded), mapped to Spark."""
+    def log_uniform(a, b):
+        return math.exp(rng.uniform(math.log(a), math.log(b)))
+    return {"maxIter": int(round(log_uniform(100, 1000))), "stepSize": log_uniform(0.005, 0.2),
+            "maxDepth": rng.randint(3, 8), "minInstancesPerNode": rng.randint(5, 60),
+            "subsamplingRate": rng.uniform(0.6, 1.0),
+            "featureSubsetStrategy": f"{rng.uniform(0.4, 1.0):.4f}"}
+
+
+#: trainer -> (estimator from parameters, search space)
+TRAINERS = {"forest": (forest, sample_params), "gbt": (gbt, sample_gbt_params)}
+
+
 def random_search(train: DataFrame, n_trials: int = N_TRIALS, seed: int = 42,
-                  budget: dict | None = None, parallel: int = 2) -> DataFrame:
+                  trainer: str = "forest", space=None, parallel: int = 2) -> DataFrame:
     """ML10: maximise mean walk-forward AUC; every trial's metrics kept.
 
-    Trials are independent Spark jobs submitted from a small thread pool;
-    ``budget`` overrides parameters for a bounded run (e.g. tree count).
+    Trials are independent Spark jobs submitted from a small thread pool over
+    one written copy of the training rows; folds are date filters on it.
+    Folds whose train or test rows have one class only are left out of the
+    means.  ``space`` replaces the trainer's search space.
     """
-    folds = cut_lineage(D.walk_forward_folds(train.drop("bar_no") if "bar_no" in train.columns else train))
-    n_folds = folds.agg(F.max("fold")).first()[0] + 1
+    data = cut_lineage(train)
+    roles = D.fold_roles(data, D.WF_SPLITS, D.WF_GAP)
+    both = F.countDistinct("label") == 2
+    usable = [r for r in roles if all(
+        data.filter(r == part).agg(both.alias("b")).first()["b"] for part in ("train", "test"))]
+    estimator, own_space = TRAINERS[trainer]
     rng = random.Random(seed)
-    trials = [{**sample_params(rng), **(budget or {})} for _ in range(n_trials)]
+    trials = [(space or own_space)(rng) for _ in range(n_trials)]
 
     def run(i_params):
         i, params = i_params
-        precs, recs, aucs = [], [], []
-        for k in range(n_folds):
-            fk = folds.filter(F.col("fold") == k)
-            m = forest(params).fit(fk.filter(F.col("role") == "train"))
-            ev = evaluate(score(m, fk.filter(F.col("role") == "test"))).first()
-            precs.append(ev["precision"])
-            recs.append(ev["recall"])
-            aucs.append(ev["roc_auc"])
-        mean = lambda xs: sum(xs) / len(xs)
-        return (i, json.dumps(params, sort_keys=True), mean(precs), mean(recs), mean(aucs))
+        evs = []
+        for role in usable:
+            m = estimator(params).fit(data.filter(role == "train"))
+            evs.append(evaluate(score(m, data.filter(role == "test"))).first())
+        mean = lambda key: sum(e[key] for e in evs) / len(evs) if evs else None
+        return (i, json.dumps(params, sort_keys=True), len(evs), mean("precision"), mean("recall"), mean("roc_auc"))
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         rows = list(pool.map(run, enumerate(trials)))
-    spark = train.sparkSession
-    return spark.createDataFrame(rows, "trial int, params string, cv_precision double, "
-                                       "cv_recall double, cv_roc_auc double")
+    return train.sparkSession.createDataFrame(
+        rows, "trial int, params string, n_folds int, cv_precision double, cv_recall double, cv_roc_auc double")
 
 
 # ------------------------------------------------------------------ ledger / champion
 
-def run_id(model_name: str, params: dict) -> str:
-    return hashlib.sha256(f"{model_name}:{json.dumps(params, sort_keys=True)}".encode()).hexdigest()[:16]
+def run_id(model_name: str, version: int, trained_ms: int) -> str:
+    """Differs between two trainings of the same parameters."""
+    return hashlib.sha256(f"{model_name}:{version}:{trained_ms}".encode()).hexdigest()[:16]
 
 
-def promotion_decision(runs: DataFrame, force: bool = False) -> DataFrame:
-    """ML17/ML18: decide on the newest version of each model.
+def _wins(champion, new, force: bool = False):
+    """ML17: no champion, its feature count unknown or another, a strictly
+    better AUC, or ``force``."""
+    return (champion["version"].isNull() | champion["n_features"].isNull()
+            | ~champion["n_features"].eqNullSafe(new["n_features"])
+            | (new["roc_auc"] > champion["roc_auc"]) | F.lit(force))
 
-    Champion = the best earlier version by AUC (ties: the newer).  Promote
-    if there is no champion, the champion's feature count is unknown or
-    differs, the AUC is strictly better, or ``force``.  Every other version
-    is marked archived -- nothing is deleted.
+
+def promotion_decision(runs: DataFrame, force: bool = False) -> DataFrame:
+    """ML17/ML18: the champion rule over a ledger.
+
+    Runs are registered in version order.  The champion is the run in
+    production, the last one promoted; each new run is compared with it.  A
+    rejected run stays a candidate and changes nothing else; a promoted one
+    archives the champion, whose metrics and parameters stay in the ledger.
+    A ledger with a ``status`` column keeps its decisions: runs that have a
+    status are not decided again.  One row per model gathers its versions (as
+    many as trainings), never data rows.
     """
-    latest = runs.groupBy("model_name").agg(F.max("version").alias("_latest"))
-    r = runs.join(latest, "model_name")
-    champ = (r.filter(F.col("version") < F.col("_latest")).groupBy("model_name")
-             .agg(F.max_by(F.struct("version", "roc_auc", "n_features"),
-                           F.struct("roc_auc", "version")).alias("_c")))
-    new = r.filter(F.col("version") == F.col("_latest")).join(champ, "model_name", "left")
-    changed = (F.col("_c").isNotNull() &
-               (F.col("_c.n_features").isNull() | (F.col("_c.n_features") != F.col("n_features"))))
-    promote = (F.col("_c").isNull() | changed | (F.col("roc_auc") > F.col("_c.roc_auc")) | F.lit(force))
-    decided = new.select("model_name", F.col("version").alias("new_version"),
-                         F.col("_c.version").alias("champion_version"), promote.alias("promoted"))
-    out = runs.join(decided, "model_name")
-    status = (F.when(F.col("version") == F.col("new_version"),
-                     F.when(F.col("promoted"), "production").otherwise("candidate"))
-              .when(~F.col("promoted") & (F.col("version") == F.col("champion_version")), "production")
-              .otherwise("archived"))
-    return out.select("model_name", "version", "roc_auc", "n_features", status.alias("status"),
-                      "promoted")
+    known = "status" in runs.columns
+    cols = [c for c in runs.columns if c not in ("model_name", "status", "promoted")]
+    entry = F.struct(*cols, (F.col("status") if known else F.lit(None).cast("string")).alias("status"))
+    ledger = runs.groupBy("model_name").agg(F.array_sort(F.collect_list(
+        F.struct(F.col("version").alias("_v"), entry.alias("run")))).alias("_l"))
+    none = F.lit(None)
+    start = F.struct(none.cast("int").alias("version"), none.cast("double").alias("roc_auc"),
+                     none.cast("int").alias("n_features"), F.array().cast("array<int>").alias("won"))
+
+    def step(acc, x):
+        run = x["run"]
+        decided = run["status"].isNotNull()
+        won = F.when(decided, run["status"].isin("production", "archived")).otherwise(_wins(acc, run, force))
+        pick = lambda field, kind: F.when(won, run[field].cast(kind)).otherwise(acc[field]).alias(field)
+        return F.struct(pick("version", "int"), pick("roc_auc", "double"), pick("n_features", "int"),
+                        F.when(won, F.concat(acc["won"], F.array(run["version"].cast("int"))))
+                        .otherwise(acc["won"]).alias("won"))
+
+    done = ledger.withColumn("_c", F.aggregate("_l", start, step))
+    rows = done.select("model_name", "_c", F.explode("_l").alias("_x"))
+    version = F.col("_x.run.version").cast("int")
+    promoted = F.array_contains("_c.won", version)
+    status = F.when(version == F.col("_c.version"), "production").when(promoted, "archived").otherwise("candidate")
+    return rows.select("model_name", *[F.col(f"_x.run.{c}").alias(c) for c in cols],
+                       status.alias("status"), promoted.alias("promoted"))
 
 
 def latest_model(runs: DataFrame) -> DataFrame:
@@ -254,5 +285,7 @@ def model_card(runs: DataFrame) -> DataFrame:
     return lm.select(
         "model_name",
         F.regexp_replace("model_name", "(Classifier|Regressor)$", "").alias("short_name"),
-        F.date_format(F.timestamp_millis(F.col("trained_ms")), "yyyy-MM-dd").alias("trained"),
+        # days since 1970 in UTC, whatever the session's time zone
+        F.date_format(F.date_add(F.lit("1970-01-01").cast("date"),
+                                 F.floor(F.col("trained_ms") / 86_400_000).cast("int")), "yyyy-MM-dd").alias("trained"),
         "version", "accuracy", "f1", "precision", "recall", "roc_auc")

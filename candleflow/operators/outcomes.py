@@ -43,13 +43,15 @@ def asof_forward(probes: DataFrame, bars: DataFrame, probe_ts: str, cols: list[s
     """Attach the first bar with ``ts >= probe_ts`` (same symbol) to each probe.
 
     ``(symbol, key_ts)`` identifies a probe (and ``probe_ts`` must be unique
-    per symbol).  Probes sort before a bar of the same date, so the
+    per symbol).  Probe and bar times keep the type of the bars' ``ts`` (dates or
+    timestamps).  Probes sort before a bar of the same time, so the
     back-carry from a probe reaches that bar.
     """
-    left = probes.select(KEY, F.col(probe_ts).cast("date").alias("ts"),
+    at = bars.schema["ts"].dataType
+    left = probes.select(KEY, F.col(probe_ts).cast(at).alias("ts"),
                          F.col(key_ts).alias("_pts"), F.lit(0).alias("_is_bar"),
                          *[F.lit(None).cast("double").alias(c) for c in cols],
-                         F.lit(None).cast("date").alias("_bts"))
+                         F.lit(None).cast(at).alias("_bts"))
     right = bars.select(KEY, "ts", F.lit(None).cast(probes.schema[key_ts].dataType).alias("_pts"),
                         F.lit(1).alias("_is_bar"), *cols, F.col("ts").alias("_bts"))
     u = with_bar_no(left.unionByName(right), tiebreak=["_is_bar"])
@@ -62,9 +64,12 @@ def asof_forward(probes: DataFrame, bars: DataFrame, probe_ts: str, cols: list[s
 def prediction_outcomes(preds: DataFrame, bars: DataFrame, horizon_days: int = HORIZON_DAYS) -> DataFrame:
     """Outcome per prediction (open when entry or exit is unknown)."""
     at = bars.select(KEY, "ts", F.col("close").alias("_bar_close"))
+    daily = bars.schema["ts"].dataType.typeName() == "date"
+    probe = F.date_add(F.col("ts"), horizon_days) if daily else \
+        F.col("ts") + F.make_dt_interval(F.lit(horizon_days))
     p = (preds.join(at, [KEY, "ts"], "left")
          .withColumn("entry", F.coalesce(F.col("entry_price"), F.col("_bar_close")))
-         .withColumn("_probe", F.date_add(F.col("ts"), horizon_days)))
+         .withColumn("_probe", probe))
     p = asof_forward(p, bars, "_probe", ["close"])
     up = F.col("prediction") == 1
     has = F.col("entry").isNotNull() & F.col("exit_close").isNotNull()

@@ -71,14 +71,16 @@ def range_extremes(df: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
     from pyspark.sql import Window
     lf = long_form(df.select(*cols), cols)
     rng = lf.groupBy("feature").agg((F.max("value") - F.min("value")).alias("range"))
-    everything = Window.partitionBy()
-    rng = (rng.withColumn("ratio", F.max("range").over(everything) / F.min("range").over(everything))
-              .withColumn("_hi", F.row_number().over(Window.orderBy(F.col("range").desc(), "feature")))
-              .withColumn("_lo", F.row_number().over(Window.orderBy(F.col("range").asc(), "feature"))))
-    big = rng.filter(F.col("_hi") <= k).withColumn("kind", F.lit("largest")).withColumn("rank", F.col("_hi"))
-    small = rng.filter(F.col("_lo") <= k).withColumn("kind", F.lit("smallest")).withColumn("rank", F.col("_lo"))
-    return big.unionByName(small).select("kind", F.col("rank").cast("int").alias("rank"),
-                                         "feature", "range", "ratio")
+    edge = rng.agg(F.max("range").alias("_top"), F.min("range").alias("_low"))
+    best = F.col("range").desc()
+    parts = []
+    for kind, by in (("largest", best), ("smallest", F.col("range").asc())):
+        few = rng.orderBy(by, "feature").limit(k)  # at most k rows are ranked
+        rank = F.row_number().over(Window.partitionBy("kind").orderBy(by, "feature"))
+        parts.append(few.withColumn("kind", F.lit(kind)).withColumn("rank", rank))
+    out = parts[0].unionByName(parts[1]).crossJoin(F.broadcast(edge))  # one row
+    return out.select("kind", F.col("rank").cast("int").alias("rank"), "feature", "range",
+                      (F.col("_top") / F.col("_low")).alias("ratio"))
 
 
 def target_corr(df: DataFrame, cols: list[str], target: str = "target") -> DataFrame:

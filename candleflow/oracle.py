@@ -309,6 +309,12 @@ PRED_COLS = "symbol, ts, prediction, round(confidence, 6) AS confidence, horizon
 
 SQL["predictions"] = with_bars(f"SELECT {PRED_COLS} FROM preds", PREDS)
 SQL["prediction_outcomes"] = rounded(with_bars("SELECT * FROM outc", PREDS), r6=["confidence"])
+# the same statements over hourly bars; the probe keeps the time of day
+_HOURLY = (HOURLY_BARS + ", bars AS (SELECT * FROM hbars), b AS (SELECT *, row_number() OVER "
+           "(PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM bars)," + PREDS
+           .replace("CAST(ts + INTERVAL 10 DAY AS DATE)", "ts + INTERVAL 10 DAY"))
+SQL["hourly_outcomes"] = rounded(f"WITH {_HOURLY}\nSELECT * FROM outc", r6=["confidence"])
+
 SQL["pnl_summary"] = rounded(with_bars("""
 SELECT symbol, sum(pnl) AS total_pnl, avg(CAST(correct AS DOUBLE)) AS accuracy, avg(return_pct) AS avg_return,
        count(*) AS n_closed
@@ -356,14 +362,13 @@ FROM preds p JOIN (SELECT symbol, min(ts) AS first_ts FROM bars
   ON f.symbol = p.symbol AND p.ts >= f.first_ts""", PREDS)
 
 NEW_BATCH = """
-sm10 AS (SELECT b.*, CASE WHEN count(close) OVER f10 = 10 THEN avg(close) OVER f10 END AS sma10,
-                max(bar_no) OVER (PARTITION BY symbol) AS last_bar
+sm10 AS (SELECT b.*, CASE WHEN count(close) OVER f10 = 10 THEN avg(close) OVER f10 END AS sma10
          FROM b WINDOW f10 AS (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 newp AS (
   SELECT symbol, ts, CAST(close > sma10 AS INTEGER) AS prediction,
          least(greatest(0.5 + abs(close / sma10 - 1), 0.5), 1.0) AS confidence,
          10 AS horizon_days, CASE WHEN bar_no % 3 <> 0 THEN close END AS entry_price
-  FROM sm10 WHERE sma10 IS NOT NULL AND bar_no > last_bar - 30
+  FROM sm10 WHERE sma10 IS NOT NULL
 ),
 merged AS (
   SELECT symbol, ts, arg_max(prediction, arrival) AS prediction, arg_max(confidence, arrival) AS confidence,
@@ -459,19 +464,18 @@ FROM bars WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 6 MONTH GROUP BY sym
 LAB = """
 lab AS (SELECT * FROM feat WHERE target IS NOT NULL
         AND ts >= (SELECT max(ts) FROM feat WHERE target IS NOT NULL) - INTERVAL 144 MONTH),
+cal AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n
+        FROM (SELECT DISTINCT ts FROM lab) d),
 spl AS (
-  SELECT *, CASE WHEN pos >= n - ceil(n * 0.2) THEN 'test'
-                 WHEN pos >= n - ceil(n * 0.2) - 10 THEN 'embargo' ELSE 'train' END AS split
-  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos,
-               count(*) OVER (PARTITION BY symbol) AS n FROM lab) t
-),
-tr AS (
-  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS tpos,
-         count(*) OVER (PARTITION BY symbol) AS m
-  FROM spl WHERE split = 'train'
+  SELECT lab.*, CASE WHEN pos >= n - ceil(n * 0.2) THEN 'test'
+                     WHEN pos >= n - ceil(n * 0.2) - 10 THEN 'embargo' ELSE 'train' END AS split
+  FROM lab JOIN cal USING (ts)
 ),
+tcal AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS tpos, count(*) OVER () AS m
+         FROM (SELECT DISTINCT ts FROM spl WHERE split = 'train') d),
+tr AS (SELECT spl.*, tpos, m FROM spl JOIN tcal USING (ts) WHERE split = 'train'),
 wt AS (
-  SELECT *, w / avg(w) OVER (PARTITION BY symbol) AS weight FROM (
+  SELECT *, w / avg(w) OVER () AS weight FROM (
     SELECT *, exp(-m / greatest(floor(m * 0.33), 1.0)
                   + tpos * CASE WHEN m > 1 THEN (m / greatest(floor(m * 0.33), 1.0)) / (m - 1) ELSE 0 END) AS w
     FROM tr) t
@@ -479,6 +483,8 @@ wt AS (
 
 SQL["labelled_rows"] = with_feat("SELECT symbol, ts, target FROM feat WHERE target IS NOT NULL")
 SQL["training_window"] = with_feat("SELECT symbol, ts, target FROM lab", LAB)
+SQL["training_window_short"] = with_feat("""SELECT symbol, ts, target FROM feat WHERE target IS NOT NULL
+  AND ts >= (SELECT max(ts) FROM feat WHERE target IS NOT NULL) - INTERVAL 36 MONTH""")
 SQL["chrono_split"] = with_feat("SELECT symbol, ts, split FROM spl", LAB)
 SQL["class_balance"] = rounded(with_feat("""
 SELECT split, CAST(sum(target) AS BIGINT) AS n_up, CAST(sum(1 - target) AS BIGINT) AS n_down,
@@ -487,7 +493,7 @@ FROM spl WHERE split <> 'embargo' GROUP BY split""", LAB), r6=["pct_up"])
 SQL["sample_weights"] = rounded(with_feat("SELECT symbol, ts, weight FROM wt", LAB), r6=["weight"])
 SQL["class_weights"] = rounded(with_feat("""
 SELECT symbol, ts, target, cw AS class_weight, weight * cw AS weight FROM (
-  SELECT *, count(*) OVER (PARTITION BY symbol) / (2.0 * count(*) OVER (PARTITION BY symbol, target)) AS cw
+  SELECT *, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY target)) AS cw
   FROM wt) t""", LAB), r6=["class_weight", "weight"])
 
 
@@ -558,20 +564,6 @@ SQL["mean_confidence"] = rounded(with_bars(
     "SELECT symbol, avg(greatest(score, 1 - score)) AS mean_confidence FROM sc GROUP BY symbol", SCORED),
     r6=["mean_confidence"])
 
-FOLD_TEST = """
-wf AS (
-  SELECT symbol, ts, target, fold FROM (
-    SELECT tr.*, fold,
-           tpos >= m - (5 - fold) * floor(m / 6) AND tpos < m - (5 - fold) * floor(m / 6) + floor(m / 6) AS is_test
-    FROM tr, range(0, 5) r(fold)) x WHERE is_test
-),
-wfp AS (SELECT wf.*, p.prediction FROM wf JOIN preds p USING (symbol, ts)),
-fm AS (""" + _metrics("wfp", "symbol, fold") + """)"""
-
-SQL["cv_summary"] = rounded(f"WITH {FEAT}, {feature_sql(SIDE)}, {LAB}, " + PREDS + "," + FOLD_TEST + """
-SELECT symbol, avg(precision) AS precision, avg(recall) AS recall, avg(accuracy) AS accuracy
-FROM fm GROUP BY symbol""", r6=["precision", "recall", "accuracy"])
-
 # ------------------------------------------------------------------ run ledger (rule model)
 
 RULE_RUNS = """
@@ -589,7 +581,8 @@ wt2 AS (
 ),
 fmet AS (""" + _metrics("wt2", "symbol, fold") + """),
 fauc AS (
-  SELECT symbol, fold, CASE WHEN P = 0 OR N = 0 THEN 0.5 ELSE (sr - P * (P + 1) / 2.0) / (P * N) END AS roc_auc
+  SELECT symbol, fold, CASE WHEN P = 0 OR N = 0 THEN 0.5 ELSE (sr - P * (P + 1) / 2.0) / (P * N) END AS roc_auc,
+         P = 0 OR N = 0 AS one_class
   FROM (SELECT symbol, fold, sum(CASE WHEN target = 1 THEN ar ELSE 0 END) AS sr,
                CAST(sum(target) AS DOUBLE) AS P, CAST(sum(1 - target) AS DOUBLE) AS N
         FROM (SELECT symbol, fold, target,
@@ -598,39 +591,44 @@ fauc AS (
               FROM wt2) r GROUP BY symbol, fold) t
 ),
 ftr AS (SELECT symbol, fold, max(ts) AS last_ts FROM wfa WHERE role = 'train' GROUP BY symbol, fold),
-runs AS (
+runs0 AS (
   SELECT 'SmaRule' || m.symbol || 'Classifier' AS model_name, CAST(m.fold + 1 AS INTEGER) AS version,
          m.accuracy, m.f1, m.precision, m.recall, a.roc_auc,
          CASE WHEN m.fold = 0 THEN NULL ELSE 1 END AS n_features,
          epoch_ms(CAST(ftr.last_ts AS TIMESTAMP)) AS trained_ms
   FROM fmet m JOIN fauc a USING (symbol, fold) JOIN ftr USING (symbol, fold)
-)"""
+),
+runs AS (SELECT *, '{"window": 20}' AS params,
+                substr(sha256(model_name || ':' || version || ':' || trained_ms), 1, 16) AS run_id FROM runs0)"""
 
 RUNS_WITH = f"WITH {FEAT}, {feature_sql(SIDE)}, {LAB}, " + PREDS + "," + RULE_RUNS
 _RM = ["accuracy", "f1", "precision", "recall", "roc_auc"]
 
+SQL["cv_summary"] = rounded(RUNS_WITH + """
+SELECT m.symbol, avg(precision) AS precision, avg(recall) AS recall, avg(accuracy) AS accuracy,
+       avg(CASE WHEN one_class THEN NULL ELSE roc_auc END) AS roc_auc
+FROM fmet m JOIN fauc a USING (symbol, fold) GROUP BY m.symbol""", r6=["precision", "recall", "accuracy", "roc_auc"])
+
 SQL["model_runs"] = rounded(RUNS_WITH + "\nSELECT * FROM runs", r6=_RM)
 SQL["latest_model"] = rounded(RUNS_WITH + """
 SELECT r.* FROM runs r JOIN (SELECT model_name, max(version) AS v FROM runs GROUP BY model_name) l
   ON l.model_name = r.model_name AND l.v = r.version""", r6=_RM)
+# the ledger replayed run by run: each against the champion of its time
 SQL["promotion_decision"] = rounded(RUNS_WITH + """,
-lat AS (SELECT model_name, max(version) AS new_version FROM runs GROUP BY model_name),
-ch AS (SELECT r.model_name, arg_max(r.version, (r.roc_auc, r.version)) AS cv,
-              arg_max(r.roc_auc, (r.roc_auc, r.version)) AS cauc,
-              arg_max(struct_pack(n := r.n_features), (r.roc_auc, r.version)).n AS cn
-       FROM runs r JOIN lat USING (model_name) WHERE r.version < lat.new_version GROUP BY r.model_name),
+seq AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version) AS k FROM runs),
 dec AS (
-  SELECT lat.model_name, lat.new_version, ch.cv AS champion_version,
-         (ch.cv IS NULL) OR (ch.cn IS NULL OR ch.cn <> n.n_features) OR (n.roc_auc > ch.cauc) AS promoted
-  FROM lat JOIN runs n ON n.model_name = lat.model_name AND n.version = lat.new_version
-  LEFT JOIN ch ON ch.model_name = lat.model_name
-)
-SELECT r.model_name, r.version, r.roc_auc, r.n_features,
-       CASE WHEN r.version = d.new_version THEN (CASE WHEN d.promoted THEN 'production' ELSE 'candidate' END)
-            WHEN NOT d.promoted AND r.version = d.champion_version THEN 'production'
-            ELSE 'archived' END AS status,
-       d.promoted
-FROM runs r JOIN dec d USING (model_name)""", r6=["roc_auc"])
+  SELECT model_name, k, version, TRUE AS promoted, version AS cv, roc_auc AS cauc, n_features AS cn FROM seq WHERE k = 1
+  UNION ALL
+  SELECT model_name, k, version, won, CASE WHEN won THEN version ELSE cv END,
+         CASE WHEN won THEN roc_auc ELSE cauc END, CASE WHEN won THEN n_features ELSE cn END
+  FROM (SELECT s.*, d.cv, d.cauc, d.cn, d.cn IS NULL OR d.cn IS DISTINCT FROM s.n_features OR s.roc_auc > d.cauc AS won
+        FROM dec d JOIN seq s ON s.model_name = d.model_name AND s.k = d.k + 1) t
+),
+fin AS (SELECT model_name, arg_max(cv, k) AS champion FROM dec GROUP BY model_name)
+SELECT r.model_name, r.version, r.accuracy, r.f1, r.roc_auc, r.n_features, r.params,
+       CASE WHEN r.version = fin.champion THEN 'production' WHEN dec.promoted THEN 'archived' ELSE 'candidate' END AS status,
+       dec.promoted
+FROM runs r JOIN dec USING (model_name, version) JOIN fin USING (model_name)""", r6=["accuracy", "f1", "roc_auc"])
 SQL["model_card"] = rounded(RUNS_WITH + """
 SELECT r.model_name, regexp_replace(r.model_name, '(Classifier|Regressor)$', '') AS short_name,
        strftime(epoch_ms(r.trained_ms), '%Y-%m-%d') AS trained, r.version,
@@ -642,14 +640,16 @@ FROM runs r JOIN (SELECT model_name, max(version) AS v FROM runs GROUP BY model_
 
 SQL["stream_bars"] = SQL["ohlcv_bars_hourly"]
 
-# ------------------------------------------------------------------ manifest diff (schema of two queries)
+# ------------------------------------------------------------------ manifest diff (schema and rows of two queries)
 
 SQL["manifest_diff"] = f"""
 WITH e AS (SELECT column_name AS col FROM (DESCRIBE {SQL["feature_table"]})),
      a AS (SELECT column_name AS col FROM (DESCRIBE {SQL["stationary"]}))
-SELECT col AS "column", 'missing' AS status FROM (SELECT col FROM e EXCEPT SELECT col FROM a) m
+SELECT col AS "column", (SELECT count(*) FROM ({SQL["feature_table"]}) f) AS row_count, 'missing' AS status
+FROM (SELECT col FROM e EXCEPT SELECT col FROM a) m
 UNION ALL
-SELECT col AS "column", 'extra' AS status FROM (SELECT col FROM a EXCEPT SELECT col FROM e) x"""
+SELECT col AS "column", (SELECT count(*) FROM ({SQL["stationary"]}) s) AS row_count, 'extra' AS status
+FROM (SELECT col FROM a EXCEPT SELECT col FROM e) x"""
 
 # ------------------------------------------------------------------ documented extras
 

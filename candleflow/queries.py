@@ -103,7 +103,7 @@ def ohlcv_bars_hourly(spark, sf):
 @query("recent_bars")
 def recent_bars(spark, sf):
     """Bars of the last 12 months before the newest bar."""
-    return S.recent(_ctx(spark, sf).daily, 12).select(*BAR_COLS)
+    return S.recent(_ctx(spark, sf).daily, 12, S.newest_day(spark, sf)).select(*BAR_COLS)
 
 
 @query("latest_rows")
@@ -359,15 +359,23 @@ def manifest_hash(spark, sf):
 
 @query("manifest_diff")
 def manifest_diff(spark, sf):
-    """J7/ML14: columns the scoring frame lacks / adds vs the feature table."""
-    expected = feature_frame(spark, sf)
-    actual = FT.stationary(_surviving(spark, sf)).select("symbol", "ts", *STAT_COLS)
-    return FT.manifest_diff(expected, actual)
+    """J7/U4/ML14: stored manifest of the training features against that of
+    another stored feature table (no side closes, no label)."""
+    import uuid
+
+    from candleflow.session import checkpoint_dir
+    store = TableStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.save("features", feature_frame(spark, sf))
+    store.save("scoring", FT.stationary(_surviving(spark, sf)).select("symbol", "ts", *STAT_COLS))
+    for name in ("features", "scoring"):
+        store.save(f"{name}_manifest", FT.manifest(store.load(name)))
+    return FT.manifest_diff(store.load("features_manifest"), store.load("scoring_manifest"))
 
 
 # ------------------------------------------------------------------ market structure
 
 from candleflow.operators import structure as M  # noqa: E402
+from candleflow.sources.store import TableStore  # noqa: E402
 
 
 @query("atr_days")
@@ -498,6 +506,14 @@ def prediction_outcomes(spark, sf):
     return _round(_outcomes(spark, sf), r6=["confidence"])
 
 
+@query("hourly_outcomes")
+def hourly_outcomes(spark, sf):
+    """J4/J5 on hourly bars: as-of on timestamps, 10 days later to the hour."""
+    bars = S.indexed_bars(spark, sf, hourly=True)
+    preds = materialize(O.predictions_from_bars(I.with_windows(bars, [I.sma_cols], I.SMA_OVERLAY)), "predictions")
+    return _round(O.prediction_outcomes(preds, bars.drop("bar_no")), r6=["confidence"])
+
+
 @query("pnl_summary")
 def pnl_summary(spark, sf):
     """A1 + P8: summary over closed outcomes."""
@@ -539,18 +555,15 @@ def prediction_markers(spark, sf):
 @query("visible_predictions")
 def visible_predictions(spark, sf):
     """Predictions not older than the first bar of the last 6 months."""
-    recent = S.recent(_ctx(spark, sf).daily, 6)
+    recent = S.recent(_ctx(spark, sf).daily, 6, S.newest_day(spark, sf))
     first = recent.groupBy("symbol").agg(F.min("ts").alias("_first"))
     p = _predictions(spark, sf).join(first, "symbol").filter(F.col("ts") >= F.col("_first"))
     return _round(p.select("symbol", "ts", "prediction", "confidence"), r6=["confidence"])
 
 
 def _new_batch(spark, sf):
-    """A second prediction run over the newest 30 bars (SMA-10 rule)."""
-    bars = _ctx(spark, sf).bars
-    ind = I.with_windows(bars, [lambda d, w: I.sma_cols(d, w, 10, "sma20")], 10)
-    sizes = bars.groupBy("symbol").agg(F.max("bar_no").alias("_last"))
-    ind = ind.join(sizes, "symbol").filter(F.col("bar_no") > F.col("_last") - 30).drop("_last")
+    """A second prediction run over all bars (SMA-10 rule)."""
+    ind = I.with_windows(_ctx(spark, sf).bars, [lambda d, w: I.sma_cols(d, w, 10, "sma20")], 10)
     return O.predictions_from_bars(ind)
 
 
@@ -661,7 +674,7 @@ def corr_drop(spark, sf):
 @query("price_bounds")
 def price_bounds(spark, sf):
     """Chart y-ranges over the last 6 months."""
-    r = S.recent(_ctx(spark, sf).daily, 6)
+    r = S.recent(_ctx(spark, sf).daily, 6, S.newest_day(spark, sf))
     return r.groupBy("symbol").agg((F.min("low") * 0.97).alias("candle_floor"),
                                    (F.min("close") * 0.98).alias("line_lo"),
                                    (F.max("close") * 1.02).alias("line_hi"))
@@ -685,9 +698,15 @@ def training_window(spark, sf):
     return _labelled(spark, sf).select("symbol", "ts", "target")
 
 
+@query("training_window_short")
+def training_window_short(spark, sf):
+    """P6 with a window shorter than the data: rows are really removed."""
+    return D.training_window(D.labelled_rows(_features(spark, sf)), 3).select("symbol", "ts", "target")
+
+
 @query("chrono_split")
 def chrono_split(spark, sf):
-    """ML1/ML2: chronological split with a 10-row embargo."""
+    """ML1/ML2: chronological split of the panel with a 10-date embargo."""
     return D.chrono_split(_labelled(spark, sf)).select("symbol", "ts", "split")
 
 
@@ -709,7 +728,7 @@ def class_balance(spark, sf):
 
 @query("sample_weights")
 def sample_weights(spark, sf):
-    """ML3: exponential-decay weights over each series' train rows."""
+    """ML3: exponential-decay weights over the training dates."""
     return _round(D.sample_weights(_train(spark, sf)).select("symbol", "ts", "weight"), r6=["weight"])
 
 
@@ -723,14 +742,14 @@ def class_weights(spark, sf):
 
 @query("walk_forward_folds")
 def walk_forward_folds(spark, sf):
-    """ML5: 5 expanding folds with a 10-row gap (per series, summarised)."""
-    return D.fold_summary(D.walk_forward_folds(_train(spark, sf)))
+    """ML5: 5 expanding folds with a 10-date gap (summarised per series)."""
+    return D.fold_summary(D.walk_forward_folds(_train(spark, sf).select("symbol", "ts")))
 
 
 @query("calibration_folds")
 def calibration_folds(spark, sf):
-    """ML6: calibration folds (K and gap from the series length)."""
-    return D.fold_summary(D.calibration_folds(_train(spark, sf)))
+    """ML6: calibration folds (K and gap from the number of dates)."""
+    return D.fold_summary(D.calibration_folds(_train(spark, sf).select("symbol", "ts")))
 
 
 def _scored(spark, sf):
@@ -768,49 +787,51 @@ def mean_confidence(spark, sf):
                                           .alias("mean_confidence")), r6=["mean_confidence"])
 
 
-def _fold_metrics(spark, sf):
-    folds = D.walk_forward_folds(_train(spark, sf)).filter(F.col("role") == "test")
-    p = _predictions(spark, sf).select("symbol", "ts", "prediction")
-    j = folds.select("symbol", "ts", "fold", "target").join(p, ["symbol", "ts"], "inner")
-    return D.binary_metrics(j, by=("symbol", "fold"))
+def _rule_folds(spark, sf):
+    """Walk-forward folds with the SMA rule's prediction and score."""
+    c = _ctx(spark, sf)
+    return c.memo("rule_folds", lambda: materialize(
+        D.walk_forward_folds(_train(spark, sf).select("symbol", "ts", "target"))
+        .join(_predictions(spark, sf).select("symbol", "ts", "prediction", "confidence"), ["symbol", "ts"], "left")
+        .withColumn("score", F.when(F.col("prediction") == 1, F.col("confidence")).otherwise(1 - F.col("confidence")))
+        .withColumn("mk", F.concat_ws(":", "symbol", F.col("fold").cast("string"))), "folds"))
 
 
 @query("cv_summary")
 def cv_summary(spark, sf):
-    """Mean fold precision / recall / accuracy per series."""
-    m = _fold_metrics(spark, sf)
-    return _round(m.groupBy("symbol").agg(F.avg("precision").alias("precision"),
-                                          F.avg("recall").alias("recall"),
-                                          F.avg("accuracy").alias("accuracy")),
-                  r6=["precision", "recall", "accuracy"])
+    """Mean fold precision / recall / accuracy / AUC per series; a fold
+    with one class only has no AUC."""
+    test = _rule_folds(spark, sf).filter("role = 'test' AND prediction IS NOT NULL")
+    m = D.binary_metrics(test, by=("symbol", "fold", "mk")).join(D.roc_auc(test, by="mk", one_class=None), "mk")
+    metrics = ["precision", "recall", "accuracy", "roc_auc"]
+    return _round(m.groupBy("symbol").agg(*[F.avg(c).alias(c) for c in metrics]), r6=metrics)
 
 
 # ------------------------------------------------------------------ run ledger (rule model)
 
+RULE_PARAMS = '{"window": 20}'
+
+
 def _rule_runs(spark, sf):
     """Run ledger of the SMA-rule model, one version per walk-forward fold.
 
     Version 1 carries no feature count (a run logged before the count was
     recorded), later versions record one feature.
     """
-    folds = materialize(D.walk_forward_folds(_train(spark, sf)), "folds")
-    p = _predictions(spark, sf).select("symbol", "ts", "prediction", "confidence")
-    test = (folds.filter(F.col("role") == "test").select("symbol", "ts", "fold", "target")
-            .join(p, ["symbol", "ts"], "inner")
-            .withColumn("score", F.when(F.col("prediction") == 1, F.col("confidence"))
-                        .otherwise(1 - F.col("confidence")))
-            .withColumn("mk", F.concat_ws(":", "symbol", F.col("fold").cast("string"))))
+    folds = _rule_folds(spark, sf)
+    test = folds.filter("role = 'test' AND prediction IS NOT NULL")
     m = D.binary_metrics(test, by=("mk",)).join(D.roc_auc(test, by="mk"), "mk")
     trained = (folds.filter(F.col("role") == "train")
-               .withColumn("mk", F.concat_ws(":", "symbol", F.col("fold").cast("string")))
                .groupBy("mk", "symbol", "fold").agg(F.max("ts").alias("_last")))
     runs = m.join(trained, "mk").select(
         F.concat(F.lit("SmaRule"), F.col("symbol"), F.lit("Classifier")).alias("model_name"),
         (F.col("fold") + 1).alias("version"),
         "accuracy", "f1", "precision", "recall", "roc_auc",
         F.when(F.col("fold") == 0, F.lit(None).cast("int")).otherwise(F.lit(1)).alias("n_features"),
-        F.unix_millis(F.col("_last").cast("timestamp")).alias("trained_ms"))
-    return materialize(runs, "runs")
+        (F.datediff("_last", F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000).alias("trained_ms"),
+        F.lit(RULE_PARAMS).alias("params"))
+    rid = F.concat_ws(":", "model_name", F.col("version").cast("string"), F.col("trained_ms").cast("string"))
+    return materialize(runs.withColumn("run_id", F.substring(F.sha2(rid, 256), 1, 16)), "runs")
 
 
 RUN_METRICS = ["accuracy", "f1", "precision", "recall", "roc_auc"]
@@ -818,7 +839,7 @@ RUN_METRICS = ["accuracy", "f1", "precision", "recall", "roc_auc"]
 
 @query("model_runs")
 def model_runs(spark, sf):
-    """ML16: run ledger (metrics, feature count, training time) per version."""
+    """ML16: run ledger (metrics, feature count, parameters, run id, time) per version."""
     return _round(_rule_runs(spark, sf), r6=RUN_METRICS)
 
 
@@ -831,9 +852,11 @@ def latest_model(spark, sf):
 
 @query("promotion_decision")
 def promotion_decision(spark, sf):
-    """ML17/ML18: champion rule on the newest version; others archived."""
+    """ML17/ML18: every run against the champion of its time."""
     from candleflow.operators import models as ML
-    return _round(ML.promotion_decision(_rule_runs(spark, sf)), r6=["roc_auc"])
+    out = ML.promotion_decision(_rule_runs(spark, sf)).select(
+        "model_name", "version", "accuracy", "f1", "roc_auc", "n_features", "params", "status", "promoted")
+    return _round(out, r6=["accuracy", "f1", "roc_auc"])
 
 
 @query("model_card")

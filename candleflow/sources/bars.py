@@ -23,12 +23,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _digits(*parts):
+    """Non-negative integers of at most the given digits, one after another."""
+    text = F.concat(*[F.lpad(F.col(c).cast("string"), n, "0") for c, n in parts])
+    return text.cast("decimal(38,0)")
+
+
 def trades_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """``(symbol, ts, price, qty, seq)``: one trade per line item.
 
     symbol = return flag || line status; ts = ship day; price = extended
-    price / quantity.  ``seq`` orders trades inside a bar; the four-column
-    key is unique per ship day in the driver data.
+    price / quantity.  ``seq`` orders trades inside a bar: order key, line
+    number, part and supplier (unique per ship day in the driver data) as the
+    digits of one decimal, a fixed-width value that hash aggregation can hold.
     """
     li = lineitem.select(*LINEITEM_COLS)
     return li.select(
@@ -36,7 +43,7 @@ def trades_from_lineitem(lineitem: DataFrame) -> DataFrame:
         F.to_date("l_shipdate").alias("ts"),
         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
         F.col("l_quantity").cast("double").alias("qty"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
+        _digits(("l_orderkey", 14), ("l_linenumber", 2), ("l_partkey", 11), ("l_suppkey", 11)).alias("seq"))
 
 
 def trades_from_events(events: DataFrame) -> DataFrame:
@@ -46,7 +53,8 @@ def trades_from_events(events: DataFrame) -> DataFrame:
         F.col("ts"),
         F.col("value").cast("double").alias("price"),
         F.lit(1.0).alias("qty"),
-        F.struct(F.col("ts"), F.col("event_id")).alias("seq"))
+        F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 18, "0"))
+        .cast("decimal(38,0)").alias("seq"))
 
 
 def ohlcv(trades: DataFrame, bucket=None) -> DataFrame:
@@ -88,6 +96,12 @@ def indexed_bars(spark: SparkSession, sf_dir: str, hourly: bool = False,
     return materialize(indexed, "bars") if persist else indexed
 
 
+def newest_day(spark: SparkSession, sf_dir: str):
+    """Day of the newest trade: one narrow column, answered from statistics
+    where the files have them, without building bars."""
+    return read_table(spark, sf_dir, "lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0]
+
+
 def recent(df: DataFrame, months: int, ref_ts=None, ts: str = "ts") -> DataFrame:
     """Rows with ``ts >= ref - months`` (``ref`` defaults to ``max(ts)``).
 

@@ -1,7 +1,10 @@
 """Versioned parquet table store (raw bars, features, predictions).
 
 Writes never overwrite the version being read: every save goes to a new
-``v=<n>`` folder under the table root and readers pick the highest version.
+``v=<n>`` folder under the table root and readers pick the highest version
+whose write was committed (Spark's ``_SUCCESS`` marker), so a failed save
+never becomes the current version.  A number is never used twice: the second
+of two writers that choose the same one fails.
 On a cluster the root is a shared folder (by default under
 ``spark.checkpoint.dir``).
 """
@@ -22,7 +25,7 @@ class TableStore:
         self.spark = spark
         self.root = (root or f"{checkpoint_dir(spark).rstrip('/')}/store").rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
+    def _versions(self, name: str, committed: bool = True) -> list[int]:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -31,12 +34,12 @@ class TableStore:
         out = []
         for st in fs.listStatus(path):
             n = st.getPath().getName()
-            if n.startswith("v="):
+            if n.startswith("v=") and (not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
                 out.append(int(n[2:]))
         return sorted(out)
 
     def save(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        versions = self._versions(name)
+        versions = self._versions(name, committed=False)
         v = (versions[-1] + 1) if versions else 1
         w = df.write.mode("errorifexists")
         if partition_by:

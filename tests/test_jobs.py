@@ -18,10 +18,11 @@ def test_build_train_predict(spark):
     store = TableStore(spark, f"{checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}")
     feats = jobs.build_features(spark, SF, store, SIDE)
     assert feats.count() > 0
-    small = {"numTrees": 8, "maxDepth": 4}
-    r1 = jobs.train(spark, store, n_trials=1, budget=small)
+    tiny = lambda rng: {"numTrees": 8, "maxDepth": rng.choice([3, 4])}
+    r1 = jobs.train(spark, store, n_trials=1, space=tiny)
     assert r1["version"] == 1 and r1["promoted"]
-    r2 = jobs.train(spark, store, n_trials=1, budget=small)
+    r2 = jobs.train(spark, store, params={"numTrees": 8, "maxDepth": 4})
+    assert r2["run_id"] != r1["run_id"]
     runs = {r.version: r.status for r in store.load("model_runs").collect()}
     assert r2["version"] == 2 and set(runs) == {1, 2}
     assert sorted(runs.values()).count("production") == 1
@@ -30,3 +31,9 @@ def test_build_train_predict(spark):
     assert preds.join(newest, ["symbol", "ts"]).count() == newest.count()
     out = jobs.outcomes(spark, store)
     assert out.filter(F.col("status") == "open").count() >= newest.count()
+    conf = preds.join(newest, ["symbol", "ts"]).agg(F.min("confidence"), F.max("confidence")).first()
+    assert 0.5 <= conf[0] <= conf[1] <= 1.0
+    # features that differ from those of the model in production are refused
+    store.save("features", store.load("features").withColumnRenamed("rsi", "rsi_14"))
+    with pytest.raises(ValueError, match="drift"):
+        jobs.predict_latest(spark, store)

@@ -18,10 +18,10 @@ def test_manifest_hash_matches_python(spark):
 
 
 def test_manifest_diff(spark):
-    a = spark.createDataFrame([(1, 2)], "x int, y int")
-    b = spark.createDataFrame([(1, 2)], "y int, z int")
-    got = {(r.column, r.status) for r in FT.manifest_diff(a, b).collect()}
-    assert got == {("x", "missing"), ("z", "extra")}
+    a = FT.manifest(spark.createDataFrame([(1, 2)], "x int, y int"))
+    b = FT.manifest(spark.createDataFrame([(1, 2), (3, 4)], "y int, z int"))
+    got = {(r.column, r.status, r.row_count) for r in FT.manifest_diff(a, b).collect()}
+    assert got == {("x", "missing", 1), ("z", "extra", 2)}
 
 
 def test_store_tail_and_versions(spark, tmp_path):
@@ -38,3 +38,14 @@ def test_store_tail_and_versions(spark, tmp_path):
     out = store.upsert("preds", new, ["symbol", "ts"])
     assert out.count() == 100 and store._versions("preds") == [1, 2]
     assert out.filter("symbol = 'A' AND ts = DATE'2020-01-01'").first()["v"] == -1.0
+
+
+def test_a_failed_write_is_never_the_current_version(spark, tmp_path):
+    import os
+
+    from candleflow.sources.store import TableStore
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.save("t", spark.range(3))
+    os.makedirs(tmp_path / "store" / "t" / "v=2")  # no _SUCCESS: the write did not finish
+    assert store.load("t").count() == 3
+    assert store.save("t", spark.range(5)) == 3 and store.load("t").count() == 5

@@ -60,6 +60,8 @@ def test_promotion_rule(spark):
         ("m", 1, 0.60, None), ("m", 2, 0.70, 10), ("m", 3, 0.65, 10),     # worse -> candidate
         ("n", 1, 0.50, 10), ("n", 2, 0.55, 12),                           # feature count changed
         ("o", 1, 0.40, 10),                                               # no champion
+        # the champion is the run in production, not the best AUC of all time
+        ("p", 1, 0.80, 10), ("p", 2, 0.60, 12), ("p", 3, 0.70, 12), ("p", 4, 0.65, 12),
     ], "model_name string, version int, roc_auc double, n_features int")
     got = {(r.model_name, r.version): (r.status, r.promoted)
            for r in ML.promotion_decision(runs).collect()}
@@ -67,3 +69,29 @@ def test_promotion_rule(spark):
     assert got[("m", 1)][0] == "archived"
     assert got[("n", 2)] == ("production", True) and got[("n", 1)][0] == "archived"
     assert got[("o", 1)] == ("production", True)
+    assert [got[("p", v)] for v in (1, 2, 3, 4)] == [
+        ("archived", True), ("archived", True), ("production", True), ("candidate", False)]
+
+
+def test_a_ledger_with_decisions_keeps_them(spark):
+    runs = spark.createDataFrame([
+        ("m", 1, 0.60, 10, "archived"), ("m", 2, 0.55, 10, "production"),  # was forced
+        ("m", 3, 0.90, 10, "candidate"), ("m", 4, 0.57, 10, None)],
+        "model_name string, version int, roc_auc double, n_features int, status string")
+    got = {r.version: r.status for r in ML.promotion_decision(runs).collect()}
+    assert got == {1: "archived", 2: "archived", 3: "candidate", 4: "production"}
+
+
+def test_run_ids_differ_for_the_same_parameters():
+    assert ML.run_id("m", 1, 1000) != ML.run_id("m", 2, 2000)
+
+
+def test_search_leaves_out_one_class_folds_and_takes_a_trainer(spark):
+    rows = [("S", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i % 7), int(i % 7 > 3) if i < 100 else 1)
+            for i in range(130)]
+    df = spark.createDataFrame(rows, "symbol string, ts date, x0 double, target int")
+    df = ML.assemble(df, ["x0"]).withColumn("weight", F.lit(1.0))
+    space = lambda rng: {"maxIter": 3, "maxDepth": 2, "minInstancesPerNode": 1, "minInfoGain": 0.0}
+    out = ML.random_search(df, n_trials=1, trainer="gbt", space=space).first()
+    assert 0 < out["n_folds"] < 5 and out["cv_roc_auc"] > 0.9
+    assert "maxIter" in out["params"]
