@@ -262,10 +262,10 @@ def fit_and_encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         types[first + i] = 1
 
     order = np.concatenate([np.arange(first, words.n_units), np.arange(1, first)])
-    classes, pairs = exchange(encoded, words.n_units, order)
+    classes, pairs = exchange(encoded, words.n_units, order, CLASSES, SWEEPS)
     into = pairs.sum(0)
-    class_types = np.bincount(classes, weights=types, minlength=CLASSES)
-    prior = (into + DELTA) / (into.sum() + DELTA * CLASSES)
+    class_types = np.bincount(classes, weights=types, minlength=len(into))
+    prior = (into + DELTA) / (into.sum() + DELTA * len(into))
     nxt = (pairs + KAPPA * prior) / (pairs.sum(1, keepdims=True) + KAPPA)
     model = BrownModel(words, classes.tolist(), np.log10(nxt).tolist(),
                        np.log10(into + DELTA * (class_types + 1)).tolist(), int(n), int(v), ends)

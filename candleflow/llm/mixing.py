@@ -188,9 +188,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     def solve(shard: pa.Table) -> pa.Table:
         shard, sizes, passes, ranges = _solve_shard(shard, block, seed, max_repeats)
         rows = pa.table(shard["_row"].combine_chunks().flatten(), names=keep)
-        part = [i for i, r in enumerate(ranges) if r]
+        part = pa.array([i for i, r in enumerate(ranges) if r], pa.int64())
         texts = rows[text].take(part).to_pylist()
-        texts = [t if ranges[i] == [(0, sizes[i])] else cut_words(t, ranges[i]) for i, t in zip(part, texts)]
+        texts = [t if ranges[i] == [(0, sizes[i])] else cut_words(t, ranges[i]) for i, t in zip(part.to_pylist(), texts)]
         cut_rows = rows.take(part)
         for name, values in ((text, texts), (n_chars, list(map(len, texts)))):
             if name in keep:
