@@ -123,37 +123,41 @@ def _apply_calibrator(cal_model, method: str, df: DataFrame) -> DataFrame:
         .drop("prediction", "probability", "rawPrediction", "rawv")
 
 
-def calibrated_scores(train: DataFrame, test: DataFrame, base_params: dict | None = None,
-                      fitters=None) -> tuple[DataFrame, str]:
-    """ML11: per calibration fold, fit the base model on the fold's train rows
-    and a calibrator on its held-out rows; test probabilities are averaged
-    over folds.  Isotonic first, sigmoid if isotonic fails on any fold.
+def calibrate(folds: list[tuple[DataFrame, DataFrame]], fitters=None) -> tuple[DataFrame, str]:
+    """ML11 on scores: per fold, a calibrator fitted on the held-out rows
+    (``raw``, ``label``, ``weight``) is applied to the rows to score (key,
+    ``ts``, ``raw``); probabilities are averaged over folds.  Isotonic first,
+    sigmoid if the isotonic fit fails on any fold.
     """
     fitters = fitters or {"isotonic": _isotonic, "sigmoid": _sigmoid}
-    bases = []
-    for role in D.calibration_roles(train):
-        base = forest(base_params).fit(train.filter(role == "train"))
-        held = score(base, train.filter(role == "test")).select(
-            F.col("prob_up").alias("raw"), "label", "weight")
-        bases.append((base, held))
     last_error = None
     for method in ("isotonic", "sigmoid"):
         try:
-            cals = [fitters[method](held) for _, held in bases]
+            cals = [fitters[method](held) for held, _ in folds]
         except (ValueError, IllegalArgumentException) as exc:  # the fit itself, not a lost executor
             last_error = exc
             continue
         probs = None
-        for (base, _), cal in zip(bases, cals):
-            s = score(base, test).select(KEY, "ts", "label", F.col("prob_up").alias("raw"))
-            p = _apply_calibrator(cal, method, s).select(KEY, "ts", F.col("_p"))
+        for (_, rows), cal in zip(folds, cals):
+            p = _apply_calibrator(cal, method, rows).select(KEY, "ts", F.col("_p"))
             probs = p if probs is None else probs.unionByName(p)
-        avg = probs.groupBy(KEY, "ts").agg(F.avg("_p").alias("prob_up"))
-        out = test.select(KEY, "ts", "label").join(avg, [KEY, "ts"])
-        return out.withColumn("method", F.lit(method)), method
+        return probs.groupBy(KEY, "ts").agg(F.avg("_p").alias("prob_up")), method
     raise last_error
 
 
+def calibrated_scores(train: DataFrame, test: DataFrame, base_params: dict | None = None,
+                      fitters=None) -> tuple[DataFrame, str]:
+    """ML11: per calibration fold, fit the base model on the fold's train rows
+    and a calibrator on its held-out rows (see :func:`calibrate`)."""
+    folds = []
+    for role in D.calibration_roles(train):
+        base = forest(base_params).fit(train.filter(role == "train"))
+        held = score(base, train.filter(role == "test")).select(F.col("prob_up").alias("raw"), "label", "weight")
+        folds.append((held, score(base, test).select(KEY, "ts", F.col("prob_up").alias("raw"))))
+    avg, method = calibrate(folds, fitters)
+    return test.select(KEY, "ts", "label").join(avg, [KEY, "ts"]).withColumn("method", F.lit(method)), method
+
+
 # ------------------------------------------------------------------ random search
 
 def sample_params(rng: random.Random) -> dict:

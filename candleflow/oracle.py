@@ -614,7 +614,7 @@ SQL["latest_model"] = rounded(RUNS_WITH + """
 SELECT r.* FROM runs r JOIN (SELECT model_name, max(version) AS v FROM runs GROUP BY model_name) l
   ON l.model_name = r.model_name AND l.v = r.version""", r6=_RM)
 # the ledger replayed run by run: each against the champion of its time
-SQL["promotion_decision"] = rounded(RUNS_WITH + """,
+REPLAY = """
 seq AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version) AS k FROM runs),
 dec AS (
   SELECT model_name, k, version, TRUE AS promoted, version AS cv, roc_auc AS cauc, n_features AS cn FROM seq WHERE k = 1
@@ -624,7 +624,8 @@ dec AS (
   FROM (SELECT s.*, d.cv, d.cauc, d.cn, d.cn IS NULL OR d.cn IS DISTINCT FROM s.n_features OR s.roc_auc > d.cauc AS won
         FROM dec d JOIN seq s ON s.model_name = d.model_name AND s.k = d.k + 1) t
 ),
-fin AS (SELECT model_name, arg_max(cv, k) AS champion FROM dec GROUP BY model_name)
+fin AS (SELECT model_name, arg_max(cv, k) AS champion FROM dec GROUP BY model_name)"""
+SQL["promotion_decision"] = rounded(RUNS_WITH + "," + REPLAY + """
 SELECT r.model_name, r.version, r.accuracy, r.f1, r.roc_auc, r.n_features, r.params,
        CASE WHEN r.version = fin.champion THEN 'production' WHEN dec.promoted THEN 'archived' ELSE 'candidate' END AS status,
        dec.promoted
@@ -636,6 +637,65 @@ SELECT r.model_name, regexp_replace(r.model_name, '(Classifier|Regressor)$', '')
 FROM runs r JOIN (SELECT model_name, max(version) AS v FROM runs GROUP BY model_name) l
   ON l.model_name = r.model_name AND l.v = r.version""", r6=_RM)
 
+# ------------------------------------------------------------------ scoring with the rule model
+
+_IMP = f"""
+imp AS (SELECT feature, round(abs(corr(value, t)), 9) AS importance FROM (
+  UNPIVOT (SELECT {', '.join(PROFILE)}, CAST(target AS DOUBLE) AS t FROM feat)
+  ON {', '.join(PROFILE)} INTO NAME feature VALUE value) u
+  WHERE value IS NOT NULL AND t IS NOT NULL GROUP BY feature)"""
+SQL["top_importances"] = rounded(with_feat(
+    "SELECT feature, importance FROM imp ORDER BY importance DESC, feature LIMIT 15", _IMP), r6=["importance"])
+SQL["weakest_features"] = rounded(with_feat(
+    "SELECT feature, importance FROM imp ORDER BY importance, feature LIMIT 15", _IMP), r6=["importance"])
+SQL["importance_drop"] = with_feat("SELECT feature FROM imp WHERE importance < 0.005", _IMP)
+SQL["kept_features"] = with_feat("""
+SELECT feature FROM imp WHERE importance >= 0.005
+  AND feature NOT IN (SELECT feature_b FROM cp)""", _IMP + "," + CORR_CTE)
+
+RULE_SCORES = """
+cwt AS (SELECT symbol, ts, target, tpos, m,
+               weight * count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY target)) AS weight FROM wt),
+rs AS (SELECT symbol, ts, prediction,
+              round(CASE WHEN prediction = 1 THEN confidence ELSE 1 - confidence END, 3) AS raw FROM preds),
+rtest AS (SELECT s.symbol, s.ts, CAST(s.target AS DOUBLE) AS label, rs.raw, rs.prediction
+          FROM spl s JOIN rs USING (symbol, ts) WHERE s.split = 'test')"""
+SCORE_WITH = RUNS_WITH + "," + RULE_SCORES
+
+SQL["score_rows"] = rounded(SCORE_WITH + """
+SELECT symbol, ts, CAST(raw >= 0.5 AS INTEGER) AS prediction, greatest(raw, 1 - raw) AS confidence FROM rtest""",
+                            r6=["confidence"])
+
+# isotonic fit by its min-max formula over the distinct scores of a fold:
+# iso(i) = max over a <= i of min over b >= i of the weighted mean of a..b;
+# between two scores the fit is a straight line, outside it is constant
+SQL["calibrated_scores"] = rounded(SCORE_WITH + """,
+cf AS (SELECT fold, rs.raw, sum(c.target * c.weight) AS wy, sum(c.weight) AS w
+       FROM (SELECT *, CASE WHEN m >= 40 THEN 3 ELSE 2 END AS kk FROM cwt) c JOIN rs USING (symbol, ts), range(0, 3) r(fold)
+       WHERE fold < kk AND tpos >= m - (kk - fold) * floor(m / (kk + 1))
+             AND tpos < m - (kk - fold) * floor(m / (kk + 1)) + floor(m / (kk + 1))
+       GROUP BY fold, rs.raw),
+pt AS (SELECT *, row_number() OVER f AS i, sum(wy) OVER f AS cy, sum(w) OVER f AS cw
+       FROM cf WINDOW f AS (PARTITION BY fold ORDER BY raw)),
+ab AS (SELECT a.fold, a.i AS a, b.i AS b, (b.cy - a.cy + a.wy) / (b.cw - a.cw + a.w) AS mean
+       FROM pt a JOIN pt b ON a.fold = b.fold AND a.i <= b.i),
+lo AS (SELECT fold, a, b AS i, min(mean) OVER (PARTITION BY fold, a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS v FROM ab),
+iso AS (SELECT pt.fold, pt.raw, max(lo.v) AS v FROM lo JOIN pt ON pt.fold = lo.fold AND pt.i = lo.i GROUP BY pt.fold, pt.raw),
+q AS (SELECT f.fold, t.raw FROM (SELECT DISTINCT raw FROM rtest) t, (SELECT DISTINCT fold FROM iso) f),
+fit AS (SELECT q.fold, q.raw, l.raw AS x0, l.v AS y0, u.raw AS x1, u.v AS y1
+        FROM q ASOF LEFT JOIN iso l ON l.fold = q.fold AND q.raw >= l.raw
+        ASOF LEFT JOIN iso u ON u.fold = q.fold AND q.raw <= u.raw),
+pr AS (SELECT raw, avg(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0
+                            ELSE y0 + (y1 - y0) * (raw - x0) / (x1 - x0) END) AS prob_up FROM fit GROUP BY raw)
+SELECT t.symbol, t.ts, t.label, pr.prob_up, 'isotonic' AS method FROM rtest t JOIN pr USING (raw)""", r6=["prob_up"])
+
+SQL["predict_latest"] = rounded(RUNS_WITH + "," + REPLAY + """,
+prod AS (SELECT regexp_extract(model_name, '^SmaRule(.*)Classifier$', 1) AS symbol, champion FROM fin)
+SELECT p.symbol, p.ts, p.prediction, p.confidence, p.horizon_days, bars.close AS entry_price,
+       CAST(prod.champion AS INTEGER) AS model_version
+FROM preds p JOIN (SELECT symbol, max(ts) AS ts FROM feat GROUP BY symbol) n USING (symbol, ts)
+JOIN prod USING (symbol) LEFT JOIN bars USING (symbol, ts)""", r6=["confidence"])
+
 # ------------------------------------------------------------------ streaming
 
 SQL["stream_bars"] = SQL["ohlcv_bars_hourly"]
