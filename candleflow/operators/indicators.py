@@ -315,8 +315,12 @@ def recursive_indicators(staged: DataFrame, ema_windows=EMA_WINDOWS) -> DataFram
 # ---------------------------------------------------------------- parabolic SAR
 
 def _psar_run(high: np.ndarray, low: np.ndarray, close: np.ndarray,
-              step: float = PSAR_STEP, max_step: float = PSAR_MAX_STEP):
-    """Sequential SAR from the first row; returns (sar, up, ep_hi, ep_lo, af)."""
+              step: float = PSAR_STEP, max_step: float = PSAR_MAX_STEP, state=None):
+    """Sequential SAR from the first row; returns (sar, up, ep_hi, ep_lo, af).
+
+    With ``state`` (sar, up, ep_hi, ep_lo, af of row 1) rows 0 and 1 are the
+    two bars before the first row to compute.
+    """
     n = len(close)
     sar = close.astype("float64").copy()
     up_a = np.ones(n, dtype=bool)
@@ -325,6 +329,8 @@ def _psar_run(high: np.ndarray, low: np.ndarray, close: np.ndarray,
     afa = np.full(n, step, dtype="float64")
     up, af = True, step
     ep_hi, ep_lo = (high[0], low[0]) if n else (np.nan, np.nan)
+    if state is not None:
+        sar[1], up, ep_hi, ep_lo, af = state
     for i in range(2, n):
         if up:
             s = sar[i - 1] + af * (ep_hi - sar[i - 1])
@@ -356,12 +362,6 @@ def _psar_kernel(high, low, close, step: float = PSAR_STEP, max_step: float = PS
     return _psar_run(high, low, close, step, max_step)[0]
 
 
-PSAR_SCHEMA = T.StructType([
-    T.StructField("symbol", T.StringType()),
-    T.StructField("bar_no", T.LongType()),
-    T.StructField("psar", T.DoubleType()),
-])
-
 _PSAR_RUN_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("bar_no", T.LongType()),
     T.StructField("_run", T.LongType()), T.StructField("_home", T.BooleanType()),
@@ -373,21 +373,20 @@ _PSAR_RUN_SCHEMA = T.StructType([
 PSAR_HALO = 1024       # warm-up bars replayed before each chunk
 
 
-def _psar_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("bar_no")
-    out = _psar_kernel(pdf["high"].to_numpy(), pdf["low"].to_numpy(), pdf["close"].to_numpy())
-    return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "bar_no": pdf["bar_no"].to_numpy(),
-                         "psar": out})
-
-
 def _psar_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bar_no")
-    sar, up, ehi, elo, af = _psar_run(pdf["high"].to_numpy(), pdf["low"].to_numpy(),
-                                      pdf["close"].to_numpy())
     run = pdf["_chunk"].to_numpy()
-    return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "bar_no": pdf["bar_no"].to_numpy(),
-                         "_run": run, "_home": pdf["_hc"].to_numpy() == run, "psar": sar,
-                         "_up": up, "_ehi": ehi, "_elo": elo, "_af": af})
+    home = pdf["_hc"].to_numpy() == run
+    first = pdf.iloc[1] if len(pdf) > 1 else None
+    state = None
+    if first is not None and not np.isnan(first["_s_sar"]):  # restart from the true state
+        state = (first["_s_sar"], bool(first["_s_up"]), first["_s_ehi"], first["_s_elo"], first["_s_af"])
+    sar, up, ehi, elo, af = _psar_run(pdf["high"].to_numpy(), pdf["low"].to_numpy(), pdf["close"].to_numpy(),
+                                      state=state)
+    out = pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "bar_no": pdf["bar_no"].to_numpy(),
+                        "_run": run, "_home": home, "psar": sar,
+                        "_up": up, "_ehi": ehi, "_elo": elo, "_af": af})
+    return out if home.any() else out.iloc[:0]  # only warm-up: the series ended before this chunk
 
 
 def psar(bars: DataFrame) -> DataFrame:
@@ -395,41 +394,66 @@ def psar(bars: DataFrame) -> DataFrame:
     return bars.join(psar_values(bars), [KEY, BAR], "inner")
 
 
+_STATE = ["psar", "_up", "_ehi", "_elo", "_af"]
+
+
+def _live(prefix: str = "") -> list:
+    """What the machine goes on from: the extreme of the other trend is dead."""
+    up = F.col(f"{prefix}_up")
+    return [F.col(f"{prefix}psar"), up, F.when(up, F.col(f"{prefix}_ehi")).otherwise(F.col(f"{prefix}_elo")),
+            F.col(f"{prefix}_af")]
+
+
 def psar_values(bars: DataFrame, chunk_bars: int | None = None, halo: int = PSAR_HALO) -> DataFrame:
     """``(symbol, bar_no, psar)``: the one non-linear recursion, chunk-parallel
     and exact.
 
     Every (symbol, chunk) replays the state machine from ``halo`` bars before
-    the chunk.  The machine is deterministic, so when a chunk's state (trend,
-    extreme points, af, sar) at its last warm-up bar equals the previous
-    chunk's state at that bar, everything after coincides with the true
-    sequential run; chunk 0 starts at bar 0, so by induction the result is
-    exact.  A series with any unsynchronised boundary (no reversal pattern
-    shared inside the halo -- rare) is recomputed sequentially as a whole.
+    the chunk.  The machine is deterministic, so a chunk whose live state at
+    its last warm-up bar equals the true state there (that of the chunk
+    before it, chunk 0 being true from the start) is true as a whole.  The
+    first chunk of a series that is not is run again from the true state;
+    then the next boundary is looked at, in rounds, until all hold.  A round
+    runs one chunk per series, so no task ever holds more than a chunk.
     """
     from candleflow.plans.series import _cb
     chunk = _cb(chunk_bars)
-    halo = min(halo, chunk)
+    halo = max(2, min(halo, chunk))
     b = F.col(BAR)
     home = F.floor(b / F.lit(chunk))
     pos = b - home * F.lit(chunk)
+    base = bars.select(KEY, BAR, "high", "low", "close").withColumn("_hc", home)
+    no_state = {f"_s_{c}": F.lit(None).cast("double") for c in ("sar", "ehi", "elo", "af")} \
+        | {"_s_up": F.lit(None).cast("boolean")}
     copies = F.filter(F.array(home, F.when(pos >= chunk - halo, home + 1)), lambda v: v.isNotNull())
-    staged = (bars.select(KEY, BAR, "high", "low", "close")
-              .withColumn("_hc", home).withColumn("_chunk", F.explode(copies)))
-    runs = materialize(staged.groupBy(KEY, "_chunk").applyInPandas(_psar_chunk, _PSAR_RUN_SCHEMA),
-                       "psar_runs")
-    state = ["_up", "_ehi", "_elo", "_af", "psar"]
-    # state of run k at its last warm-up bar vs the home state of run k-1 there
-    spec = runs.filter(~F.col("_home") & (F.col(BAR) == F.col("_run") * chunk - 1)) \
-        .select(KEY, BAR, *[F.col(c).alias(f"_s{c}") for c in state])
-    true = runs.filter(F.col("_home")).select(KEY, BAR, *state)
-    diff = spec.join(true, [KEY, BAR], "inner").withColumn(
-        "_bad", ~F.coalesce(F.expr(" AND ".join(f"(_s{c} <=> {c})" for c in state)), F.lit(False)))
-    bad = diff.filter("_bad").select(KEY).distinct()
-    good = runs.filter(F.col("_home")).join(bad, KEY, "left_anti").select(KEY, BAR, "psar")
-    redo = (bars.select(KEY, BAR, "high", "low", "close").join(bad, KEY, "left_semi")
-            .groupBy(KEY).applyInPandas(_psar_group, PSAR_SCHEMA))
-    return good.unionByName(redo)
+    staged = base.withColumns(no_state).withColumn("_chunk", F.explode(copies))
+    runs = materialize(staged.groupBy(KEY, "_chunk").applyInPandas(_psar_chunk, _PSAR_RUN_SCHEMA), "psar_runs")
+    while True:
+        last = F.col(BAR) == (F.col("_run") + 1) * chunk - 1
+        ends = runs.filter(F.col("_home") & last).select(KEY, (F.col("_run") + 1).alias("_run"), *[
+            F.col(c).alias(f"_t{c}") for c in _STATE])
+        spec = runs.filter(~F.col("_home") & (F.col(BAR) == F.col("_run") * chunk - 1)).drop(BAR, "_home")
+        same = F.lit(True)
+        for mine, true in zip(_live(), _live("_t")):
+            same = same & mine.eqNullSafe(true)
+        # one row per chunk: the first boundary of each series that fails
+        redo = materialize(spec.join(ends, [KEY, "_run"]).filter(~same).groupBy(KEY).agg(
+            F.min_by(F.struct("_run", *[f"_t{c}" for c in _STATE]), "_run").alias("_r")).select(
+            KEY, F.col("_r._run").alias("_chunk"), *[F.col(f"_r._t{c}").alias(f"_t{c}") for c in _STATE]), "psar_redo")
+        if redo.isEmpty():
+            return runs.filter(F.col("_home")).select(KEY, BAR, "psar")
+        at = redo.select(KEY, "_chunk", F.col("_tpsar").alias("_s_sar"), F.col("_t_up").alias("_s_up"),
+                         F.col("_t_ehi").alias("_s_ehi"), F.col("_t_elo").alias("_s_elo"), F.col("_t_af").alias("_s_af"))
+        # the chunk and the two bars before it; one small row per series to join
+        near = base.withColumn("_chunk", F.explode(F.filter(F.array(
+            home, F.when(pos >= chunk - 2, home + 1)), lambda v: v.isNotNull())))
+        again = near.join(at, [KEY, "_chunk"]).groupBy(KEY, "_chunk").applyInPandas(_psar_chunk, _PSAR_RUN_SCHEMA)
+        fixed = again.filter(F.col("_home"))
+        # the boundary now holds by construction: its warm-up row takes the true state
+        held = redo.select(KEY, (F.col("_chunk") * chunk - 1).alias(BAR), F.col("_chunk").alias("_run"),
+                           F.lit(False).alias("_home"), *[F.col(f"_t{c}").alias(c) for c in _STATE])
+        rest = runs.join(redo.select(KEY, F.col("_chunk").alias("_run")), [KEY, "_run"], "left_anti")
+        runs = materialize(rest.select(*runs.columns).unionByName(fixed).unionByName(held), "psar_runs")
 
 
 # ---------------------------------------------------------------- earlier indicator set

@@ -314,8 +314,9 @@ def interpolate_linear(spark, sf):
 
 @query("interpolate_cubic")
 def interpolate_cubic(spark, sf):
-    """G3 (cubic): spline over the time axis, interior gaps only."""
-    return FL.interpolate_cubic(_long_panel(spark, sf), "close").select("symbol", "ts", "close")
+    """G3 (cubic): not-a-knot spline over the time axis, interior gaps only."""
+    out = FL.interpolate_cubic(materialize(_long_panel(spark, sf), "long_panel"), "close")
+    return _round(out.select("symbol", "ts", "close"), r6=["close"])
 
 
 def _surviving(spark, sf):
