@@ -246,68 +246,97 @@ def _null_before(name: str, first_bar: int) -> Column:
     return F.when(F.col(BAR) >= first_bar, F.col(name))
 
 
-def recursive_inputs(bars: DataFrame) -> DataFrame:
-    """Lagged inputs of the recursive indicators (one chunk pass)."""
-    return with_windows(bars, [true_range_cols, directional_move_cols, price_move_cols], 1)
-
-
-def recursive_indicators(staged: DataFrame, ema_windows=EMA_WINDOWS) -> DataFrame:
-    """EMA n, MACD/signal, RSI, ATR(+norm), +DMI/-DMI, ADX.
-
-    ``staged`` comes from :func:`recursive_inputs`.  Two recurrence passes:
-    the first smooths prices and moves, the second smooths MACD and DX.
+def _recursive_outputs(ema_windows) -> list[str]:
+    return [f"ema_{k}" for k in ema_windows] + ["macd", "macd_signal", "rsi", "atr", "atr_norm",
+                                                "dmi_pos", "dmi_neg", "adx"]
+
+
+def recursive_inputs(bars: DataFrame, wanted=None) -> DataFrame:
+    """Lagged inputs of the wanted recursive indicators (one chunk pass)."""
+    wanted = set(wanted or _recursive_outputs(EMA_WINDOWS))
+    builders = []
+    if wanted & {"atr", "atr_norm", "dmi_pos", "dmi_neg", "adx"}:
+        builders.append(true_range_cols)
+    if wanted & {"dmi_pos", "dmi_neg", "adx"}:
+        builders.append(directional_move_cols)
+    if "rsi" in wanted:
+        builders.append(price_move_cols)
+    return with_windows(bars, builders, 1) if builders else bars
+
+
+def recursive_indicators(staged: DataFrame, ema_windows=EMA_WINDOWS, wanted=None) -> DataFrame:
+    """EMA n, MACD/signal, RSI, ATR(+norm), +DMI/-DMI, ADX (all, or ``wanted``).
+
+    ``staged`` comes from :func:`recursive_inputs`.  The first recurrence pass
+    smooths prices and moves; only MACD's signal and ADX need a second one,
+    and only then is the first written.
     """
+    wanted = set(wanted or _recursive_outputs(ema_windows))
     n = ADX_WINDOW
+    use_macd, use_dmi = wanted & {"macd", "macd_signal"}, wanted & {"dmi_pos", "dmi_neg", "adx"}
+    two_passes = wanted & {"macd_signal", "adx"}
     terms = {}
     for k in ema_windows:
-        terms[f"_ema{k}"] = ema_term("close", k)
-    terms["_ema_fast"] = ema_term("close", MACD_FAST)
-    terms["_ema_slow"] = ema_term("close", MACD_SLOW)
-    # RSI: ewm(alpha = 1/14, adjust=False) of gains / losses, seeded at bar 0
-    a = 1.0 / RSI_WINDOW
-    for src, name in (("_gain", "_au"), ("_loss", "_ad")):
-        terms[name] = (1.0 - a, F.when(F.col(BAR) == 0, F.col(src)).otherwise(a * F.col(src)))
-    terms["_atr"] = wilder_mean_term("true_range", ATR_WINDOW, ATR_WINDOW - 1)
-    terms["_trs"] = wilder_sum_term("true_range", n, n)
-    terms["_pdms"] = wilder_sum_term("_pdm", n, n)
-    terms["_mdms"] = wilder_sum_term("_mdm", n, n)
-    # written between passes: the second pass (and its carry branch) must
-    # not replay the first one
-    out = materialize(linear_recurrence(staged, terms), "recurrence")
+        if f"ema_{k}" in wanted:
+            terms[f"_ema{k}"] = ema_term("close", k)
+    if use_macd:
+        terms["_ema_fast"] = ema_term("close", MACD_FAST)
+        terms["_ema_slow"] = ema_term("close", MACD_SLOW)
+    if "rsi" in wanted:
+        # ewm(alpha = 1/14, adjust=False) of gains / losses, seeded at bar 0
+        a = 1.0 / RSI_WINDOW
+        for src, name in (("_gain", "_au"), ("_loss", "_ad")):
+            terms[name] = (1.0 - a, F.when(F.col(BAR) == 0, F.col(src)).otherwise(a * F.col(src)))
+    if wanted & {"atr", "atr_norm"}:
+        terms["_atr"] = wilder_mean_term("true_range", ATR_WINDOW, ATR_WINDOW - 1)
+    if use_dmi:
+        terms["_trs"] = wilder_sum_term("true_range", n, n)
+        terms["_pdms"] = wilder_sum_term("_pdm", n, n)
+        terms["_mdms"] = wilder_sum_term("_mdm", n, n)
+    out = linear_recurrence(staged, terms)
+    if two_passes:  # the second pass (and its carry branch) must not replay the first
+        out = materialize(out, "recurrence")
 
     b = F.col(BAR)
-    new = {f"ema_{k}": _null_before(f"_ema{k}", k - 1) for k in ema_windows}
-    new["macd"] = F.when(b >= MACD_SLOW - 1, F.col("_ema_fast") - F.col("_ema_slow"))
-    new["rsi"] = F.when(b >= RSI_WINDOW - 1, F.when(F.col("_ad") == 0, F.lit(100.0)).otherwise(
-        100.0 - 100.0 / (1.0 + F.col("_au") / F.col("_ad"))))
-    new["atr"] = _null_before("_atr", ATR_WINDOW - 1)
-    di_ok = b >= n
-    new["_pdi"] = F.when(di_ok, F.when(F.col("_trs") == 0, F.lit(0.0))
-                         .otherwise(100.0 * F.col("_pdms") / F.col("_trs")))
-    new["_mdi"] = F.when(di_ok, F.when(F.col("_trs") == 0, F.lit(0.0))
-                         .otherwise(100.0 * F.col("_mdms") / F.col("_trs")))
+    new = {f"ema_{k}": _null_before(f"_ema{k}", k - 1) for k in ema_windows if f"ema_{k}" in wanted}
+    if use_macd:
+        new["macd"] = F.when(b >= MACD_SLOW - 1, F.col("_ema_fast") - F.col("_ema_slow"))
+    if "rsi" in wanted:
+        new["rsi"] = F.when(b >= RSI_WINDOW - 1, F.when(F.col("_ad") == 0, F.lit(100.0)).otherwise(
+            100.0 - 100.0 / (1.0 + F.col("_au") / F.col("_ad"))))
+    if wanted & {"atr", "atr_norm"}:
+        new["atr"] = _null_before("_atr", ATR_WINDOW - 1)
+        new["atr_norm"] = ratio(new["atr"], F.col("close"))
+    if use_dmi:
+        di_ok = b >= n
+        for name, move in (("_pdi", "_pdms"), ("_mdi", "_mdms")):
+            new[name] = F.when(di_ok, F.when(F.col("_trs") == 0, F.lit(0.0))
+                               .otherwise(100.0 * F.col(move) / F.col("_trs")))
     out = out.withColumns(new)
-    s = F.col("_pdi") + F.col("_mdi")
-    out = out.withColumns({
-        "atr_norm": ratio(F.col("atr"), F.col("close")),
-        "_dx": F.when(di_ok, F.when(s == 0, F.lit(0.0)).otherwise(
-            100.0 * F.abs(F.col("_pdi") - F.col("_mdi")) / s)),
-        # DI is reported from bar n+1 (the seed bar itself is not emitted)
-        "dmi_pos": F.when(b > n, F.col("_pdi")),
-        "dmi_neg": F.when(b > n, F.col("_mdi"))})
-
-    # zero-fill warm-up inputs (recurrence terms must be non-null)
-    out = out.withColumns({"_dx": F.coalesce("_dx", F.lit(0.0)),
-                           "_macd0": F.coalesce("macd", F.lit(0.0))})
-    second = {
-        # signal = EMA9 of MACD seeded at the first MACD bar
-        "_macd_sig": ema_term("_macd0", MACD_SIGN, seed_bar=MACD_SLOW - 1),
-        # ADX seed at bar 2n-1 = mean DX over bars n..2n-1
-        "_adx": wilder_mean_term("_dx", n, 2 * n - 1),
-    }
-    out = linear_recurrence(out, second)
-    out = out.withColumns({"macd_signal": _null_before("_macd_sig", MACD_SLOW - 1 + MACD_SIGN - 1),
-                           "adx": _null_before("_adx", 2 * n - 1)})
+    if use_dmi:
+        s = F.col("_pdi") + F.col("_mdi")
+        out = out.withColumns({
+            "_dx": F.when(di_ok, F.when(s == 0, F.lit(0.0)).otherwise(
+                100.0 * F.abs(F.col("_pdi") - F.col("_mdi")) / s)),
+            # DI is reported from bar n+1 (the seed bar itself is not emitted)
+            "dmi_pos": F.when(b > n, F.col("_pdi")),
+            "dmi_neg": F.when(b > n, F.col("_mdi"))})
+
+    second = {}
+    if "macd_signal" in wanted:
+        # EMA9 of MACD seeded at the first MACD bar; warm-up inputs are zero
+        out = out.withColumn("_macd0", F.coalesce("macd", F.lit(0.0)))
+        second["_macd_sig"] = ema_term("_macd0", MACD_SIGN, seed_bar=MACD_SLOW - 1)
+    if "adx" in wanted:
+        # seed at bar 2n-1 = mean DX over bars n..2n-1
+        out = out.withColumn("_dx", F.coalesce("_dx", F.lit(0.0)))
+        second["_adx"] = wilder_mean_term("_dx", n, 2 * n - 1)
+    if second:
+        out = linear_recurrence(out, second)
+    if "macd_signal" in wanted:
+        out = out.withColumn("macd_signal", _null_before("_macd_sig", MACD_SLOW - 1 + MACD_SIGN - 1))
+    if "adx" in wanted:
+        out = out.withColumn("adx", _null_before("_adx", 2 * n - 1))
     helpers = [c for c in out.columns if c.startswith("_")]
     return out.drop(*helpers)
 

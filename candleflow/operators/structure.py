@@ -68,7 +68,10 @@ def _type_order():
 
 def clean_swings(swings: DataFrame) -> DataFrame:
     """M4: keep the extreme of each run of same-type swings."""
-    idx = with_bar_no(swings.withColumn("_to", _type_order()), out=BAR, tiebreak=["_to"])
+    # written twice on the way: scans join a table with an aggregate of itself,
+    # so each unwritten step would double the plan of the one after it
+    points = materialize(swings.withColumn("_to", _type_order()), "swing_points")
+    idx = materialize(with_bar_no(points, out=BAR, tiebreak=["_to"]), "swing_points")
 
     def change(d, w):
         prev = F.lag("swing_type", 1).over(w)
@@ -122,7 +125,7 @@ def labelled_swings(bars: DataFrame, order: int = SWING_ORDER) -> DataFrame:
                          .when(~first & (lab == "HH"), "up")
                          .when(~first & (lab == "LL"), "down"))
         return d
-    staged = over_chunks(seq, first_pass, 3)
+    staged = materialize(over_chunks(seq, first_pass, 3), "swings")
     carried = carry_last(staged, ["_run_start", "_trend_sig", "_state_sig"],
                          ["_run_from", "_trend_c", "_state_after"])
 
@@ -157,8 +160,8 @@ def _signals_with_swing(bars: DataFrame, swings: DataFrame) -> DataFrame:
                    "level", "level_date", "type", "direction"))
     # every bar -> the swing intervals [ts_{i-1}, ts_i] that contain it
     at = swings.groupBy(KEY, "ts").agg(F.min(SW).alias("_lo_at"), F.max(SW).alias("_hi_at"))
-    b = bars.select(KEY, "ts", BAR, "close").join(at, [KEY, "ts"], "left")
-    b = carry_next(b, "_lo_at", "_lo")
+    b = materialize(bars.select(KEY, "ts", BAR, "close").join(at, [KEY, "ts"], "left"), "swing_bars")
+    b = materialize(carry_next(b, "_lo_at", "_lo"), "swing_bars")
     b = carry_last(b, "_hi_at", "_hi")
     b = b.filter(F.col("_lo").isNotNull() & F.col("_hi").isNotNull())
     b = b.select(KEY, "ts", "close", F.explode(F.sequence(F.greatest(F.col("_lo"), F.lit(1)),

@@ -227,43 +227,47 @@ def true_range(spark, sf):
 
 # ------------------------------------------------------------------ recursive
 
-def recursive(spark, sf):
+def recursive(spark, sf, *wanted):
+    """Bars with the wanted recursive indicators; nothing else is computed,
+    and only the columns that they read are carried."""
     c = _ctx(spark, sf)
-    return c.memo("recursive", lambda: I.recursive_indicators(I.recursive_inputs(c.bars)))
+    return c.memo(("recursive", wanted), lambda: I.recursive_indicators(
+        I.recursive_inputs(c.bars.select("symbol", "ts", "bar_no", "open", "high", "low", "close"), wanted),
+        wanted=wanted))
 
 
 @query("ema")
 def ema(spark, sf):
-    return _round(recursive(spark, sf).select("symbol", "ts", "ema_10", "ema_20"),
+    return _round(recursive(spark, sf, "ema_10", "ema_20").select("symbol", "ts", "ema_10", "ema_20"),
                   r4=["ema_10", "ema_20"])
 
 
 @query("macd")
 def macd(spark, sf):
-    return _round(recursive(spark, sf).select("symbol", "ts", "macd", "macd_signal"),
+    return _round(recursive(spark, sf, "macd", "macd_signal").select("symbol", "ts", "macd", "macd_signal"),
                   r4=["macd", "macd_signal"])
 
 
 @query("rsi")
 def rsi(spark, sf):
-    return _round(recursive(spark, sf).select("symbol", "ts", "rsi"), r4=["rsi"])
+    return _round(recursive(spark, sf, "rsi").select("symbol", "ts", "rsi"), r4=["rsi"])
 
 
 @query("atr")
 def atr(spark, sf):
-    return _round(recursive(spark, sf).select("symbol", "ts", "atr", "atr_norm"),
+    return _round(recursive(spark, sf, "atr", "atr_norm").select("symbol", "ts", "atr", "atr_norm"),
                   r4=["atr"], r6=["atr_norm"])
 
 
 @query("dmi")
 def dmi(spark, sf):
-    return _round(recursive(spark, sf).select("symbol", "ts", "dmi_pos", "dmi_neg"),
+    return _round(recursive(spark, sf, "dmi_pos", "dmi_neg").select("symbol", "ts", "dmi_pos", "dmi_neg"),
                   r4=["dmi_pos", "dmi_neg"])
 
 
 @query("adx")
 def adx(spark, sf):
-    return _round(recursive(spark, sf).select("symbol", "ts", "adx"), r4=["adx"])
+    return _round(recursive(spark, sf, "adx").select("symbol", "ts", "adx"), r4=["adx"])
 
 
 @query("psar")
@@ -382,7 +386,7 @@ from candleflow.sources.store import TableStore  # noqa: E402
 @query("atr_days")
 def atr_days(spark, sf):
     """M1: range / ATR14 classification per bar."""
-    out = M.atr_days(recursive(spark, sf))
+    out = M.atr_days(recursive(spark, sf, "atr"))
     return _round(out.select("symbol", "ts", "atr_ratio", "is_up", "double_atr", "single_atr"),
                   r6=["atr_ratio"])
 
@@ -390,7 +394,7 @@ def atr_days(spark, sf):
 @query("atr_double_days")
 def atr_double_days(spark, sf):
     """M2: days with range >= 2 ATR, split up/down, with their close."""
-    out = M.atr_days(recursive(spark, sf)).filter(F.col("double_atr"))
+    out = M.atr_days(recursive(spark, sf, "atr")).filter(F.col("double_atr"))
     return _round(out.select("symbol", "ts", F.when(F.col("is_up"), "up").otherwise("down")
                              .alias("direction"), "close", "atr_ratio"), r6=["atr_ratio"])
 
@@ -1036,7 +1040,7 @@ LEGACY_COLS = ["sma_10", "wma_10", "momentum_10", "williams_r", "k_intraday", "d
 @query("legacy_indicators")
 def legacy_indicators(spark, sf):
     """The reference's earlier indicator set."""
-    rec = recursive(spark, sf).select("symbol", "bar_no", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))
+    rec = recursive(spark, sf, "macd", "macd_signal").select("symbol", "bar_no", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))
     x = I.with_windows(_ctx(spark, sf).bars, [I.legacy_cols], max(I.BB_WINDOW, I.WILLIAMS_WINDOW))
     x = running_sum(x, "_mfv", "adi").drop("_mfv")
     out = x.join(rec, ["symbol", "bar_no"]).select("symbol", "ts", *LEGACY_COLS)
