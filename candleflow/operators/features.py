@@ -5,9 +5,10 @@ Feature-table semantics (per series, in this order):
 
 1. label from the full bar series (``target``, carried aside, never filled);
 2. indicators; rows with any NULL indicator are dropped (warm-up: 60 bars);
-3. side closes joined on ``ts`` (left; missing -> NULL) and forward filled
-   over the *surviving* rows (ffill is the only fill: it never looks ahead);
-4. stationarity: EMA/SAR -> (x - C)/C, MACD* -> x/C, rate series -> diff,
+3. side closes joined on ``ts`` (left; missing -> NULL) and filled over the
+   *surviving* rows: forward (the default, it never looks ahead), or
+   ``fill="cubic"``: order-3 interpolation of interior gaps, then back fill;
+4. stationarity, by column name: EMA/SAR -> (x - C)/C, MACD* -> x/C, rate series -> diff,
    close/volume/other side closes -> pct_change, OBV -> diff(OBV)/C; a
    division by zero gives 0 (inf -> 0), 0/0 gives NULL.  "Previous" means
    the previous surviving row, as in the reference's drop-then-diff order;
@@ -18,11 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candleflow.functions.scalar import ratio
+from candleflow.operators import fill as FL
 from candleflow.operators import indicators as I
 from candleflow.plans.series import BAR, KEY, carry_last, over_chunks, running_sum, with_bar_no
 from candleflow.session import materialize
@@ -98,10 +101,11 @@ def stationary(ind: DataFrame, side_cols: list[str] = (), rate_cols: list[str] =
     ind = over_chunks(ind.withColumn("_level", F.col("close")), prev, 1)
     C = F.col("_level")
     new = {}
-    for c in ("ema_10", "ema_20", "psar"):
-        new[c] = ratio(F.col(c) - C, C)
-    for c in ("macd", "macd_signal"):
-        new[c] = ratio(F.col(c), C)
+    for c in ind.columns:  # by name pattern: an added window needs no change here
+        if re.fullmatch(r"ema_\d+|psar", c):
+            new[c] = ratio(F.col(c) - C, C)
+        elif re.fullmatch(r"macd(_\w+)?", c):
+            new[c] = ratio(F.col(c), C)
     for c in side_cols:
         new[c] = (F.col(c) - F.col(f"_p_{c}") if c in rate_cols
                   else I.pct_change(F.col(c), F.col(f"_p_{c}")))
@@ -130,17 +134,38 @@ def align_panel(surviving: DataFrame, bars: DataFrame, side_symbols: list[str])
     return surviving.join(side_panel(bars, list(side_symbols)), "ts", "left")
 
 
+def fill_sides(aligned: DataFrame, side_cols: list[str], fill: str = "ffill") -> DataFrame:
+    """Side closes without gaps: ``ffill``, or ``cubic`` (then back fill).
+
+    For the spline the columns become one long table of (symbol, side) series,
+    so all of them are solved together.
+    """
+    if fill == "ffill":
+        return carry_last(aligned, side_cols)
+    if fill != "cubic":
+        raise ValueError(f"unknown fill: {fill}")
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in side_cols])
+    series = materialize(aligned.select(KEY, "ts", BAR, F.explode(pairs).alias("p")).select(
+        F.concat_ws("|", KEY, "p.name").alias(KEY), F.col(KEY).alias("_symbol"), F.col("p.name").alias("_name"),
+        "ts", BAR, F.col("p.v").alias("v")), "sides")
+    full = FL.bfill(materialize(FL.interpolate_cubic(series, "v"), "sides"), ["v"])
+    wide = full.groupBy(F.col("_symbol").alias(KEY), BAR).agg(*[
+        F.max(F.when(F.col("_name") == c, F.col("v"))).alias(c) for c in side_cols])
+    return aligned.drop(*side_cols).join(wide, [KEY, BAR])
+
+
 def feature_table(bars: DataFrame, side_symbols: list[str], rate_symbols: list[str] = (),
-                  surviving: DataFrame | None = None) -> DataFrame:
+                  surviving: DataFrame | None = None, fill: str = "ffill") -> DataFrame:
     """``(symbol, ts, features..., side closes..., target)``.
 
     ``bars`` carries ``bar_no``; the closes of ``side_symbols`` are joined on
-    ``ts`` to every series and forward filled over its surviving rows.
+    ``ts`` to every series and filled over its surviving rows.  Series in
+    ``rate_symbols`` (rates, not prices) are differenced.
     """
     if surviving is None:
         surviving = materialize(surviving_indicators(bars), "surviving")
     side_cols = [side_name(s) for s in side_symbols]
-    aligned = carry_last(align_panel(surviving, bars, side_symbols), side_cols)
+    aligned = fill_sides(align_panel(surviving, bars, side_symbols), side_cols, fill)
     st = stationary(aligned, side_cols, [side_name(s) for s in rate_symbols])
     cols = ["symbol", "ts"] + FEATURE_COLS + side_cols
     return st.select(*cols, "target").dropna(subset=cols)

@@ -6,8 +6,8 @@ Every statement recomputes its input bars from ``lineitem``/``events``.
 
 from __future__ import annotations
 
-from candleflow.plans.sqltext import (DAILY_BARS, HOURLY_BARS, PSAR, REC_INPUTS, pct_change,
-                                      ratio, rounded)
+from candleflow.plans.sqltext import (DAILY_BARS, HOURLY_BARS, PSAR, REC_INPUTS, cubic_sql,
+                                      pct_change, ratio, rounded)
 
 SQL: dict[str, str] = {}
 
@@ -200,44 +200,8 @@ FROM (SELECT symbol, ts, close, pos,
              wb AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) t""",
     LONG))
 
-# the not-a-knot spline of every series, by elimination knot after knot
-SQL["interpolate_cubic"] = rounded(with_bars("""
-SELECT symbol, ts, coalesce(close,
-         m0 * pow(x1 - x, 3) / (6 * (x1 - x0)) + m1 * pow(x - x0, 3) / (6 * (x1 - x0))
-         + (y0 / (x1 - x0) - m0 * (x1 - x0) / 6) * (x1 - x) + (y1 / (x1 - x0) - m1 * (x1 - x0) / 6) * (x - x0)) AS close
-FROM around""", LONG + """,
-kn AS (SELECT symbol, ts, CAST(epoch(CAST(ts AS TIMESTAMP)) AS DOUBLE) AS x, close AS y,
-              row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n
-       FROM lp WHERE close IS NOT NULL),
-hh AS (SELECT *, x - lag(x) OVER w AS h0, lead(x) OVER w - x AS h1, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS s0,
-              (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s1 FROM kn WINDOW w AS (PARTITION BY symbol ORDER BY i)),
-eq AS (SELECT symbol, i, n, h0, h1, 6 * (s1 - s0) AS d,
-              CASE WHEN i = n - 2 THEN h0 - h1 * h1 / h0 ELSE h0 END AS a,
-              2 * (h0 + h1) + CASE WHEN i = 1 THEN h0 * (h0 + h1) / h1 ELSE 0 END
-                            + CASE WHEN i = n - 2 THEN h1 * (h0 + h1) / h0 ELSE 0 END AS b,
-              CASE WHEN i = 1 THEN h1 - h0 * h0 / h1 ELSE h1 END AS c
-       FROM hh WHERE i BETWEEN 1 AND n - 2),
-fw AS (SELECT symbol, i, b, c, d FROM eq WHERE i = 1
-       UNION ALL
-       SELECT eq.symbol, eq.i, eq.b - eq.a / fw.b * fw.c, eq.c, eq.d - eq.a / fw.b * fw.d
-       FROM fw JOIN eq ON eq.symbol = fw.symbol AND eq.i = fw.i + 1),
-bw AS (SELECT fw.symbol, fw.i, fw.d / fw.b AS m FROM fw JOIN eq USING (symbol, i) WHERE fw.i = eq.n - 2
-       UNION ALL
-       SELECT fw.symbol, fw.i, (fw.d - fw.c * bw.m) / fw.b FROM bw JOIN fw ON fw.symbol = bw.symbol AND fw.i = bw.i - 1),
-mm AS (SELECT symbol, i, m FROM bw
-       UNION ALL
-       SELECT e.symbol, 0, ((e.h0 + e.h1) * p.m - e.h0 * q.m) / e.h1
-       FROM eq e JOIN bw p ON p.symbol = e.symbol AND p.i = 1 JOIN bw q ON q.symbol = e.symbol AND q.i = 2 WHERE e.i = 1
-       UNION ALL
-       SELECT e.symbol, e.n - 1, ((e.h0 + e.h1) * p.m - e.h1 * q.m) / e.h0
-       FROM eq e JOIN bw p ON p.symbol = e.symbol AND p.i = e.n - 2 JOIN bw q ON q.symbol = e.symbol AND q.i = e.n - 3
-       WHERE e.i = e.n - 2),
-km AS (SELECT kn.symbol, kn.ts, kn.x, kn.y, mm.m FROM kn JOIN mm USING (symbol, i)),
-around AS (
-  SELECT l.symbol, l.ts, l.close, CAST(epoch(CAST(l.ts AS TIMESTAMP)) AS DOUBLE) AS x,
-         p.x AS x0, p.y AS y0, p.m AS m0, q.x AS x1, q.y AS y1, q.m AS m1
-  FROM lp l ASOF LEFT JOIN km p ON p.symbol = l.symbol AND l.ts >= p.ts
-            ASOF LEFT JOIN km q ON q.symbol = l.symbol AND l.ts <= q.ts)""").replace("WITH ", "WITH RECURSIVE ", 1),
+SQL["interpolate_cubic"] = rounded(with_bars(
+    "SELECT symbol, ts, close FROM cubic", LONG + "," + cubic_sql("lp")).replace("WITH ", "WITH RECURSIVE ", 1),
     r6=["close"])
 
 FEAT = "RECURSIVE " + DAILY_BARS + "," + REC_INPUTS + "," + PSAR + "," + BOUNDED + "," + SURVIVING
@@ -264,6 +228,9 @@ FEATURE_SQL = f"WITH {FEAT}, {feature_sql(SIDE)}\nSELECT * FROM feat"
 
 SQL["feature_table"] = rounded(FEATURE_SQL, r6=STAT + SIDE_COLS)
 
+SQL["feature_table_filled"] = rounded(
+    f"WITH {FEAT}, {feature_sql(SIDE, ['RO_close'], 'cubic')}\nSELECT * FROM feat", r6=STAT + SIDE_COLS)
+
 _FEATURE_NAMES = sorted(["symbol", "ts"] + STAT + SIDE_COLS + ["target"])
 _JSON = "[" + ", ".join(f'"{c}"' for c in _FEATURE_NAMES) + "]"
 

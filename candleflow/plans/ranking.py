@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candleflow.session import materialize
+
 ROWS_PER_BUCKET = 500_000
-MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+MIN_BUCKETS = 16
+MAX_BROADCAST_KEYS = 100_000
 GROUP = 64          # bounds per lookup block (two-level search)
 
 
@@ -20,7 +23,7 @@ def bucket_count(df: DataFrame, key: str) -> int:
     """Buckets so that one bucket holds ~ROWS_PER_BUCKET rows of the largest
     key (one scalar from a distributed count)."""
     largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, -(-largest // ROWS_PER_BUCKET))))
+    return int(max(MIN_BUCKETS, -(-largest // ROWS_PER_BUCKET)))
 
 
 def _bucket_of(bounds, v):
@@ -56,21 +59,31 @@ def exact_rank(df: DataFrame, key: str, value: str, out: str = "_rank",
 def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``percentile_cont``) per key.
 
-    Returns ``(key, q_<i> ...)`` with one column per probability.
+    Rows are counted per distinct value first, so a value that half the rows
+    share is one row; that table is range partitioned by (key, value) -- a key
+    with most of the values is cut between values -- and written once.  Ranks
+    are partition totals plus running counts inside a partition; only the few
+    wanted ranks are picked.  Returns ``(key, q_<i> ...)``.
     """
-    ranked = exact_rank(long_df.filter(F.col(value).isNotNull()), key, value)
-    n = long_df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    # the ranks each quantile needs (floor and ceil of p * (n - 1))
-    want = n.select(key, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("qi"), (F.lit(p) * (F.col("_n") - 1)).alias("pos"))
-        for i, p in enumerate(probs)])).alias("_q"))
-    want = want.select(key, "_q.qi", "_q.pos",
-                       F.explode(F.array_distinct(F.array(F.floor("_q.pos").cast("long"),
-                                                          F.ceil("_q.pos").cast("long")))).alias("_rank"))
-    picked = want.join(ranked.select(key, "_rank", value), [key, "_rank"], "inner")
-    per_q = (picked.groupBy(key, "qi", "pos")
-             .agg(F.min_by(value, "_rank").alias("_lo"), F.max_by(value, "_rank").alias("_hi"),
-                  F.min("_rank").alias("_r0")))
-    per_q = per_q.withColumn("q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("pos") - F.col("_r0")))
-    return (per_q.groupBy(key).pivot("qi", list(range(len(probs)))).agg(F.first("q"))
-            .select(key, *[F.col(str(i)).alias(f"q_{i}") for i in range(len(probs))]))
+    counts = long_df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    parts = materialize(counts.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()), "values")
+    totals = parts.groupBy(key, "_part").agg(F.sum("_c").alias("_n"))
+    ahead = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = parts.withColumn("_lo", F.coalesce(F.sum("_c").over(inside), F.lit(0))) \
+        .join(offsets, [key, "_part"]).withColumn("_lo", F.col("_lo") + F.col("_off"))
+    # one row per key: the positions each quantile needs (floor and ceil of p * (n - 1))
+    want = totals.groupBy(key).agg(F.sum("_n").alias("_n")).select(key, *[
+        (F.lit(p) * (F.col("_n") - 1)).alias(f"_p{i}") for i, p in enumerate(probs)])
+    hit = lambda at: (F.col("_lo") <= at) & (at < F.col("_lo") + F.col("_c"))
+    want = materialize(want, "wanted")
+    small = want.count() <= MAX_BROADCAST_KEYS  # else a join, which splits hot keys at run time
+    found = ranked.join(F.broadcast(want) if small else want, key)
+    out = found.groupBy(key).agg(*[x for i in range(len(probs)) for x in (
+        F.max(F.when(hit(F.floor(f"_p{i}")), F.col(value))).alias(f"_a{i}"),
+        F.max(F.when(hit(F.ceil(f"_p{i}")), F.col(value))).alias(f"_b{i}"),
+        F.max(f"_p{i}").alias(f"_p{i}"))])
+    return out.select(key, *[
+        (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (F.col(f"_p{i}") - F.floor(f"_p{i}"))).alias(f"q_{i}")
+        for i in range(len(probs))])

@@ -271,22 +271,86 @@ def side_panel_sql(side: list[str]) -> str:
 panel AS (SELECT ts, {cols} FROM bars WHERE symbol IN ({lst}) GROUP BY ts)"""
 
 
-def feature_sql(side: list[str]) -> str:
-    """CTE chain ending in ``feat`` (features + side closes + target)."""
+def cubic_sql(src: str) -> str:
+    """CTE chain from ``src(symbol, ts, close)`` to ``cubic(symbol, ts, close)``:
+    the not-a-knot spline of every series, by elimination knot after knot."""
+    return f"""
+kn AS (SELECT symbol, ts, CAST(epoch(CAST(ts AS TIMESTAMP)) AS DOUBLE) AS x, close AS y,
+              row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n
+       FROM {src} WHERE close IS NOT NULL),
+hh AS (SELECT *, x - lag(x) OVER w AS h0, lead(x) OVER w - x AS h1, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS s0,
+              (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s1 FROM kn WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+eq AS (SELECT symbol, i, n, h0, h1, 6 * (s1 - s0) AS d,
+              CASE WHEN i = n - 2 THEN h0 - h1 * h1 / h0 ELSE h0 END AS a,
+              2 * (h0 + h1) + CASE WHEN i = 1 THEN h0 * (h0 + h1) / h1 ELSE 0 END
+                            + CASE WHEN i = n - 2 THEN h1 * (h0 + h1) / h0 ELSE 0 END AS b,
+              CASE WHEN i = 1 THEN h1 - h0 * h0 / h1 ELSE h1 END AS c
+       FROM hh WHERE i BETWEEN 1 AND n - 2),
+fwd AS (SELECT symbol, i, b, c, d FROM eq WHERE i = 1
+        UNION ALL
+        SELECT eq.symbol, eq.i, eq.b - eq.a / fwd.b * fwd.c, eq.c, eq.d - eq.a / fwd.b * fwd.d
+        FROM fwd JOIN eq ON eq.symbol = fwd.symbol AND eq.i = fwd.i + 1),
+bwd AS (SELECT fwd.symbol, fwd.i, fwd.d / fwd.b AS m FROM fwd JOIN eq USING (symbol, i) WHERE fwd.i = eq.n - 2
+        UNION ALL
+        SELECT fwd.symbol, fwd.i, (fwd.d - fwd.c * bwd.m) / fwd.b
+        FROM bwd JOIN fwd ON fwd.symbol = bwd.symbol AND fwd.i = bwd.i - 1),
+mm AS (SELECT symbol, i, m FROM bwd
+       UNION ALL
+       SELECT e.symbol, 0, ((e.h0 + e.h1) * p.m - e.h0 * q.m) / e.h1
+       FROM eq e JOIN bwd p ON p.symbol = e.symbol AND p.i = 1 JOIN bwd q ON q.symbol = e.symbol AND q.i = 2 WHERE e.i = 1
+       UNION ALL
+       SELECT e.symbol, e.n - 1, ((e.h0 + e.h1) * p.m - e.h1 * q.m) / e.h0
+       FROM eq e JOIN bwd p ON p.symbol = e.symbol AND p.i = e.n - 2 JOIN bwd q ON q.symbol = e.symbol AND q.i = e.n - 3
+       WHERE e.i = e.n - 2),
+km AS (SELECT kn.symbol, kn.ts, kn.x, kn.y, mm.m FROM kn JOIN mm USING (symbol, i)),
+around AS (
+  SELECT l.symbol, l.ts, l.close, CAST(epoch(CAST(l.ts AS TIMESTAMP)) AS DOUBLE) AS x,
+         p.x AS x0, p.y AS y0, p.m AS m0, q.x AS x1, q.y AS y1, q.m AS m1
+  FROM {src} l ASOF LEFT JOIN km p ON p.symbol = l.symbol AND l.ts >= p.ts
+               ASOF LEFT JOIN km q ON q.symbol = l.symbol AND l.ts <= q.ts),
+cubic AS (
+  SELECT symbol, ts, coalesce(close,
+           m0 * pow(x1 - x, 3) / (6 * (x1 - x0)) + m1 * pow(x - x0, 3) / (6 * (x1 - x0))
+           + (y0 / (x1 - x0) - m0 * (x1 - x0) / 6) * (x1 - x) + (y1 / (x1 - x0) - m1 * (x1 - x0) / 6) * (x - x0)) AS close
+  FROM around)"""
+
+
+def feature_sql(side: list[str], rates: list[str] = (), fill: str = "ffill") -> str:
+    """CTE chain ending in ``feat`` (features + side closes + target).
+
+    Side gaps are forward filled, or interpolated (cubic) and back filled;
+    ``rates`` are differenced instead of divided.
+    """
     sc = [f"{s}_close" for s in side]
-    ff = ", ".join(
-        f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY sbar ROWS UNBOUNDED PRECEDING) AS {c}"
-        for c in sc)
     lags = ", ".join(f"lag({c}) OVER w AS p_{c}" for c in ["close", "volume", "obv"] + sc)
-    side_pct = ", ".join(pct_change(c, f"p_{c}") + f" AS {c}" for c in sc)
+    side_pct = ", ".join((f"{c} - p_{c}" if c in rates else pct_change(c, f"p_{c}")) + f" AS {c}" for c in sc)
     keep = ["close", "volume"] + INDICATOR_COLS + sc
     rel = ", ".join(ratio(f"{c} - lvl", "lvl") + f" AS {c}" for c in ("ema_10", "ema_20", "psar"))
     norm = ", ".join(ratio(c, "lvl") + f" AS {c}" for c in ("macd", "macd_signal"))
-    return side_panel_sql(side) + """,
+    if fill == "ffill":
+        ff = ", ".join(
+            f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY sbar ROWS UNBOUNDED PRECEDING) AS {c}"
+            for c in sc)
+        aligned = """
 al AS (
   SELECT surv.* EXCLUDE (""" + ", ".join(sc) + """), """ + ff + """
   FROM (SELECT * FROM surv LEFT JOIN panel USING (ts)) surv
 ),
+"""
+    else:
+        parts = "\n  UNION ALL ".join(
+            f"SELECT surv.symbol || '|{c}' AS symbol, ts, panel.{c} AS close FROM surv LEFT JOIN panel USING (ts)" for c in sc)
+        back = ", ".join(f"max(CASE WHEN name = '{c}' THEN close END) AS {c}" for c in sc)
+        aligned = f"""
+gaps AS ({parts}),
+{cubic_sql("gaps")},
+full_ AS (SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS name, ts,
+                 first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM cubic),
+al AS (SELECT surv.*, w.* EXCLUDE (symbol, ts)
+       FROM surv JOIN (SELECT symbol, ts, {back} FROM full_ GROUP BY symbol, ts) w USING (symbol, ts)),
+"""
+    return side_panel_sql(side) + "," + aligned.lstrip("\n") + """
 pv AS (
   SELECT al.*, close AS lvl, """ + lags + """
   FROM al WINDOW w AS (PARTITION BY symbol ORDER BY sbar)

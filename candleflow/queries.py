@@ -356,6 +356,14 @@ def feature_table(spark, sf):
     return _round(feature_frame(spark, sf), r6=FT.FEATURE_COLS + SIDE_COLS)
 
 
+@query("feature_table_filled")
+def feature_table_filled(spark, sf):
+    """Side gaps by order-3 interpolation and back fill; RO is
+    taken as a rate and differenced."""
+    out = FT.feature_table(_ctx(spark, sf).bars, SIDE, ["RO"], surviving=_surviving(spark, sf), fill="cubic")
+    return _round(out, r6=FT.FEATURE_COLS + SIDE_COLS)
+
+
 @query("manifest_hash")
 def manifest_hash(spark, sf):
     """manifest of the feature table (sorted names, rows, hash)."""
