@@ -20,8 +20,8 @@ pieces) or, without those, as ``<unk>``; in unigram models it costs
 Spaces become U+2581, one stands before the text.  No piece of the model
 continues past another character into a U+2581, so every boundary between
 another character and a U+2581 lies on all paths: texts are cut there into
-*units* (a run of U+2581 and the characters after it), and a unit, for the
-same reason, into *atoms* where no piece holds its two neighbouring characters.
+*units*, and for the same reason between characters of classes that no piece
+joins (letters, digits, others): see :func:`unit_pattern`.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from dataclasses import dataclass, field
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units (and stable pairs) remembered by one worker; emptied when full,
+#: Units, and stable pairs, remembered by one worker; emptied when full,
 #: which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 @dataclass
@@ -51,23 +51,19 @@ class Pieces:
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids))
         self.floor = min(self.scores[i] for i in self.ids.values()) - 10.0
-        #: neighbouring characters inside pieces: any other two have a
-        #: boundary between them on every path
-        self.inside = {p[n:n + 2] for p in self.ids for n in range(len(p) - 1)}
         self.names = {i: p for p, i in self.ids.items()}
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         #: automaton over the pieces, built where it is walked: the longest
         #: piece prefix that a text ends with -> (next nodes by character,
         #: pieces the text ends with as (length, id), longest first, name)
         self.nodes: dict[str, tuple] = {}
-        #: what a worker has found for units and atoms, over all its tasks
+        #: what a worker has found for units, over all its tasks
         self.known: dict = {}
-        self.parts: dict = {}
+        self.find_units = unit_pattern(self.ids).findall
 
     def forget_when_full(self) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-            self.parts.clear()
 
     def node(self, name: str) -> tuple:
         found = self.nodes.get(name)
@@ -117,23 +113,26 @@ def pieces_of(sp, bpe: bool) -> Pieces:
                   byte_ids if min(byte_ids) >= 0 else [], sp.unk_id(), bpe, out)
 
 
-def units(text: str) -> list[str]:
+def unit_pattern(ids) -> re.Pattern:
+    """Pattern of the units: runs of one class of characters (letters, digits,
+    all others), with the spaces before them.  Characters that pieces join
+    across classes count as others; if pieces still do, a unit is everything
+    up to the next space.  Digits stand alone if no piece joins two."""
+    kind = lambda c: "S" if c == SPACE else "D" if re.match(r"\d", c) else "L" if re.match(r"[^\W_]", c) else "O"
+    pairs = {p[n:n + 2] for p in ids for n in range(len(p) - 1)}
+    odd = {c for x in pairs for c in x if kind(x[0]) != kind(x[1]) and "S" != kind(x[0]) and kind(c) == "L"}
+    mixed = [x for x in pairs if x[0] != SPACE and ("O" if x[0] in odd else kind(x[0])) != (
+        "O" if x[1] in odd else kind(x[1]))]
+    if mixed:
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    rare = re.escape("".join(sorted(odd)))
+    digits = r"\d+" if any(kind(x[0]) == "D" for x in pairs) else r"\d"
+    return re.compile(f"{SPACE}*(?:[^\\W\\d_{rare}]+|{digits}|(?:[^\\w{SPACE}]|[_{rare}])+)|{SPACE}+")
+
+
+def units(text: str, p: Pieces) -> list[str]:
     """The units of a text, with the space that stands before it."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def atoms(unit: str, p: Pieces) -> list[str]:
-    """A unit cut at the boundaries that no piece spans."""
-    inside, out, start = p.inside, [], 0
-    for i in range(1, len(unit)):
-        if unit[i - 1:i + 1] not in inside:
-            out.append(unit[start:i])
-            start = i
-    out.append(unit[start:])
-    return out
-
-
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    return p.find_units(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def merged(text: str, p: Pieces) -> list[str]:

@@ -56,11 +56,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spm_codec.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = spm_codec.with_text(rows)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-                       F.length("decoded").cast("long").alias("n_decoded"), same.alias("round_trip"))
+    rows = spm_codec.with_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.size("coded.ids").cast("long").alias("n_ids"), "coded.ids",
+                       "coded.n_decoded", F.col("coded.same").alias("round_trip"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .pieces import MODEL, Pieces, atoms, last_piece, load_pieces, units, write_ids
+from .pieces import MODEL, Pieces, last_piece, load_pieces, units, write_ids
+from .share import share, shared
 
 
 def viterbi(text: str, p: Pieces, commits: list[int] | None = None,
@@ -72,37 +73,34 @@ def viterbi(text: str, p: Pieces, commits: list[int] | None = None,
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of units and atoms as packed int32."""
+    """Encodes texts; remembers the ids of units as packed int32."""
 
     def __init__(self, p: Pieces) -> None:
-        self.p, self.known, self.parts = p, p.known, p.parts
+        self.p, self.known = p, p.known
 
     def learn(self, fresh: set[str]) -> None:
-        """Search what was not seen before, in sorted order: the table of the
-        prefix an atom shares with the one before it is used again."""
-        known, parts, p = self.known, self.parts, self.p
-        cut = {u: atoms(u, p) for u in fresh}
+        """Search units not seen before, in sorted order: the table of the
+        prefix a unit shares with the one before it is used again."""
+        known, p = self.known, self.p
         state, before = p.fresh(), ""
-        for atom in sorted({a for found in cut.values() for a in found if a not in parts}):
-            same = 0
-            for a, b in zip(before, atom):
-                if a != b:
-                    break
-                same += 1
-            if len(atom) <= 2 * p.longest:
+        for u in sorted(fresh):
+            if len(u) <= 2 * p.longest:
+                same = 0
+                for a, b in zip(before, u):
+                    if a != b:
+                        break
+                    same += 1
                 del state[same + 1:]
-                ids, before = viterbi(atom, p, None, state), atom
+                ids, before = viterbi(u, p, None, state), u
             else:
-                ids = viterbi(atom, p)
-            parts[atom] = array("i", ids).tobytes()
-        for u, found in cut.items():
-            known[u] = parts[found[0]] if len(found) == 1 else b"".join([parts[a] for a in found])
+                ids = viterbi(u, p)
+            known[u] = array("i", ids).tobytes()
 
     def packed(self, texts) -> list[bytes]:
         """Packed ids of every text of a batch."""
         self.p.forget_when_full()
         known = self.known
-        found = [units(t or "") for t in texts]
+        found = [units(t or "", self.p) for t in texts]
         self.learn({u for us in found for u in us if u not in known})
         return [b"".join([known[u] for u in us]) for us in found]
 
@@ -119,13 +117,13 @@ def decode(ids, p: Pieces) -> str:
 
 def with_ids(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
     """Adds ``out array<int>``; all columns of ``docs`` are kept."""
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
+    pieces = share(docs.sparkSession, load_pieces(model))
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        enc = Encoder(pieces.value)
+        enc = Encoder(shared(pieces))
         for a in batches:
             packed = enc.packed(a.to_pylist())
             offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in packed])))
@@ -137,14 +135,41 @@ def with_ids(docs: DataFrame, text: str = "text", out: str = "ids", model: str =
 
 
 def with_text(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
-    """Adds the decoded text of ``ids``; all columns are kept."""
-    pieces = rows.sparkSession.sparkContext.broadcast(load_pieces(model))
+    """Adds the decoded text of ``ids`` (null ids: ''); all columns are kept."""
+    pieces = share(rows.sparkSession, load_pieces(model))
 
     @F.arrow_udf("string")
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        p = pieces.value
+        p = shared(pieces)
         for a in batches:
-            yield pa.array([decode(i or (), p) for i in a.to_pylist()], pa.string())
+            ids, at = a.values.to_numpy(zero_copy_only=False), a.offsets.to_numpy()
+            yield pa.array([decode(ids[i:j].tolist(), p) for i, j in zip(at, at[1:])], pa.string())
 
     bounded_batches(rows.sparkSession)
-    return rows.withColumn(out, text_of(F.col(ids)))
+    return rows.withColumn(out, text_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+
+
+def with_round_trip(docs: DataFrame, text: str = "text", out: str = "coded", model: str = MODEL) -> DataFrame:
+    """Adds ``out``: the ids, the characters of the text decoded from them,
+    and whether it is the text; encoded and decoded in one pass."""
+    pieces = share(docs.sparkSession, load_pieces(model))
+
+    @F.arrow_udf("ids array<int>, n_decoded long, same boolean")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        p = shared(pieces)
+        enc = Encoder(p)
+        for a in batches:
+            texts = a.to_pylist()
+            packed = enc.packed(texts)
+            decoded = [decode(np.frombuffer(b, "<i4").tolist(), p) for b in packed]
+            offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in packed])))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.StructArray.from_arrays(
+                [ids, pa.array(list(map(len, decoded)), pa.int64()),
+                 pa.array([d == (t or "") for d, t in zip(decoded, texts)], pa.bool_())],
+                ["ids", "n_decoded", "same"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.withColumn(out, coded(F.col(text)))

@@ -1,6 +1,6 @@
 """Token counts by dynamic programming over a shared trie (operator 10).
 
-The distinct pre-tokens (atoms, see :mod:`.pieces`) of a batch form a trie.
+The distinct pre-tokens (units, see :mod:`.pieces`) of a batch form a trie.
 Walking it depth first, the forward state of a prefix -- its best last piece
 and the number of tokens up to it -- is computed once per trie node from the
 states above it and shared by all pre-tokens below; a terminal node stores
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .pieces import MODEL, Pieces, atoms, last_piece, load_pieces, n_ids, units
+from .pieces import MODEL, Pieces, last_piece, load_pieces, n_ids, units
+from .share import share, shared
 
 
 def trie_counts(pretokens, p: Pieces) -> tuple[dict[str, int], int]:
@@ -57,19 +58,16 @@ def trie_counts(pretokens, p: Pieces) -> tuple[dict[str, int], int]:
 def with_token_count(docs: DataFrame, text: str = "text", out: str = "n_tokens",
                      model: str = MODEL) -> DataFrame:
     """Adds ``out long``; all columns of ``docs`` are kept."""
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
+    pieces = share(docs.sparkSession, load_pieces(model))
 
     @F.arrow_udf("long")
     def count_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        p = pieces.value
-        known, parts = p.known, p.parts
+        p = shared(pieces)
+        known = p.known
         for a in batches:
-            cut = [units(t or "") for t in a.to_pylist()]
             p.forget_when_full()
-            fresh = {u: atoms(u, p) for u in {u for us in cut for u in us if u not in known}}
-            parts.update(trie_counts({x for xs in fresh.values() for x in xs if x not in parts}, p)[0])
-            for u, xs in fresh.items():
-                known[u] = sum([parts[x] for x in xs])
+            cut = [units(t or "", p) for t in a.to_pylist()]
+            known.update(trie_counts({u for us in cut for u in us if u not in known}, p)[0])
             yield pa.array([sum([known[u] for u in us]) for us in cut], pa.int64())
 
     bounded_batches(docs.sparkSession)
