@@ -6,7 +6,8 @@ every chunk is compressed with either dictionary; text that is like the good
 sample gets smaller with the good dictionary.  The normalised difference of
 the compressed sizes, (bad - good) / (bad + good), over the whole text and at
 its worst chunk, together with how far the better dictionary compresses
-(repetition), becomes a probability by a logistic calibration fitted on
+(repetition) and how long the text is (short texts compress raggedly),
+becomes a probability by a logistic calibration fitted on
 labelled rows that are in neither dictionary.
 
 ``PER_CLASS`` rows of each class are the bounded sample: ``DICT_SHARE`` of
@@ -38,6 +39,7 @@ DICT_BYTES = 1 << 20
 CHUNK = 2048
 LEVEL = 3
 THRESHOLD = 0.7
+FEATURES = 6
 
 
 @dataclass
@@ -75,12 +77,14 @@ class Scorer:
             rate = log(min(g, b) / n)
             worst, least, most = min(worst, (b - g) / (b + g)), min(least, rate), max(most, rate)
             mean += rate * n
-        return [(sum_bad - sum_good) / (sum_bad + sum_good), worst, least, mean / max(1, len(text)), most]
+        return [(sum_bad - sum_good) / (sum_bad + sum_good), worst, least, mean / max(1, len(text)), most,
+                log(len(text) + 1)]
 
 
 def _terms(features, model_mean, model_scale) -> list[float]:
+    """Standardised features, their squares, and what each means at this length."""
     z = [min(6.0, max(-6.0, (f - m) / s)) for f, m, s in zip(features, model_mean, model_scale)]
-    return z + [v * v for v in z]
+    return z + [v * v for v in z] + [v * z[-1] for v in z[:-1]]
 
 
 def fit_quality(sample: DataFrame) -> QualityModel | None:
@@ -113,10 +117,10 @@ def fit_quality(sample: DataFrame) -> QualityModel | None:
     bounded_batches(sample.sparkSession)
     rows = sample.where(F.col("u") >= DICT_SHARE).select("t", "y").mapInArrow(
         measure, "x array<double>, y int").orderBy("y", "x").collect()
-    x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, 5))
-    mean = x.mean(0).tolist() if len(x) else [0.0] * 5
-    scale = [float(s) or 1.0 for s in x.std(0)] if len(x) else [1.0] * 5
-    weights = fit_logistic([_terms(r, mean, scale) for r in x], [r["y"] for r in rows], prior=[0.0] * 11)
+    x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, FEATURES))
+    mean = x.mean(0).tolist() if len(x) else [0.0] * FEATURES
+    scale = [float(s) or 1.0 for s in x.std(0)] if len(x) else [1.0] * FEATURES
+    weights = fit_logistic([_terms(r, mean, scale) for r in x], [r["y"] for r in rows], prior=[0.0] * (3 * FEATURES))
     return QualityModel(good, bad, mean, scale, weights)
 
 
