@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candleflow.operators import indicators as I
+from candleflow.session import join_small
 from candleflow.sources import bars as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +122,7 @@ def drop_tail(spark, sf, n: int = 10):
     """L2: all but the newest n bars per series (position vs series length)."""
     bars = _ctx(spark, sf).bars
     sizes = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    return (bars.join(sizes, "symbol").filter(F.col("bar_no") < F.col("_n") - n)
+    return (join_small(bars, sizes, "symbol").filter(F.col("bar_no") < F.col("_n") - n)
             .select(*BAR_COLS))
 
 
@@ -570,7 +571,7 @@ def visible_predictions(spark, sf):
     """Predictions not older than the first bar of the last 6 months."""
     recent = S.recent(_ctx(spark, sf).daily, 6, S.newest_day(spark, sf))
     first = recent.groupBy("symbol").agg(F.min("ts").alias("_first"))
-    p = _predictions(spark, sf).join(first, "symbol").filter(F.col("ts") >= F.col("_first"))
+    p = join_small(_predictions(spark, sf), first, "symbol").filter(F.col("ts") >= F.col("_first"))
     return _round(p.select("symbol", "ts", "prediction", "confidence"), r6=["confidence"])
 
 

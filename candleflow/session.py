@@ -95,3 +95,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def join_small(df: DataFrame, side: DataFrame, on, rows: int = 100_000) -> DataFrame:
+    """Join ``side`` (one row per series or the like) to a large ``df``.
+
+    The side is written and counted; up to ``rows`` it is broadcast, so the
+    large side is not shuffled by a key that few values share.  A larger side
+    is joined as usual, where skewed keys are split at run time.
+    """
+    from pyspark.sql import functions as F
+
+    side = materialize(side, "side")
+    return df.join(F.broadcast(side) if side.limit(rows + 1).count() <= rows else side, on)

@@ -24,11 +24,12 @@ WATERMARK = "1 hour"
 BAR_WIDTH = "1 hour"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """Stream the ``events`` table of a data folder (file source)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1,
+                 files: str = "events.parquet") -> DataFrame:
+    """Stream the ``events`` files of a data folder (file source, oldest first)."""
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{files}").schema
     return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", "events.parquet")
+            .option("pathGlobFilter", files)
             .option("maxFilesPerTrigger", files_per_trigger)
             .parquet(sf_dir))
 
@@ -52,9 +53,9 @@ def stream_bar_aggregate(events: DataFrame, width: str = BAR_WIDTH,
 
 
 def run_bar_stream(spark: SparkSession, sf_dir: str, store: TableStore, checkpoint: str,
-                   name: str = "bars_hourly") -> DataFrame:
+                   name: str = "bars_hourly", files: str = "events.parquet") -> DataFrame:
     """Process everything available (bounded trigger), return the table."""
-    bars = stream_bar_aggregate(event_stream(spark, sf_dir))
+    bars = stream_bar_aggregate(event_stream(spark, sf_dir, files=files))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         store.upsert(name, batch, ["symbol", "ts"])
