@@ -57,10 +57,13 @@ def test_several_batches_late_rows_and_replay(spark, tmp_path):
     from candleflow.sources.store import TableStore
     from candleflow.streaming.bars_stream import run_bar_stream
 
+    folder = tmp_path / "in"
+    folder.mkdir()
+
     def put(n, rows):
         pdf = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, "
                                           "value double, props string").toPandas()
-        path = tmp_path / f"events-{n}.parquet"
+        path = folder / f"events-{n}.parquet"
         pq.write_table(pa.Table.from_pandas(pdf, preserve_index=False), str(path), coerce_timestamps="us")
         os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
 
@@ -72,7 +75,7 @@ def test_several_batches_late_rows_and_replay(spark, tmp_path):
     # 9:01 comes too late (batches drop rows by the watermark of the batch before)
     put(4, [(5, at(9, 1), 1, "view", 1.0, ""), (7, at(14, 40), 1, "view", 8.0, "")])
     store = TableStore(spark, f"{tmp_path}/store")
-    run = lambda: run_bar_stream(spark, str(tmp_path), store, f"{tmp_path}/ckpt", files="events-*.parquet")
+    run = lambda: run_bar_stream(spark, str(folder), store, f"{tmp_path}/ckpt", files="events-*.parquet")
     want = {("view", at(9, 0), 10.0, 99.0, 10.0, 99.0, 2.0), ("view", at(10, 0), 11.0, 11.0, 11.0, 11.0, 1.0),
             ("view", at(13, 0), 5.0, 5.0, 5.0, 5.0, 1.0), ("view", at(14, 0), 7.0, 8.0, 7.0, 8.0, 2.0)}
     assert as_set(run()) == want
