@@ -1,3 +1,91 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+The other queries use fitted models, XXH64 with a seed, seeded selection or
+a tokenizer; their tests compare with brute force.
+"""
+
+from __future__ import annotations
+
+from . import quality_rules as R
+from .common import WORD
 
 SQL: dict[str, str] = {}
+
+SQL["op4_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)
+         AND list_bool_and([isfinite(x) for x in e]) AND list_bool_or([x <> 0 for x in e])),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b
+         ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+deg AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT v.vec_id, coalesce(deg.n, 0) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp ON comp.x = v.vec_id LEFT JOIN deg ON deg.x = v.vec_id"""
+
+
+def _size(regex: str) -> str:
+    return "length(regexp_replace(t, '" + regex.replace("'", "''") + "', '', 'g'))"
+
+
+_CLASSES = list(R.CLASSES)
+_COUNTS = ", ".join(f"{_size(rx)} AS n_{k}" for k, rx in R.CLASSES.items())
+_OTHER = "all_ - " + " - ".join(f"n_{k}" for k in _CLASSES)
+_SUMS = ", ".join(f"sum(n_{k}) / sum(all_) AS q_{k}" for k in _CLASSES)
+
+
+def _xlog(p: str, m: str) -> str:
+    return f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / ({m})) ELSE 0 END)"
+
+
+def _js(p: str, q: str) -> str:
+    m = f"({p} + {q}) / 2"
+    return f"({_xlog(p, m)} + {_xlog(q, m)}) / 2"
+
+
+_CHAR_JS = " + ".join(_js(f"(n_{k} / all_)", f"q_{k}") for k in [*_CLASSES, "other"])
+
+SQL["op8_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, lang, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, length(t) AS all_, {_COUNTS} FROM d),
+x AS (SELECT *, {_OTHER} AS n_other FROM w),
+tri AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n
+        FROM (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+              FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) > 2) g) p),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM tri, range(0, 3) r(k) WHERE tri.n > 1 GROUP BY rid),
+base AS (SELECT x.*, len(w) AS n_words,
+                {_size(r'[ \x09-\x0D]+')} AS word_chars,
+                {_size('[^#*$%&|<>]+')} AS n_symbols,
+                (SELECT count(l) - count(DISTINCT l) FROM (SELECT unnest(string_split(x.t, chr(10))) AS l) s
+                 WHERE regexp_matches(l, '{WORD}')) AS n_dup_lines,
+                coalesce(rep.n, 0) AS n_repeat_words
+         FROM x LEFT JOIN rep USING (rid)),
+lang0 AS (SELECT lang, sum(all_) AS all_, {_SUMS}, sum(n_other) / sum(all_) AS q_other FROM x
+          WHERE lang IS NOT NULL GROUP BY lang HAVING sum(all_) > 0),
+langs AS (SELECT * FROM lang0 WHERE all_ >= {R.MIN_LANG_SHARE} * (SELECT sum(all_) FROM lang0)),
+lw AS (SELECT lang, u AS word, count(*) AS n
+       FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '{WORD}')) AS u FROM d WHERE lang IN (SELECT lang FROM langs)) z
+       GROUP BY lang, u),
+top AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS q
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM lw) z
+        WHERE r <= {R.TOP_WORDS}),
+dw AS (SELECT rid, u AS word, count(*) AS n FROM (SELECT rid, unnest([lower(s) for s in w]) AS u FROM w) z
+       WHERE u IN (SELECT word FROM top) GROUP BY rid, u),
+dp AS (SELECT rid, word, n / sum(n) OVER (PARTITION BY rid) AS p FROM dw),
+wd AS (SELECT rid, min(js) AS js FROM (
+         SELECT dp.rid, l.lang, 0.5 + sum({_js('dp.p', 'coalesce(top.q, 0)')} - coalesce(top.q, 0) / 2) AS js
+         FROM dp CROSS JOIN (SELECT DISTINCT lang FROM top) l LEFT JOIN top ON top.lang = l.lang AND top.word = dp.word
+         GROUP BY dp.rid, l.lang) z GROUP BY rid),
+cd AS (SELECT rid, min(js) AS js FROM (SELECT rid, {_CHAR_JS} AS js
+                                       FROM (SELECT * FROM x WHERE all_ >= {R.MIN_CHARS}) x, (SELECT * EXCLUDE (all_) FROM langs) l) z
+       GROUP BY rid),
+v AS (SELECT base.*, base.n_words < 50 OR 100 * n_repeat_words > 50 * base.n_words AS base_failed,
+             CASE WHEN cd.js IS NOT NULL THEN sqrt(greatest(cd.js, 0)) END AS char_distance,
+             CASE WHEN base.n_words >= {R.MIN_WORDS} THEN CASE WHEN wd.js IS NULL THEN 1.0 ELSE sqrt(greatest(wd.js, 0)) END END AS word_distance
+      FROM base LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(char_distance, 0) <= {R.MAX_CHAR_DISTANCE}
+         AND coalesce(word_distance, 0) <= {R.MAX_WORD_DISTANCE} AS kept,
+       round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+FROM v"""
