@@ -202,7 +202,7 @@ FROM (SELECT symbol, ts, close, pos,
 
 SQL["interpolate_cubic"] = rounded(with_bars(
     "SELECT symbol, ts, close FROM cubic", LONG + "," + cubic_sql("lp")).replace("WITH ", "WITH RECURSIVE ", 1),
-    r6=["close"])
+    r4=["close"])
 
 FEAT = "RECURSIVE " + DAILY_BARS + "," + REC_INPUTS + "," + PSAR + "," + BOUNDED + "," + SURVIVING
 

@@ -321,7 +321,7 @@ def interpolate_linear(spark, sf):
 def interpolate_cubic(spark, sf):
     """G3 (cubic): not-a-knot spline over the time axis, interior gaps only."""
     out = FL.interpolate_cubic(materialize(_long_panel(spark, sf), "long_panel"), "close")
-    return _round(out.select("symbol", "ts", "close"), r6=["close"])
+    return _round(out.select("symbol", "ts", "close"), r4=["close"])
 
 
 def _surviving(spark, sf):
