@@ -200,9 +200,9 @@ FROM (SELECT symbol, ts, close, pos,
              wb AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) t""",
     LONG))
 
-SQL["interpolate_cubic"] = rounded(with_bars(
-    "SELECT symbol, ts, close FROM cubic", LONG + "," + cubic_sql("lp")).replace("WITH ", "WITH RECURSIVE ", 1),
-    r4=["close"])
+SQL["interpolate_cubic"] = with_bars("""
+SELECT c.symbol, c.ts, coalesce(lp.close, round(c.close, 5)) AS close FROM cubic c JOIN lp USING (symbol, ts)""",
+                                     LONG + "," + cubic_sql("lp")).replace("WITH ", "WITH RECURSIVE ", 1)
 
 FEAT = "RECURSIVE " + DAILY_BARS + "," + REC_INPUTS + "," + PSAR + "," + BOUNDED + "," + SURVIVING
 

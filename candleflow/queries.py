@@ -320,8 +320,9 @@ def interpolate_linear(spark, sf):
 @query("interpolate_cubic")
 def interpolate_cubic(spark, sf):
     """G3 (cubic): not-a-knot spline over the time axis, interior gaps only."""
-    out = FL.interpolate_cubic(materialize(_long_panel(spark, sf), "long_panel"), "close")
-    return _round(out.select("symbol", "ts", "close"), r4=["close"])
+    panel = materialize(_long_panel(spark, sf).withColumn("known", F.col("close")), "long_panel")
+    out = FL.interpolate_cubic(panel, "close")
+    return out.select("symbol", "ts", F.coalesce("known", F.round("close", 5)).alias("close"))
 
 
 def _surviving(spark, sf):
