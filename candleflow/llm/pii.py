@@ -228,8 +228,10 @@ def read_trees(debug: str) -> list[tuple[float, object]]:
 def fit_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> PiiModel | None:
     """None if the candidates lack one of the labels."""
     spark = docs.sparkSession
+    # the outer form: for a plain explode Spark infers a filter on the size of
+    # the array and works every pattern out once more for it
     rows = with_candidates(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text") \
-        .select("_id", F.explode("_cand").alias("c")) \
+        .select("_id", F.explode_outer("_cand").alias("c")).where("c is not null") \
         .select("c.x", "c.y", "c.kind", F.xxhash64("_id", "c.s", "c.kind", F.lit(3)).alias("h")) \
         .orderBy("h", "x", "y").limit(sample).collect()
     fit = [r for r in rows if r["h"] % 10 < 7]
