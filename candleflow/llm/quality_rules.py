@@ -83,7 +83,9 @@ def fit_reference(docs: DataFrame, text: str = "text", lang: str = "lang") -> Re
         shares = {k: r[f"_n_{k}"] / r["_n_all"] for k in CLASSES}
         chars[r["_l"]] = shares | {"other": max(0.0, 1.0 - sum(shares.values()))}
     counts = rows.where(F.col("_l").isin(list(chars))).select(
-        "_l", F.explode(_words(F.lower("_t"))).alias("w")).groupBy("_l", "w").count()
+        # the outer form: a plain explode would work the words out twice, once
+        # for an inferred filter on the size of the array
+        "_l", F.explode_outer(_words(F.lower("_t"))).alias("w")).where("w is not null").groupBy("_l", "w").count()
     order = Window.partitionBy("_l").orderBy(F.desc("count"), "w")
     top = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TOP_WORDS).collect()
     words: dict[str, dict[str, float]] = {}
