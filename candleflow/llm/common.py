@@ -15,7 +15,7 @@ from ..session import checkpoint_dir
 #: Java / RE2 pattern of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows sent to a Python worker at once: bounds a worker's memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units, and stable pairs, remembered by one worker; emptied when full,
 #: which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 @dataclass
@@ -59,11 +59,23 @@ class Pieces:
         self.nodes: dict[str, tuple] = {}
         #: what a worker has found for units, over all its tasks
         self.known: dict = {}
+        self.older: dict = {}
         self.find_units = unit_pattern(self.ids).findall
 
-    def forget_when_full(self) -> None:
+    def missing(self, wanted) -> set[str]:
+        """Which units have to be worked out.  A full table becomes the older
+        one, from which units in use are taken over: rare ones are forgotten."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        out = set()
+        for u in wanted:
+            if u not in known:
+                if u in older:
+                    known[u] = older[u]
+                else:
+                    out.add(u)
+        return out
 
     def node(self, name: str) -> tuple:
         found = self.nodes.get(name)
@@ -154,7 +166,7 @@ START, UNCOVERED = 1 << 30, -1
 
 
 def is_stable(before: int, piece: int, p: Pieces) -> bool:
-    if len(p.stable) > REMEMBERED:
+    if len(p.stable) > 2 * REMEMBERED:
         p.stable.clear()
     names = [p.names[i] for i in (before, piece) if i != START]
     ok = p.stable[before << 31 | piece] = merged("".join(names), p) == names

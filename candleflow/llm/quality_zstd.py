@@ -116,7 +116,8 @@ def fit_quality(sample: DataFrame) -> QualityModel | None:
 
     bounded_batches(sample.sparkSession)
     rows = sample.where(F.col("u") >= DICT_SHARE).select("t", "y").mapInArrow(
-        measure, "x array<double>, y int").orderBy("y", "x").collect()
+        measure, "x array<double>, y int").collect()
+    rows.sort(key=lambda r: (r["y"], r["x"]))
     x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, FEATURES))
     mean = x.mean(0).tolist() if len(x) else [0.0] * FEATURES
     scale = [float(s) or 1.0 for s in x.std(0)] if len(x) else [1.0] * FEATURES

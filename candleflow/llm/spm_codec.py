@@ -72,16 +72,21 @@ def viterbi(text: str, p: Pieces, commits: list[int] | None = None,
     return ids
 
 
+#: texts whose units are held at once
+PART = 250
+
+
 class Encoder:
     """Encodes texts; remembers the ids of units as packed int32."""
 
     def __init__(self, p: Pieces) -> None:
-        self.p, self.known = p, p.known
+        self.p = p
 
     def learn(self, fresh: set[str]) -> None:
         """Search units not seen before, in sorted order: the table of the
         prefix a unit shares with the one before it is used again."""
-        known, p = self.known, self.p
+        p = self.p
+        known = p.known
         state, before = p.fresh(), ""
         for u in sorted(fresh):
             if len(u) <= 2 * p.longest:
@@ -97,12 +102,14 @@ class Encoder:
             known[u] = array("i", ids).tobytes()
 
     def packed(self, texts) -> list[bytes]:
-        """Packed ids of every text of a batch."""
-        self.p.forget_when_full()
-        known = self.known
-        found = [units(t or "", self.p) for t in texts]
-        self.learn({u for us in found for u in us if u not in known})
-        return [b"".join([known[u] for u in us]) for us in found]
+        """Packed ids of every text of a batch, ``PART`` texts at a time."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), PART):
+            found = [units(t or "", self.p) for t in texts[at:at + PART]]
+            self.learn(self.p.missing({u for us in found for u in us}))
+            known = self.p.known
+            out += [b"".join([known[u] for u in us]) for us in found]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         import numpy as np

@@ -63,11 +63,11 @@ def with_token_count(docs: DataFrame, text: str = "text", out: str = "n_tokens",
     @F.arrow_udf("long")
     def count_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = shared(pieces)
-        known = p.known
         for a in batches:
-            p.forget_when_full()
             cut = [units(t or "", p) for t in a.to_pylist()]
-            known.update(trie_counts({u for us in cut for u in us if u not in known}, p)[0])
+            fresh = trie_counts(p.missing({u for us in cut for u in us}), p)[0]
+            known = p.known
+            known.update(fresh)
             yield pa.array([sum([known[u] for u in us]) for us in cut], pa.int64())
 
     bounded_batches(docs.sparkSession)

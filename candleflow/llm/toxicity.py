@@ -58,7 +58,7 @@ WINDOW = 8
 PRIOR = [-4.0, 4.0, 1.0, 1.0, 0.3, -0.2]
 THRESHOLD = 0.5
 #: distinct words a worker remembers as no match
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 OPENING, CLOSING = "\"“”„«»‘‹›", "\"“”«»’‹›"
 #: words that report what someone else said, in the languages of the corpus
@@ -261,7 +261,7 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["c"])
 
     where: dict[tuple[str, bool], list[int]] = {}
-    rows = toxic.select("t").mapInArrow(holds, "c array<string>").orderBy("c").collect()
+    rows = sorted(toxic.select("t").mapInArrow(holds, "c array<string>").collect(), key=lambda r: r["c"])
     for i, r in enumerate(rows):
         for c in r["c"]:
             where.setdefault((c.rstrip("*"), c.endswith("*")), []).append(i)
@@ -323,7 +323,8 @@ def fit_toxic(sample: DataFrame, cover: int = COVER) -> ToxicModel | None:
                 [pa.array(rows, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
     rows = sample.where(F.col("u") >= LEXICON_SHARE).select("t", "y") \
-                 .mapInArrow(measure, "x array<double>, y int").orderBy("y", "x").collect()
+                 .mapInArrow(measure, "x array<double>, y int").collect()
+    rows.sort(key=lambda r: (r["y"], r["x"]))
     return ToxicModel(*found, fit_logistic([r["x"] for r in rows], [r["y"] for r in rows], prior=PRIOR))
 
 
