@@ -6,17 +6,22 @@ in the text, symbols, and repeated lines (see :func:`with_base_rules`).
 
 Divergence: every language is described by two histograms over *all* its
 documents, the shares of the character classes and the shares of its
-``TOP_WORDS`` most frequent words among themselves.  A document's histograms
-are compared with those of every language by the Jensen-Shannon distance
-(base 2, 0 to 1), and the nearest language counts, so a wrong or missing
-``lang`` does no harm.  A document is rejected if it is farther than
-``MAX_CHAR_DISTANCE`` or ``MAX_WORD_DISTANCE`` from every language.  Short
+``TOP_WORDS`` most frequent words among themselves.  A language has a usable
+reference from ``MIN_LANG_CHARS`` characters, whatever its share.  A
+document's histograms are compared by the Jensen-Shannon distance (base 2, 0
+to 1) with those of its own language and of every large one (at least
+``MIN_LANG_SHARE`` of all characters), and the nearest counts, so a missing
+``lang``, or one large language given for another, does no harm.  A document is
+rejected if it is farther than ``MAX_CHAR_DISTANCE`` or ``MAX_WORD_DISTANCE``
+from all of them; where its ``lang`` has no usable reference, both distances
+stay silent.  Short
 texts have ragged histograms: the character distance only speaks from
 ``MIN_CHARS`` characters, the word distance from ``MIN_WORDS`` words, of
 which the expected share of frequent words would give a usable histogram.
 
-References are collected: at most ``1 / MIN_LANG_SHARE`` languages with
-``TOP_WORDS`` words each, whatever the input's size.
+The large languages are collected (at most ``1 / MIN_LANG_SHARE``, with
+``TOP_WORDS`` words each); all others stay a table that documents meet by
+``lang``, broadcast up to ``BROADCAST_LANGS`` rows and joined beyond.
 
 Defined cases: null text is the empty text; repeated rows are judged alike;
 with no language at all (empty table, null ``lang`` everywhere) only the base
@@ -30,10 +35,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import WORD, no_null
 
 TOP_WORDS = 24
+#: languages from this share on are compared with every document
 MIN_LANG_SHARE = 0.01
+#: characters that a language below that share needs for a reference
+MIN_LANG_CHARS = 10_000
+BROADCAST_LANGS = 5_000
 MIN_CHARS = 200
 MIN_WORDS = 100
 MAX_CHAR_DISTANCE = 0.30
@@ -55,10 +65,14 @@ CLASSES = {
 
 @dataclass
 class Reference:
-    """Shares of character classes and of frequent words, by language."""
+    """Shares of character classes and of frequent words: of the large
+    languages as literals, of the ``n_small`` others as a table (``_l``, ``_q``
+    by character class, ``_v`` by word)."""
 
     chars: dict[str, dict[str, float]]
     words: dict[str, dict[str, float]]
+    small: DataFrame | None = None
+    n_small: int = 0
 
 
 def _words(text: Column) -> Column:
@@ -76,42 +90,77 @@ def fit_reference(docs: DataFrame, text: str = "text", lang: str = "lang") -> Re
                                                       no_null(F.col(text)).alias("_t"))
     sums = rows.select("_l", F.struct(*[c.alias(k) for k, c in _class_counts(F.col("_t")).items()]).alias("c")) \
                .groupBy("_l").agg(*[F.sum(f"c.{k}").alias(k) for k in _class_counts(F.col("_t"))])
+    sums = materialize(sums.where(F.col("_n_all") > 0), "languages")
     total = sums.agg(F.sum("_n_all")).first()[0] or 0
-    large = sums.where((F.col("_n_all") > 0) & (F.col("_n_all") >= MIN_LANG_SHARE * total)).collect()
+    is_large = F.col("_n_all") >= MIN_LANG_SHARE * total
+    large = sums.where(is_large).collect()
+    small = sums.where(~is_large & (F.col("_n_all") >= MIN_LANG_CHARS))
+    n_small = small.count()
     chars = {}
     for r in sorted(large, key=lambda r: r["_l"]):
         shares = {k: r[f"_n_{k}"] / r["_n_all"] for k in CLASSES}
         chars[r["_l"]] = shares | {"other": max(0.0, 1.0 - sum(shares.values()))}
-    counts = rows.where(F.col("_l").isin(list(chars))).select(
-        # the outer form: a plain explode would work the words out twice, once
-        # for an inferred filter on the size of the array
-        "_l", F.explode_outer(_words(F.lower("_t"))).alias("w")).where("w is not null").groupBy("_l", "w").count()
-    order = Window.partitionBy("_l").orderBy(F.desc("count"), "w")
-    top = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TOP_WORDS).collect()
     words: dict[str, dict[str, float]] = {}
+    top = _top_words(rows.where(F.col("_l").isin(list(chars)))).collect()
     for name in chars:
         own = sorted(((r["w"], r["count"]) for r in top if r["_l"] == name))
         words[name] = {w: n / sum(n for _, n in own) for w, n in own}
-    return Reference(chars, words)
+    if not n_small:
+        return Reference(chars, words)
+    few = _top_words(_by_lang(rows, "_l", small.select("_l"), n_small, list(chars), "inner"))
+    share = F.struct("w", F.col("count") / F.sum("count").over(Window.partitionBy("_l")))
+    few = few.select("_l", share.alias("_e")).groupBy("_l") \
+             .agg(F.map_from_entries(F.collect_list("_e")).alias("_v"))
+    rest = F.lit(1.0)
+    for k in CLASSES:
+        rest = rest - F.col(f"_n_{k}") / F.col("_n_all")
+    shares = [(F.col(f"_n_{k}") / F.col("_n_all")).alias(k) for k in CLASSES]
+    small = small.select("_l", F.struct(*shares, F.greatest(rest, F.lit(0.0)).alias("other")).alias("_q"))
+    return Reference(chars, words, materialize(small.join(few, "_l", "left"), "small_languages"), n_small)
+
+
+def _top_words(rows: DataFrame) -> DataFrame:
+    """(_l, w, count): the most frequent words of every language."""
+    # the outer form: a plain explode would work the words out twice, once
+    # for an inferred filter on the size of the array
+    counts = rows.select("_l", F.explode_outer(_words(F.lower("_t"))).alias("w")) \
+                 .where("w is not null").groupBy("_l", "w").count()
+    order = Window.partitionBy("_l").orderBy(F.desc("count"), "w")
+    return counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TOP_WORDS).drop("_r")
+
+
+def _by_lang(rows: DataFrame, lang: str, side: DataFrame, n: int, large: list[str], how: str) -> DataFrame:
+    """Joins the table of small languages (``_l``) to rows by their ``lang``.
+    Where it is too large for a broadcast, rows of large languages or without
+    one stay out of the shuffle, so that no key holds many rows."""
+    side = side.withColumnRenamed("_l", "_sl")
+    on = F.col(lang).cast("string") == F.col("_sl")
+    if n <= BROADCAST_LANGS:
+        return rows.join(F.broadcast(side), on, how).drop("_sl")
+    met = F.coalesce(~F.col(lang).cast("string").isin(large), F.lit(False))
+    out = rows.where(met).join(side, on, how)
+    if how == "left":
+        out = out.unionByName(rows.where(~met), allowMissingColumns=True)
+    return out.drop("_sl")
 
 
 def _xlog(p, m) -> Column:
     return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
 
-def _char_distance(shares: dict[str, Column], ref: dict[str, float]) -> Column:
+def _char_distance(shares: dict[str, Column], ref: dict[str, float] | Column) -> Column:
     total = F.lit(0.0)
     for k, p in shares.items():
-        q = F.lit(float(ref[k]))
+        q = ref[k] if isinstance(ref, Column) else F.lit(float(ref[k]))
         m = (p + q) / 2
         total = total + (_xlog(p, m) + _xlog(q, m)) / 2
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def _word_distance(entries: Column, ref: dict[str, float]) -> Column:
+def _word_distance(entries: Column, ref: dict[str, float] | Column) -> Column:
     """``entries``: (w, p) of the frequent words that the document has; a
     reference word that it lacks adds half its share."""
-    table = F.create_map(*[F.lit(x) for kv in ref.items() for x in kv])
+    table = ref if isinstance(ref, Column) else F.create_map(*[F.lit(x) for kv in ref.items() for x in kv])
 
     def term(e: Column) -> Column:
         q = F.coalesce(F.element_at(table, e["w"]), F.lit(0.0))
@@ -163,9 +212,14 @@ def with_base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
                            | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def with_verdict(docs: DataFrame, ref: Reference, text: str = "text") -> DataFrame:
+def with_verdict(docs: DataFrame, ref: Reference, text: str = "text", lang: str = "lang") -> DataFrame:
     """Adds the base rules, ``char_distance``, ``word_distance`` (null where
-    the guard keeps them silent) and ``kept``."""
+    the guard or a ``lang`` without a usable reference keeps them silent) and
+    ``kept``.  Without a column ``lang`` no document has one."""
+    name = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    docs = docs.withColumn("_own", name).drop("_q", "_v", "_sl")
+    if ref.n_small:
+        docs = _by_lang(docs, "_own", ref.small, ref.n_small, list(ref.chars), "left")
     rows = with_base_rules(docs, text).withColumns(_class_counts(no_null(F.col(text))))
     if not ref.chars:
         none = F.lit(None).cast("double")
@@ -175,11 +229,20 @@ def with_verdict(docs: DataFrame, ref: Reference, text: str = "text") -> DataFra
         for k in CLASSES:
             rest = rest - F.col(f"_n_{k}")
         shares = {k: F.col(f"_n_{k}") / F.col("_n_all") for k in CLASSES} | {"other": rest / F.col("_n_all")}
-        char = F.array_min(F.array(*[_char_distance(shares, r) for r in ref.chars.values()]))
+        usable = F.col("_own").isNull() | F.col("_own").isin(list(ref.chars))
+        chars = [_char_distance(shares, r) for r in ref.chars.values()]
+        if ref.n_small:
+            usable = usable | F.col("_q").isNotNull()
+            chars.append(F.when(F.col("_q").isNotNull(), _char_distance(shares, F.col("_q"))))
         frequent = sorted({w for r in ref.words.values() for w in r})
-        rows = rows.withColumn("char_distance", F.when(F.col("_n_all") >= MIN_CHARS, char))
-        rows = rows.withColumn("_f", F.sort_array(F.filter(
-            F.transform("_w", lambda w: F.lower(w)), lambda w: w.isin(frequent))))
+        rows = rows.withColumn("char_distance", F.when(
+            usable & (F.col("_n_all") >= MIN_CHARS), F.array_min(F.array(*chars))))
+
+        def counts(w: Column) -> Column:
+            known = w.isin(frequent)
+            return known | F.coalesce(F.map_contains_key("_v", w), F.lit(False)) if ref.n_small else known
+
+        rows = rows.withColumn("_f", F.sort_array(F.filter(F.transform("_w", lambda w: F.lower(w)), counts)))
         f = F.col("_f")
         rows = rows.withColumn("_b", F.filter(
             F.transform(f, lambda w, i: F.when((i == 0) | (w != F.get(f, i - 1)), i)), lambda i: i.isNotNull()))
@@ -188,11 +251,13 @@ def with_verdict(docs: DataFrame, ref: Reference, text: str = "text") -> DataFra
             F.get(f, s).alias("w"),
             ((F.coalesce(F.get(b, j + 1), F.size(f)) - s) / F.size(f)).alias("p"))))
         # without any frequent word the histograms share nothing: distance 1
-        word = F.when(F.size("_e") == 0, F.lit(1.0)).otherwise(
-            F.array_min(F.array(*[_word_distance(F.col("_e"), r) for r in ref.words.values() if r])))
-        rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, word)) \
+        words = [_word_distance(F.col("_e"), r) for r in ref.words.values() if r]
+        if ref.n_small:
+            words.append(F.when(F.col("_v").isNotNull(), _word_distance(F.col("_e"), F.col("_v"))))
+        word = F.when(F.size("_e") == 0, F.lit(1.0)).otherwise(F.array_min(F.array(*words)))
+        rows = rows.withColumn("word_distance", F.when(usable & (F.col("n_words") >= MIN_WORDS), word)) \
                    .drop("_f", "_b", "_e")
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) \
         | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return rows.withColumn("kept", ~F.col("base_failed") & ~far) \
-               .drop("_w", "_n_all", *[f"_n_{k}" for k in CLASSES])
+               .drop("_w", "_n_all", "_own", "_q", "_v", *[f"_n_{k}" for k in CLASSES])

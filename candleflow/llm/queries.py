@@ -77,7 +77,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = quality_rules.with_verdict(docs.select("doc_id", "text"), quality_rules.fit_reference(docs))
+    rows = quality_rules.with_verdict(docs.select("doc_id", "text", "lang"), quality_rules.fit_reference(docs))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"),
                        F.round("word_distance", 6).alias("word_distance"))
