@@ -19,14 +19,15 @@ Candidates
     A candidate's label is whether a base span of its kind overlaps it.
 
 Thresholds
-    Per kind, the lowest rating from which held-out candidates were right
-    with ``PRECISION``, over ``MIN_SUPPORT`` candidates or more; a kind
+    Per kind, the lowest rating (to ``DIGITS`` decimals) from which held-out
+    candidates were right with ``PRECISION``, over ``MIN_SUPPORT`` candidates or
+    more.  All held-out candidates of all documents are rated for it; a kind
     without such a rating adds nothing.  Candidates that overlap a base span
     add nothing; of overlapping additions the best rated stays.
 
-The trees are fitted on at most ``SAMPLE`` candidates (smallest hash of id
-and place, from all documents) with pyspark.ml and then written out as a
-column expression, so every document is scored in place: no shuffle.
+The trees are fitted on at most ``SAMPLE`` candidates of each kind (smallest
+hash of id and place, from all documents) with pyspark.ml and then written out
+as a column expression, so every document is scored in place: no shuffle.
 
 Positions count code points, ends are exclusive.  Defined cases: null text
 is the empty text and has no spans; repeated rows get the same spans; without
@@ -44,12 +45,14 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import no_null
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000
 PRECISION = 0.97
 MIN_SUPPORT = 25
+DIGITS = 4
 ROUNDS, DEPTH = 20, 3
 CONTEXT = 24
 
@@ -230,29 +233,29 @@ def fit_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample:
     spark = docs.sparkSession
     # the outer form: for a plain explode Spark infers a filter on the size of
     # the array and works every pattern out once more for it
-    rows = with_candidates(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text") \
+    cand = with_candidates(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text") \
         .select("_id", F.explode_outer("_cand").alias("c")).where("c is not null") \
-        .select("c.x", "c.y", "c.kind", F.xxhash64("_id", "c.s", "c.kind", F.lit(3)).alias("h")) \
-        .orderBy("h", "x", "y").limit(sample).collect()
-    fit = [r for r in rows if r["h"] % 10 < 7]
+        .select("c.x", "c.y", "c.kind", F.xxhash64("_id", "c.s", "c.kind", F.lit(3)).alias("h"))
+    cand = materialize(cand, "candidates")
+    tenth = F.pmod("h", F.lit(10))
+    fit = [r for kind in range(len(KINDS))
+           for r in cand.where((F.col("kind") == kind) & (tenth < 7)).orderBy("h", "x", "y").limit(sample).collect()]
     if len({r["y"] for r in fit}) < 2:
         return None
+    fit.sort(key=lambda r: (r["h"], r["x"], r["y"]))
     train = spark.createDataFrame([(Vectors.dense(r["x"]), float(r["y"])) for r in fit], ["x", "y"]).coalesce(1)
     model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3,
                           seed=7, maxBins=32).fit(train)
     trees = read_trees(model.toDebugString)
     found = PiiModel(trees, {})
-    held = spark.createDataFrame([(r["x"], bool(r["y"]), r["kind"]) for r in rows if r["h"] % 10 >= 7] or
-                                 [([0.0] * len(FEATURES), False, -1)], "x array<double>, y boolean, kind int")
-    rated = held.select("kind", "y", found.rating(F.col("x")).alias("p")).collect()
+    rated = cand.where(tenth >= 7).select("kind", "y", F.round(found.rating(F.col("x")), DIGITS).alias("p")) \
+        .groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("right")).collect()
     for kind in range(len(KINDS)):
-        best, right = None, 0
-        own = sorted(((r["p"], r["y"]) for r in rated if r["kind"] == kind), reverse=True)
-        for n, (p, y) in enumerate(own, 1):
-            right += y
-            last = n == len(own) or own[n][0] < p
-            if last and n >= MIN_SUPPORT and right >= PRECISION * n:
-                best = p
+        best, n, right = None, 0, 0
+        for r in sorted((r for r in rated if r["kind"] == kind), key=lambda r: -r["p"]):
+            n, right = n + r["n"], right + r["right"]
+            if n >= MIN_SUPPORT and right >= PRECISION * n:
+                best = r["p"]
         if best is not None:
             found.thresholds[kind] = best
     return found
@@ -280,7 +283,7 @@ def with_spans(docs: DataFrame, model: PiiModel | None, text: str = "text") -> D
 
 def _over(c: Column, thresholds: dict[int, float], none: Column) -> Column:
     for kind, p in thresholds.items():
-        none = none | ((c["kind"] == kind) & (c["p"] >= p))
+        none = none | ((c["kind"] == kind) & (F.round(c["p"], DIGITS) >= p))
     return none
 
 
