@@ -10,15 +10,16 @@ Quotas
     Documents of a source are dealt to shards by a seeded hash of the id
     (about ``shard_words`` words each, so a source of any size is spread).
     Every shard of every source is a party whose votes are its share of its
-    source's target.  Blocks of ``block_words`` words are the seats.  A party
-    gets ``round(votes / block_words)`` seats: with the block as the common
-    divisor this *is* the allocation by highest quotients votes/1, votes/3,
-    votes/5 ... for that number of seats, with no global ordering.
+    source's target.  Words are the seats.  A party gets ``round(votes)``
+    words: with one word as the common divisor this *is* the allocation by
+    highest quotients votes/1, votes/3, votes/5 ... for that number of seats,
+    with no global ordering, and no source, however small, ends further from
+    its target than half a word a shard.
 
 Selection
     Inside a shard documents stand in seeded order.  A quota of more words
-    than the shard has is met by whole passes over it; the rest by blocks in
-    seeded order, the last one cut at the quota.  No word is taken more than
+    than the shard has is met by whole passes over it; the rest by blocks of
+    ``block_words`` words in seeded order, the last one cut at the quota.  No word is taken more than
     ``max_repeats`` times.
 
 Defined cases: null text has size 0; documents of size 0 take nothing and
@@ -127,9 +128,9 @@ def _solve_shard(shard, block: int, seed: int, max_repeats: int):
     sizes = shard["_size"].to_numpy().astype(np.int64)
     total = int(sizes.sum())
     votes = shard["target"][0].as_py() * total / max(1, shard["source_size"][0].as_py())
-    seats = min(int(votes / block + 0.5), max_repeats * total // block)
+    quota = min(int(votes + 0.5), max_repeats * total)
     first = shard["_order"][0].as_py() & 0xFFFFFFFF
-    return shard, sizes, *_choose(sizes, seats * block, block, seed * 1_000_003 + first)
+    return shard, sizes, *_choose(sizes, quota, block, seed * 1_000_003 + first)
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
