@@ -221,7 +221,7 @@ def with_verdict(docs: DataFrame, ref: Reference, text: str = "text", lang: str
     if ref.n_small:
         docs = _by_lang(docs, "_own", ref.small, ref.n_small, list(ref.chars), "left")
     rows = with_base_rules(docs, text).withColumns(_class_counts(no_null(F.col(text))))
-    if not ref.chars:
+    if not ref.chars and not ref.n_small:
         none = F.lit(None).cast("double")
         rows = rows.withColumns({"char_distance": none, "word_distance": none})
     else:
@@ -229,7 +229,7 @@ def with_verdict(docs: DataFrame, ref: Reference, text: str = "text", lang: str
         for k in CLASSES:
             rest = rest - F.col(f"_n_{k}")
         shares = {k: F.col(f"_n_{k}") / F.col("_n_all") for k in CLASSES} | {"other": rest / F.col("_n_all")}
-        usable = F.col("_own").isNull() | F.col("_own").isin(list(ref.chars))
+        usable = F.coalesce(F.col("_own").isin(list(ref.chars)), F.lit(bool(ref.chars)))
         chars = [_char_distance(shares, r) for r in ref.chars.values()]
         if ref.n_small:
             usable = usable | F.col("_q").isNotNull()

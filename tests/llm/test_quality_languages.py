@@ -34,3 +34,13 @@ def test_a_language_below_one_percent_has_a_reference(spark, docs, monkeypatch,
     assert got[200]["kept"] and got[200]["word_distance"] is None and got[200]["char_distance"] is None
     assert not got[201]["kept"] and not got[202]["kept"]
     assert got[203]["kept"] and got[204]["kept"] and got[204]["word_distance"] < 0.5
+
+
+def test_no_language_of_one_percent(spark, docs):
+    rows = [(i, prose([f"w{i}x{k}" for k in range(12)], 2_500, i), f"l{i}", "s") for i in range(120)]
+    ref = R.fit_reference(docs(rows))
+    assert not ref.chars and ref.n_small == 120
+    new = docs([(0, prose([f"w0x{k}" for k in range(12)], 150, 1), "l0", "s"),
+                (1, prose(TINY, 150, 1), "l0", "s"), (2, prose(TINY, 150, 1), None, "s")])
+    got = {r["doc_id"]: r for r in R.with_verdict(new, ref).collect()}
+    assert got[0]["kept"] and not got[1]["kept"] and got[2]["kept"] and got[2]["word_distance"] is None
