@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (brown_lm, embed_dedup, mixing, pii, quality_rules, quality_zstd, simhash_bk, spm_codec,
-               token_counts, toxicity)
+from . import (brown_lm, embed_dedup, filter_audit, mixing, pii, quality_rules, quality_zstd, simhash_bk,
+               spm_codec, token_counts, token_orc, toxicity)
 from .common import id_fold, table
 from .labelled import labelled_sample
 
@@ -95,6 +95,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_orc.write_tokens(table(spark, sf_dir, "documents"))
+    return token_orc.with_crc32(token_orc.read_tokens(spark, path)).drop("ids")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language_model": op2_language_model,
@@ -106,4 +115,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_orc": op12_token_orc,
 }
