@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (brown_lm, embed_dedup, filter_audit, mixing, pii, quality_rules, quality_zstd, simhash_bk,
-               spm_codec, token_counts, token_orc, toxicity)
+               spm_codec, token_counts, token_orc, toxicity, whitening)
 from .common import id_fold, table
 from .labelled import labelled_sample
 
@@ -104,6 +104,12 @@ def op12_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.with_crc32(token_orc.read_tokens(spark, path)).drop("ids")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+    return rows.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"),
+                       "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language_model": op2_language_model,
@@ -117,4 +123,5 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_filter_audit": op11_filter_audit,
     "op12_token_orc": op12_token_orc,
+    "op13_whitening": op13_whitening,
 }
