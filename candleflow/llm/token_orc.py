@@ -24,8 +24,8 @@ Reading
 Encoding
     The supplied byte-level BPE never joins across a single space between two
     other characters, so texts are cut there and each distinct unit is encoded
-    once by the library and remembered: up to ``MEMORY`` units in two
-    generations, units over ``LONG_UNIT`` characters are not remembered.  The
+    once by the library, many new ones as one text, and remembered: up to
+    ``MEMORY`` units in two generations, units over ``LONG_UNIT`` characters are not remembered.  The
     ids equal the library's for the whole text (tested).  Names of special
     tokens in a text are ordinary text.
 
@@ -46,20 +46,33 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .common import bounded_batches
+from .share import share, shared
 
 END_ID = 0
 SHARD_BYTES = 64 << 20
 ROW_INDEX = 1000
 STRIPE_BYTES = 16 << 20
-MEMORY = 100_000
+MEMORY = 1_000_000
+#: units that are encoded as one text
+AT_ONCE = 2_000
+#: how the vocabulary writes a space
+SPACE = "\u0120"
 LONG_UNIT = 64
 TOKENIZER = "byte_bpe_50k.json"
 
-#: a space at an edge of the text or next to other white space is no cut
-_ODD = re.compile(r" (?:\s|\Z)|\A |[^\S ] ")
+#: white space other than the space and the line feed
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def cut_units(text: str) -> list[str]:
+    """The text cut at every single space between two other characters."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " \
+            or any(c in text for c in (_OTHER_SPACE if not text.isascii() else _OTHER_SPACE[:10])):
+        return _CUT.split(text)
+    return text.split(" ")
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -72,11 +85,15 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import os
 
+        import numpy as np
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[:1] == SPACE]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -86,46 +103,73 @@ class Encoder:
         return [array("I", e.ids).tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of all ``units`` (each after a space)."""
-        found, new = {}, []
+    def _together(self, units: list[str]) -> list[bytes]:
+        """The ids of units (each after a space, none within): one text for the
+        library, cut where a token starts with a space."""
+        import numpy as np
+
+        (ids,) = self._plain(["".join([" " + u for u in units])])
+        at = np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")])
+        if len(at) != len(units):  # never seen: every unit starts with such a token
+            return self._plain([" " + u for u in units])
+        ends = (4 * np.append(at[1:], len(ids) // 4)).tolist()
+        return [ids[a:b] for a, b in zip((4 * at).tolist(), ends)]
+
+    def _learn(self, units: list[str]) -> None:
+        """Remembers the ids of all ``units`` (each after a space)."""
+        new, odd, young, old = [], [], self.young, self.old.get
         for u in units:
-            ids = self.old.get(u)
-            if ids is None:
-                new.append(u)
+            ids = old(u)
+            if ids is not None:
+                young[u] = ids
+            elif " " in u:
+                odd.append(u)
             else:
-                found[u] = ids
-        found.update(zip(new, self._plain([" " + u for u in new])))
-        kept = {u: ids for u, ids in found.items() if len(u) <= LONG_UNIT}
-        if len(self.young) + len(kept) > MEMORY // 2:
-            self.old, self.young = self.young, {}
-        self.young.update(kept)
-        return found
+                new.append(u)
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at:at + AT_ONCE]
+            young.update(zip(part, self._together(part)))
+        young.update(zip(odd, self._plain([" " + u for u in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
-        out = []
-        heads = self._plain([s[0] for s in split])
-        for head, units in zip(heads, split):
-            get = self.young.get
-            parts = list(map(get, units))
-            parts[0] = head
-            if None in parts:
-                missing = [i for i, p in enumerate(parts) if p is None]
-                found = self._learn(list({units[i]: None for i in missing}))
-                for i in missing:
-                    parts[i] = found[units[i]]
-            out.append(b"".join(parts))
+        heads, cut = [], []
+        for t in texts:
+            units = cut_units(t)
+            heads.append(units[0])
+            del units[0]
+            cut.append(units)
+        new = set().union(*cut).difference(self.young)
+        self._learn(list(new))
+        get = self.young.__getitem__
+        out = [head + b"".join(map(get, units)) for head, units in zip(self._plain(heads), cut)]
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del self.young[u]
+        if len(self.young) > MEMORY // 2:
+            self.old, self.young = self.young, {}
         return out
 
 
+class Coder:
+    """What a worker keeps for all its tasks: the encoder, made when first
+    used, and what it remembers."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.encoder = path, None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.encoder is None:
+            self.encoder = Encoder(self.path)
+        return self.encoder.encode(texts)
+
+
 def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text",
                  tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> str:
     """Writes the files and returns their folder (a new one in the shared
     scratch folder if none is given)."""
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/tables/tokens-{uuid.uuid4().hex}"
-    vocabulary = tokenizer or tokenizer_path()
+    packed = share(spark, Coder(tokenizer or tokenizer_path()))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     bounded_batches(spark)
@@ -139,9 +183,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder, end, offset = Encoder(vocabulary), np.array([end_id], "<u4").tobytes(), 0
+        coder, end, offset = shared(packed), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            coded = [c + end for c in encoder.encode(batch.column("t").to_pylist())]
+            coded = [c + end for c in coder.encode(batch.column("t").to_pylist())]
             sizes = np.array([len(c) // 4 for c in coded], np.int64)
             ends = np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)),
