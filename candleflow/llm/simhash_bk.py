@@ -36,10 +36,9 @@ from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut
+from .common import as_bytes, bounded_batches, cut, join_hot
 from .components import stars
 
 SHINGLE_WORDS = 4
@@ -150,49 +149,71 @@ def _bands(max_bits: int) -> list[tuple[int, int]]:
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
-    """Distinct fingerprints ``fp`` -> links ``(a, b)`` that span all links."""
+    """Distinct fingerprints ``fp`` -> links ``(a, b)`` that span all links.
+    With a column ``least`` (the smallest id of each), ``a`` and ``b`` are
+    (has no id, least, fp), so that no join has to bring the ids back."""
     spark = fps.sparkSession
+    named = "least" in fps.columns
     keys = []
     for n, ((s, w), (t, x)) in enumerate(combinations(_bands(max_bits), 2)):
         part = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         keys.append(F.xxhash64(F.lit(n), part(s, w), part(t, x)))
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k"))
+    keyed = fps.select("fp", (F.col("least") if named else F.lit(None).cast("long")).alias("least"),
+                       F.explode(F.array(*keys)).alias("k"))
     crowd = keyed.groupBy("k").count().where("count > 1") \
                  .select("k", F.ceil(F.col("count") / F.lit(chunk)).cast("int").alias("n"))
     sides = keyed.join(crowd, "k").select(
-        "k", "fp", "n", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("c"))
+        "k", "fp", "least", "n", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("c"))
     sides = sides.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "fp")
+        "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "fp", "least")
     dealt = sides.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "c", "fp")
+    least_type = pa.int64() if not named else None
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = (1 << 64) - 1
         signed = lambda v: v - (1 << 64) if v >> 63 else v
+        kind = least_type
 
-        def solve(key, by_chunk):
+        def solve(key, by_chunk, ids):
             _, i, j = key
             right = None if i == j else by_chunk.get(j, [])
-            return group_links(by_chunk.get(i, []), right, max_bits)
+            return [(v, ids[v], r, ids[r]) for v, r in group_links(by_chunk.get(i, []), right, max_bits)]
 
-        now, members, out = None, {}, []
+        def batch_of(out):
+            a, ia, b, ib = zip(*out) if out else ((), (), (), ())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(map(signed, a)), pa.int64()), pa.array(ia, kind),
+                 pa.array(list(map(signed, b)), pa.int64()), pa.array(ib, kind)], ["a", "ia", "b", "ib"])
+
+        now, members, ids, out = None, {}, {}, []
         for batch in batches:
-            for k, i, j, c, fp in zip(*(col.to_pylist() for col in batch.columns)):
+            kind = batch.schema.field("least").type
+            for k, i, j, c, fp, least in zip(*(col.to_pylist() for col in batch.columns)):
                 if (k, i, j) != now:
                     if now is not None:
-                        out += solve(now, members)
-                    now, members = (k, i, j), {}
+                        out += solve(now, members, ids)
+                    now, members, ids = (k, i, j), {}, {}
                 members.setdefault(c, []).append(fp & mask)
+                ids[fp & mask] = least
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([signed(v[s]) for v in out], pa.int64()) for s in (0, 1)], ["a", "b"])
+                yield batch_of(out)
                 out = []
         if now is not None:
-            out = solve(now, members)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([signed(v[s]) for v in out], pa.int64()) for s in (0, 1)], ["a", "b"])
+            out = solve(now, members, ids)
+            if out:
+                yield batch_of(out)
 
     bounded_batches(spark, 10_000)
-    return dealt.mapInArrow(links, "a long, b long")
+    id_type = keyed.schema["least"].dataType.simpleString()
+    found = dealt.mapInArrow(links, f"a long, ia {id_type}, b long, ib {id_type}")
+    if not named:
+        return found.select("a", "b")
+    return found.select(_vertex("a", "ia").alias("a"), _vertex("b", "ib").alias("b"))
+
+
+def _vertex(fp: str, least: str):
+    """Ordered by smallest id, fingerprints without one last."""
+    return F.struct(F.col(least).isNull().alias("blank"), F.col(least).alias("least"), F.col(fp).alias("fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -202,13 +223,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     value for each group of linked documents), ``component`` (its smallest id)."""
     marked = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")),
                                   "t", "fp", k).select("id", "fp"))
-    fps = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    star = stars(fingerprint_links(fps.select("fp"), max_bits, chunk))
-    grouped = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("g")), "fp", "left") \
-                 .select("fp", "least", F.coalesce("g", "fp").alias("grp"))
-    least = grouped.groupBy("grp").agg(F.min("least").alias("component"))
-    found = grouped.join(least, "grp").select("fp", "grp", "component")
-    return marked.join(found, "fp").select("id", "fp", "grp", "component")
+    fps = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
+    star = stars(fingerprint_links(fps.select("fp", "least"), max_bits, chunk))
+    # the vertices are ordered by id: the centre of a star has the smallest
+    star = star.select(F.col("a.fp").alias("fp"), F.col("b.fp").alias("g"), F.col("b.least").alias("c"))
+    found = fps.join(star, "fp", "left").select(
+        "fp", F.coalesce("g", "fp").alias("grp"),
+        F.when(F.col("g").isNull(), F.col("least")).otherwise(F.col("c")).alias("component"), "rows")
+    total = fps.agg(F.sum("rows")).first()[0] or 0
+    return join_hot(marked, cut(found), "fp", "rows", total).select("id", "fp", "grp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -220,5 +243,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                  .groupBy("grp").agg(F.min("fp").alias("_f"), F.min("id").alias("_i")).drop("grp")
     rows = with_fingerprint(docs, text, "_fp", k)
     kept = rows.join(stay, (F.col("_fp") == F.col("_f")) & F.col(id_col).eqNullSafe(F.col("_i")))
-    order = Window.partitionBy("_f", "_i").orderBy(F.col(text).asc_nulls_first())
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.struct(F.col(text).isNotNull(), F.col(text), F.xxhash64(whole))
+    return kept.groupBy("_f", "_i").agg(F.min_by(whole, first).alias("_row")).select("_row.*")

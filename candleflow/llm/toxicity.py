@@ -5,8 +5,13 @@ Lexicon
     (word beginnings, for languages that inflect), weighted by the log of how
     much more often toxic documents use them than clean ones.  Terms are
     picked greedily by weight times the toxic documents they add, until every
-    one holds ``COVER`` of them or none adds ``support`` more, so words that
-    merely stand near an insult are not picked.
+    one holds ``COVER`` of them or none adds ``SUPPORT`` more, so words that
+    merely stand near an insult are not picked.  A candidate needs ``SUPPORT``
+    toxic documents, the purity, and evidence: the log-likelihood ratio of its
+    counts must be such as chance would give to about one of all candidates
+    tried, so a rare term is learned from a large sample as well as from a
+    small one.  Words of two and three letters can be terms; like all under five
+    letters they match exactly.
 
 Matching
     The lexicon is a trie.  A word is read by the product of that trie with
@@ -46,7 +51,9 @@ from .share import share, shared
 
 PER_CLASS = 12_000
 COVER = 3
-MIN_LETTERS, MAX_LETTERS = 4, 14
+SUPPORT = 2
+#: letters of a term at least; of a stem at least and at most
+MIN_TERM, MIN_LETTERS, MAX_LETTERS = 2, 4, 14
 #: a term is this many times as frequent in toxic as in clean documents; a
 #: strong one as many times as the second number
 PURITY, STRONG = 4.0, 20.0
@@ -214,8 +221,9 @@ class Reader:
 
 
 def _candidates(word: str):
-    if len(word) >= MIN_LETTERS:
+    if len(word) >= MIN_TERM:
         yield word, False
+    if len(word) >= MIN_LETTERS:
         for n in range(MIN_LETTERS, min(len(word), MAX_LETTERS) + 1):
             yield word[:n], True
 
@@ -242,17 +250,31 @@ def _document_counts(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
                  .groupBy("term", "stem").agg(F.sum("n").alias("n"))
 
 
+def evidence(n: int, used: int, n_toxic: int, n_clean: int) -> float:
+    """Log-likelihood ratio (times two) of a term in ``n`` of the toxic and
+    ``used`` of the clean documents against one common rate."""
+    from math import log
+
+    def part(k: int, total: int, rate: float) -> float:
+        return (k * log(k / (total * rate)) if k else 0.0) + (
+            (total - k) * log((total - k) / (total * (1 - rate))) if total > k else 0.0)
+
+    rate = (n + used) / (n_toxic + n_clean)
+    return 2 * (part(n, n_toxic, rate) + part(used, n_clean, rate)) if 0 < rate < 1 else 0.0
+
+
 def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int,
                   cover: int = COVER) -> list[tuple[str, bool, float]]:
     from math import log
 
-    support = max(2, n_toxic // 300)
     common = {(r["term"], r["stem"]): r["n"]
-              for r in _document_counts(toxic, None).where(F.col("n") >= support).collect()}
+              for r in _document_counts(toxic, None).where(F.col("n") >= SUPPORT).collect()}
     used = {(r["term"], r["stem"]): r["n"] for r in _document_counts(clean, frozenset(common)).collect()}
     weight = {c: log((n + 0.5) / (n_toxic + 1)) - log((used.get(c, 0) + 0.5) / (n_clean + 1))
               for c, n in common.items()}
-    pure = frozenset(c for c, w in weight.items() if w >= log(PURITY))
+    least = 2 * log(max(2, len(common)))
+    pure = frozenset(c for c, w in weight.items() if w >= log(PURITY) and (
+        not n_clean or evidence(common[c], used.get(c, 0), n_toxic, n_clean) >= least))
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,13 +292,13 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int
     while where:
         gain = {c: sum(need[i] > 0 for i in docs) for c, docs in where.items()}
         best = max(gain, key=lambda c: (gain[c] * weight[c], len(c[0]), not c[1], c[0]))
-        if gain[best] < support:
+        if gain[best] < SUPPORT:
             break
         chosen.append((*best, weight[best]))
         for i in where.pop(best):
             need[i] -= 1
         # what the term now covers adds nothing: neither do its own variants
-        where = {c: d for c, d in where.items() if gain[c] >= support
+        where = {c: d for c, d in where.items() if gain[c] >= SUPPORT
                  and not (best[1] and c[0].startswith(best[0]) and weight[c] < weight[best] + log(STRONG))
                  and not (c[1] and best[0].startswith(c[0]))}
     return sorted(chosen)
