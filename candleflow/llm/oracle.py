@@ -63,27 +63,55 @@ base AS (SELECT x.*, len(w) AS n_words,
          FROM x LEFT JOIN rep USING (rid)),
 lang0 AS (SELECT lang, sum(all_) AS all_, {_SUMS}, sum(n_other) / sum(all_) AS q_other FROM x
           WHERE lang IS NOT NULL GROUP BY lang HAVING sum(all_) > 0),
-langs AS (SELECT * FROM lang0 WHERE all_ >= {R.MIN_LANG_SHARE} * (SELECT sum(all_) FROM lang0)),
+langs AS (SELECT *, all_ >= {R.MIN_LANG_SHARE} * (SELECT sum(all_) FROM lang0) AS large FROM lang0
+          WHERE all_ >= {R.MIN_LANG_SHARE} * (SELECT sum(all_) FROM lang0) OR all_ >= {R.MIN_LANG_CHARS}),
 lw AS (SELECT lang, u AS word, count(*) AS n
        FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '{WORD}')) AS u FROM d WHERE lang IN (SELECT lang FROM langs)) z
        GROUP BY lang, u),
-top AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS q
-        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM lw) z
+top AS (SELECT lang, large, word, n / sum(n) OVER (PARTITION BY lang) AS q
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM lw) z JOIN langs USING (lang)
         WHERE r <= {R.TOP_WORDS}),
-dw AS (SELECT rid, u AS word, count(*) AS n FROM (SELECT rid, unnest([lower(s) for s in w]) AS u FROM w) z
+-- the words of a document that are frequent in some usable language
+aw AS (SELECT rid, u AS word, count(*) AS n FROM (SELECT rid, unnest([lower(s) for s in w]) AS u FROM w) z
        WHERE u IN (SELECT word FROM top) GROUP BY rid, u),
-dp AS (SELECT rid, word, n / sum(n) OVER (PARTITION BY rid) AS p FROM dw),
-wd AS (SELECT rid, min(js) AS js FROM (
-         SELECT dp.rid, l.lang, 0.5 + sum({_js('dp.p', 'coalesce(top.q, 0)')} - coalesce(top.q, 0) / 2) AS js
-         FROM dp CROSS JOIN (SELECT DISTINCT lang FROM top) l LEFT JOIN top ON top.lang = l.lang AND top.word = dp.word
-         GROUP BY dp.rid, l.lang) z GROUP BY rid),
-cd AS (SELECT rid, min(js) AS js FROM (SELECT rid, {_CHAR_JS} AS js
-                                       FROM (SELECT * FROM x WHERE all_ >= {R.MIN_CHARS}) x, (SELECT * EXCLUDE (all_) FROM langs) l) z
-       GROUP BY rid),
-v AS (SELECT base.*, base.n_words < 50 OR 100 * n_repeat_words > 50 * base.n_words AS base_failed,
-             CASE WHEN cd.js IS NOT NULL THEN sqrt(greatest(cd.js, 0)) END AS char_distance,
-             CASE WHEN base.n_words >= {R.MIN_WORDS} THEN CASE WHEN wd.js IS NULL THEN 1.0 ELSE sqrt(greatest(wd.js, 0)) END END AS word_distance
-      FROM base LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
+many AS (SELECT DISTINCT word FROM top WHERE large),
+-- first the large languages and the own one
+pair0 AS (SELECT x.rid, l.lang FROM x JOIN langs l ON l.large OR l.lang = x.lang
+          WHERE x.lang IS NULL OR x.lang IN (SELECT lang FROM langs)),
+dw0 AS (SELECT aw.* FROM aw JOIN x USING (rid)
+        WHERE word IN (SELECT word FROM many) OR (x.lang, word) IN (SELECT lang, word FROM top)),
+dp0 AS (SELECT rid, word, n / sum(n) OVER (PARTITION BY rid) AS p FROM dw0),
+w0 AS (SELECT rid, min(js) AS js FROM (
+         SELECT dp0.rid, l.lang, 0.5 + sum({_js('dp0.p', 'coalesce(top.q, 0)')} - coalesce(top.q, 0) / 2) AS js
+         FROM dp0 JOIN pair0 l USING (rid) LEFT JOIN top ON top.lang = l.lang AND top.word = dp0.word
+         GROUP BY dp0.rid, l.lang) z GROUP BY rid),
+c0 AS (SELECT rid, min(js) AS js FROM (SELECT rid, {_CHAR_JS} AS js
+                                       FROM (SELECT * EXCLUDE (lang) FROM x) x JOIN pair0 USING (rid)
+                                       JOIN (SELECT * EXCLUDE (all_, large) FROM langs) l USING (lang)) z GROUP BY rid),
+v0 AS (SELECT base.*, base.n_words < 50 OR 100 * n_repeat_words > 50 * base.n_words AS base_failed,
+              CASE WHEN base.all_ >= {R.MIN_CHARS} AND c0.js IS NOT NULL THEN sqrt(greatest(c0.js, 0)) END AS cd,
+              CASE WHEN base.n_words >= {R.MIN_WORDS} AND c0.js IS NOT NULL
+                   THEN CASE WHEN w0.js IS NULL THEN 1.0 ELSE sqrt(greatest(w0.js, 0)) END END AS wd
+       FROM base LEFT JOIN c0 USING (rid) LEFT JOIN w0 USING (rid)),
+-- then, for far documents, every other language that shares a frequent word
+pair1 AS (SELECT DISTINCT v0.rid, top.lang FROM v0 JOIN aw USING (rid) JOIN top ON top.word = aw.word AND NOT top.large
+          WHERE coalesce(cd, 0) > {R.MAX_CHAR_DISTANCE} OR coalesce(wd, 0) > {R.MAX_WORD_DISTANCE}
+             OR (v0.lang IS NULL AND NOT EXISTS (SELECT 1 FROM langs WHERE large))),
+dw1 AS (SELECT rid, pair1.lang, word, n FROM pair1 JOIN aw USING (rid)
+        WHERE word IN (SELECT word FROM many) OR (pair1.lang, word) IN (SELECT lang, word FROM top)),
+dp1 AS (SELECT *, n / sum(n) OVER (PARTITION BY rid, lang) AS p FROM dw1),
+w1 AS (SELECT rid, min(js) AS js FROM (
+         SELECT dp1.rid, dp1.lang, 0.5 + sum({_js('dp1.p', 'coalesce(top.q, 0)')} - coalesce(top.q, 0) / 2) AS js
+         FROM dp1 LEFT JOIN top ON top.lang = dp1.lang AND top.word = dp1.word GROUP BY dp1.rid, dp1.lang) z GROUP BY rid),
+c1 AS (SELECT rid, min(js) AS js FROM (SELECT rid, {_CHAR_JS} AS js
+                                       FROM (SELECT * EXCLUDE (lang) FROM x) x JOIN pair1 USING (rid)
+                                       JOIN (SELECT * EXCLUDE (all_, large) FROM langs) l USING (lang)) z GROUP BY rid),
+v AS (SELECT v0.*,
+             CASE WHEN v0.all_ >= {R.MIN_CHARS} AND c1.js IS NOT NULL
+                  THEN least(cd, sqrt(greatest(c1.js, 0))) ELSE cd END AS char_distance,
+             CASE WHEN v0.n_words >= {R.MIN_WORDS} AND w1.js IS NOT NULL
+                  THEN least(wd, sqrt(greatest(w1.js, 0))) ELSE wd END AS word_distance
+      FROM v0 LEFT JOIN c1 USING (rid) LEFT JOIN w1 USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(char_distance, 0) <= {R.MAX_CHAR_DISTANCE}
          AND coalesce(word_distance, 0) <= {R.MAX_WORD_DISTANCE} AS kept,

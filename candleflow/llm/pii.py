@@ -9,35 +9,47 @@ Base spans
     cost linear time and no stack.
 
 Candidates
-    High-recall generators per kind propose spans, overlapping the base spans
-    or not: addresses with "(at)" or without a domain ending, dotted
-    quadruples of any value, digit chains of card length, phone numbers
-    without country prefix.  Gradient-boosted trees
-    rate a candidate by its format and context; what the base check tests
-    (Luhn, "+", "@", part values) is no feature, so that a candidate that
-    looks and stands like checked data gets a high rating without the check.
-    A candidate's label is whether a base span of its kind overlaps it.
+    High-recall generators per kind search the text with all base spans
+    blanked out: addresses with "(at)" or "[dot]" or without a domain ending,
+    dotted quadruples in brackets, digit chains of card length with wide
+    separators, phone numbers without a country prefix.  What a candidate is
+    is checked on its plain form (obfuscation undone): right, wrong (no
+    domain, parts over 255, failed Luhn, digits too few or too many), or not
+    checkable (a phone number without its "+").  Base spans are right.
+
+Ratings
+    Gradient-boosted trees tell right candidates from all others by format and
+    context of the plain form; what the check itself looks at ("+", "(at)", Luhn,
+    part values) is no feature.  The rating of a candidate is thus the share
+    of those that look and stand like it and are known to be right.
 
 Thresholds
-    Per kind, the lowest rating (to ``DIGITS`` decimals) from which held-out
-    candidates were right with ``PRECISION``, over ``MIN_SUPPORT`` candidates or
-    more.  All held-out candidates of all documents are rated for it; a kind
-    without such a rating adds nothing.  Candidates that overlap a base span
-    add nothing; of overlapping additions the best rated stays.
+    Per kind, the lowest rating (to ``DIGITS`` decimals, at least
+    ``MIN_RATING``) from which held-out checkable candidates were right with
+    ``PRECISION``, over ``MIN_SUPPORT`` of them or more; candidates that cannot
+    be checked count for neither side.  All held-out candidates of all
+    documents are rated for it; a kind without such a rating adds nothing.  A
+    candidate known to be wrong is never added; of overlapping additions the
+    best rated stays.
 
 The trees are fitted on at most ``SAMPLE`` candidates of each kind (smallest
 hash of id and place, from all documents) with pyspark.ml and then written out
 as a column expression, so every document is scored in place: no shuffle.
+Work on a text is close to linear in its length and its number of spans:
+positions are prefix sums and running maxima over blocks, and pieces are cut from
+``CHUNK`` characters at a time.
 
 Positions count code points, ends are exclusive.  Defined cases: null text
 is the empty text and has no spans; repeated rows get the same spans; without
-candidates of both labels only base spans remain; other columns are kept,
-columns of the added names are replaced.
+any candidate the model is None and only base spans remain, with right
+candidates only all ratings are equal; other columns are kept, columns of the
+added names are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -46,15 +58,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import no_null
+from .common import let, no_null
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000
 PRECISION = 0.97
+MIN_RATING = 0.5
 MIN_SUPPORT = 25
 DIGITS = 4
 ROUNDS, DEPTH = 20, 3
 CONTEXT = 24
+#: elements and characters that are handled as one piece
+BLOCK, CHUNK = 256, 1024
+#: additions of at most NEAR_CHARS characters overlap at most NEAR others
+NEAR, NEAR_CHARS = 72, 140
+MASK = "\u0001"
+RIGHT, WRONG, UNKNOWN = 1, 0, -1
 
 #: A match starts a run of its first class, or where the last match ended:
 #: from any later place in the run the rest would be the same.
@@ -65,37 +84,49 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT = r"(?:@|\x20?(?:\(at\)|\[at\])\x20?)"
+_DOT = r"(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)"
 CANDIDATE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?(?:\(at\)|\[at\])\x20?)[A-Za-z0-9-]++"
-             r"(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]++)*+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+(?![0-9])",
-    "card": BASE["card"],
-    "phone": r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}+){3}+(?![0-9])",
+    "card": r"(?<![0-9])(?<![0-9][\x20._/-])[0-9](?:[\x20._/-]{0,2}+[0-9]){11,18}+(?![\x20._/-]{0,2}[0-9])",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]"
+             r"|(?<![0-9A-Za-z+@._-])\(?[0-9]{2,5}+\)?(?:[\x20./-]{1,2}+\(?[0-9]{2,8}+\)?){1,5}+(?![0-9A-Za-z])",
 }
 #: kinds are only searched in texts that hold one of these
-HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]",
+HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9][.\[(\x20]", "card": r"[0-9][\x20._/-]{0,2}[0-9]",
         "phone": r"[0-9][0-9]"}
 CUE = r"(?i)tel|phone|call|fax|mail|contact|card|visa|pay|host|addr|server|\bip\b"
 
-FEATURES = ("email", "ip", "card", "phone", "chars", "digits", "letters", "dots", "gaps", "parens",
-            "after_space", "after_letter", "after_sign", "before_space", "before_letter", "before_dot",
-            "cue", "assigned")
 
+def _prefix(values: Column, merge: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For every element, ``merge`` of all before it (``zero`` for the first):
+    block totals, their running merge, then the rest of the own block."""
+    def whole(block: Column) -> Column:
+        return F.aggregate(block, zero, merge)
 
-def _offsets(lengths: Column) -> Column:
-    """Sum of what stands before each element; near-linear for long arrays."""
-    block = 256
-    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / block).cast("int")), lambda b: F.aggregate(
-        F.slice(lengths, b * block + 1, F.lit(block)), F.lit(0), lambda acc, x: acc + x))
-    starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(
-        acc, F.array(F.element_at(acc, -1) + x)))
+    def inside(args: Column) -> Column:
+        starts, all_ = args["starts"], args["all"]
+
+        def before(_, i):
+            b = F.floor(i / BLOCK).cast("int")
+            return merge(F.get(starts, b), whole(F.slice(all_, b * BLOCK + 1, i % BLOCK)))
 
-    def before(_, i):
-        b = F.floor(i / block).cast("int")
-        return F.get(starts, b) + F.aggregate(
-            F.slice(lengths, b * block + 1, i % block), F.lit(0), lambda acc, x: acc + x)
+        return F.transform(all_, before)
 
-    return F.transform(lengths, before)
+    def with_starts(all_: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / BLOCK).cast("int")),
+                           lambda b: whole(F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))))
+        starts = F.aggregate(sums, F.array(zero), lambda acc, x: F.concat(
+            acc, F.array(merge(F.element_at(acc, -1), x))))
+        return let(F.struct(starts.alias("starts"), all_.alias("all")), inside)
+
+    return let(values, with_starts)
+
+
+def _offsets(lengths: Column) -> Column:
+    """Sum of what stands before each element."""
+    return _prefix(lengths, lambda a, b: a + b, F.lit(0))
 
 
 def _digits(m: Column) -> Column:
@@ -122,6 +153,28 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _plain(kind: str, m: Column) -> Column:
+    """A match with its obfuscation undone; a phone number without prefix."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(m, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+    if kind == "ip":
+        return F.regexp_replace(m, r"\x20?[(\[](?:\.|dot)[)\]]\x20?", ".")
+    if kind == "card":
+        return F.regexp_replace(m, r"[\x20._/-]+", " ")
+    return F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*(?=[(0-9])", "")
+
+
+def _known(kind: str, m: Column) -> Column:
+    """RIGHT, WRONG or UNKNOWN by the kind's check on the plain form."""
+    plain = _plain(kind, m)
+    if kind == "email":
+        return F.when(plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"), RIGHT).otherwise(WRONG)
+    if kind == "phone":
+        n = F.length(_digits(m))
+        return F.when(~n.between(9, 15), WRONG).when(m.startswith("+"), RIGHT).otherwise(UNKNOWN)
+    return F.when(_passes(kind, plain), RIGHT).otherwise(WRONG)
+
+
 def _found(rows: DataFrame, text: str, patterns: dict[str, str], out: str) -> DataFrame:
     """Adds ``out_<kind>``: matches as (s, e, kind, m, left, right)."""
     empty = F.array().cast("array<string>")
@@ -143,47 +196,104 @@ def _found(rows: DataFrame, text: str, patterns: dict[str, str], out: str) -> Da
     return rows
 
 
-def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_base``: the base spans (s, e, kind) by start, then kind."""
+def _spans(matches: Column) -> Column:
+    return F.transform(matches, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
+
+
+def _passing(kind: str) -> Column:
+    return F.filter(f"_b_{kind}", lambda x: _passes(kind, x["m"]))
+
+
+def _with_base(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``_t``, ``_base`` and, per kind, the passing matches ``_b_<kind>``."""
     rows = _found(docs.withColumn("_t", no_null(F.col(text))), "_t", BASE, "_b")
+    rows = rows.withColumns({f"_b_{k}": _passing(k) for k in KINDS})
+    return rows.withColumn("_base", F.array_sort(F.concat(*[_spans(F.col(f"_b_{k}")) for k in KINDS])))
+
 
-    def checked(kind: str) -> Column:
-        return F.transform(F.filter(f"_b_{kind}", lambda x: _passes(kind, x["m"])),
-                           lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
-
-    good = [checked(k) for k in KINDS]
-    return rows.withColumn("_base", F.array_sort(F.concat(*good))).drop("_t", *[f"_b_{k}" for k in KINDS])
-
-
-def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_base`` and ``_cand``: candidates with features ``x``, whether a
-    base span of their kind overlaps (``y``), and whether any does (``held``)."""
-    rows = with_base_spans(docs, text)
-    rows = _found(rows.withColumn("_t", no_null(F.col(text))), "_t", CANDIDATE, "_c")
-    every = F.concat(*[F.col(f"_c_{k}") for k in KINDS])
-
-    def flag(c: Column) -> Column:
-        return F.coalesce(c, F.lit(False)).cast("double")
-
-    def rate(c: Column) -> Column:
-        m, left, right = c["m"], c["left"], c["right"]
-        # the first letter of a plain address or number, not its check marks
-        x = [(c["kind"] == n).cast("double") for n in range(4)]
-        x += [F.length(m), F.length(_digits(m)), F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
-              F.length(F.regexp_replace(m, "[^.]", "")), F.length(F.regexp_replace(m, r"[^\x20-]", "")),
-              F.length(F.regexp_replace(m, "[^()]", ""))]
-        x += [flag((left == "") | left.rlike(r"\s$")), flag(left.rlike(r"\p{L}$")),
-              flag(left.rlike(r"[^\p{L}\s+]$")), flag((right == "") | right.rlike(r"^\s")),
-              flag(right.rlike(r"^\p{L}")), flag(right.rlike(r"^\.")),
-              flag(left.rlike(CUE)), flag(left.rlike("[=:\"]\\s?$"))]
-        near = lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])
-        return F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"),
-                        F.array(*[F.lit(v).cast("double") if not isinstance(v, Column) else v.cast("double")
-                                  for v in x]).alias("x"),
-                        F.exists("_base", lambda b: near(b) & (b["kind"] == c["kind"])).alias("y"),
-                        F.exists("_base", near).alias("held"))
-
-    return rows.withColumn("_cand", F.transform(every, rate)).drop("_t", *[f"_c_{k}" for k in KINDS])
+def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``_base``: the base spans (s, kind, e) by start, then kind."""
+    return _with_base(docs, text).drop("_t", *[f"_b_{k}" for k in KINDS])
+
+
+def replaced(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """The text with its spans (sorted) replaced: ``fill(span, covered)`` for
+    each, where ``covered`` is how far the spans before it reach."""
+    def cut(args: Column) -> Column:
+        chunks, all_, ends, length = args["chunks"], args["spans"], args["ends"], args["length"]
+
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / CHUNK).cast("int")
+            n = F.floor((b - 1) / CHUNK).cast("int") - first + 1
+            return F.when(b > a, F.substring(F.array_join(F.slice(chunks, first + 1, F.greatest(n, F.lit(0))), ""),
+                                             a % CHUNK + 1, b - a)).otherwise("")
+
+        parts = F.transform(all_, lambda x, i: F.concat(piece(F.get(ends, i), x["s"]), fill(x, F.get(ends, i))))
+        last = F.greatest(F.element_at(ends, -1), F.element_at(all_, -1)["e"])
+        return F.concat(F.array_join(parts, ""), piece(last, length))
+
+    reach = _prefix(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    chunks = F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % CHUNK), F.lit(0))
+    args = F.struct(chunks.alias("chunks"), spans.alias("spans"), reach.alias("ends"), F.length(text).alias("length"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(args, cut))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with every span, overlapping ones as one, replaced by
+    ``[KIND]`` (the kind of the first)."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    return replaced(text, spans, lambda x, covered: F.when(x["s"] >= covered, F.get(names, x["kind"])).otherwise(""))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text, of the same length, with a mark for every character in a span."""
+    return replaced(text, spans, lambda x, covered: F.repeat(
+        F.lit(MASK), F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], covered))))
+
+
+def _flag(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False)).cast("double")
+
+
+def _rated(matches: Column, kind: str, right: bool) -> Column:
+    """Matches as (s, kind, e, x, y): features, and what is known of them."""
+    def one(c: Column) -> Column:
+        return let(_plain(kind, c["m"]), lambda plain: F.struct(
+            c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"),
+            F.array(*_features(kind, plain, c["left"], c["right"])).alias("x"),
+            (F.lit(RIGHT) if right else _known(kind, c["m"])).alias("y")))
+
+    return F.transform(matches, one)
+
+
+def _features(kind: str, m: Column, left: Column, right: Column) -> list[Column]:
+    def size(rx: str) -> Column:
+        return F.length(F.regexp_replace(m, rx, ""))
+
+    def group(n: int) -> Column:  # digits of the n-th group from the right
+        return F.length(F.regexp_extract(m, "([0-9]+)" + "[^0-9]+[0-9]+" * n + "[^0-9]*$", 1))
+
+    number = kind in ("card", "phone")
+    shape = [size("[^0-9]"), size("[^A-Za-z]"), size("[^.]"), size(r"[^\x20-]"), size("[^()]")]
+    out = [F.lit(float(kind == k)) for k in KINDS]
+    out += [F.length(m) if not number else F.lit(0), *([F.lit(0)] * 2 + shape[2:] if number else shape)]
+    out += [group(n) if number else F.lit(0) for n in range(3)]
+    out += [_flag((left == "") | left.rlike(r"\s$")), _flag(left.rlike(r"\p{L}$")), _flag(left.rlike(r"[^\p{L}\s+(]$")),
+            _flag((right == "") | right.rlike(r"^\s")), _flag(right.rlike(r"^\p{L}")), _flag(right.rlike(r"^\.")),
+            _flag(left.rlike(CUE)), _flag(left.rlike("[=:\"]\\s?$"))]
+    return [c.cast("double") for c in out]
+
+
+def with_candidates(docs: DataFrame, text: str = "text", labelled: bool = False) -> DataFrame:
+    """Adds ``_base`` and ``_cand``: candidates outside the base spans as (s,
+    kind, e, x, y); with ``labelled`` also the base spans themselves, as right."""
+    rows = _with_base(docs, text)
+    rows = rows.withColumn("_t", _blanked(F.col("_t"), F.col("_base")))
+    rows = _found(rows, "_t", CANDIDATE, "_c")
+    parts = [_rated(F.col(f"_c_{k}"), k, False) for k in KINDS]
+    if labelled:
+        parts += [_rated(F.col(f"_b_{k}"), k, True) for k in KINDS]
+    return rows.withColumn("_cand", F.concat(*parts)).drop("_t", *[f"_{g}_{k}" for g in "bc" for k in KINDS])
 
 
 @dataclass
@@ -229,30 +339,33 @@ def read_trees(debug: str) -> list[tuple[float, object]]:
 
 
 def fit_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> PiiModel | None:
-    """None if the candidates lack one of the labels."""
+    """None if there are no candidates."""
     spark = docs.sparkSession
     # the outer form: for a plain explode Spark infers a filter on the size of
     # the array and works every pattern out once more for it
-    cand = with_candidates(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text") \
+    cand = with_candidates(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", True) \
         .select("_id", F.explode_outer("_cand").alias("c")).where("c is not null") \
         .select("c.x", "c.y", "c.kind", F.xxhash64("_id", "c.s", "c.kind", F.lit(3)).alias("h"))
     cand = materialize(cand, "candidates")
     tenth = F.pmod("h", F.lit(10))
     fit = [r for kind in range(len(KINDS))
            for r in cand.where((F.col("kind") == kind) & (tenth < 7)).orderBy("h", "x", "y").limit(sample).collect()]
-    if len({r["y"] for r in fit}) < 2:
+    if not fit:
         return None
-    fit.sort(key=lambda r: (r["h"], r["x"], r["y"]))
-    train = spark.createDataFrame([(Vectors.dense(r["x"]), float(r["y"])) for r in fit], ["x", "y"]).coalesce(1)
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3,
-                          seed=7, maxBins=32).fit(train)
-    trees = read_trees(model.toDebugString)
-    found = PiiModel(trees, {})
-    rated = cand.where(tenth >= 7).select("kind", "y", F.round(found.rating(F.col("x")), DIGITS).alias("p")) \
+    found = PiiModel([], {})
+    if len({r["y"] == RIGHT for r in fit}) == 2:
+        fit.sort(key=lambda r: (r["h"], r["x"], r["y"]))
+        train = spark.createDataFrame([(Vectors.dense(r["x"]), float(r["y"] == RIGHT)) for r in fit],
+                                      ["x", "y"]).coalesce(1)
+        model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3,
+                              seed=7, maxBins=32).fit(train)
+        found.trees = read_trees(model.toDebugString)
+    rated = cand.where((tenth >= 7) & (F.col("y") != UNKNOWN)) \
+        .select("kind", "y", F.round(found.rating(F.col("x")), DIGITS).alias("p")) \
         .groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("right")).collect()
     for kind in range(len(KINDS)):
         best, n, right = None, 0, 0
-        for r in sorted((r for r in rated if r["kind"] == kind), key=lambda r: -r["p"]):
+        for r in sorted((r for r in rated if r["kind"] == kind and r["p"] >= MIN_RATING), key=lambda r: -r["p"]):
             n, right = n + r["n"], right + r["right"]
             if n >= MIN_SUPPORT and right >= PRECISION * n:
                 best = r["p"]
@@ -267,24 +380,31 @@ def with_spans(docs: DataFrame, model: PiiModel | None, text: str = "text") -> D
         rows = with_base_spans(docs, text)
         return rows.withColumns({"base_spans": F.col("_base"), "spans": F.col("_base")}).drop("_base")
     rows = with_candidates(docs, text)
-    free = F.filter("_cand", lambda c: ~c["held"])
-    rows = rows.withColumn("_new", F.transform(free, lambda c: F.struct(
-        c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"), model.rating(c["x"]).alias("p"))))
-    over = F.lit(False)
-    rows = rows.withColumn("_new", F.filter("_new", lambda c: _over(c, model.thresholds, over)))
-    new = F.col("_new")
-    best = F.filter(new, lambda c: ~F.exists(new, lambda o: (o["s"] < c["e"]) & (c["s"] < o["e"]) & (
-        (o["p"] > c["p"]) | ((o["p"] == c["p"]) & (F.struct(o["s"], o["kind"], o["e"]) <
-                                                   F.struct(c["s"], c["kind"], c["e"]))))))
-    rows = rows.withColumn("spans", F.array_sort(F.concat("_base", F.transform(best, lambda c: F.struct(
-        c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"))))))
-    return rows.withColumn("base_spans", F.col("_base")).drop("_base", "_cand", "_new")
-
-
-def _over(c: Column, thresholds: dict[int, float], none: Column) -> Column:
+    rows = rows.withColumn("_new", F.transform(F.filter("_cand", lambda c: c["y"] != WRONG), lambda c: F.struct(
+        c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"),
+        F.round(model.rating(c["x"]), DIGITS).alias("p"))))
+    rows = rows.withColumn("_new", F.array_sort(F.filter("_new", lambda c: _over(c, model.thresholds))))
+
+    def beaten(c: Column, others: Column) -> Column:
+        return F.exists(others, lambda o: (o["s"] < c["e"]) & (c["s"] < o["e"]) & (
+            (o["p"] > c["p"]) | ((o["p"] == c["p"]) & (F.struct(o["s"], o["kind"], o["e"]) <
+                                                       F.struct(c["s"], c["kind"], c["e"])))))
+
+    # in order of their starts, additions that overlap one stand near it
+    # unless some are very long
+    short = F.forall("_new", lambda c: c["e"] - c["s"] <= NEAR_CHARS)
+    rows = rows.withColumn("_short", short)
+    best = F.filter("_new", lambda c, i: ~F.when(F.col("_short"), beaten(c, F.slice(
+        "_new", F.greatest(F.lit(1), i + 1 - NEAR), F.lit(2 * NEAR)))).otherwise(beaten(c, F.col("_new"))))
+    rows = rows.withColumn("spans", F.array_sort(F.concat("_base", _spans(best))))
+    return rows.withColumn("base_spans", F.col("_base")).drop("_base", "_cand", "_new", "_short")
+
+
+def _over(c: Column, thresholds: dict[int, float]) -> Column:
+    found = F.lit(False)
     for kind, p in thresholds.items():
-        none = none | ((c["kind"] == kind) & (F.round(c["p"], DIGITS) >= p))
-    return none
+        found = found | ((c["kind"] == kind) & (c["p"] >= p))
+    return found
 
 
 def spans_text(spans: Column) -> Column:
@@ -292,23 +412,3 @@ def spans_text(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(
         ":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-
-
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span, overlapping ones as one, replaced by
-    ``[KIND]`` (the kind of the first)."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    whole = F.aggregate(
-        spans, F.array().cast("array<struct<s:int,kind:int,e:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["s"] < F.element_at(acc, -1)["e"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["s"].alias("s"), F.element_at(acc, -1)["kind"].alias("kind"),
-                F.greatest(x["e"], F.element_at(acc, -1)["e"]).alias("e")))))
-        .otherwise(F.concat(acc, F.array(x))))
-    done = F.aggregate(
-        whole, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(
-            F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.get(names, x["kind"]))).alias("out")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(
-        F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text))))

@@ -10,18 +10,23 @@ documents, the shares of the character classes and the shares of its
 reference from ``MIN_LANG_CHARS`` characters, whatever its share.  A
 document's histograms are compared by the Jensen-Shannon distance (base 2, 0
 to 1) with those of its own language and of every large one (at least
-``MIN_LANG_SHARE`` of all characters), and the nearest counts, so a missing
-``lang``, or one large language given for another, does no harm.  A document is
-rejected if it is farther than ``MAX_CHAR_DISTANCE`` or ``MAX_WORD_DISTANCE``
-from all of them; where its ``lang`` has no usable reference, both distances
-stay silent.  Short
+``MIN_LANG_SHARE`` of all characters; that many are always looked at, the
+others only where it matters).  A document that is far from all of these, or
+has no ``lang`` where no language is large, is also compared with every other
+language that shares a frequent word with it.  The nearest counts, so
+a missing or a wrong ``lang`` does no harm, and a language's documents are
+judged alike on both sides of ``MIN_LANG_SHARE``.  A document is rejected if it is
+farther than ``MAX_CHAR_DISTANCE`` or ``MAX_WORD_DISTANCE`` from all of them;
+where its ``lang`` has no usable reference, both distances stay silent.  Short
 texts have ragged histograms: the character distance only speaks from
 ``MIN_CHARS`` characters, the word distance from ``MIN_WORDS`` words, of
 which the expected share of frequent words would give a usable histogram.
 
 The large languages are collected (at most ``1 / MIN_LANG_SHARE``, with
 ``TOP_WORDS`` words each); all others stay a table that documents meet by
-``lang``, broadcast up to ``BROADCAST_LANGS`` rows and joined beyond.
+``lang``, broadcast up to ``BROADCAST_LANGS`` rows and joined beyond.  For far
+documents that table is a constant of the expression, ``BROADCAST_LANGS``
+languages at a time.
 
 Defined cases: null text is the empty text; repeated rows are judged alike;
 with no language at all (empty table, null ``lang`` everywhere) only the base
@@ -30,13 +35,14 @@ rules judge; other columns are kept, columns of the added names are replaced.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD, no_null
+from .common import WORD, let, no_null
 
 TOP_WORDS = 24
 #: languages from this share on are compared with every document
@@ -212,6 +218,57 @@ def with_base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
                            | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _small_constants(ref: Reference) -> list[Column]:
+    """The small languages as constant arrays of (q, v), ``BROADCAST_LANGS`` in each."""
+    names = [*CLASSES, "other"]
+    kind = "array<struct<q:struct<" + ",".join(f"{k}:double" for k in names) + ">,v:map<string,double>>>"
+    found, part = [], []
+    for r in ref.small.orderBy("_l").toLocalIterator():
+        part.append({"q": r["_q"].asDict(), "v": r["_v"] or {}})
+        if len(part) == max(1, BROADCAST_LANGS):
+            found.append(part)
+            part = []
+    return [F.from_json(F.lit(json.dumps(p)), kind) for p in [*found, part] if p]
+
+
+def _entries(lower: Column, wanted) -> Column:
+    """(w, p) of the wanted words of a document, by word."""
+    def runs(f: Column) -> Column:
+        first = F.filter(F.transform(f, lambda w, i: F.when((i == 0) | (w != F.get(f, i - 1)), i)),
+                         lambda i: i.isNotNull())
+        return let(F.struct(f.alias("f"), first.alias("b")), lambda x: F.transform(x["b"], lambda s, j: F.struct(
+            F.get(x["f"], s).alias("w"),
+            ((F.coalesce(F.get(x["b"], j + 1), F.size(x["f"])) - s) / F.size(x["f"])).alias("p"))))
+
+    return let(F.sort_array(F.filter(lower, wanted)), runs)
+
+
+def _nearest_small(rows: DataFrame, ref: Reference, shares: dict[str, Column], frequent: list[str]) -> DataFrame:
+    """Both distances of far documents, and of those without ``lang`` where no
+    language is large, to the nearest small language too."""
+    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) \
+        | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    if not ref.chars:
+        far = far | F.col("_own").isNull()
+
+    def against(r: Column, lower: Column) -> Column:
+        return let(_entries(lower, lambda w: w.isin(frequent) | F.map_contains_key(r["v"], w)),
+                   lambda e: F.struct(_char_distance(shares, r["q"]).alias("c"), _word_distance(e, r["v"]).alias("w")))
+
+    near = [let(F.transform("_w", lambda w: F.lower(w)), lambda lower: F.transform(
+        F.filter(refs, lambda r: F.arrays_overlap(F.map_keys(r["v"]), lower)), lambda r: against(r, lower)))
+        for refs in _small_constants(ref)]
+    rows = rows.withColumn("_near", F.when(far, F.concat(*near) if len(near) > 1 else near[0]))
+    some = F.size("_near") > 0
+    char = F.array_min(F.transform("_near", lambda x: x["c"]))
+    word = F.array_min(F.transform("_near", lambda x: x["w"]))
+    return rows.withColumns({
+        "char_distance": F.when(some & (F.col("_n_all") >= MIN_CHARS), F.least("char_distance", char))
+        .otherwise(F.col("char_distance")),
+        "word_distance": F.when(some & (F.col("n_words") >= MIN_WORDS), F.least("word_distance", word))
+        .otherwise(F.col("word_distance"))}).drop("_near")
+
+
 def with_verdict(docs: DataFrame, ref: Reference, text: str = "text", lang: str = "lang") -> DataFrame:
     """Adds the base rules, ``char_distance``, ``word_distance`` (null where
     the guard or a ``lang`` without a usable reference keeps them silent) and
@@ -254,9 +311,11 @@ def with_verdict(docs: DataFrame, ref: Reference, text: str = "text", lang: str
         words = [_word_distance(F.col("_e"), r) for r in ref.words.values() if r]
         if ref.n_small:
             words.append(F.when(F.col("_v").isNotNull(), _word_distance(F.col("_e"), F.col("_v"))))
-        word = F.when(F.size("_e") == 0, F.lit(1.0)).otherwise(F.array_min(F.array(*words)))
+        word = F.when(F.size("_e") == 0, F.lit(1.0)).otherwise(F.array_min(F.array(*words))) if words else F.lit(1.0)
         rows = rows.withColumn("word_distance", F.when(usable & (F.col("n_words") >= MIN_WORDS), word)) \
                    .drop("_f", "_b", "_e")
+        if ref.n_small:
+            rows = _nearest_small(rows, ref, shares, frequent)
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) \
         | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return rows.withColumn("kept", ~F.col("base_failed") & ~far) \

@@ -72,7 +72,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in pii.KINDS]
     return rows.select("doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
-                       pii.spans_text(F.col("spans")).alias("spans"))
+                       pii.spans_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
