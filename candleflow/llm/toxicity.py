@@ -45,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import bounded_batches
 from .logistic import fit_logistic, sigmoid
 from .share import share, shared
@@ -267,12 +268,15 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int
                   cover: int = COVER) -> list[tuple[str, bool, float]]:
     from math import log
 
-    common = {(r["term"], r["stem"]): r["n"]
-              for r in _document_counts(toxic, None).where(F.col("n") >= SUPPORT).collect()}
+    tried = materialize(_document_counts(toxic, None).where(F.col("n") >= SUPPORT), "terms")
+    least, fewest = 2 * log(max(2, tried.count())), SUPPORT
+    # a term in fewer toxic documents lacks the evidence even if no clean one has it
+    while n_clean and fewest < n_toxic and evidence(fewest, 0, n_toxic, n_clean) < least:
+        fewest += 1
+    common = {(r["term"], r["stem"]): r["n"] for r in tried.where(F.col("n") >= fewest).collect()}
     used = {(r["term"], r["stem"]): r["n"] for r in _document_counts(clean, frozenset(common)).collect()}
     weight = {c: log((n + 0.5) / (n_toxic + 1)) - log((used.get(c, 0) + 0.5) / (n_clean + 1))
               for c, n in common.items()}
-    least = 2 * log(max(2, len(common)))
     pure = frozenset(c for c, w in weight.items() if w >= log(PURITY) and (
         not n_clean or evidence(common[c], used.get(c, 0), n_toxic, n_clean) >= least))
 
