@@ -2,14 +2,12 @@
 range extremes, correlations (with the label and pairwise), pruning lists.
 
 Wide -> long with ``unpivot`` so every statistic is one grouped aggregation
-over ``(feature, value)`` with map-side partial aggregation; the pairwise
-correlation matrix is one tree-aggregated Gramian (``Correlation.corr``).
+over ``(feature, value)`` with map-side partial aggregation; pairwise
+correlations are sums of masked per-task Gramians.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,22 +88,55 @@ def target_corr(df: DataFrame, cols: list[str], target: str = "target") -> DataF
     return lf.groupBy("feature").agg(F.corr("value", "_t").alias("corr"))
 
 
-def corr_pairs(df: DataFrame, cols: list[str], threshold: float = CORR_THRESHOLD) -> DataFrame:
-    """A10: |Pearson corr| of every ordered pair (i < j) above ``threshold``.
+def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
+    """A10: Pearson correlation of every pair of columns over the rows that have
+    both (``feature_a``, ``feature_b``, ``n``, ``corr``; i < j in column order).
 
-    One distributed pass (``Correlation.corr``: a tree-aggregated Gramian);
-    only the p x p matrix -- p = number of feature columns -- reaches the
-    driver.  Rows with a NULL feature are skipped (the feature table has
-    none after its final ``dropna``).
+    Every task adds up masked Gramians of its rows (per pair: rows, sums,
+    squares and products, each over the rows of that pair) on values less a
+    common shift, and hands on a row per pair; Spark adds those.  A pair with
+    fewer than two rows, or without spread, has a NULL correlation.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip") \
-        .transform(df.select(*cols)).select("_v")
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    rows = [(cols[i], cols[j], float(abs(m[i, j])))
-            for i, j in combinations(range(len(cols)), 2) if abs(m[i, j]) > threshold]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    names, p = list(cols), len(cols)
+    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(names)])
+    means = values.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(p)]).first()
+    shift = np.array([m or 0.0 for m in means])  # correlation does not depend on it, rounding does
+
+    def gramians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]) - shift
+            there = ~np.isnan(x)
+            mask, x = there.astype(np.float64), np.where(there, x, 0.0)
+            sums += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        i, j = np.triu_indices(p, 1)
+        n, s, q, xy = sums
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (i.astype(np.int32), j.astype(np.int32), n[i, j], s[i, j], s[j, i], q[i, j], q[j, i],
+                                   xy[i, j])], ["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "a", "b", "aa", "bb", "ab"))
+    total = values.mapInArrow(gramians, schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    va, vb = n * F.col("aa") - a * a, n * F.col("bb") - b * b
+    spread = (n > 1) & (va > 1e-14 * n * F.col("aa")) & (vb > 1e-14 * n * F.col("bb"))
+    corr = F.when(spread, (n * F.col("ab") - a * b) / F.sqrt(va * vb))
+    listed = F.array(*[F.lit(c) for c in names])
+    return total.select(F.get(listed, F.col("i")).alias("feature_a"), F.get(listed, F.col("j")).alias("feature_b"),
+                        n.cast("long").alias("n"), corr.alias("corr"))
+
+
+def corr_pairs(df: DataFrame, cols: list[str], threshold: float = CORR_THRESHOLD) -> DataFrame:
+    """A10: |Pearson corr| of every ordered pair (i < j) above ``threshold``,
+    each over the rows that have both."""
+    pairs = pairwise_corr(df, cols).withColumn("corr", F.abs("corr"))
+    return pairs.filter(F.col("corr") > threshold).select("feature_a", "feature_b", "corr")
 
 
 def corr_drop(pairs: DataFrame) -> DataFrame:

@@ -553,9 +553,10 @@ class TreeModel:
         return leaf_sum
 
     def importances(self) -> np.ndarray:
-        """Gain by feature: every tree's shares, averaged (mean kind), or all
-        gains together."""
-        g = self.table.where("feature >= 0").groupBy("tree", "feature").agg(F.sum("gain").alias("g")).toArrow()
+        """By feature: every tree's shares of its gain, averaged (mean kind),
+        or the shares of all splits (boosted trees)."""
+        worth = F.sum("gain") if self.kind == "mean" else F.count("*").cast("double")
+        g = self.table.where("feature >= 0").groupBy("tree", "feature").agg(worth.alias("g")).toArrow()
         per = np.zeros((self.n_trees, self.n_features))
         per[g["tree"].to_numpy(), g["feature"].to_numpy()] = g["g"].to_numpy()
         if self.kind == "mean":

@@ -6,8 +6,11 @@ Every statement recomputes its input bars from ``lineitem``/``events``.
 
 from __future__ import annotations
 
+from candleflow.operators import timeframes as TF
+from candleflow.operators import trees as T
 from candleflow.plans.sqltext import (DAILY_BARS, HOURLY_BARS, PSAR, REC_INPUTS, cubic_sql,
                                       pct_change, ratio, rounded)
+from candleflow.queries import SEARCH_TRIALS
 
 SQL: dict[str, str] = {}
 
@@ -460,6 +463,11 @@ cw AS (SELECT {', '.join(f'abs(corr({a}, {b})) AS "{a}|{b}"' for a, b in _PAIRS)
 cp AS (SELECT split_part(name, '|', 1) AS feature_a, split_part(name, '|', 2) AS feature_b, corr
        FROM (UNPIVOT cw ON COLUMNS(*) INTO NAME name VALUE corr) u WHERE corr > 0.9)"""
 SQL["corr_pairs"] = rounded(with_feat("SELECT * FROM cp", CORR_CTE), r3=["corr"])
+SQL["corr_pairs_gaps"] = rounded(with_bars(" UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, regr_count({a}, {b}) AS n, corr({a}, {b}) AS corr FROM cpanel"
+    for a, b in combinations(_PANEL_COLS, 2)), side_panel_sql(SIDE) + """,
+cpanel AS (SELECT a.ts, a.close AS AF_close, panel.* EXCLUDE (ts)
+           FROM (SELECT ts, close FROM bars WHERE symbol = 'AF') a LEFT JOIN panel USING (ts))"""), r6=["corr"])
 SQL["corr_drop"] = with_feat("SELECT DISTINCT feature_b AS feature FROM cp", CORR_CTE)
 
 SQL["price_bounds"] = with_bars("""
@@ -651,12 +659,12 @@ imp AS (SELECT feature, round(abs(corr(value, t)), 9) AS importance FROM (
   UNPIVOT (SELECT {', '.join(PROFILE)}, CAST(target AS DOUBLE) AS t FROM feat)
   ON {', '.join(PROFILE)} INTO NAME feature VALUE value) u
   WHERE value IS NOT NULL AND t IS NOT NULL GROUP BY feature)"""
-SQL["top_importances"] = rounded(with_feat(
+SQL["corr_top_features"] = rounded(with_feat(
     "SELECT feature, importance FROM imp ORDER BY importance DESC, feature LIMIT 15", _IMP), r6=["importance"])
-SQL["weakest_features"] = rounded(with_feat(
+SQL["corr_weakest_features"] = rounded(with_feat(
     "SELECT feature, importance FROM imp ORDER BY importance, feature LIMIT 15", _IMP), r6=["importance"])
-SQL["importance_drop"] = with_feat("SELECT feature FROM imp WHERE importance < 0.005", _IMP)
-SQL["kept_features"] = with_feat("""
+SQL["corr_importance_drop"] = with_feat("SELECT feature FROM imp WHERE importance < 0.005", _IMP)
+SQL["corr_kept_features"] = with_feat("""
 SELECT feature FROM imp WHERE importance >= 0.005
   AND feature NOT IN (SELECT feature_b FROM cp)""", _IMP + "," + CORR_CTE)
 
@@ -669,14 +677,14 @@ rtest AS (SELECT s.symbol, s.ts, CAST(s.target AS DOUBLE) AS label, rs.raw, rs.p
           FROM spl s JOIN rs USING (symbol, ts) WHERE s.split = 'test')"""
 SCORE_WITH = RUNS_WITH + "," + RULE_SCORES
 
-SQL["score_rows"] = rounded(SCORE_WITH + """
+SQL["rule_score_rows"] = rounded(SCORE_WITH + """
 SELECT symbol, ts, CAST(raw >= 0.5 AS INTEGER) AS prediction, greatest(raw, 1 - raw) AS confidence FROM rtest""",
                             r6=["confidence"])
 
 # isotonic fit by its min-max formula over the distinct scores of a fold:
 # iso(i) = max over a <= i of min over b >= i of the weighted mean of a..b;
 # between two scores the fit is a straight line, outside it is constant
-SQL["calibrated_scores"] = rounded(SCORE_WITH + """,
+SQL["rule_calibrated_scores"] = rounded(SCORE_WITH + """,
 cf AS (SELECT fold, rs.raw, sum(c.target * c.weight) AS wy, sum(c.weight) AS w
        FROM (SELECT *, CASE WHEN m >= 40 THEN 3 ELSE 2 END AS kk FROM cwt) c JOIN rs USING (symbol, ts), range(0, 3) r(fold)
        WHERE fold < kk AND tpos >= m - (kk - fold) * floor(m / (kk + 1))
@@ -696,13 +704,88 @@ pr AS (SELECT raw, avg(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 T
                             ELSE y0 + (y1 - y0) * (raw - x0) / (x1 - x0) END) AS prob_up FROM fit GROUP BY raw)
 SELECT t.symbol, t.ts, t.label, pr.prob_up, 'isotonic' AS method FROM rtest t JOIN pr USING (raw)""", r6=["prob_up"])
 
-SQL["predict_latest"] = rounded(RUNS_WITH + "," + REPLAY + """,
+SQL["rule_predict_latest"] = rounded(RUNS_WITH + "," + REPLAY + """,
 prod AS (SELECT regexp_extract(model_name, '^SmaRule(.*)Classifier$', 1) AS symbol, champion FROM fin)
 SELECT p.symbol, p.ts, p.prediction, p.confidence, p.horizon_days, bars.close AS entry_price,
        CAST(prod.champion AS INTEGER) AS model_version
 FROM preds p JOIN (SELECT symbol, max(ts) AS ts FROM feat GROUP BY symbol) n USING (symbol, ts)
 JOIN prod USING (symbol) LEFT JOIN bars USING (symbol, ts)""", r6=["confidence"])
 
+# ------------------------------------------------------------------ fitted models: keys and facts
+
+_TEST = "FROM spl WHERE split = 'test'"
+_FIT = "SELECT symbol, ts, CAST(target AS DOUBLE) AS label, {} AS n_trees, TRUE AS in_range, TRUE AS better_than_chance "
+SQL["fit_forest"] = with_feat(_FIT.format(300) + _TEST, LAB)
+SQL["fit_gbt"] = with_feat(_FIT.format(500) + _TEST, LAB)
+SQL["calibrated_scores"] = with_feat(
+    "SELECT symbol, ts, CAST(target AS DOUBLE) AS label, 'isotonic' AS method, "
+    "(SELECT CASE WHEN max(m) >= 40 THEN 3 ELSE 2 END FROM tr) AS n_folds, TRUE AS in_range " + _TEST, LAB)
+SQL["score_rows"] = with_feat(
+    "SELECT symbol, ts, CAST(target AS DOUBLE) AS label, TRUE AS consistent " + _TEST, LAB)
+SQL["feature_importances"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, TRUE AS in_range, TRUE AS sums_to_one" for c in PROFILE)
+SQL["random_search"] = RUNS_WITH + f"""
+SELECT CAST(t AS INTEGER) AS trial, CAST(n AS INTEGER) AS n_folds, TRUE AS in_range FROM range(0, {SEARCH_TRIALS}) r(t),
+  (SELECT count(*) AS n FROM (SELECT fold FROM wfa WHERE role IS NOT NULL GROUP BY fold
+   HAVING count(DISTINCT CASE WHEN role = 'train' THEN target END) = 2
+      AND count(DISTINCT CASE WHEN role = 'test' THEN target END) = 2) f) g"""
+SQL["predict_latest"] = RUNS_WITH + """
+SELECT n.symbol, n.ts, 10 AS horizon_days, bars.close AS entry_price, TRUE AS scored, TRUE AS consistent
+FROM (SELECT symbol, max(ts) AS ts FROM feat GROUP BY symbol) n LEFT JOIN bars USING (symbol, ts)"""
+
+
+def _tree_sql() -> str:
+    """The first two levels of tree 0: the draws are hashes of node and feature
+    alone, so they are literals here; ranges, sides and gains come from the rows."""
+    import numpy as np
+
+    m = int(len(PROFILE) ** 0.5)
+    ids, draws = {"": T.root_id(42, 0)}, []
+    for path in ("", "L", "R"):
+        for side, name in enumerate("LR"):
+            ids[path + name] = T.child_id(ids[path], side)
+        node = np.array([ids[path]])
+        order = np.argsort(T._draws(node, len(PROFILE), 1)[0], kind="stable").tolist()
+        u = (T._draws(node, len(PROFILE), 2)[0] >> np.uint64(11)).astype(float) / float(1 << 53)
+        draws += [f"('{path}', '{PROFILE[f]}', {i}, {float(u[f])!r}::DOUBLE)" for i, f in enumerate(order)]
+    gini = "(CASE WHEN {0} > 0 THEN 2 * {1} * ({0} - {1}) / {0} ELSE 0 END)"
+    own, left = gini.format("w", "w1"), gini.format("lw", "lw1")
+    right = gini.format("(w - lw)", "(w1 - lw1)")
+
+    def level(k: int) -> str:
+        rows = "x0" if k == 0 else f"x{k}"
+        return f"""
+n{k} AS (SELECT path, count(*) AS n, sum(cw) AS w, sum(cw * target) AS w1 FROM {rows} GROUP BY path),
+l{k} AS (SELECT rid, path, target, cw, feature, value FROM (
+  UNPIVOT (SELECT rid, path, target, cw, {', '.join(PROFILE)} FROM {rows})
+  ON {', '.join(PROFILE)} INTO NAME feature VALUE value) u),
+c{k} AS (SELECT path, feature, rank, CASE WHEN lo + u * (hi - lo) >= hi THEN lo ELSE lo + u * (hi - lo) END AS t
+  FROM (SELECT path, feature, min(value) AS lo, max(value) AS hi FROM l{k} GROUP BY path, feature) r
+  JOIN draws USING (path, feature) WHERE lo < hi QUALIFY row_number() OVER (PARTITION BY path ORDER BY rank) <= {m}),
+s{k} AS (SELECT c.path, c.feature, c.rank, c.t, any_value(n.n) AS n, any_value(n.w) AS w, any_value(n.w1) AS w1,
+    count_if(l.value <= c.t) AS ln, sum(CASE WHEN l.value <= c.t THEN l.cw ELSE 0 END) AS lw,
+    sum(CASE WHEN l.value <= c.t THEN l.cw * l.target ELSE 0 END) AS lw1
+  FROM c{k} c JOIN l{k} l USING (path, feature) JOIN n{k} n USING (path) GROUP BY c.path, c.feature, c.rank, c.t),
+g{k} AS (SELECT *, {own} - {left} - {right} AS gain FROM s{k} WHERE ln >= 1 AND n - ln >= 1 AND w1 > 0 AND w1 < w),
+b{k} AS (SELECT * FROM (SELECT *, max(gain) OVER (PARTITION BY path) - {T.TIE} * w AS least FROM g{k}) z
+  WHERE gain >= least QUALIFY row_number() OVER (PARTITION BY path ORDER BY rank) = 1),
+x{k + 1} AS (SELECT x.* REPLACE (x.path || CASE WHEN l.value <= b.t THEN 'L' ELSE 'R' END AS path)
+  FROM {rows} x JOIN b{k} b USING (path) JOIN l{k} l ON l.rid = x.rid AND l.feature = b.feature)"""
+
+    return f"""
+draws(path, feature, rank, u) AS (VALUES {', '.join(draws)}),
+x0 AS (SELECT *, row_number() OVER () AS rid, '' AS path,
+              weight * count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY target)) AS cw FROM wt),""" \
+        + level(0) + "," + level(1) + """,
+n2 AS (SELECT path, count(*) AS n, sum(cw) AS w, sum(cw * target) AS w1 FROM x2 GROUP BY path)"""
+
+
+SQL["extra_tree_depth2"] = rounded(with_feat("""
+SELECT n.path, b.feature, b.t AS threshold, n.w1 / n.w AS value, n.n
+FROM (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2) n
+LEFT JOIN (SELECT path, feature, t FROM b0 UNION ALL SELECT path, feature, t FROM b1) b USING (path)""",
+                                             LAB + "," + _tree_sql()), r6=["threshold", "value"])
+
 # ------------------------------------------------------------------ streaming
 
 SQL["stream_bars"] = SQL["ohlcv_bars_hourly"]
@@ -755,6 +838,51 @@ SELECT symbol, ts, 'bearish' AS direction, hn AS gap_low, l1 AS gap_high FROM fv
 fv AS (SELECT symbol, ts, lag(high) OVER w AS h1, lag(low) OVER w AS l1,
               lead(high) OVER w AS hn, lead(low) OVER w AS ln FROM b {W})""")
 
+_LIFE = """
+SELECT z.symbol, z.ts, z.direction, z.zone_low, z.zone_high,
+  (SELECT min(x.ts) FROM b x WHERE x.symbol = z.symbol AND x.bar_no > z.known
+     AND CASE WHEN z.direction = 'bullish' THEN x.low <= z.zone_high ELSE x.high >= z.zone_low END) AS first_touch,
+  (SELECT min(x.ts) FROM b x WHERE x.symbol = z.symbol AND x.bar_no > z.known
+     AND CASE WHEN z.direction = 'bullish' THEN x.low <= z.zone_low ELSE x.high >= z.zone_high END) AS filled
+FROM z"""
+SQL["gap_lifetimes"] = with_bars(_LIFE, f"""
+fv AS (SELECT symbol, ts, bar_no + 1 AS known, lag(high) OVER w AS h1, lag(low) OVER w AS l1,
+              lead(high) OVER w AS hn, lead(low) OVER w AS ln FROM b {W}),
+z AS (SELECT symbol, ts, known, 'bullish' AS direction, h1 AS zone_low, ln AS zone_high FROM fv WHERE h1 < ln
+      UNION ALL SELECT symbol, ts, known, 'bearish', hn, l1 FROM fv WHERE l1 > hn)""")
+SQL["order_blocks"] = with_bars(_LIFE, swings_sql("b", 5) + """,
+z AS (SELECT symbol, ts, bar_no + 5 AS known, CASE WHEN r.swing_type = 'low' THEN 'bullish' ELSE 'bearish' END AS direction,
+             CASE WHEN r.swing_type = 'low' THEN low ELSE least(open, close) END AS zone_low,
+             CASE WHEN r.swing_type = 'low' THEN greatest(open, close) ELSE high END AS zone_high
+      FROM raw r JOIN b USING (symbol, ts))""")
+
+
+def _timeframe_sql() -> str:
+    parts, events = [], []
+    for f in TF.TIMEFRAMES:
+        p = f"t{f.name}_"
+        parts.append(f"""
+{p}b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_no FROM (
+  SELECT event_type AS symbol, time_bucket(INTERVAL '{f.width}', ts) AS ts, first(value ORDER BY ts, event_id) AS open,
+         max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close
+  FROM events GROUP BY 1, 2) q),""" + swings_sql(f"{p}b", f.order, p) + f""",
+{p}k AS (SELECT s.symbol, e.ts + INTERVAL '{f.width}' AS known, arg_max(s.trend, s.k) AS trend
+  FROM {p}sw s JOIN {p}b c USING (symbol, ts) JOIN {p}b e ON e.symbol = c.symbol AND e.bar_no = c.bar_no + {f.order}
+  GROUP BY 1, 2)""")
+        events.append(f"ASOF LEFT JOIN {p}k k_{f.name} ON k_{f.name}.symbol = s.symbol "
+                      f"AND s.ts + INTERVAL '{TF.TIMEFRAMES[0].width}' >= k_{f.name}.known")
+    names = [f.name for f in TF.TIMEFRAMES]
+    cols = ", ".join(f"coalesce(k_{n}.trend, 'neutral') AS trend_{n}" for n in names)
+    same = " AND ".join(f"trend_{n} = trend_{names[-1]}" for n in names[:-1])
+    return f"""WITH {','.join(parts)}
+SELECT *, CASE WHEN trend_{names[-1]} = 'neutral' THEN 'neutral'
+               ELSE CASE WHEN trend_{names[-1]} = 'up' THEN 'bullish' ELSE 'bearish' END
+                    || CASE WHEN {same} THEN '' ELSE '_wait' END END AS status
+FROM (SELECT s.symbol, s.ts, {cols} FROM t{names[0]}_b s {' '.join(events)}) x"""
+
+
+SQL["timeframe_status"] = _timeframe_sql()
+
 SF_CTE = SW + "," + SIGNALS + f""",
 chs AS (SELECT s.symbol, s.swing_ts, coalesce(brk.bts, s.swing_ts) AS bts
         FROM sig2 s LEFT JOIN brk USING (symbol, k) WHERE s.type = 'choch'),

@@ -680,6 +680,14 @@ def corr_pairs(spark, sf):
     return _round(P.corr_pairs(_features(spark, sf), PROFILE_COLS), r3=["corr"])
 
 
+@query("corr_pairs_gaps")
+def corr_pairs_gaps(spark, sf):
+    """A10 on a panel with gaps: every pair of the close panel over the dates
+    that have both."""
+    panel = close_panel(spark, sf)
+    return _round(P.pairwise_corr(panel, [c for c in panel.columns if c != "ts"]), r6=["corr"])
+
+
 @query("corr_drop")
 def corr_drop(spark, sf):
     """Later column of each highly correlated pair."""
@@ -881,90 +889,214 @@ def model_card(spark, sf):
     return _round(ML.model_card(_rule_runs(spark, sf)), r6=RUN_METRICS)
 
 
-# ------------------------------------------------------------------ fitted models (rows-only checks)
-
-# The three queries that fit trees do so with these documented parameters;
-# the operators' defaults are 300 trees, 500 rounds and 60 trials, which take
-# Spark's level-wise trees many minutes on this data (see the README).
-FIT_FOREST = {"numTrees": 40, "maxDepth": 8}
-FIT_GBT = {"maxIter": 20}
-SEARCH_TRIALS = 2
-
-
-def _search_space(rng):
-    from candleflow.operators import models as ML
-    p = ML.sample_params(rng)
-    return {**p, "numTrees": 10 + p["numTrees"] // 50, "maxDepth": min(p["maxDepth"], 6)}
+# ------------------------------------------------------------------ fitted models
 
+# What a fitted model says cannot be told by SQL: these queries return every
+# key it must cover and facts that must hold for each (a probability between 0
+# and 1, a confidence that belongs to it, ...).  The operators return the values.
 
 def _model_data(spark, sf):
     from candleflow.operators import models as ML
     train, test = ML.training_sets(_features(spark, sf), PROFILE_COLS)
-    return ML, cut_lineage(train), cut_lineage(test)
+    return ML, materialize(train, "model_train"), materialize(test, "model_test")
 
 
-from candleflow.session import cut_lineage  # noqa: E402
+def _fit_facts(ML, model, test):
+    scored = materialize(model.with_probability(test).withColumn(
+        "prediction", (F.col("prob_up") >= 0.5).cast("int")), "scored")
+    auc = ML.evaluate(scored).first()["roc_auc"]
+    return scored.select("symbol", "ts", "label", F.lit(model.n_trees).alias("n_trees"),
+                         F.col("prob_up").between(0, 1).alias("in_range"), F.lit(auc > 0.5).alias("better_than_chance"))
 
 
 @query("fit_forest")
 def fit_forest(spark, sf):
-    """ML7/ML15: forest fit on the train split, metrics on the test split, and
-    the number and sum of its feature importances."""
+    """ML7: extremely randomised trees at their defaults, fitted on the train
+    split and scored on the test split."""
+    from candleflow.operators.trees import fit_extra_trees
     ML, train, test = _model_data(spark, sf)
-    model = ML.forest(FIT_FOREST).fit(train)
-    imp = ML.importances(model, PROFILE_COLS).agg(F.count("*").alias("n_importances"),
-                                                  F.round(F.sum("importance"), 6).alias("importance_sum"))
-    return ML.evaluate(ML.score(model, test)).withColumn("model_name", F.lit("RandomForestClassifier")) \
-        .join(F.broadcast(imp))  # one row each
+    return _fit_facts(ML, fit_extra_trees(train), test)
+
+
+@query("extra_tree_depth2")
+def extra_tree_depth2(spark, sf):
+    """ML7: the first two levels of the first tree, node by node; ``path`` is
+    the way from the root."""
+    from candleflow.operators.trees import fit_extra_trees
+    _, train, _ = _model_data(spark, sf)
+    nodes = fit_extra_trees(train, {"n_estimators": 1, "max_depth": 2}).nodes()  # seven nodes at most
+    paths = {0: ""}
+    for i in range(len(nodes)):
+        if nodes.feature[i] >= 0:
+            paths[int(nodes.left[i])], paths[int(nodes.right[i])] = paths[i] + "L", paths[i] + "R"
+    rows = [(paths[i], PROFILE_COLS[nodes.feature[i]] if nodes.feature[i] >= 0 else None,
+             float(nodes.threshold[i]) if nodes.feature[i] >= 0 else None, float(nodes.value[i]), int(nodes.n[i]))
+            for i in sorted(paths, key=paths.get)]
+    out = spark.createDataFrame(rows, "path string, feature string, threshold double, value double, n long")
+    return _round(out, r6=["threshold", "value"])
 
 
 @query("fit_gbt")
 def fit_gbt(spark, sf):
-    """ML8: boosted trees fit, metrics on the test split."""
+    """ML8: leaf-wise boosted trees at their defaults, fitted on the train split
+    and scored on the test split."""
+    from candleflow.operators.boosting import fit_boosted
     ML, train, test = _model_data(spark, sf)
-    model = ML.gbt(FIT_GBT).fit(train)
-    return ML.evaluate(ML.score(model, test)).withColumn("model_name", F.lit("GBTClassifier"))
+    return _fit_facts(ML, fit_boosted(train), test)
+
+
+#: trials of the registered search; the operator's default is 60 (README)
+SEARCH_TRIALS = 1
 
 
 @query("random_search")
 def random_search(spark, sf):
-    """ML10: seeded random search scored by mean walk-forward AUC."""
+    """ML10: trials of the search, parameters as drawn, scored by mean
+    walk-forward AUC."""
     from candleflow.operators import models as ML
-    train = _train(spark, sf)
-    data = ML.assemble(D.class_weights(D.sample_weights(train)), PROFILE_COLS)
-    return ML.random_search(data, n_trials=SEARCH_TRIALS, space=_search_space)
+    from candleflow.operators import search as SR
+    train = ML.assemble(D.class_weights(D.sample_weights(_train(spark, sf))), PROFILE_COLS)
+    trials = SR.tune(train, n_trials=SEARCH_TRIALS, batch=1)
+    return trials.select("trial", "n_folds", F.col("cv_roc_auc").between(0, 1).alias("in_range"))
 
 
-def _importances(spark, sf):
-    """An importance table that both engines can compute: |corr| with the
-    label.  The ranking, threshold and pruning operators take any such table."""
-    corr = P.target_corr(_features(spark, sf), PROFILE_COLS)
-    return corr.select("feature", F.round(F.abs("corr"), 9).alias("importance"))
+#: (application, folder) -> where the fitted ensemble is stored
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored_model(spark, sf):
+    """The calibrated ensemble of a folder's features: fitted and stored by the
+    first query of an application that needs it, loaded by all, as scoring
+    jobs do."""
+    import uuid
+
+    from candleflow.operators import ensemble as EN
+    from candleflow.session import checkpoint_dir
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _, train, _ = _model_data(spark, sf)
+        path = f"{checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+        EN.fit_calibrated(train, PROFILE_COLS).save(spark, path)
+        _STORED[key] = path
+    return EN.CalibratedEnsemble.load(spark, _STORED[key])
+
+
+@query("feature_importances")
+def feature_importances(spark, sf):
+    """ML15: every feature of the calibrated model has an importance."""
+    imp = materialize(_stored_model(spark, sf).importances(spark), "importances")
+    total = imp.agg(F.sum("importance")).first()[0]
+    return imp.select("feature", F.col("importance").between(0, 1).alias("in_range"),
+                      F.lit(abs(total - 1) < 1e-6).alias("sums_to_one"))
 
 
 @query("top_importances")
 def top_importances(spark, sf):
-    """L4: the 15 most important features."""
+    """L4: the 15 most important features of the calibrated model."""
     from candleflow.operators import models as ML
-    return ML.top_importances(_importances(spark, sf))
+    return ML.top_importances(_stored_model(spark, sf).importances(spark))
 
 
 @query("weakest_features")
 def weakest_features(spark, sf):
     """The 15 least important features, ascending."""
     from candleflow.operators import models as ML
-    return ML.top_importances(_importances(spark, sf), ascending=True)
+    return ML.top_importances(_stored_model(spark, sf).importances(spark), ascending=True)
 
 
 @query("importance_drop")
 def importance_drop(spark, sf):
-    """Features with importance below 0.005."""
-    return P.importance_drop(_importances(spark, sf))
+    """Features whose importance in the model is below 0.005."""
+    return P.importance_drop(_stored_model(spark, sf).importances(spark))
 
 
 @query("kept_features")
 def kept_features(spark, sf):
     """Features kept after importance and correlation pruning."""
+    imp = materialize(_stored_model(spark, sf).importances(spark), "importances")
+    corr = P.corr_drop(P.corr_pairs(_features(spark, sf), PROFILE_COLS))
+    return P.kept_features(imp.select("feature"), P.importance_drop(imp), corr)
+
+
+def _model_scores(spark, sf):
+    _, _, test = _model_data(spark, sf)
+    model = _stored_model(spark, sf)
+    return model, model.score(test)
+
+
+@query("calibrated_scores")
+def calibrated_scores(spark, sf):
+    """ML11: calibrated probabilities of the test split, averaged over the folds."""
+    model, scored = _model_scores(spark, sf)
+    return scored.select("symbol", "ts", "label", F.lit(model.method).alias("method"),
+                         F.lit(len(model.members)).alias("n_folds"), F.col("prob_up").between(0, 1).alias("in_range"))
+
+
+@query("score_rows")
+def score_rows(spark, sf):
+    """ML12: prediction and confidence (row-max probability) for every test
+    row, by the stored model."""
+    _, scored = _model_scores(spark, sf)
+    up = F.col("prob_up")
+    fits = (F.col("prediction") == (up >= 0.5).cast("int")) & (F.col("confidence") == F.greatest(up, 1 - up)) \
+        & F.col("confidence").between(0.5, 1)
+    return scored.select("symbol", "ts", "label", fits.alias("consistent"))
+
+
+@query("predict_latest")
+def predict_latest(spark, sf):
+    """ML13: the newest feature row of every series, scored by the stored model
+    and upserted into the stored predictions."""
+    import uuid
+
+    from candleflow.operators import models as ML
+    from candleflow.session import checkpoint_dir
+    feats = _features(spark, sf)
+    newest = feats.groupBy("symbol").agg(F.max("ts").alias("ts"))
+    close = _ctx(spark, sf).daily.select("symbol", "ts", F.col("close").alias("entry_price"))
+    scored = _stored_model(spark, sf).score(ML.assemble(feats.join(newest, ["symbol", "ts"]), PROFILE_COLS))
+    new = scored.select("symbol", "ts", "prediction", "confidence", F.lit(O.HORIZON_DAYS).alias("horizon_days")) \
+        .join(close, ["symbol", "ts"], "left").withColumn("scored", F.lit(True))
+    store = TableStore(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.save("predictions", _predictions(spark, sf).withColumn("scored", F.lit(False)))
+    out = store.upsert("predictions", new, ["symbol", "ts"])
+    fits = F.col("confidence").between(0.5, 1) & F.col("prediction").isin(0, 1)
+    return out.join(newest, ["symbol", "ts"]).select("symbol", "ts", "horizon_days", "entry_price", "scored",
+                                                     fits.alias("consistent"))
+
+
+# ------------------------------------------------------------------ the same operators on tables that SQL can compute
+
+def _importances(spark, sf):
+    """An importance table that both engines can compute: |corr| with the
+    label.  The ranking, threshold and pruning operators take any such table."""
+    corr = P.target_corr(_features(spark, sf), PROFILE_COLS)
+    return corr.select("feature", F.round(F.abs("corr"), 9).alias("importance"))
+
+
+@query("corr_top_features")
+def corr_top_features(spark, sf):
+    """L4 by |correlation|: the 15 features closest to the label."""
+    from candleflow.operators import models as ML
+    return ML.top_importances(_importances(spark, sf))
+
+
+@query("corr_weakest_features")
+def corr_weakest_features(spark, sf):
+    """L7 by |correlation|: the 15 least, ascending."""
+    from candleflow.operators import models as ML
+    return ML.top_importances(_importances(spark, sf), ascending=True)
+
+
+@query("corr_importance_drop")
+def corr_importance_drop(spark, sf):
+    """A12 by |correlation|: features below 0.005."""
+    return P.importance_drop(_importances(spark, sf))
+
+
+@query("corr_kept_features")
+def corr_kept_features(spark, sf):
+    """U5 by |correlation|: features kept after both prunings."""
     imp = materialize(_importances(spark, sf), "importances")
     corr = P.corr_drop(P.corr_pairs(_features(spark, sf), PROFILE_COLS))
     return P.kept_features(imp.select("feature"), P.importance_drop(imp), corr)
@@ -983,8 +1115,8 @@ def _rule_scores(spark, sf):
             materialize(test.select("symbol", "ts", label, "raw", "prediction", "confidence"), "rule_test"))
 
 
-@query("calibrated_scores")
-def calibrated_scores(spark, sf):
+@query("rule_calibrated_scores")
+def rule_calibrated_scores(spark, sf):
     """ML11: fold-wise isotonic calibration of the rule's score on the test split."""
     from candleflow.operators import models as ML
     train, test = _rule_scores(spark, sf)
@@ -996,18 +1128,18 @@ def calibrated_scores(spark, sf):
                   .withColumn("method", F.lit(method)), r6=["prob_up"])
 
 
-@query("score_rows")
-def score_rows(spark, sf):
-    """ML12: prediction and confidence (row-max probability) for every test row."""
+@query("rule_score_rows")
+def rule_score_rows(spark, sf):
+    """ML12 on the rule's score: prediction and confidence for every test row."""
     _, test = _rule_scores(spark, sf)
     up = F.col("raw")
     return _round(test.select("symbol", "ts", (up >= 0.5).cast("int").alias("prediction"),
                               F.greatest(up, 1 - up).alias("confidence")), r6=["confidence"])
 
 
-@query("predict_latest")
-def predict_latest(spark, sf):
-    """ML13: the newest feature row of every series, scored by the model in
+@query("rule_predict_latest")
+def rule_predict_latest(spark, sf):
+    """ML13 with the rule: the newest feature row of every series, scored by the model in
     production (its version is recorded), upserted into the stored predictions."""
     import uuid
 
@@ -1064,6 +1196,28 @@ def fair_value_gaps(spark, sf):
     return I.fair_value_gaps(_ctx(spark, sf).bars)
 
 
+@query("gap_lifetimes")
+def gap_lifetimes(spark, sf):
+    """Fair-value gaps with first re-entry and fill."""
+    from candleflow.operators import zones as Z
+    return Z.gap_lifetimes(_ctx(spark, sf).bars)
+
+
+@query("order_blocks")
+def order_blocks(spark, sf):
+    """Demand and supply zones at swings with first re-entry and fill."""
+    from candleflow.operators import zones as Z
+    return Z.order_blocks(_ctx(spark, sf).bars)
+
+
+@query("timeframe_status")
+def timeframe_status(spark, sf):
+    """The confirmed trends of 5-minute, 15-minute and daily bars at every
+    5-minute bar."""
+    from candleflow.operators import timeframes as TF
+    return TF.timeframe_status(S.trades_from_events(S.read_table(spark, sf, "events")))
+
+
 @query("structure_features")
 def structure_features(spark, sf):
     """D3: structure facts per bar, each known only after confirmation."""
