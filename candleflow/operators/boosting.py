@@ -312,9 +312,11 @@ def fit_boosted(train: DataFrame, params: dict | None = None, features: str = "f
 
     checkpoint_dir(spark)
     blocks = materialize(packed, "boost_blocks").rdd.mapPartitions(unpack).persist(StorageLevel.MEMORY_AND_DISK)
-    table = []
+    table, before = [], None
     for round_ in range(par["n_estimators"]):
-        root, order = _grow_tree(blocks, par, p, n_bins, round_)
+        root, order = _grow_tree(blocks, par, p, n_bins, round_)  # its first pass works the new scores out
+        if before is not None:
+            before.unpersist()
         rows_, arrays, values = _rows_of(root, order, round_, edges, par["learning_rate"])
         table += rows_
 
@@ -322,12 +324,10 @@ def fit_boosted(train: DataFrame, params: dict | None = None, features: str = "f
             ids, bins, y, w, score = block
             return ids, bins, y, w, score + values[_place(bins, arrays)]
 
-        after = blocks.map(scored).persist(StorageLevel.MEMORY_AND_DISK)
+        before, blocks = blocks, blocks.map(scored).persist(StorageLevel.MEMORY_AND_DISK)
         if round_ % CUT == CUT - 1:
-            after.checkpoint()
-        after.count()
-        blocks.unpersist()
-        blocks = after
-    blocks.unpersist()
+            blocks.checkpoint()
+    if before is not None:
+        before.unpersist()
     nodes = materialize(spark.createDataFrame(table, _NODE_SCHEMA), "boosted")
     return TreeModel(nodes, par["n_estimators"], p, "logit", start)

@@ -945,18 +945,22 @@ def fit_gbt(spark, sf):
     return _fit_facts(ML, fit_boosted(train), test)
 
 
-#: trials of the registered search; the operator's default is 60 (README)
-SEARCH_TRIALS = 1
+#: trials of the registered search and its range of tree counts; the operator's
+#: defaults are 60 trials of 100 to 1,000 trees (README)
+SEARCH_TRIALS, SEARCH_TREES = 2, (20, 60)
 
 
 @query("random_search")
 def random_search(spark, sf):
     """ML10: trials of the search, parameters as drawn, scored by mean
     walk-forward AUC."""
+    from dataclasses import replace
+
     from candleflow.operators import models as ML
     from candleflow.operators import search as SR
     train = ML.assemble(D.class_weights(D.sample_weights(_train(spark, sf))), PROFILE_COLS)
-    trials = SR.tune(train, n_trials=SEARCH_TRIALS, batch=1)
+    trees = replace(SR.EXTRA_TREES_SPACE["n_estimators"], low=SEARCH_TREES[0], high=SEARCH_TREES[1])
+    trials = SR.tune(train, n_trials=SEARCH_TRIALS, space={**SR.EXTRA_TREES_SPACE, "n_estimators": trees})
     return trials.select("trial", "n_folds", F.col("cv_roc_auc").between(0, 1).alias("in_range"))
 
 
