@@ -789,6 +789,9 @@ LEFT JOIN (SELECT path, feature, t FROM b0 UNION ALL SELECT path, feature, t FRO
 # ------------------------------------------------------------------ streaming
 
 SQL["stream_bars"] = SQL["ohlcv_bars_hourly"]
+# hours that the watermark (newest event less one hour) has passed
+SQL["final_bars"] = SQL["ohlcv_bars_hourly"] + """
+WHERE ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)"""
 
 # ------------------------------------------------------------------ manifest diff (schema and rows of two queries)
 

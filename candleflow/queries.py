@@ -1177,6 +1177,18 @@ def stream_bars(spark, sf):
     return out.select(*BAR_COLS)
 
 
+@query("final_bars")
+def final_bars(spark, sf):
+    """Section 2.13 in append mode: every hour's bar once, when the watermark
+    has passed it (the last hours stay open)."""
+    import uuid
+
+    from candleflow.streaming.final_bars import run_final_bar_stream
+    root = f"{__import__('candleflow').checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = run_final_bar_stream(spark, sf, TableStore(spark, f"{root}/store"), f"{root}/checkpoint")
+    return out.select(*BAR_COLS)
+
+
 # ------------------------------------------------------------------ documented extras
 
 LEGACY_COLS = ["sma_10", "wma_10", "momentum_10", "williams_r", "k_intraday", "d_intraday",
