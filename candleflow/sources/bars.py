@@ -24,9 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _digits(*parts):
-    """Non-negative integers of at most the given digits, one after another."""
-    text = F.concat(*[F.lpad(F.col(c).cast("string"), n, "0") for c, n in parts])
-    return text.cast("decimal(38,0)")
+    """Non-negative integers of at most the given digits, one after another.
+    A longer one is an error: cut, it would be put in a wrong order."""
+    def padded(c, n: int):
+        text = (F.col(c) if isinstance(c, str) else c).cast("string")
+        long = F.concat(text, F.lit(f" has more than {n} digits"))
+        return F.when(F.length(text) > n, F.raise_error(long).cast("string")) \
+                .otherwise(F.lpad(text, n, "0"))
+
+    return F.concat(*[padded(c, n) for c, n in parts]).cast("decimal(38,0)")
 
 
 def trades_from_lineitem(lineitem: DataFrame) -> DataFrame:
@@ -53,8 +59,8 @@ def trades_from_events(events: DataFrame) -> DataFrame:
         F.col("ts"),
         F.col("value").cast("double").alias("price"),
         F.lit(1.0).alias("qty"),
-        F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 18, "0"))
-        .cast("decimal(38,0)").alias("seq"))
+        # 20 digits of time and 18 of the id
+        _digits((F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), 20), ("event_id", 18)).alias("seq"))
 
 
 def ohlcv(trades: DataFrame, bucket=None) -> DataFrame:
