@@ -10,8 +10,11 @@ A tree grows best leaf first: the leaf whose best split gains most is split
 next, until ``num_leaves``.  One pass histograms the children of *all* leaves
 that the order could still reach (only the smaller child of each; its sibling
 is the parent less the child), then the order is replayed as far as it is
-known.  The tree is the one that a pass for every split would give, in as many
-passes as the tree is deep.
+known.  Nodes of at most ``LOCAL_ROWS`` rows need no pass of their own levels:
+their rows meet by node and each task group grows its subtree best leaf first,
+as far as the whole tree could still need it.  The tree is the one that a pass
+for every split would give, in as many passes as it has levels of larger nodes,
+and one more.
 
 Split gain and leaf values follow the usual second-order form with L1 and L2
 penalties and smoothing towards the parent's value; rows and features are
@@ -44,6 +47,8 @@ BOOST_DEFAULTS = {"n_estimators": 500, "learning_rate": 0.03, "num_leaves": 31,
                   "reg_lambda": 1.0, "path_smooth": 1.0, "subsample": 0.8, "colsample_bytree": 0.8, "max_bin": 127,
                   "seed": 42}
 BLOCK_ROWS = 50_000
+#: sampled rows of a node whose subtree one task group grows
+LOCAL_ROWS = 50_000
 CUT = 50
 
 
@@ -109,7 +114,7 @@ class _Node:
         self.hist, self.value, self.depth = hist, value, depth  # hist: features x bins x (g, h, n)
         self.split = None  # (gain, feature, bin, left value, right value)
         self.children: tuple | None = None
-        first = hist[0].sum(0) if len(hist) else np.zeros(3)
+        first = hist[0].sum(0) if hist is not None and len(hist) else np.zeros(3)
         self.g, self.h, self.n = (float(v) for v in first)
 
     def find_split(self, features, n_bins, par: dict) -> None:
@@ -214,20 +219,122 @@ def _histograms(blocks, wanted: int, node_of, features, width: int, seed: int, r
     return total.reshape(len(features), wanted, width, 3).transpose(1, 0, 2, 3)
 
 
-def _grow_tree(blocks, par: dict, n_features: int, n_bins, round_: int) -> tuple[_Node, list[_Node]]:
-    """The root and its split nodes in order."""
+def _subtree(bins, g, h, value, depth: int, splits: int, features, n_bins, width: int, par: dict) -> list[tuple]:
+    """At most ``splits`` splits below a node from its rows, best leaf first:
+    a row (value, sampled rows, split, position of the left child or -1) a
+    node, the top first, the right child after the left.  A top without a
+    value is the root of the tree."""
+    cells = bins[:, features] + np.arange(len(features)) * width
+
+    def sums(rows):
+        at, out = cells[rows].ravel(), np.empty((len(features) * width, 3))
+        for c, v in enumerate((g, h)):
+            out[:, c] = np.bincount(at, weights=np.repeat(v[rows], len(features)), minlength=len(out))
+        out[:, 2] = np.bincount(at, minlength=len(out))
+        return out.reshape(len(features), width, 3)
+
+    rows = np.arange(len(bins))
+    top = _Node(sums(rows), value, depth)
+    if value is None:
+        top.value = root_value(top, par)
+    top.find_split(features, n_bins, par)
+    nodes, below, heap = [top], [-1], [(-top.split[0], 0, rows)] if top.split else []
+    while heap and splits:
+        _, i, rows = heapq.heappop(heap)
+        splits -= 1
+        n, below[i] = nodes[i], len(nodes)
+        goes = bins[rows, n.split[1]] <= n.split[2]
+        sides = rows[goes], rows[~goes]
+        small = sums(min(sides, key=len))
+        hists = (small, n.hist - small) if len(sides[0]) <= len(sides[1]) else (n.hist - small, small)
+        n.hist = None
+        for hist, v, here in zip(hists, n.split[3:5], sides):
+            c = _Node(hist, v, n.depth + 1)
+            c.find_split(features, n_bins, par)
+            if c.split:
+                heapq.heappush(heap, (-c.split[0], len(nodes), here))
+            nodes.append(c)
+            below.append(-1)
+    return [(n.value, n.n, n.split, at) for n, at in zip(nodes, below)]
+
+
+def _finish(blocks, tops: list[tuple], arrays, splits: int, features, n_bins, width: int, round_: int, par: dict):
+    """Subtrees of small nodes, ``tops`` as (position in ``arrays``, value,
+    depth): {position: rows of :func:`_subtree`}.  Rows meet by node; those of a
+    single block are together as they are."""
+    known = {at: (value, depth) for at, value, depth in tops}
+    wanted = np.zeros(len(arrays[0]), bool)
+    wanted[list(known)] = True
+
+    def deal(block):
+        ids, bins, y, w, score = block
+        at = _place(bins, arrays)
+        rows = np.flatnonzero(wanted[at] & _keep(ids, par["seed"], round_, par["subsample"]))
+        p = 1 / (1 + np.exp(-score[rows]))
+        g, h = w[rows] * (p - y[rows]), w[rows] * p * (1 - p)
+        at = at[rows]
+        for top in np.unique(at).tolist():
+            here = at == top
+            yield top, (bins[rows[here]], g[here], h[here])
+
+    def grow(group):
+        top, parts = group
+        bins, g, h = (np.concatenate(c) for c in zip(*parts))
+        return top, _subtree(bins, g, h, *known[top], splits, features, n_bins, width, par)
+
+    dealt = blocks.flatMap(deal)
+    parts = blocks.getNumPartitions()
+    groups = dealt.groupByKey(min(parts, len(tops))) if parts > 1 else dealt.map(lambda kv: (kv[0], [kv[1]]))
+    return dict(groups.map(grow).collect())
+
+
+def _attach(top: _Node, rows: list[tuple]) -> None:
+    """Hangs the nodes of :func:`_subtree` below ``top``."""
+    nodes = {0: top}
+    for i, (value, n, split, left) in enumerate(rows):  # parents come before children
+        here = nodes[i]
+        here.value, here.n, here.split, here.hist = value, n, split, None
+        if left >= 0:
+            here.children = tuple(_Node(None, 0.0, here.depth + 1) for _ in range(2))
+            nodes[left], nodes[left + 1] = here.children
+
+
+def root_value(root: _Node, par: dict) -> float:
+    return float(leaf_value(root.g, root.h, root.n, 0.0, {**par, "path_smooth": 0}))
+
+
+def _grow_tree(blocks, par: dict, n_features: int, n_bins, round_: int, n: int) -> tuple[_Node, list[_Node]]:
+    """The root and its split nodes in order; ``n`` rows are in the blocks."""
     seed, share = par["seed"], par["subsample"]
     features = chosen_features(n_features, seed, round_, par["colsample_bytree"])
     width = int(n_bins.max()) + 1
-    whole = _histograms(blocks, 1, lambda bins: np.zeros(len(bins), np.int64), features, width, seed, round_, share)
-    root = _Node(whole[0], 0.0, 0)
-    root.value = float(leaf_value(root.g, root.h, root.n, 0.0, {**par, "path_smooth": 0}))
-    root.find_split(features, n_bins, par)
+    root, got = _Node(None, 0.0, 0), None
+    if n <= LOCAL_ROWS:
+        got = _finish(blocks, [(0, None, 0)], _partial(root)[0], par["num_leaves"] - 1, features, n_bins, width,
+                      round_, par)
+    if got:
+        _attach(root, got[0])
+    else:  # a large table, or no row was sampled
+        whole = _histograms(blocks, 1, lambda bins: np.zeros(len(bins), np.int64), features, width, seed, round_,
+                            share)
+        root = _Node(whole[0], 0.0, 0)
+        root.value = root_value(root, par)
+        root.find_split(features, n_bins, par)
     while True:
         order, asked = _replay(root, par["num_leaves"])
         if not asked:
             return root, order
         arrays, nodes = _partial(root)
+        large = [n for n in asked if n.n > LOCAL_ROWS]
+        if not large:
+            at = {id(n): i for i, n in enumerate(nodes)}
+            tops = [(at[id(n)], n.value, n.depth) for n in asked]
+            got = _finish(blocks, tops, arrays, par["num_leaves"] - 1 - len(order), features, n_bins, width, round_,
+                          par)
+            for i, rows in got.items():
+                _attach(nodes[i], rows)
+            continue
+        asked = large
         position = {id(n): i for i, n in enumerate(nodes)}
         # the smaller child of each asked leaf, by its number of rows
         feature, cut = np.full(len(nodes), -1), np.zeros(len(nodes), np.int64)
@@ -314,7 +421,7 @@ def fit_boosted(train: DataFrame, params: dict | None = None, features: str = "f
     blocks = materialize(packed, "boost_blocks").rdd.mapPartitions(unpack).persist(StorageLevel.MEMORY_AND_DISK)
     table, before = [], None
     for round_ in range(par["n_estimators"]):
-        root, order = _grow_tree(blocks, par, p, n_bins, round_)  # its first pass works the new scores out
+        root, order = _grow_tree(blocks, par, p, n_bins, round_, n)  # its first pass works the new scores out
         if before is not None:
             before.unpersist()
         rows_, arrays, values = _rows_of(root, order, round_, edges, par["learning_rate"])
