@@ -42,8 +42,9 @@ from candleflow.session import materialize
 LOCAL_ROWS = 4_000
 #: trees grown at once: bounds the level tables and the rows sent to groups
 TREES_AT_ONCE = 100
-#: nodes that travel to the tasks at once when rows are scored
-SCORING_NODES = 4_000_000
+#: nodes that travel through the driver to the tasks when rows are scored; a
+#: larger ensemble stays where it is, and the rows go to its subtrees
+SCORING_NODES = 200_000
 
 #: gains closer than this share of the node's weight are equal
 TIE = 1e-10
@@ -460,7 +461,8 @@ def _grow_small(rows: DataFrame, nodes: Nodes, small, level: _Level, params: dic
 def _stitch(spark: SparkSession, nodes: Nodes, small, grown: DataFrame) -> DataFrame:
     """Levels and subtrees as one table; the nodes of a tree are numbered
     levels first, then subtree by subtree (a subtree's root takes its top's
-    place, its other nodes follow at the subtree's offset)."""
+    place, its other nodes follow at the subtree's offset).  ``part`` is the
+    number of the subtree's root, -1 for the split nodes of the levels."""
     sizes = {(r["tree"], r["top"]): r["count"] for r in grown.groupBy("tree", "top").count().collect()}
     number = np.zeros(len(nodes), np.int64)
     used: dict[int, int] = {}
@@ -476,7 +478,8 @@ def _stitch(spark: SparkSession, nodes: Nodes, small, grown: DataFrame) -> DataF
             int(number[nodes.right[i]]) if nodes.feature[i] >= 0 else -1, float(nodes.value[i]),
             float(nodes.gain[i]), int(nodes.n[i])) for i in range(len(nodes))
            if (int(nodes.tree[i]), i) not in sizes]
-    top = spark.createDataFrame(own, _NODE_SCHEMA)
+    top = spark.createDataFrame(own, _NODE_SCHEMA).withColumn(
+        "part", F.when(F.col("feature") < 0, F.col("node")).otherwise(F.lit(-1)))
     place = spark.createDataFrame(offsets, "tree int, top int, number int, off int")
 
     def moved(c: str) -> Column:  # position 0 is the top itself
@@ -484,10 +487,96 @@ def _stitch(spark: SparkSession, nodes: Nodes, small, grown: DataFrame) -> DataF
 
     below = grown.join(F.broadcast(place), ["tree", "top"]).select(
         "tree", moved("sub").cast("int").alias("node"), "feature", "threshold", moved("left").cast("int").alias("left"),
-        moved("right").cast("int").alias("right"), "value", "gain", "n")
+        moved("right").cast("int").alias("right"), "value", "gain", "n", F.col("number").alias("part"))
     return top.unionByName(below)
 
 
+def _score_parts(table: DataFrame, n_trees: int, df: DataFrame, features: str) -> DataFrame:
+    """``df`` with ``_sum``, the sum of its rows' leaf values.  The levels of
+    ``TREES_AT_ONCE`` trees travel to the rows, which are dealt to the subtrees
+    they end in; each subtree meets its rows in a task group of its own.  Values
+    are added up in the order of the trees, so reruns agree."""
+    spark = df.sparkSession
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "scored_rows")
+    x = rows.select("_row", vector_to_array(features).alias("x"))
+    names = [f.name for f in fields(Nodes)]
+    passes = None
+    for first in range(0, n_trees, TREES_AT_ONCE):
+        trees = table.where(F.col("tree").between(first, min(n_trees, first + TREES_AT_ONCE) - 1))
+        upper = trees.where("part < 0").select("tree", "node", "feature", "threshold", "left", "right").toArrow()
+        levels = spark.sparkContext.broadcast(
+            (list(range(first, min(n_trees, first + TREES_AT_ONCE))),
+             {c: upper[c].to_numpy() for c in upper.column_names}))
+
+        def deal(batches: Iterator[pa.RecordBatch], levels=levels) -> Iterator[pa.RecordBatch]:
+            numbers, table = levels.value
+            found = []
+            for t in numbers:
+                mine = np.flatnonzero(table["tree"] == t)
+                mine = mine[np.argsort(table["node"][mine])]
+                found.append((t, {c: v[mine] for c, v in table.items()}))
+            for batch in batches:
+                column = batch.column("x")
+                if not len(column):
+                    continue
+                ids, x = batch.column("_row").to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
+                x = x.reshape(len(column), -1)
+                for t, nodes in found:
+                    end = _walk(x, nodes["node"], nodes["feature"], nodes["threshold"], nodes["left"], nodes["right"])
+                    order = np.argsort(end, kind="stable")
+                    parts, begin = np.unique(end[order], return_index=True)
+                    cut = np.split(order, begin[1:])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([t] * len(parts), pa.int32()), pa.array(parts, pa.int32()),
+                         pa.array([ids[c].astype("<i8").tobytes() for c in cut], pa.binary()),
+                         pa.array([x[c].astype("<f8").tobytes() for c in cut], pa.binary())],
+                        ["tree", "part", "ids", "x"])
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            ids = np.frombuffer(b"".join(left["ids"].to_pylist()), "<i8")
+            values = np.zeros(len(ids))
+            if len(ids):
+                x = np.frombuffer(b"".join(left["x"].to_pylist()), "<f8").reshape(len(ids), -1)
+                order = np.argsort(right["node"].to_numpy())
+                node, feature, threshold, low, high, value = (
+                    right[c].to_numpy()[order] for c in ("node", "feature", "threshold", "left", "right", "value"))
+                inner = feature >= 0
+                end = _walk(x, node[inner], feature[inner], threshold[inner], low[inner], high[inner],
+                            right["part"][0].as_py())
+                values = value[np.searchsorted(node, end)]
+            tree = left["tree"][0].as_py() if len(ids) else 0
+            return pa.table({"_row": pa.array(ids, pa.int64()), "tree": pa.array([tree] * len(ids), pa.int32()),
+                             "value": pa.array(values)})
+
+        dealt = x.mapInArrow(deal, "tree int, part int, ids binary, x binary")
+        met = dealt.groupBy("tree", "part").cogroup(
+            trees.where("part >= 0").select(*names, "part").groupBy("tree", "part")).applyInArrow(
+            meet, "_row long, tree int, value double")
+        sums = materialize(met.groupBy("_row").agg(_ordered_sum("tree", "value").alias("value"))
+                           .withColumn("tree", F.lit(first)), "leaf_sums")
+        passes = sums if passes is None else passes.unionByName(sums)
+    total = passes.groupBy("_row").agg(_ordered_sum("tree", "value").alias("_sum"))
+    return rows.join(total, "_row").drop("_row")
+
+
+def _ordered_sum(by: str, value: str) -> Column:
+    in_order = F.array_sort(F.collect_list(F.struct(by, value)))
+    return F.aggregate(in_order, F.lit(0.0), lambda total, v: total + v[value])
+
+
+def _walk(x, number, feature, threshold, left, right, start: int = 0):
+    """The node every row of ``x`` leaves at, from ``start`` through the split
+    nodes of these ascending numbers."""
+    at = np.full(len(x), start)
+    moving = np.arange(len(x)) if len(number) else np.zeros(0, np.int64)
+    while len(moving):
+        place = np.minimum(np.searchsorted(number, at[moving]), len(number) - 1)
+        inside = number[place] == at[moving]
+        moving, place = moving[inside], place[inside]
+        at[moving] = np.where(x[moving, feature[place]] <= threshold[place], left[place], right[place])
+    return at
+
+
 def _settled(params: dict | None, n_features: int, local_rows: int) -> dict:
     p = {**EXTRA_TREES_DEFAULTS, **{k: v for k, v in (params or {}).items() if k != "limit_depth"}}
     share = p["max_features"]
@@ -509,7 +598,7 @@ class TreeModel:
 
     def nodes(self, trees: tuple[int, int] | None = None) -> Nodes:
         rows = self.table if trees is None else self.table.where(F.col("tree").between(*trees))
-        t = rows.orderBy("tree", "node").toArrow()
+        t = rows.select(*[f.name for f in fields(Nodes)]).orderBy("tree", "node").toArrow()
         cols = {f.name: t[f.name].to_numpy() for f in fields(Nodes)}
         first = np.concatenate(([0], np.cumsum(np.bincount(cols["tree"] - cols["tree"].min()))))[
             cols["tree"] - cols["tree"].min()]
@@ -518,9 +607,20 @@ class TreeModel:
         return Nodes(**cols)
 
     def with_probability(self, df: DataFrame, features: str = "features", out: str = "prob_up") -> DataFrame:
-        """Adds P(label 1).  Trees go to the tasks ``SCORING_NODES`` nodes at a
-        time; an ensemble of more is scored in as many written passes."""
+        """Adds P(label 1).  An ensemble of up to ``SCORING_NODES`` nodes goes to
+        the tasks; of a larger one only the levels do, and rows meet subtrees
+        (:func:`_score_parts`).  Node tables without subtrees (boosted trees)
+        go to the tasks ``SCORING_NODES`` nodes at a time."""
         counts = [r["count"] for r in self.table.groupBy("tree").count().orderBy("tree").collect()]
+        if sum(counts) > SCORING_NODES and "part" in self.table.columns:
+            rows = _score_parts(self.table, len(counts), df, features).withColumn(
+                "_sum", F.col("_sum") + F.lit(self.start))
+        else:
+            rows = self._score_whole(counts, df, features)
+        value = F.col("_sum") / F.lit(self.n_trees) if self.kind == "mean" else 1 / (1 + F.exp(-F.col("_sum")))
+        return rows.withColumn(out, value).drop("_sum")
+
+    def _score_whole(self, counts: list[int], df: DataFrame, features: str) -> DataFrame:
         groups, first, held = [], 0, 0
         for t, c in enumerate(counts):
             if held and held + c > SCORING_NODES:
@@ -534,8 +634,7 @@ class TreeModel:
                 vector_to_array(features)))
             if len(groups) > 1 and i < len(groups) - 1:
                 rows = materialize(rows, "scores")
-        value = F.col("_sum") / F.lit(self.n_trees) if self.kind == "mean" else 1 / (1 + F.exp(-F.col("_sum")))
-        return rows.withColumn(out, value).drop("_sum")
+        return rows
 
     def _leaf_sum(self, spark: SparkSession, trees: tuple[int, int]):
         shared = spark.sparkContext.broadcast(self.nodes(trees))
