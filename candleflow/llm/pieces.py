@@ -77,6 +77,13 @@ class Pieces:
                     out.add(u)
         return out
 
+    def forget(self) -> None:
+        """Drops all that a worker has found.  Spark keeps more Python workers
+        than run at a time and deals its tasks to them in turn: each would hold
+        its own tables while it waits."""
+        for found in (self.known, self.older, self.stable, self.nodes):
+            found.clear()
+
     def node(self, name: str) -> tuple:
         found = self.nodes.get(name)
         if found is None:

@@ -123,7 +123,8 @@ def decode(ids, p: Pieces) -> str:
 
 
 def with_ids(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
-    """Adds ``out array<int>``; all columns of ``docs`` are kept."""
+    """Adds ``out array<int>``; all columns of ``docs`` are kept.  Units are
+    remembered until the task ends (:meth:`.pieces.Pieces.forget`)."""
     pieces = share(docs.sparkSession, load_pieces(model))
 
     @F.arrow_udf("array<int>")
@@ -131,11 +132,15 @@ def with_ids(docs: DataFrame, text: str = "text", out: str = "ids", model: str =
         import numpy as np
 
         enc = Encoder(shared(pieces))
-        for a in batches:
-            packed = enc.packed(a.to_pylist())
-            offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in packed])))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                           pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        try:
+            for a in batches:
+                packed = enc.packed(a.to_pylist())
+                offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in packed])))
+                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
+                                               pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        finally:
+            enc.p.forget()
+            pa.default_memory_pool().release_unused()
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(out, ids_of(F.col(text)))
